@@ -17,6 +17,7 @@ import heapq
 import json
 import mmap
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,8 +35,10 @@ WORD_BPE = "word_bpe_49k.json"
 #: Words in the lexicon.
 LEXICON_WORDS = 50_000
 #: Entries that a worker's memory of encoded chunks holds before it starts afresh.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 1_000_000
 END = "</w>"
+#: Stands for a pair that has no merge.
+NONE = 1 << 60
 
 
 def default_tokenizer() -> str:
@@ -77,7 +80,7 @@ class Bpe:
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         else:
             text = text.lower()
-        return self.word.findall(text)
+        return [text] if text.isalpha() and text.isascii() else self.word.findall(text)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word, by exact merges."""
@@ -85,20 +88,16 @@ class Bpe:
         if len(ids) > 48:
             return self._merge_long(ids)
         get = self.pairs.get
-        found = [get(a << 16 | b) for a, b in zip(ids, ids[1:], strict=False)]
-        while True:
-            best, at = 1 << 60, -1
-            for i, v in enumerate(found):
-                if v is not None and v < best:
-                    best, at = v, i
-            if at < 0:
-                return ids
-            ids[at : at + 2] = [new := best & 0xFFFF]
-            del found[at]
+        found = [get(a << 16 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) != NONE:
+            at = found.index(best)
+            new = ids[at] = best & 0xFFFF
+            del ids[at + 1], found[at]
             if at:
-                found[at - 1] = get(ids[at - 1] << 16 | new)
+                found[at - 1] = get(ids[at - 1] << 16 | new, NONE)
             if at < len(found):
-                found[at] = get(new << 16 | ids[at + 1])
+                found[at] = get(new << 16 | ids[at + 1], NONE)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap, for long words."""
@@ -219,36 +218,35 @@ def mapped_lexicon(name: str) -> Lexicon:
 
 
 class Encoder(dict):
-    """Remembers `form(ids)` of each white-space-free chunk of UTF-8 text."""
+    """Remembers `form(ids)` of each white-space-free chunk of UTF-8 text; ids are little-endian uint32 bytes."""
 
-    def __init__(self, model: Bpe, lexicon: Lexicon | None, form):
+    def __init__(self, model: Bpe, lexicon: Lexicon | None, form=None):
         self.model, self.lexicon, self.form = model, lexicon, form
-        self.by_word: dict[str, list[int]] = {}
+        self.by_word: dict[str, bytes] = {}
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> bytes:
         found = self.by_word.get(word)
         if found is None:
             raw = word.encode()
-            found = (self.lexicon.get(raw) if self.lexicon else None) or self.model.merge(raw)
+            found = array("I", (self.lexicon.get(raw) if self.lexicon else None) or self.model.merge(raw)).tobytes()
             if len(self.by_word) >= MEMO_ENTRIES:
                 self.by_word.clear()
             self.by_word[word] = found
         return found
 
-    def ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        at = 0
-        for m in self.model.special.finditer(chunk) if "<|" in chunk else ():
-            for w in self.model.words(chunk[at : m.start()]):
-                out += self.word_ids(w)
-            out.append(self.model.specials[m[0]])
+    def ids(self, chunk: str) -> bytes:
+        if "<|" not in chunk:
+            return b"".join(map(self.word_ids, self.model.words(chunk)))
+        out, at = [], 0
+        for m in self.model.special.finditer(chunk):
+            out += [*map(self.word_ids, self.model.words(chunk[at : m.start()])), array("I", [self.model.specials[m[0]]]).tobytes()]
             at = m.end()
-        for w in self.model.words(chunk[at:]):
-            out += self.word_ids(w)
-        return out
+        return b"".join([*out, *map(self.word_ids, self.model.words(chunk[at:]))])
 
     def __missing__(self, chunk: bytes):
-        made = self.form(self.ids(chunk.decode("utf-8")))
+        made = self.ids(chunk.decode("utf-8"))
+        if self.form:
+            made = self.form(array("I", made))
         if len(self) >= MEMO_ENTRIES:
             self.clear()
         self[chunk] = made
@@ -310,9 +308,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, lexicon: str | None = N
     path = path or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = worker_encoder(path, lexicon, tuple, "ids")
+        enc = worker_encoder(path, lexicon, None, "ids")
         for batch in batches:
-            ids = [[i for chunk in map(enc.__getitem__, (raw or b"").split()) for i in chunk] for raw in utf8(batch.column(1))]
+            ids = [np.frombuffer(b"".join(map(enc.__getitem__, (raw or b"").split())), "<u4") for raw in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     arrow_batches(docs.sparkSession)
@@ -339,15 +337,15 @@ def bpe_digests(docs: DataFrame, path: str | None = None, lexicon: str | None =
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = bpe(path).tokens
-        enc = worker_encoder(path, lexicon, lambda ids: (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids])), "digest")
+        digits, shown = [str(i) for i in range(len(tokens))], [t.encode() for t in tokens]
+        enc = worker_encoder(path, lexicon, None, "ids")
         for batch in batches:
             n, a, b = [], [], []
             for raw in utf8(batch.column(1)):
-                forms = list(filter(None, map(enc.__getitem__, (raw or b"").split())))
-                ids = " ".join([x for x, _ in forms if x])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(hashlib.sha256(ids.encode()).hexdigest())
-                b.append(hashlib.sha256(" ".join([x for _, x in forms if x]).encode()).hexdigest())
+                ids = array("I", b"".join(map(enc.__getitem__, (raw or b"").split())))
+                n.append(len(ids))
+                a.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                b.append(hashlib.sha256(b" ".join(map(shown.__getitem__, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     arrow_batches(docs.sparkSession)

@@ -15,9 +15,9 @@ packed as often as they occur; an empty table gives an empty result; extra colum
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +39,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or default_tokenizer()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = worker_encoder(path, None, lambda ids: np.asarray(ids, "<u4").tobytes(), "bytes")
-        end = np.asarray([end_id], "<u4").tobytes()
+        enc = worker_encoder(path, None, None, "ids")
+        end = array("I", [end_id]).tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for doc, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
