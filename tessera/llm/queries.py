@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op2_bpe_transducer
+from tessera.llm.language_id import op7_language_id
 from tessera.llm.packing import op8_best_fit_packing
 from tessera.llm.quality_rules import op9_quality_rules
+from tessera.llm.substring_dedup import op10_fingerprint_index
+from tessera.llm.suffix_dedup import op3_suffix_dedup
+from tessera.llm.toxicity import op5_string_kernel_svm
 from tessera.llm.vector_search import op4_permutation_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_transducer, op4_permutation_index, op8_best_fit_packing, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op2_bpe_transducer,
+        op3_suffix_dedup,
+        op4_permutation_index,
+        op5_string_kernel_svm,
+        op7_language_id,
+        op8_best_fit_packing,
+        op9_quality_rules,
+        op10_fingerprint_index,
+    )
 }
 
 #: None of the ten can be written whole in SQL at this size; tests/llm holds them against brute force instead.
