@@ -128,7 +128,9 @@ def block_rows(ids: list[int], sequences: Iterable[np.ndarray], width: int, gram
             same = (ha[1:] == ha[:-1]) & (hb[1:] == hb[:-1])
             lead = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(doc)), 0))
             known = (doc != doc[lead]) | (place != place[lead])
-        ha = np.where(known, mix(doc.astype(np.uint64) * np.uint64(_BASES[0]) + place.astype(np.uint64)), ha)  # deals the known ones out evenly
+        # Known ones need no hashes: small numbers, which deal them out evenly, take less room in the shuffle.
+        ha = np.where(known, mix(doc.astype(np.uint64) * np.uint64(_BASES[0]) + place.astype(np.uint64)) >> np.uint64(50), ha)
+        hb = np.where(known, np.uint64(0), hb)
         cols = [pa.array(ha.view(np.int64)), pa.array(hb.view(np.int64)), pa.array(doc), pa.array(place), pa.array(windows.astype(np.int32)), pa.array(known)]
         yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in BLOCK.split(", ")])
 
@@ -165,3 +167,13 @@ def span_arrays(value: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     if not value:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.array([x["start"] for x in value], np.int64), np.array([x["length"] for x in value], np.int64)
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, text, spans) of each document; spans is null where there are none.
+
+    Rows without an id pass beside the join, so that its scan and shuffle of the texts are the same as those
+    of an inner join on doc_id in the same plan, and Spark reuses them."""
+    named = docs.where(F.col("doc_id").isNotNull()).join(spans_by_doc(spans), "doc_id", "left").select("doc_id", "text", "spans")
+    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    return named.unionByName(nameless)

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.anchors import BLOCK, Rolling, block_rows, judged, merged_runs, parts, span_arrays, spans_by_doc
+from tessera.llm.anchors import BLOCK, Rolling, block_rows, judged, merged_runs, mix, parts, span_arrays, with_spans
 from tessera.llm.bpe import utf8
 from tessera.llm.common import arrow_batches, shared_dir, table
 
@@ -99,32 +99,48 @@ class FingerprintIndex:
         return out.where(F.col("repeat") | F.col("open")).select("doc_id", "start", "n", "repeat", "open")
 
 
+WINDOW = "h1 long, h2 long, doc_id long, start long, known boolean"
+
+
 def open_windows(docs: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
-    """(h1, h2, doc_id, start) of each window of the open blocks (doc_id, start, n), from the texts."""
+    """Rows of `WINDOW`, one for each window of the open blocks (doc_id, start, n), hashed from the texts.
+
+    A window that an earlier one of the same batch repeats is `known` to be a repeat."""
     asked = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("n").alias("length"))).alias("spans"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[list[np.ndarray]] = []
             for doc, raw, spans in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = _hashes.sequence(raw)
-                start, n = merged_runs(*span_arrays(spans))
-                wanted = np.concatenate([np.arange(a, b) for a, b in zip(start, n, strict=True)])
-                for group in parts([len(words)], width):
-                    (_, a, b), at = group[0], wanted[(wanted >= group[0][1]) & (wanted <= group[0][2] - width)] - group[0][1]
-                    part = words[a:b]
-                    h = [Rolling(part, k).spans(at, width).view(np.int64) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(at), doc)), pa.array(at + a)], names=["h1", "h2", "doc_id", "start"])
+                start, end = merged_runs(*span_arrays(spans))
+                wanted = np.concatenate([np.arange(a, b) for a, b in zip(start, end, strict=True)])
+                for (_, a, b), *_ in parts([len(words)], width):
+                    at = wanted[(wanted >= a) & (wanted <= b - width)] - a
+                    found.append([*(Rolling(words[a:b], k).spans(at, width) for k in (0, 1)), np.full(len(at), doc), at + a])
+            if not found:
+                continue
+            h1, h2, docs_of, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((starts, docs_of, h2, h1))
+            h1, h2, docs_of, starts = h1[order], h2[order], docs_of[order], starts[order]
+            lead = np.maximum.accumulate(np.where(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])], np.arange(len(h1)), 0))
+            known = (docs_of != docs_of[lead]) | (starts != starts[lead])
+            # Known ones need no hashes: small numbers, which deal them out evenly, take less room in the shuffle.
+            h1 = np.where(known, mix(docs_of.astype(np.uint64) + mix(starts.astype(np.uint64))) >> np.uint64(50), h1)
+            h2 = np.where(known, np.uint64(0), h2)
+            cols = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(docs_of), pa.array(starts), pa.array(known)]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in WINDOW.split(", ")])
 
     arrow_batches(docs.sparkSession)
-    return docs.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(rows, "h1 long, h2 long, doc_id long, start long").distinct()
+    return docs.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(rows, WINDOW)
 
 
 def repeated_spans(docs: DataFrame, judged_blocks: DataFrame, width: int) -> DataFrame:
     """(doc_id, start, length) of everything to remove; docs: (doc_id, text)."""
     whole = judged_blocks.where("repeat").select("doc_id", "start", (F.col("n") + F.lit(width - 1)).cast("long").alias("length"))
-    windows = open_windows(docs, judged_blocks.where(F.col("open") & ~F.col("repeat")).select("doc_id", "start", "n").distinct(), width)
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    later = windows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first"))
+    windows = open_windows(docs, judged_blocks.where(F.col("open") & ~F.col("repeat")).select("doc_id", "start", "n"), width)
+    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "start"))
+    later = windows.withColumn("place", place).where(F.col("known") | (F.col("place") > 1))
     return whole.unionByName(later.select("doc_id", "start", F.lit(width).cast("long").alias("length")))
 
 
@@ -151,7 +167,7 @@ def remove_words(docs: DataFrame, spans: DataFrame, texts: bool = False) -> Data
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * texts])
 
     arrow_batches(docs.sparkSession)
-    return docs.join(spans_by_doc(spans), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(rows, schema)
+    return with_spans(docs, spans).mapInArrow(rows, schema)
 
 
 def substring_dedup(docs: DataFrame, batches: int = BATCHES, width: int = WIDTH, gram: int = GRAM, max_runs: int = 1, texts: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.anchors import BLOCK, Rolling, block_rows, judged, merged_runs, mix, span_arrays, spans_by_doc
+from tessera.llm.anchors import BLOCK, Rolling, block_rows, judged, merged_runs, mix, span_arrays, with_spans
 from tessera.llm.bpe import utf8
 from tessera.llm.common import arrow_batches, shuffle_width, table, write_shared
 
@@ -177,7 +177,7 @@ def remove_bytes(docs: DataFrame, spans: DataFrame, texts: bool = False) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts])
 
     arrow_batches(docs.sparkSession)
-    return docs.join(spans_by_doc(spans), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(rows, schema)
+    return with_spans(docs, spans).mapInArrow(rows, schema)
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
