@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op2_bpe_transducer
+from tessera.llm.class_lm import op1_class_lm
+from tessera.llm.jaccard_join import op6_jaccard_prefix_tree
 from tessera.llm.language_id import op7_language_id
 from tessera.llm.packing import op8_best_fit_packing
 from tessera.llm.quality_rules import op9_quality_rules
@@ -18,10 +20,12 @@ from tessera.llm.vector_search import op4_permutation_index
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_class_lm,
         op2_bpe_transducer,
         op3_suffix_dedup,
         op4_permutation_index,
         op5_string_kernel_svm,
+        op6_jaccard_prefix_tree,
         op7_language_id,
         op8_best_fit_packing,
         op9_quality_rules,
