@@ -1,18 +1,19 @@
 """N-gram Jaccard join with prefix trees, down to components of linked documents.
 
-A document's set is its distinct 3-word shingles (A-Z lower-cased). All sets are ordered in one global
-order: shingles in order of their hash, those found to be frequent last and in order of frequency. Two sets with Jaccard
-similarity t or more share one of their first n - ceil(t n) + 1 shingles, so only prefixes are shuffled;
-documents that share a prefix shingle fall into candidate groups, which are star-contracted, not paired.
-The sets of a group are then stored in a trie in global order, where sets with equal beginnings share
-them: a probe walks it once, keeps the overlap so far, leaves a subtree as soon as the remaining lengths
-cannot reach the overlap asked for, and skips subtrees that are already linked to it. A group of more than
-`SLICE` sets is cut into slices, which are joined on their own first and then pairwise, with the links
-found so far. Equal sets are one class with the smallest id as its representative; every pair of
-representatives is either compared, pruned by a bound, or already in one component.
-
-The list of frequent shingles is bounded (`FREQUENT`) and only decides the order, never a result. Sets
-are compared as 64-bit shingle hashes, classes on two 64-bit sums besides the set's size.
+A document's set is its distinct 3-word shingles (A-Z lower-cased). Two sets of n and m shingles with Jaccard
+similarity t or more differ in at most (1 - t) / (1 + t) (n + m) shingles. Shingles are therefore dealt by hash
+into more parts than that, so that two linked sets agree in whole parts: a part's content, some seven shingles,
+is a signature. Documents that share a signature fall into candidate groups, which are star-contracted, not
+paired; a passage that many documents share makes no signature, as other shingles fall into its parts.
+The sets of a group are then stored in a trie in one global order (of shingle hashes), where sets with equal
+beginnings share them: a probe walks it once, keeps the overlap so far, leaves a subtree as soon as the
+remaining lengths cannot reach the overlap asked for, and skips subtrees that are already linked to it. A group
+of more than `SLICE` sets or `SLICE_TOKENS` shingles is cut into slices, which are joined on their own, then with
+the group's first slice, and then pairwise where two slices still hold more than one component. Equal sets are
+one class with the smallest id as its representative; every pair of representatives is either compared, pruned
+by a bound, or already in one component.
+
+Sets are compared as 64-bit shingle hashes, classes on two 64-bit sums besides the set's size.
 
 Null or wordless texts have an empty set and link with nothing; with fewer than three words the whole
 sequence is the one shingle; rows that repeat a doc_id each get the component of that id; rows with null
@@ -22,10 +23,11 @@ doc_id get a null component; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import mix
@@ -36,8 +38,9 @@ from tessera.llm.substring_dedup import WordHashes
 
 #: Similarity asked for, in hundredths.
 PERCENT = 90
-FREQUENT, OFTEN = 500_000, 8
-SLICE = 1000
+SLICE, SLICE_TOKENS = 1000, 2_000_000
+#: A level holds sets of sizes up to GROWTH times its smallest, in hundredths; SPARE parts more than asked for.
+GROWTH, SPARE = 130, 3
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _hashes = WordHashes()
 
@@ -50,55 +53,68 @@ def shingle_set(raw: bytes | None) -> np.ndarray:
     return np.unique(mix(w[:-2] * _K[0] + w[1:-1] * _K[1] + w[2:] * _K[2]))
 
 
-class GlobalOrder:
-    """Sorts a set: shingles by hash, those of a list of frequent ones last, by frequency."""
-
-    def __init__(self, hashes: np.ndarray, times: np.ndarray):
-        by = np.argsort(hashes)
-        self.hashes, self.times = hashes[by], times[by]
-
-    def sort(self, found: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return found
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        return found[np.lexsort((found, np.where(self.hashes[at] == found, self.times[at], 0)))]
-
-
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+@lru_cache(maxsize=8)
+def levels(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest size of each level, parts of each level); a level also takes sets that may link with its smallest."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, starts[-1] * GROWTH // 100))
+    top = np.array(starts[1:], np.int64) - 1
+    return np.array(starts[:-1], np.int64), (100 - percent) * 2 * top // (100 + percent) + 1 + SPARE
+
+
+def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `sets`, signature); sets that link share one. Parts without a shingle count only for sets with more than SPARE of them."""
+    starts, parts = levels(percent)
+    n = np.array([len(x) for x in sets], np.int64)
+    place = np.flatnonzero(n)
+    own = np.searchsorted(starts, n[place], "right") - 1
+    above = starts[own + 1] * percent <= 100 * n[place]
+    place, level = np.r_[place, place[above]], np.r_[own, own[above] + 1]
+    if not len(place):
+        return place, np.zeros(0, np.uint64)
+    size = n[place]
+    tokens = np.concatenate([sets[i] for i in place])
+    copy = np.repeat(np.arange(len(place)), size)
+    first = np.cumsum(parts[level]) - parts[level]
+    cell = first[copy] + (mix(tokens ^ _K[2]) % parts[level].astype(np.uint64)[copy]).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cell, tokens = cell[order], mix(tokens[order] ^ _K[0])
+    lead = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    total = np.zeros(int(parts[level].sum()), np.uint64)
+    total[cell[lead]] = np.add.reduceat(tokens, lead)
+    filled = np.zeros(len(total), bool)
+    filled[cell[lead]] = True
+    of = np.repeat(np.arange(len(place)), parts[level])
+    many = np.bincount(of[~filled], minlength=len(place)) > SPARE
+    keep = np.flatnonzero(filled | many[of])
+    inner = keep - first[of[keep]]
+    key = mix(total[keep] + mix(level[of[keep]].astype(np.uint64) * _K[1] + inner.astype(np.uint64)))
+    return place[of[keep]], key
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2) of each document, and rows (shingle, times) of shingles that a batch of documents shares."""
+    """(doc_id, n, s1, s2) of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x) for x in utf8(batch.column(1))]
             s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             s2 = np.array([mix(s ^ _K[1]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            n, size = pa.array([len(s) for s in sets], pa.int64()), len(sets)
-            none = pa.nulls(size, pa.int64())
-            names = ["doc_id", "n", "s1", "s2", "shingle", "times"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(s1), pa.array(s2), none, none], names=names)
-            shared, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            shared, times = shared[times > 1], times[times > 1]
-            none = pa.nulls(len(shared), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(shared.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
 
     arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, shingle long, times long")
+    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long")
 
 
-def candidate_edges(docs: DataFrame, order: GlobalOrder, percent: int) -> DataFrame:
-    """(a, b): each document with the smallest id that shares one of its prefix shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # at most FREQUENT pairs of numbers
+def candidate_edges(docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each document with the smallest id that shares one of its signatures."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
-            prefixes = [shared.value.sort(s)[: prefix_length(len(s), percent)] if len(s) else s for s in map(shingle_set, utf8(batch.column(1)))]
-            token = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
-            doc = np.repeat(ids, [len(p) for p in prefixes])
+            place, token = signatures([shingle_set(x) for x in utf8(batch.column(1))], percent)
+            doc = ids[place]
             by = np.lexsort((doc, token))
             token, doc = token[by], doc[by]
             first = np.r_[True, token[1:] != token[:-1]] if len(token) else np.zeros(0, bool)
@@ -107,14 +123,14 @@ def candidate_edges(docs: DataFrame, order: GlobalOrder, percent: int) -> DataFr
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             names = ["token", "a", "b"]
             yield pa.RecordBatch.from_arrays([pa.array(token[first].view(np.int64)), pa.array(doc[first]), pa.nulls(int(first.sum()), pa.int64())], names=names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
+            # Pairs that the batch has found pass through the shuffle dealt out by their document.
+            yield pa.RecordBatch.from_arrays([pa.array(mix(pairs[:, 0].astype(np.uint64)).view(np.int64)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
 
     arrow_batches(docs.sparkSession)
-    found = write_shared(docs.mapInArrow(rows, "token long, a long, b long"), "prefixes")
-    tokens = found.where(F.col("token").isNotNull()).select("token", "a")
-    # One row of a batch for each shingle, copies folded: the minimum combines before the shuffle.
-    least = tokens.groupBy("token").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").drop("most")
-    return tokens.join(least, "token").where("a != b").select("a", "b").unionByName(found.where(F.col("token").isNull()).select("a", "b"))
+    # One row of a batch for each signature, copies folded: one that a third of all texts share comes once from each batch.
+    same = Window.partitionBy("token")
+    found = docs.mapInArrow(rows, "token long, a long, b long").withColumn("least", F.min(F.when(F.col("b").isNull(), F.col("a"))).over(same))
+    return found.select("a", F.coalesce("b", "least").alias("b")).where("a != b")
 
 
 class Trie:
@@ -218,7 +234,7 @@ def _join_groups(percent: int):
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("doc_id", "ascending")])
         ids = group["doc_id"].to_pylist()
-        sets = [np.frombuffer(x, np.uint64).tolist() for x in group["tokens"].to_pylist()]
+        sets = [shingle_set(x).tolist() for x in utf8(group["text"])]
         links = slice_links(sets, group["side"].to_pylist(), group["label"].to_pylist(), percent)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
@@ -226,50 +242,56 @@ def _join_groups(percent: int):
 
 
 def group_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links that span the components of each group; members: (grp, doc_id, tokens, slices, slice), read from storage."""
+    """(a, b) links that span the components of each group; members: (grp, slices, slice, doc_id, text)."""
     link = "a long, b long"
-    alone = members.select("grp", "slice", "doc_id", "tokens", F.lit(0).alias("side"), F.col("doc_id").alias("label"))
-    inside = write_shared(alone.groupBy("grp", "slice").applyInArrow(_join_groups(percent), link), "links-inside")
-    cut = members.where("slices > 1")
-    if cut.isEmpty():
-        return inside
-    known = connected_components(inside).withColumnRenamed("id", "doc_id")
-    cut = write_shared(cut.join(known, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component"), "sliced")
-    # Pairs of slices that hold more than one component between them; a pair is a pair of numbers, not of documents.
-    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("other != slice")
-    paired = other.select("grp", F.least("slice", "other").alias("lo"), F.greatest("slice", "other").alias("hi"), "doc_id", "tokens", (F.col("slice") > F.col("other")).cast("int").alias("side"), "label")
-    across = paired.groupBy("grp", "lo", "hi").applyInArrow(_join_groups(percent), link)
-    return inside.unionByName(write_shared(across, "links-across"))
+    alone = members.select("grp", "slice", "doc_id", "text", F.lit(0).alias("side"), F.col("doc_id").alias("label"))
+    links = write_shared(alone.groupBy("grp", "slice").applyInArrow(_join_groups(percent), link), "links-inside")
+    if members.where("slices > 1").isEmpty():
+        return links
+    cut = write_shared(members.where("slices > 1"), "sliced")
+
+    def labelled() -> DataFrame:
+        known = connected_components(links).withColumnRenamed("id", "doc_id")
+        return cut.join(known, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+    def joined(paired: DataFrame) -> DataFrame:
+        return write_shared(paired.select("grp", "lo", "hi", "doc_id", "text", "side", "label").groupBy("grp", "lo", "hi").applyInArrow(_join_groups(percent), link), "links-across")
+
+    # The first slice of a group with each other one: what is alike throughout is one component after this.
+    sides = labelled().withColumn("lo", F.lit(0)).withColumn("side", (F.col("slice") > 0).cast("int"))
+    hub = sides.where("slice = 0").withColumn("hi", F.explode(F.sequence(F.lit(1), F.col("slices") - 1)))
+    links = links.unionByName(joined(hub.unionByName(sides.where("slice > 0").withColumn("hi", F.col("slice")))))
+    # Then the pairs of slices that still hold more than one component; a pair is a pair of numbers, not of documents.
+    now = write_shared(labelled().where("slice > 0"), "sliced-labels")
+    least = now.groupBy("grp", "slice").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    other = least.select("grp", F.col("slice").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    pairs = least.join(other, "grp").where((F.col("slice") < F.col("other")) & (F.least("least", "least2") != F.greatest("most", "most2")))
+    pairs = write_shared(pairs.select("grp", F.col("slice").alias("lo"), F.col("other").alias("hi")), "slice-pairs")
+    if pairs.isEmpty():
+        return links
+    low = now.join(pairs.withColumn("slice", F.col("lo")), ["grp", "slice"]).withColumn("side", F.lit(0))
+    high = now.join(pairs.withColumn("slice", F.col("hi")), ["grp", "slice"]).withColumn("side", F.lit(1))
+    return links.unionByName(joined(low.unionByName(high)))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())
-    made = write_shared(document_sets(docs), "document-sets")
-    often = made.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
-    listed = often.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
-    order = GlobalOrder(listed["shingle"].to_numpy(np.int64).view(np.uint64), listed["times"].to_numpy(np.int64))
-    sets = made.where(F.col("shingle").isNull()).select("doc_id", "n", "s1", "s2")
+    sets = write_shared(document_sets(docs), "document-sets")
     key = ["n", "s1", "s2"]
     classes = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = write_shared(classes, "set-classes")
 
-    groups = connected_components(candidate_edges(named, order, percent))
-    chosen = classes.join(groups.withColumnRenamed("id", "rep"), "rep").select("rep", F.col("component").alias("grp"))
-    sizes = chosen.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    chosen = write_shared(chosen.join(sizes, "grp").select("rep", "grp", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "candidates")
-    shared = docs.sparkSession.sparkContext.broadcast(order)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [shared.value.sort(shingle_set(x)).tobytes() for x in utf8(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tokens, pa.binary())], names=["doc_id", "grp", "slices", "tokens"])
+    groups = connected_components(candidate_edges(named, percent))
+    chosen = classes.join(groups.withColumnRenamed("id", "rep"), "rep").select("rep", "n", F.col("component").alias("grp"))
+    sizes = chosen.groupBy("grp").agg(F.countDistinct("rep").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+    slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("tokens") / SLICE_TOKENS)).cast("int")
+    chosen = write_shared(chosen.join(sizes, "grp").select("rep", "grp", slices.alias("slices")).distinct(), "candidates")
 
     # Rows that repeat an id are versions of it: the sets of all of them are compared under that id.
-    texts = named.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "grp", "slices", "text")
-    members = texts.mapInArrow(rows, "doc_id long, grp long, slices int, tokens binary")
-    members = write_shared(members.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")), "members")
+    members = named.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "grp", "slices", "text")
+    members = members.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
     linked = connected_components(group_links(members, percent)).withColumnRenamed("id", "rep")
     labelled = classes.join(linked, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
