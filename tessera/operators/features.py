@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,44 +178,43 @@ def calendar(df: DataFrame) -> DataFrame:
     return df.withColumns(wave(F.weekday(d), 5.0, "day_of_week") | wave(F.month(d), 12.0, "month") | wave(F.weekofyear(d), 52.0, "week") | {"month_end": (d == F.last_day(d)).cast("double"), "month_start": (F.dayofmonth(d) == 1).cast("double"), "quarter": (F.quarter(d) - 1) / 3.0, "dom_norm": (F.dayofmonth(d) - 1) / 30.0})
 
 
-def entropy(items: Column, bins: int = 10) -> Column:
-    """-sum p ln p over equal bins of an array's range; 0 for a flat one."""
-    lo, hi = F.array_min(items), F.array_max(items)
-    places = F.transform(items, lambda x: F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(places, lambda p: p == b)) / F.size(items))
-    return F.when(items.isNull(), F.lit(None)).when(hi - lo < 1e-12, F.lit(0.0)).otherwise(F.aggregate(counts, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log(p)).otherwise(0.0)))
+def frames_of(x: np.ndarray, n: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(x, n) if len(x) >= n else np.zeros((0, n))
 
 
-def hurst(items: Column) -> Column:
-    """ln(R/S) / ln n of an array; 0.5 for a flat one."""
-    n = F.size(items)
-    mu = F.aggregate(items, F.lit(0.0), lambda s, x: s + x) / n
-    start = F.struct(F.lit(0.0).alias("at"), F.lit(float("inf")).alias("lo"), F.lit(float("-inf")).alias("hi"), F.lit(0.0).alias("ss"))
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + x - mu
-        return F.struct(at.alias("at"), F.least(s["lo"], at).alias("lo"), F.greatest(s["hi"], at).alias("hi"), (s["ss"] + (x - mu) * (x - mu)).alias("ss"))
-    def finish(s: Column) -> Column:
-        sd = F.sqrt(s["ss"] / n)
-        return F.when((sd < 1e-12) | (s["hi"] - s["lo"] <= 0), F.lit(0.5)).otherwise(F.log((s["hi"] - s["lo"]) / sd) / F.log(n.cast("double")))
-    return F.aggregate(items, start, step, finish)
+def entropies(x: np.ndarray, n: int, bins: int = 10) -> np.ndarray:
+    """-sum p ln p over equal bins of each full frame's range, 0 for a flat one; NaN before the first."""
+    f = frames_of(x, n)
+    lo, wide = f.min(1, keepdims=True), np.ptp(f, axis=1)[:, None]
+    place = np.minimum(np.floor((f - lo) / np.where(wide < 1e-12, 1, wide) * bins), bins - 1)
+    p = np.stack([(place == b).sum(1) for b in range(bins)], 1) / n
+    found = -(p * np.log(np.where(p > 0, p, 1))).sum(1)
+    return np.r_[np.full(len(x) - len(f), np.nan), np.where(wide[:, 0] < 1e-12, 0.0, found)]
 
 
-def max_drawdown(items: Column) -> Column:
-    """Largest fall of the compounded path of an array of returns, as a positive share."""
-    start = F.struct(F.lit(1.0).alias("v"), F.lit(1.0).alias("pk"), F.lit(0.0).alias("dd"))
-    def step(s: Column, x: Column) -> Column:
-        v = s["v"] * (1 + x)
-        pk = F.greatest(s["pk"], v)
-        return F.struct(v.alias("v"), pk.alias("pk"), F.greatest(s["dd"], (pk - v) / pk).alias("dd"))
-    return F.aggregate(items, start, step, lambda s: s["dd"])
+def one_complexity(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("date")
+    x = pdf.r.fillna(0.0).to_numpy(float)
+    f = frames_of(x, 60)
+    head = np.full(len(x) - len(f), np.nan)
+    away = f - f.mean(1, keepdims=True)
+    path, sd = away.cumsum(1), np.sqrt((away**2).mean(1))
+    reach = np.ptp(path, axis=1)
+    flat = (sd < 1e-12) | (reach <= 0)
+    hurst = np.where(flat, 0.5, np.log(np.where(flat, 1, reach) / np.where(flat, 1, sd)) / math.log(60)) - 0.5
+    value = np.c_[np.ones(len(f)), (1 + f).cumprod(1)]
+    fall = (1 - value / np.maximum.accumulate(value, 1)).max(1)
+    calmar = np.clip(np.where(fall > 1e-12, f.mean(1) * 252 / np.where(fall > 1e-12, fall, 1), 0), -10, 10) / 10
+    e5, e20, e60 = (entropies(x, n) for n in (5, 20, 60))
+    out = {"symbol": pdf.symbol, "date": pdf.date, "entropy_5": e5, "entropy_20": e20, "entropy_60": e60, "entropy_diff": e60 - e5, "rolling_entropy": e60, "hurst_exponent": np.r_[head, hurst], "calmar_60": np.r_[head, calmar]}
+    return pd.DataFrame(out).astype(object).where(lambda d: d.notna(), None)
 
 
 def complexity(df: DataFrame) -> DataFrame:
-    """Features of whole frames as arrays (60 values at most)."""
-    df = df.withColumn("_rz", F.coalesce(F.col("r"), F.lit(0.0)))
-    df = df.withColumns({f"_l{n}": roll(F.collect_list, "_rz", n) for n in (5, 20, 60)})
-    df = df.withColumns({f"entropy_{n}": entropy(F.col(f"_l{n}")) for n in (5, 20, 60)} | {"hurst_exponent": hurst(F.col("_l60")) - 0.5, "_dd": max_drawdown(F.col("_l60"))})
-    return df.withColumns({"entropy_diff": F.col("entropy_60") - F.col("entropy_5"), "rolling_entropy": F.col("entropy_60"), "calmar_60": clip(div(mean("_rz", 60) * 252, "_dd"), -10, 10) / 10}).drop("_l5", "_l20", "_l60")
+    """Features of whole frames. A grouped map with array arithmetic: as higher-order functions on collected frames, it
+    took 130 s for 35,712 rows, as each bin evaluates its frame anew."""
+    schema = "symbol string, date date, entropy_5 double, entropy_20 double, entropy_60 double, entropy_diff double, rolling_entropy double, hurst_exponent double, calmar_60 double"
+    return df.join(df.select("symbol", "date", "r").groupBy("symbol").applyInPandas(one_complexity, schema), ["symbol", "date"])
 
 
 FAMILIES = {
