@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.anchors import mix
 from tessera.llm.bpe import utf8
 from tessera.llm.common import arrow_batches, table, write_shared
-from tessera.llm.graph import connected_components
+from tessera.llm.graph import connected_components, local_stars
 from tessera.llm.substring_dedup import WordHashes
 
 #: Similarity asked for, in hundredths.
@@ -236,13 +236,14 @@ def _join_groups(percent: int):
         ids = group["doc_id"].to_pylist()
         sets = [shingle_set(x).tolist() for x in utf8(group["text"])]
         links = slice_links(sets, group["side"].to_pylist(), group["label"].to_pylist(), percent)
-        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
+        a, b = local_stars(*(np.array([ids[link[k]] for link in links], np.int64) for k in (0, 1)))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return join
 
 
 def group_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links that span the components of each group; members: (grp, slices, slice, doc_id, text)."""
+    """(a, b) edges that span the components of links of each group; members: (grp, slices, slice, doc_id, text)."""
     link = "a long, b long"
     alone = members.select("grp", "slice", "doc_id", "text", F.lit(0).alias("side"), F.col("doc_id").alias("label"))
     links = write_shared(alone.groupBy("grp", "slice").applyInArrow(_join_groups(percent), link), "links-inside")
