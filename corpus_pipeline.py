@@ -21,6 +21,8 @@ from tessera.llm.suffix_dedup import suffix_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text is rejected if no language holds this share of its letters.
 LEAST_SHARE = 0.3
+#: Near copies share this percentage of their shingles of so many words.
+NEAR_PERCENT, NEAR_WIDTH = 80, 5
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each component of linked documents."""
-    kept = jaccard_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = jaccard_components(docs, NEAR_PERCENT, NEAR_WIDTH).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -1,6 +1,6 @@
 """N-gram Jaccard join with prefix trees, down to components of linked documents.
 
-A document's set is its distinct 3-word shingles (A-Z lower-cased). Two sets of n and m shingles with Jaccard
+A document's set is its distinct shingles of `width` words (A-Z lower-cased; 3 for the query, up to 5). Two sets of n and m shingles with Jaccard
 similarity t or more differ in at most (1 - t) / (1 + t) (n + m) shingles. Shingles are therefore dealt by hash
 into more parts than that, so that two linked sets agree in whole parts: a part's content, some seven shingles,
 is a signature. Documents that share a signature fall into candidate groups, which are star-contracted, not
@@ -15,7 +15,7 @@ by a bound, or already in one component.
 
 Sets are compared as 64-bit shingle hashes, classes on two 64-bit sums besides the set's size.
 
-Null or wordless texts have an empty set and link with nothing; with fewer than three words the whole
+Null or wordless texts have an empty set and link with nothing; with fewer than `width` words the whole
 sequence is the one shingle; rows that repeat a doc_id each get the component of that id; rows with null
 doc_id get a null component; an empty table gives an empty result; extra columns are ignored.
 """
@@ -36,21 +36,22 @@ from tessera.llm.common import arrow_batches, table, write_shared
 from tessera.llm.graph import connected_components, local_stars
 from tessera.llm.substring_dedup import WordHashes
 
-#: Similarity asked for, in hundredths.
-PERCENT = 90
+#: Similarity asked for, in hundredths, and words of a shingle.
+PERCENT, WIDTH = 90, 3
 SLICE, SLICE_TOKENS = 1000, 2_000_000
 #: A level holds sets of sizes up to GROWTH times its smallest, in hundredths; SPARE parts more than asked for.
 GROWTH, SPARE = 130, 3
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _hashes = WordHashes()
 
 
-def shingle_set(raw: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the 3-word shingles of a text."""
+def shingle_set(raw: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of `width` words of a text."""
     w = _hashes.sequence(raw.lower() if raw else None)
-    if len(w) < 3:
+    if len(w) < width:
         return mix(np.array([int(len(w))], np.uint64) + sum((x * k for x, k in zip(w, _K, strict=False)), np.uint64(0))) if len(w) else w
-    return np.unique(mix(w[:-2] * _K[0] + w[1:-1] * _K[1] + w[2:] * _K[2]))
+    n = len(w) - width + 1
+    return np.unique(mix(sum((w[i : i + n] * _K[i] for i in range(width)), np.uint64(0))))
 
 
 @lru_cache(maxsize=8)
@@ -93,12 +94,12 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
     return place[of[keep]], key
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
+def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n, s1, s2) of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x) for x in utf8(batch.column(1))]
+            sets = [shingle_set(x, width) for x in utf8(batch.column(1))]
             s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             s2 = np.array([mix(s ^ _K[1]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
@@ -107,13 +108,13 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long")
 
 
-def candidate_edges(docs: DataFrame, percent: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """(a, b): each document with the smallest id that shares one of its signatures."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
-            place, token = signatures([shingle_set(x) for x in utf8(batch.column(1))], percent)
+            place, token = signatures([shingle_set(x, width) for x in utf8(batch.column(1))], percent)
             doc = ids[place]
             by = np.lexsort((doc, token))
             token, doc = token[by], doc[by]
@@ -230,11 +231,11 @@ def slice_links(sets: list[list[int]], sides: list[int], labels: list[int], perc
     return links
 
 
-def _join_groups(percent: int):
+def _join_groups(percent: int, width: int):
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("doc_id", "ascending")])
         ids = group["doc_id"].to_pylist()
-        sets = [shingle_set(x).tolist() for x in utf8(group["text"])]
+        sets = [shingle_set(x, width).tolist() for x in utf8(group["text"])]
         links = slice_links(sets, group["side"].to_pylist(), group["label"].to_pylist(), percent)
         a, b = local_stars(*(np.array([ids[link[k]] for link in links], np.int64) for k in (0, 1)))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
@@ -242,11 +243,11 @@ def _join_groups(percent: int):
     return join
 
 
-def group_links(members: DataFrame, percent: int) -> DataFrame:
+def group_links(members: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """(a, b) edges that span the components of links of each group; members: (grp, slices, slice, doc_id, text)."""
     link = "a long, b long"
     alone = members.select("grp", "slice", "doc_id", "text", F.lit(0).alias("side"), F.col("doc_id").alias("label"))
-    links = write_shared(alone.groupBy("grp", "slice").applyInArrow(_join_groups(percent), link), "links-inside")
+    links = write_shared(alone.groupBy("grp", "slice").applyInArrow(_join_groups(percent, width), link), "links-inside")
     if members.where("slices > 1").isEmpty():
         return links
     cut = write_shared(members.where("slices > 1"), "sliced")
@@ -256,7 +257,7 @@ def group_links(members: DataFrame, percent: int) -> DataFrame:
         return cut.join(known, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
 
     def joined(paired: DataFrame) -> DataFrame:
-        return write_shared(paired.select("grp", "lo", "hi", "doc_id", "text", "side", "label").groupBy("grp", "lo", "hi").applyInArrow(_join_groups(percent), link), "links-across")
+        return write_shared(paired.select("grp", "lo", "hi", "doc_id", "text", "side", "label").groupBy("grp", "lo", "hi").applyInArrow(_join_groups(percent, width), link), "links-across")
 
     # The first slice of a group with each other one: what is alike throughout is one component after this.
     sides = labelled().withColumn("lo", F.lit(0)).withColumn("side", (F.col("slice") > 0).cast("int"))
@@ -275,16 +276,16 @@ def group_links(members: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(joined(low.unionByName(high)))
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())
-    sets = write_shared(document_sets(docs), "document-sets")
+    sets = write_shared(document_sets(docs, width), "document-sets")
     key = ["n", "s1", "s2"]
     classes = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = write_shared(classes, "set-classes")
 
-    groups = connected_components(candidate_edges(named, percent))
+    groups = connected_components(candidate_edges(named, percent, width))
     chosen = classes.join(groups.withColumnRenamed("id", "rep"), "rep").select("rep", "n", F.col("component").alias("grp"))
     sizes = chosen.groupBy("grp").agg(F.countDistinct("rep").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
     slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("tokens") / SLICE_TOKENS)).cast("int")
@@ -293,7 +294,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Rows that repeat an id are versions of it: the sets of all of them are compared under that id.
     members = named.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "grp", "slices", "text")
     members = members.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
-    linked = connected_components(group_links(members, percent)).withColumnRenamed("id", "rep")
+    linked = connected_components(group_links(members, percent, width)).withColumnRenamed("id", "rep")
     labelled = classes.join(linked, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return sets.join(labelled, key, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -1,10 +1,13 @@
 """The pipeline: each stage's decisions against its operator and brute force."""
 
+import numpy as np
+
 import corpus_pipeline
 from tessera.llm.common import write_shared
 from tests.llm.test_operators import components
 
 SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_stages(spark):
@@ -33,3 +36,40 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def near_copies(docs, width=5, percent=80):
+    """The smallest id of each component of linked documents, by brute force over shingles of `width` words."""
+    sets = {}
+    for i, text in docs:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    of = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and a and b and 100 * len(a & b) >= percent * len(a | b) and of[i] != of[j]:
+                low, high = sorted((of[i], of[j]))
+                of = {x: low if c == high else c for x, c in of.items()}
+    return set(of.values())
+
+
+def near_rows():
+    """A text of 1,000 words and its copy with 150 more (5-word Jaccard 0.87), and copies of shorter texts with changes on both sides of 0.8."""
+    rng = np.random.default_rng(5)
+    text = [f"w{k}" for k in rng.integers(5000, size=1150)]
+    rows = [(1, " ".join(text[:1000])), (2, " ".join(text))]
+    base = [[f"v{k}" for k in rng.integers(400, size=rng.integers(3, 200))] for _ in range(20)]
+    for i in range(160):
+        w = list(base[i % 20])
+        for _ in range(rng.integers(0, 7)):
+            w[rng.integers(len(w))] = f"x{rng.integers(50)}"
+        rows.append((3 + i, " ".join(w)))
+    return rows
+
+
+def test_near_copies(spark):
+    docs = [(i, t, "en", "a", len(t)) for i, t in near_rows()]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, SCHEMA), SF)
+    kept = {r.doc_id for r in out.collect()}
+    assert kept == near_copies(near_rows())
+    assert 1 in kept and 2 not in kept
