@@ -1,18 +1,21 @@
 """Language-model scoring with a class-based bigram model.
 
 Words are lower-cased in A-Z and split at ASCII white space; each text ends in an end token. Word counts
-come from all training texts. The clustering works on symbols: the end token, the most frequent words (at
-most `WORDS`, of `LEAST` occurrences or more) and, for all other words, `SHAPES` buckets of word endings,
-so that every word, seen or not, has a class and the table that reaches the driver is bounded by symbols
-squared. Exchange clustering moves each symbol to the class that raises the class-bigram likelihood most,
-until a sweep moves none. A token's probability is
+come from all training texts. The clustering starts with symbols: the end token, the most frequent words (at
+most `WORDS`, of `LEAST` occurrences or more) and, for all other words, `SHAPES` buckets of word endings, so
+that the table that reaches the driver is bounded by symbols squared. Exchange clustering moves each symbol
+to the class that raises the class-bigram likelihood most, until a sweep moves none. Each remaining word of
+`LEAST` training occurrences or more is then placed on its own: the classes before and after each of its
+occurrences are gathered by word over the whole corpus, and it takes the class under which they are most
+likely. Only words that occur once or never in training keep the class of their ending. The class bigrams
+are counted again with the final classes. A token's probability is
     weight * P(class | class before) * P(word | class) + (1 - weight) * P(word),
 both word probabilities with add-one smoothing and one unseen word (in each class), the weight by EM.
 
 Only the counts of a text's own words are needed to score it, but the vocabulary grows with the corpus.
 Texts are therefore tokenised into blocks with a vocabulary of their own; a window over the words adds up
-the blocks' counts, and each block gets back the counts of its words - nothing is broadcast but the class
-tables.
+the blocks' counts, and each block gets back the counts and classes of its words - nothing is broadcast
+but the class tables and the symbols.
 
 Null texts count as empty (one end token); without training rows every token has probability 1 / 1 (N = V
 = 0) and the class table is uniform; rows with null doc_id are training rows; repeated rows count as often
@@ -36,11 +39,10 @@ from tessera.llm.bpe import utf8
 from tessera.llm.common import arrow_batches, table, write_shared
 from tessera.llm.language_id import held_out
 
-WORDS, SHAPES, CLASSES, LEAST = 511, 256, 64, 20
+WORDS, SHAPES, CLASSES, LEAST = 511, 256, 64, 2
 SYMBOLS = 1 + WORDS + SHAPES
 #: Tokens in a block, about.
 BLOCK_TOKENS = 4_000_000
-SWEEPS = 6
 MEMO_WORDS = 1_000_000
 _BLOCKS = "block long, doc_id long, train boolean, low binary, high binary, idx int, word binary, n long"
 
@@ -155,7 +157,7 @@ def symbol_bigrams(docs: DataFrame, symbols: Symbols) -> np.ndarray:
     return out.reshape(SYMBOLS, SYMBOLS)
 
 
-def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """The class of each symbol; symbol 0 (the end token) keeps class 0 to itself."""
     n_symbols = len(bigrams)
     weight = bigrams.sum(0) + bigrams.sum(1)
@@ -170,7 +172,9 @@ def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int =
     def h(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1e-12))
 
-    for _ in range(sweeps):
+    least_gain = 1e-9 + 1e-12 * float(h(bigrams.sum()))  # beyond rounding, so that every move is a gain and the sweeps end
+    moved = 1
+    while moved:
         moved = 0
         for s in order[weight[order] > 0]:
             old, own = of[s], bigrams[s, s]
@@ -187,7 +191,7 @@ def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int =
             gain -= h(rows + right.sum() + own) - h(rows) + h(cols + left.sum() + own) - h(cols)
             gain[0] = -np.inf
             new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least_gain:
                 new = old
             moved += new != old
             of[s] = new
@@ -199,92 +203,243 @@ def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int =
             table_[new] += to[s]
             table_[:, new] += back[s]
             table_[new, new] -= bigrams[s, s]
-        if not moved:
-            break
     return of
 
 
+def texts_and_words(blocks: DataFrame, words: DataFrame):
+    """Pairs of a block's texts and its words."""
+    texts = blocks.where(F.col("low").isNotNull()).select("block", "doc_id", "train", "low", "high")
+    return texts.groupBy("block").cogroup(words.groupBy("block"))
+
+
+def token_places(low: bytes, high: bytes) -> np.ndarray:
+    """Places in the block's vocabulary from 1 on, an end token (0) last."""
+    ids = np.zeros(len(low) // 2 + 1, np.int64)
+    ids[:-1] = np.frombuffer(low, "<u2").astype(np.int64) + (np.frombuffer(high, "<u2").astype(np.int64) << 16) + 1
+    return ids
+
+
+@dataclass
+class FirstClasses:
+    """Classes of the symbols: frequent words by hash, ascending, and the others by their endings."""
+
+    hashes: np.ndarray
+    of_hash: np.ndarray
+    of_shape: np.ndarray
+    step: np.ndarray
+    held: np.ndarray
+
+    @classmethod
+    def learn(cls, bigrams: np.ndarray, frequent: list[int], classes: int = CLASSES) -> FirstClasses:
+        of = exchange_clusters(bigrams, classes)
+        member = np.eye(classes)[of]
+        pairs = member.T @ bigrams @ member
+        hashes = np.array(frequent, np.int64)
+        by = np.argsort(hashes)
+        return cls(hashes[by], of[1 : 1 + len(hashes)][by], of[1 + WORDS :], transitions(pairs), pairs.sum(0))
+
+    def of(self, hashes: pa.Array, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class of each word, whether it is to be placed on its own)."""
+        named = ~hashes.is_null().to_numpy(zero_copy_only=False)
+        h, k = hashes.fill_null(0).to_numpy(zero_copy_only=False), self.of_shape[shapes]
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        frequent = named & (self.hashes[at] == h) if len(self.hashes) else np.zeros(len(h), bool)
+        k[frequent] = self.of_hash[at[frequent]]
+        return k, named & ~frequent
+
+    def best(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The likeliest class of words with such counts of classes before and after."""
+        log = np.log(self.step)
+        gain = left @ log + right @ log.T - left.sum(1, keepdims=True) * np.log(self.held + 1)
+        gain[:, 0] = -np.inf
+        return gain.argmax(1)
+
+
+def transitions(pairs: np.ndarray) -> np.ndarray:
+    return (pairs + 0.1) / (pairs.sum(1, keepdims=True) + 0.1 * len(pairs))
+
+
+def chunk_of(x: pa.ChunkedArray) -> pa.Array:
+    x = x.combine_chunks()
+    return x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks)
+
+
+def word_neighbours(blocks: DataFrame, words: DataFrame, first: FirstClasses) -> DataFrame:
+    """(block, idx, hash, near) of each word of a block that is to be placed; near: the classes before and after, a byte each, of its training occurrences in the block."""
+    shared = blocks.sparkSession.sparkContext.broadcast(first)  # symbols
+
+    def near(texts: pa.Table, vocab: pa.Table) -> pa.Table:
+        idx, hashes = vocab["idx"].to_numpy(), chunk_of(vocab["hash"])
+        k, asked = np.zeros(len(idx) + 1, np.int64), np.zeros(len(idx) + 1, bool)
+        k[idx + 1], asked[idx + 1] = shared.value.of(hashes, vocab["shape"].to_numpy())
+        known = texts.filter(texts["train"])
+        found = [token_places(*x) for x in zip(known["low"].to_pylist(), known["high"].to_pylist(), strict=True)]
+        ids = np.concatenate([np.zeros(1, np.int64), *found])
+        at = np.flatnonzero(asked[ids])
+        at = at[np.argsort(ids[at], kind="stable")]
+        of = k[ids].astype(np.uint8)
+        data = np.stack([of[at - 1], of[at + 1]], 1).tobytes()
+        size = 2 * np.bincount(ids[at], minlength=len(k))
+        place = np.flatnonzero(asked)
+        end = np.r_[0, np.cumsum(size[place])]
+        by = np.zeros(len(k), np.int64)
+        by[idx + 1] = np.arange(len(idx))
+        kept = hashes.take(pa.array(by[place]))
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(end.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+        block = chunk_of(vocab["block"])[:1].to_pylist() * len(place)
+        return pa.Table.from_arrays([pa.array(block, pa.int64()), pa.array((place - 1).astype(np.int32)), kept, column], names=["block", "idx", "hash", "near"])
+
+    return texts_and_words(blocks, words.select("block", "idx", "hash", "shape")).applyInArrow(near, "block long, idx int, hash long, near binary")
+
+
+_CLASSED = "block long, idx int, c long, lead boolean, class int"
+
+
+def placed_words(neighbours: DataFrame, first: FirstClasses) -> DataFrame:
+    """The class of each word that is placed on its own, for each block that has it."""
+    spark = neighbours.sparkSession
+    shared = spark.sparkContext.broadcast(first)  # symbols
+    classes = len(first.step)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held = none, none, none, np.zeros((2, classes))  # the rows of the last word so far: block, idx, hash; its counts
+
+        def judged(block: np.ndarray, idx: np.ndarray, group: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+            lead = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+            k, c = shared.value.best(near[0], near[1]), near[0].sum(1).astype(np.int64)
+            cols = [pa.array(block), pa.array(idx.astype(np.int32)), pa.array(c[group]), pa.array(lead), pa.array(k[group].astype(np.int32))]
+            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _CLASSED.split(", ")])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = batch.column(3).to_pylist()
+            times = np.r_[np.zeros(len(held[0]), np.int64), [len(x) // 2 for x in near]].astype(np.int64)
+            block, idx, h = (np.r_[old, batch.column(i).to_numpy()] for i, old in enumerate(held[:3]))
+            group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+            pairs = np.frombuffer(b"".join(near), np.uint8).reshape(-1, 2).astype(np.int64)
+            n, owner = int(group[-1]) + 1, np.repeat(group, times)
+            counts = np.stack([np.bincount(owner * classes + pairs[:, side], minlength=n * classes).reshape(n, classes) for side in (0, 1)]).astype(float)
+            counts[:, 0] += held[3]
+            done = group < n - 1
+            yield judged(block[done], idx[done], group[done], counts[:, : n - 1])
+            held = block[~done], idx[~done], h[~done], counts[:, n - 1]
+        if len(held[0]):
+            yield judged(held[0], held[1], np.zeros(len(held[0]), np.int64), held[3][:, None])
+
+    arrow_batches(spark, 10_000)
+    return neighbours.repartition("hash").sortWithinPartitions("hash").mapInArrow(rows, _CLASSED)
+
+
+def other_words(words: DataFrame, first: FirstClasses) -> DataFrame:
+    """The class of each word that keeps its symbol's, for each block that has it."""
+    spark = words.sparkSession
+    shared = spark.sparkContext.broadcast(first)  # symbols
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, asked = shared.value.of(batch.column(4), batch.column(5).to_numpy())
+            cols = [*batch.columns[:4], pa.array(k.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _CLASSED.split(", ")]).filter(pa.array(~asked))
+
+    arrow_batches(spark, 20_000)
+    return words.select("block", "idx", "c", "lead", "hash", "shape").mapInArrow(rows, _CLASSED)
+
+
+def classed_texts(blocks: DataFrame, words: DataFrame, ends: int) -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, gain, classes) of each text; gain: the sum of log10(c + 1); classes: a byte for each token."""
+    schema = "doc_id long, train boolean, n_tokens long, n_known long, gain double, classes binary"
+
+    def classed(texts: pa.Table, vocab: pa.Table) -> pa.Table:
+        idx = vocab["idx"].to_numpy()
+        c, k = np.zeros(len(idx) + 1, np.int64), np.zeros(len(idx) + 1, np.uint8)
+        c[0] = ends
+        c[idx + 1], k[idx + 1] = vocab["c"].to_numpy(), vocab["class"].to_numpy()
+        gain, known = np.log10(c + 1.0), c > 0
+        found = [token_places(*x) for x in zip(texts["low"].to_pylist(), texts["high"].to_pylist(), strict=True)]
+        cols = [
+            chunk_of(texts["doc_id"]), chunk_of(texts["train"]), pa.array([len(x) for x in found], pa.int64()), pa.array([int(known[x].sum()) for x in found], pa.int64()),
+            pa.array([float(gain[x].sum()) for x in found], pa.float64()), pa.array([k[x].tobytes() for x in found], pa.binary()),
+        ]
+        return pa.Table.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+
+    return texts_and_words(blocks, words.select("block", "idx", "c", "class")).applyInArrow(classed, schema)
+
+
+def class_bigrams(texts: DataFrame, classes: int = CLASSES) -> np.ndarray:
+    """Counts of neighbouring classes in training texts, an end token before and after each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            k = np.frombuffer(b"\0" + b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+            total += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+
+    arrow_batches(texts.sparkSession)
+    found = texts.where("train").select("classes").mapInArrow(rows, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(classes * classes)
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(classes, classes)
+
+
 @dataclass
 class ClassModel:
-    """of: the class of each symbol; bonus: log10 of a token's probability less log10(c + 1), by class before and class."""
+    """bonus: log10 of a token's probability less log10(c + 1), by class before and class."""
 
-    symbols: Symbols
-    of: np.ndarray
     bonus: np.ndarray
     tokens: int
     types: int
-    ends: int
 
     @property
     def base(self) -> float:
         return float(np.log10(self.tokens + self.types + 1))
 
 
-def class_model(bigrams: np.ndarray, types_of: np.ndarray, symbols: Symbols, tokens: int, types: int, ends: int, classes: int = CLASSES) -> ClassModel:
-    """types_of: distinct training words of each symbol."""
-    of = exchange_clusters(bigrams, classes)
-    member = np.eye(classes)[of]
-    pairs = member.T @ bigrams @ member
-    step = (pairs + 0.1) / (pairs.sum(1, keepdims=True) + 0.1 * classes)
-    held = member.T @ bigrams.sum(0)
-    room = held + member.T @ types_of + 1  # add-one smoothing with one unseen word in each class
-    a, b = step / room[None, :], 1 / (tokens + types + 1)
+def class_model(pairs: np.ndarray, types_of: np.ndarray, tokens: int) -> ClassModel:
+    """types_of: distinct training words of each class."""
+    types = int(types_of.sum())
+    room = pairs.sum(0) + types_of + 1  # add-one smoothing with one unseen word in each class
+    a, b = transitions(pairs) / room[None, :], 1 / (tokens + types + 1)
     weight = 0.5
     for _ in range(30 if pairs.sum() else 0):
         weight = float((pairs * (weight * a / (weight * a + (1 - weight) * b))).sum() / pairs.sum())
     weight = min(weight, 0.99)
-    return ClassModel(symbols, of, np.log10(weight * a + (1 - weight) * b), tokens, types, ends)
+    return ClassModel(np.log10(weight * a + (1 - weight) * b), tokens, types)
 
 
-def train_class_lm(docs: DataFrame, words: DataFrame, ends: int) -> ClassModel:
+def learn_classes(docs: DataFrame, words: DataFrame) -> FirstClasses:
     """docs: the training rows; words: their `word_table`, read from storage."""
-    lead = words.where(F.col("lead") & (F.col("c") > 0))
-    frequent = [r.hash for r in lead.where(F.col("hash").isNotNull()).orderBy(F.desc("c"), "hash").limit(WORDS).collect()]
-    symbols = Symbols({h: i + 1 for i, h in enumerate(frequent)})
-    by_shape = lead.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types")).collect()  # at most SHAPES rows
-    top = lead.where(F.col("hash").isin(frequent)).groupBy("shape").agg(F.count(F.lit(1)).alias("types")).collect() if frequent else []
-    types_of = np.zeros(SYMBOLS)
-    types_of[0] = ends > 0
-    types_of[1 : 1 + len(frequent)] = 1
-    for r in by_shape:
-        types_of[1 + WORDS + r["shape"]] += r.types
-    for r in top:
-        types_of[1 + WORDS + r["shape"]] -= r.types
-    tokens, types = sum(r.c for r in by_shape) + ends, sum(r.types for r in by_shape) + (ends > 0)
-    return class_model(symbol_bigrams(docs, symbols), types_of, symbols, tokens, types, ends)
+    lead = words.where(F.col("lead") & F.col("hash").isNotNull())
+    frequent = [r.hash for r in lead.orderBy(F.desc("c"), "hash").limit(WORDS).collect()]
+    return FirstClasses.learn(symbol_bigrams(docs, Symbols({h: i + 1 for i, h in enumerate(frequent)})), frequent)
+
+
+def word_classes(blocks: DataFrame, words: DataFrame, first: FirstClasses) -> DataFrame:
+    """(block, idx, c, lead, class) of each word of each block; lead: one row of each word."""
+    placed = write_shared(placed_words(word_neighbours(blocks, words, first), first), "lm-placed")
+    return other_words(words, first).unionByName(placed)
 
 
-def score_blocks(blocks: DataFrame, words: DataFrame, model: ClassModel) -> DataFrame:
+def score_texts(texts: DataFrame, model: ClassModel) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of each text."""
-    shared = blocks.sparkSession.sparkContext.broadcast(model)  # classes squared and WORDS entries
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # classes squared
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def score(texts: pa.Table, vocab: pa.Table) -> pa.Table:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        idx = vocab["idx"].to_numpy()
-        c = np.zeros(len(idx) + 1, np.int64)
-        c[idx + 1] = vocab["c"].to_numpy()
-        c[0] = m.ends
-        symbol = np.zeros(len(idx) + 1, np.int64)
-        place = m.symbols.place
-        symbol[idx + 1] = [place.get(h) or 1 + WORDS + s for h, s in zip(vocab["hash"].to_pylist(), vocab["shape"].to_pylist(), strict=True)]
-        gain, known, of = np.log10(c + 1.0), c > 0, m.of[symbol]
-        n, n_known, base, full = [], [], [], []
-        for low, high in zip(texts["low"].to_pylist(), texts["high"].to_pylist(), strict=True):
-            ids = np.zeros(len(low) // 2 + 2, np.int64)  # an end token before and after
-            ids[1:-1] = np.frombuffer(low, "<u2").astype(np.int64) + (np.frombuffer(high, "<u2").astype(np.int64) << 16) + 1
-            k, own = of[ids], ids[1:]
-            total = float(gain[own].sum())
-            n.append(len(own))
-            n_known.append(int(known[own].sum()))
-            base.append(total - len(own) * m.base)
-            full.append(total + float(m.bonus[k[:-1], k[1:]].sum()))
-        cols = [texts["doc_id"], texts["train"], pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array([m.tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())]
-        return pa.Table.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols], names=names)
+        for batch in batches:
+            n, gain = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            k = np.frombuffer(b"\0" + b"".join(batch.column(5).to_pylist()), np.uint8)
+            bonus = np.add.reduceat(m.bonus[k[:-1], k[1:]], np.cumsum(n) - n) if len(n) else gain
+            cols = [*batch.columns[:4], pa.array(np.full(len(n), m.tokens)), pa.array(gain - n * m.base), pa.array(gain + bonus)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    texts = blocks.where(F.col("low").isNotNull()).select("block", "doc_id", "train", "low", "high")
-    return texts.groupBy("block").cogroup(words.select("block", "idx", "c", "hash", "shape").groupBy("block")).applyInArrow(score, schema)
+    arrow_batches(texts.sparkSession)
+    return texts.select("doc_id", "train", "n_tokens", "n_known", "gain", "classes").mapInArrow(score, schema)
 
 
 def class_lm_scores(docs: DataFrame, train: Column) -> DataFrame:
@@ -292,7 +447,14 @@ def class_lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     blocks = write_shared(tokenised_blocks(docs, train), "lm-blocks")
     words = write_shared(word_table(blocks), "lm-words")
     ends = blocks.where(F.col("low").isNotNull() & F.col("train")).count()
-    return score_blocks(blocks, words, train_class_lm(docs.where(train), words, ends))
+    classed = word_classes(blocks, words, learn_classes(docs.where(train), words))
+    texts = write_shared(classed_texts(blocks, classed, ends), "lm-classed")
+    types_of, tokens = np.zeros(CLASSES, np.int64), ends
+    types_of[0] = ends > 0
+    for r in classed.where(F.col("lead") & (F.col("c") > 0)).groupBy("class").agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("c")).collect():  # at most CLASSES rows
+        types_of[r["class"]] += r.types
+        tokens += r.c
+    return score_texts(texts, class_model(class_bigrams(texts), types_of, tokens))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -224,6 +224,31 @@ def test_op1(got, documents):
     assert held and full > base
 
 
+def test_op1_rare_words(spark, monkeypatch):
+    """Words of five occurrences, alike in their endings and far from the most frequent, get their classes by what stands around them."""
+    from tessera.llm import class_lm
+
+    seen = []
+    monkeypatch.setattr(class_lm, "word_classes", lambda *a, f=class_lm.word_classes: seen.append((a[0], f(*a))) or seen[-1][1])
+    rng = np.random.default_rng(2)
+    kinds = [[f"{kind}{k}ing" for k in range(800) for _ in range(5)] for kind in "nv"]
+    for x in kinds:
+        rng.shuffle(x)
+    docs = [(i, " ".join(f"the {n} of to {v} it" for n, v in zip(kinds[0][i::400], kinds[1][i::400], strict=True))) for i in range(400)]
+    out = class_lm.class_lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(True)).toPandas()
+    assert len(out) == 400 and (out.score > out.base_score).all()
+    blocks, classed = seen[0]
+    named = classed.join(blocks.where("word is not null").select("block", "idx", "word"), ["block", "idx"]).toPandas()
+    named["word"] = [bytes(w).decode() for w in named.word]
+    of = named[named.word.str.endswith("ing")].groupby("word")["class"].agg(set)
+    assert len(of) == 1600 and (of.map(len) == 1).all()
+    nouns, verbs = (set().union(*of[of.index.str.startswith(k)]) for k in "nv")
+    assert not nouns & verbs
+    lead = named[named["lead"]]
+    assert sorted(lead.word) == sorted({w for _, t in docs for w in t.split()})
+    assert dict(zip(lead.word, lead.c, strict=True)) == Counter(w for _, t in docs for w in t.split())
+
+
 def test_op4(spark, got):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     x = np.stack(vectors.embedding.to_numpy()).astype(float)
