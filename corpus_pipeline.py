@@ -3,12 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of documents (doc_id, text, lang, source,
 n_chars), whatever other columns come in; an empty table passes through; null texts are rejected by the
-quality rules as texts without words.
+quality rules as texts without words. Rows with null doc_id go through the stages like others, but are
+nobody's near copy; rows that repeat a doc_id are versions of one document, of which the near-copy stage
+keeps one; where no language can be learned, texts with letters pass the language stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, write_shared
@@ -27,27 +29,31 @@ NEAR_PERCENT, NEAR_WIDTH = 80, 5
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no robust outliers of their language and source."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return quality_rules(docs, ["text", "n_chars"]).where("kept").select(*COLUMNS)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters and a main language, by a model learned from the documents that came in."""
-    found = language_id(docs, train_languages(docs))
-    kept = found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    model = train_languages(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language_id(docs, model, keep=tuple(COLUMNS[1:]))
+    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of linked documents."""
+    """One row, of the smallest id, of each component of linked documents, and all rows without an id."""
     kept = jaccard_components(docs, NEAR_PERCENT, NEAR_WIDTH).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    version = F.row_number().over(Window.partitionBy("doc_id").orderBy(*COLUMNS[1:]))
+    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("version", version).where("version = 1").drop("version")
+    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated 100-byte strings; a character that loses a byte goes; emptied texts stay as empty ones."""
-    cut = suffix_dedup(docs, texts=True).select("doc_id", F.col("kept").alias("text"))
-    return docs.drop("text", "n_chars").join(cut, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = suffix_dedup(docs, texts=True, keep=("lang", "source")).withColumnRenamed("kept", "text")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,11 +169,11 @@ def span_arrays(value: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x["start"] for x in value], np.int64), np.array([x["length"] for x in value], np.int64)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) of each document; spans is null where there are none.
+def with_spans(docs: DataFrame, spans: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, text, spans, columns to keep) of each document; spans is null where there are none.
 
     Rows without an id pass beside the join, so that its scan and shuffle of the texts are the same as those
     of an inner join on doc_id in the same plan, and Spark reuses them."""
-    named = docs.where(F.col("doc_id").isNotNull()).join(spans_by_doc(spans), "doc_id", "left").select("doc_id", "text", "spans")
-    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    named = docs.where(F.col("doc_id").isNotNull()).join(spans_by_doc(spans), "doc_id", "left").select("doc_id", "text", "spans", *keep)
+    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,length:bigint>>").alias("spans"), *keep)
     return named.unionByName(nameless)

@@ -229,10 +229,11 @@ class Labeller:
         return viterbi(self.scores[at], lengths), self.letters[at], lengths
 
 
-def language_id(docs: DataFrame, model: LanguageModel, spans: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score), and with `spans` the labelled runs of words (lang, start, words) of each text."""
-    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,words:int>>" * spans
+def language_id(docs: DataFrame, model: LanguageModel, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score), with `spans` the labelled runs of words (lang, start, words) of each text, and the columns to keep."""
+    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,words:int>>" * spans + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times buckets: bounded
+    others = [c for c in keep if c != "text"]
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,11 +254,11 @@ def language_id(docs: DataFrame, model: LanguageModel, spans: bool = False) -> D
                     cut = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])])
                     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(labels)], strict=True):
                         runs[owner[a]].append({"lang": names[labels[a]], "start": int(a - start[owner[a]]), "words": b - a})
-            cols = [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *([pa.array(runs, span_type)] * spans)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", *["spans"] * spans])
+            cols = [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *([pa.array(runs, span_type)] * spans), *(batch.column(1 if c == "text" else 2 + others.index(c)) for c in keep)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", *["spans"] * spans, *keep])
 
     arrow_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(label, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *others).mapInArrow(label, schema)
 
 
 def held_out(rest: int, modulus: int) -> F.Column:

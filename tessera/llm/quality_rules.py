@@ -68,6 +68,8 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and the statistics of `text`."""
+    others = [c for c in keep if c != "text"]
+    keep = [*others, *["text"] * (len(others) < len(keep))]
     fields = [docs.schema[c] for c in keep]
     names = [x.split()[0] for x in _STATS.split(", ")]
 
@@ -75,11 +77,11 @@ def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
         for batch in batches:
             found = [text_stats(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             cols = list(zip(*found, strict=True)) if found else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, pa.int64()) for x in cols)], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, pa.int64()) for x in cols)], names=[*keep, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), _STATS])
     arrow_batches(docs.sparkSession)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(stats, schema)
+    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(stats, schema)
 
 
 def transformed(stats: DataFrame) -> DataFrame:

@@ -158,9 +158,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     return whole.unionByName(later.withColumn("length", F.lit(width).cast("long")))
 
 
-def remove_bytes(docs: DataFrame, spans: DataFrame, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with `texts` the remaining text, without characters that lost a byte."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
+def remove_bytes(docs: DataFrame, spans: DataFrame, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), with `texts` the remaining text, without characters that lost a byte, and the columns to keep."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,16 +174,16 @@ def remove_bytes(docs: DataFrame, spans: DataFrame, texts: bool = False) -> Data
                 out.append((len(raw), len(raw) - len(left), len(start), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if texts else None))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False)), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts, *keep])
 
     arrow_batches(docs.sparkSession)
-    return with_spans(docs, spans).mapInArrow(rows, schema)
+    return with_spans(docs, spans, *keep).mapInArrow(rows, schema)
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
-    """Removes repeated `width`-byte strings from documents (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return remove_bytes(docs, repeated_spans(docs, width, gram), texts)
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Removes repeated `width`-byte strings from documents (doc_id, text, columns to keep)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    return remove_bytes(docs, repeated_spans(docs.select("doc_id", "text"), width, gram), texts, keep)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

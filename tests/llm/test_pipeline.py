@@ -73,3 +73,22 @@ def test_near_copies(spark):
     kept = {r.doc_id for r in out.collect()}
     assert kept == near_copies(near_rows())
     assert 1 in kept and 2 not in kept
+
+
+def test_awkward_ids(spark):
+    """Rows without an id, rows that repeat one, and a corpus without languages."""
+    rng = np.random.default_rng(8)
+    text = [" ".join("".join(chr(97 + c) for c in rng.integers(26, size=6)) for _ in range(60)) for _ in range(8)]
+    rows = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[2]), (5, text[2]), (6, text[2]), (7, text[3]), (8, text[4]), (9, "12 34 56 " * 4), (10, text[5])]
+    for lang in ("en", None):
+        docs = spark.createDataFrame([(i, t, lang, "a", len(t)) for i, t in rows], SCHEMA)
+        held = {name: [tuple(r) for r in stage(spark, docs, SF).collect()] for name, stage in corpus_pipeline.STAGES[:-1]}
+        named = sorted((i or 0, t) for i, t in rows)
+        seen = {name: sorted((r[0] or 0, r[1]) for r in out) for name, out in held.items()}
+        assert seen["quality rules"] == [x for x in named if x[0] != 9]
+        assert seen["language ID"] == [x for x in named if x[0] != 9]
+        once = [(0, text[0]), (0, text[1]), (5, text[2]), (7, text[3]), (8, text[4]), (9, rows[8][1]), (10, text[5])]
+        assert seen["n-gram Jaccard join"] == sorted(once)
+        cut = sorted(held["suffix-array dedup"], key=lambda r: r[0] or 0)
+        assert [r[0] or 0 for r in cut] == [i for i, _ in named]
+        assert all(r[2:4] == (lang, "a") and r[4] == len(r[1]) for r in cut)
