@@ -124,7 +124,7 @@ def simulate(engine: str, x: np.ndarray, days: int, paths: int, rng: np.random.G
     raise ValueError(f"unknown engine {engine}")
 
 
-def terminal_returns(x: DataFrame, engine: str = "ensemble", horizons: tuple[int, ...] = (5, 21, 63), chunks: int = 4, paths: int = 250, seed: int = 11) -> DataFrame:
+def terminal_returns(x: DataFrame, engine: str = "ensemble", horizons: tuple[int, ...] = (1, 5, 10, 21, 63, 126, 252), chunks: int = 20, paths: int = 250, seed: int = 11) -> DataFrame:
     """(symbol, path, horizon, ret): simple return of each path at each horizon."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +188,7 @@ def kupiec(breaches: DataFrame, alpha: float = 0.05) -> DataFrame:
     return breaches.withColumn("lr", F.greatest(lr, F.lit(0.0)))
 
 
-def rolling_backtest(x: DataFrame, engine: str = "gbm", first: int = 252, step: int = 20, origins: int = 10, lookback: int = 756, horizons: tuple[int, ...] = (5, 21), paths: int = 300, alpha: float = 0.05, seed: int = 11) -> DataFrame:
+def rolling_backtest(x: DataFrame, engine: str = "ensemble", first: int = 252, step: int = 10, origins: int = 40, lookback: int = 756, horizons: tuple[int, ...] = (5, 21, 63), paths: int = 1000, alpha: float = 0.05, seed: int = 11) -> DataFrame:
     """(symbol, origin, horizon, pit, breach, crps, bias): a forecast from each of the last origins, calibrated on what lies before it.
 
     Each origin's slice is its own group, so a symbol's origins run side by side."""

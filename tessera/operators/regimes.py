@@ -287,7 +287,7 @@ def switching_regression(rows: DataFrame, k: int = 2) -> DataFrame:
     return rows.groupBy("symbol").applyInPandas(fit, "symbol string, state int, intercept double, slope double, sd double, weight double")
 
 
-def hmm_stability(x: DataFrame, k: int = 3, resamples: int = 4, block: int = 20, seed: int = 3) -> DataFrame:
+def hmm_stability(x: DataFrame, k: int = 3, resamples: int = 8, block: int = 20, seed: int = 3) -> DataFrame:
     """(symbol, mean_ari, least_share): agreement of the path with those of models refitted on block-resampled series."""
 
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -92,7 +92,7 @@ def pit_uniformity(pits: DataFrame, by: str) -> DataFrame:
     return pits.groupBy(by).applyInPandas(ks, f"{by} {pits.schema[by].dataType.simpleString()}, ks double, p double")
 
 
-def bootstrap_fit(rows: DataFrame, degree: int = 3, resamples: int = 50, block: int = 1, seed: int = 9) -> DataFrame:
+def bootstrap_fit(rows: DataFrame, degree: int = 3, resamples: int = 500, block: int = 1, seed: int = 9) -> DataFrame:
     """(symbol, b, coef): least squares of y on powers of f in each (block) resample; failed fits are left out."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -305,7 +305,7 @@ def hmm_states(spark, sf):
 
 @query
 def hmm_stability(spark, sf):
-    return RG.hmm_stability(MC.log_returns(P.with_history(P.bars(spark, sf)), 300), resamples=2)
+    return RG.hmm_stability(MC.log_returns(P.with_history(P.bars(spark, sf))))
 
 
 @query

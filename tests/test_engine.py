@@ -158,3 +158,37 @@ def test_stream(spark, tmp_path):
 def test_resume(spark):
     specs = spark.range(5).withColumnRenamed("id", "window_id")
     assert P.todo_only(specs, specs.where("window_id < 3"), "window_id").count() == 2
+
+
+def test_registered_sizes(spark, monkeypatch):
+    """The registered simulations and resamples are as large as the reference's, over the whole series."""
+    import inspect
+
+    from tessera.operators import regimes as RG
+    from tessera.operators import uncertainty as U
+    from tessera.plans import queries
+
+    default = {k: v.default for k, v in inspect.signature(MC.rolling_backtest).parameters.items()}
+    assert [default[k] for k in ("engine", "step", "origins", "horizons", "paths")] == ["ensemble", 10, 40, (5, 21, 63), 1000]
+    assert inspect.signature(RG.hmm_stability).parameters["resamples"].default == 8
+    sizes = {}
+
+    def spy(module, name, measure):
+        real = getattr(module, name)
+
+        def run(*a, **b):
+            out = real(*a, **b)
+            sizes[name] = measure(a[0], out)
+            return out
+
+        monkeypatch.setattr(module, name, run)
+
+    spy(MC, "terminal_returns", lambda x, out: {tuple(r) for r in out.groupBy("symbol").agg(F.countDistinct("path"), F.sort_array(F.collect_set("horizon"))).drop("symbol").distinct().rdd.map(lambda r: (r[0], tuple(r[1]))).collect()})
+    queries.horizon_summary(spark, SF)
+    assert sizes["terminal_returns"] == {(5000, (1, 5, 10, 21, 63, 126, 252))}
+    assert inspect.signature(U.bootstrap_fit).parameters["resamples"].default == 500
+    assert {r.n for r in queries.bootstrap_fit(spark, SF).collect()} == {500}
+    monkeypatch.setattr(RG, "hmm_stability", lambda x, **b: (x, b))
+    series, how = queries.hmm_stability(spark, SF)
+    whole = MC.log_returns(queries.P.with_history(queries.P.bars(spark, SF)))
+    assert series.count() == whole.count() and not how
