@@ -29,13 +29,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, share_file, table
+from tessera.llm.common import Memo, arrow_batches, discard, share_file, table, write_shared
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words in the lexicon.
 LEXICON_WORDS = 50_000
-#: Entries that a worker's memory of encoded chunks holds before it starts afresh.
-MEMO_ENTRIES = 1_000_000
 END = "</w>"
 #: Stands for a pair that has no merge.
 NONE = 1 << 60
@@ -217,24 +215,19 @@ def mapped_lexicon(name: str) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
-class Encoder(dict):
-    """Remembers `form(ids)` of each white-space-free chunk of UTF-8 text; ids are little-endian uint32 bytes."""
+class Encoder(Memo):
+    """Ids of white-space-free chunks of UTF-8 text, as little-endian uint32 bytes; one for each task."""
 
-    def __init__(self, model: Bpe, lexicon: Lexicon | None, form=None):
-        self.model, self.lexicon, self.form = model, lexicon, form
-        self.by_word: dict[str, bytes] = {}
+    def __init__(self, path: str, lexicon: str | None):
+        super().__init__(self.chunk_ids, 200)
+        self.model, self.lexicon = bpe(path), mapped_lexicon(lexicon) if lexicon else None
 
     def word_ids(self, word: str) -> bytes:
-        found = self.by_word.get(word)
-        if found is None:
-            raw = word.encode()
-            found = array("I", (self.lexicon.get(raw) if self.lexicon else None) or self.model.merge(raw)).tobytes()
-            if len(self.by_word) >= MEMO_ENTRIES:
-                self.by_word.clear()
-            self.by_word[word] = found
-        return found
-
-    def ids(self, chunk: str) -> bytes:
+        raw = word.encode()
+        return array("I", (self.lexicon.get(raw) if self.lexicon else None) or self.model.merge(raw)).tobytes()
+
+    def chunk_ids(self, raw: bytes) -> bytes:
+        chunk = raw.decode("utf-8")
         if "<|" not in chunk:
             return b"".join(map(self.word_ids, self.model.words(chunk)))
         out, at = [], 0
@@ -243,26 +236,8 @@ class Encoder(dict):
             at = m.end()
         return b"".join([*out, *map(self.word_ids, self.model.words(chunk[at:]))])
 
-    def __missing__(self, chunk: bytes):
-        made = self.ids(chunk.decode("utf-8"))
-        if self.form:
-            made = self.form(array("I", made))
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[chunk] = made
-        return made
-
-
-_encoders: dict[tuple, Encoder] = {}
-
-
-def worker_encoder(path: str, lexicon: str | None, form, kind: str) -> Encoder:
-    """One encoder for each worker, kept between tasks."""
-    key = (path, lexicon, kind)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(bpe(path), mapped_lexicon(lexicon) if lexicon else None, form)
-    return _encoders[key]
+    def text_ids(self, raw: bytes | None) -> bytes:
+        return b"".join(map(self.__getitem__, (raw or b"").split()))
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -270,7 +245,10 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def frequent_words(docs: DataFrame, path: str, most: int, text_col: str = "text") -> list[str]:
-    """The most frequent words of the whole corpus, ties in order of the word; at most `most` reach the driver."""
+    """The words of the whole corpus that occur more often than all but about `most` others.
+
+    A histogram of the counts finds the least count (beyond 256: the least sixteenth of an octave) from which on at most
+    `most` words are left; only those words reach the driver, whatever the number of partitions."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunks = bpe(path).words, Counter()
@@ -292,8 +270,18 @@ def frequent_words(docs: DataFrame, path: str, most: int, text_col: str = "text"
         yield summed()
 
     arrow_batches(docs.sparkSession)
+    level = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor(16 * F.log2(F.col("n") / 256))).alias("level")
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+    found = write_shared(found.select("word", level), "bpe-words")
+    left, cut = most, 0
+    for r in sorted(found.groupBy("level").count().collect(), reverse=True):  # at most some 900 levels
+        left -= r["count"]
+        if left < 0:
+            cut = r.level
+            break
+    words_ = [r.word for r in found.where(F.col("level") > cut).select("word").collect()]
+    discard(found)
+    return sorted(words_)
 
 
 def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_col: str = "text") -> str:
@@ -308,9 +296,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, lexicon: str | None = N
     path = path or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = worker_encoder(path, lexicon, None, "ids")
+        enc = Encoder(path, lexicon)
         for batch in batches:
-            ids = [np.frombuffer(b"".join(map(enc.__getitem__, (raw or b"").split())), "<u4") for raw in utf8(batch.column(1))]
+            ids = [np.frombuffer(enc.text_ids(raw), "<u4") for raw in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     arrow_batches(docs.sparkSession)
@@ -338,11 +326,11 @@ def bpe_digests(docs: DataFrame, path: str | None = None, lexicon: str | None =
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = bpe(path).tokens
         digits, shown = [str(i) for i in range(len(tokens))], [t.encode() for t in tokens]
-        enc = worker_encoder(path, lexicon, None, "ids")
+        enc = Encoder(path, lexicon)
         for batch in batches:
             n, a, b = [], [], []
             for raw in utf8(batch.column(1)):
-                ids = array("I", b"".join(map(enc.__getitem__, (raw or b"").split())))
+                ids = array("I", enc.text_ids(raw))
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(b" ".join(map(shown.__getitem__, ids))).hexdigest())

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`; bytes.split() splits at exactly these.
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
-#: Rows in an Arrow batch: keeps a batch of long texts within a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most; only a single longer text makes a larger one.
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
+#: Bytes that a task's memory of words holds before it starts afresh.
+MEMO_BYTES = 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that Python workers get from now on."""
+    """Bounds the Arrow batches that Python workers get from now on, for the whole session: plans read it when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,6 +45,31 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `write_shared` wrote for these tables, once nothing that has yet to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+class Memo(dict):
+    """Values of words, made by `make` and remembered up to MEMO_BYTES; one for each task, so that it ends with the task."""
+
+    def __init__(self, make, entry_bytes: int = 150):
+        self.make, self.held, self.entry_bytes = make, 0, entry_bytes
+
+    def __missing__(self, word: bytes):
+        if self.held >= MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        made = self[word] = self.make(word)
+        self.held += len(word) + self.entry_bytes
+        return made
+
+
 def crc_of_id(col: str = "doc_id") -> Column:
     """crc32 of the id as text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -42,12 +42,11 @@ SLICE, SLICE_TOKENS = 1000, 2_000_000
 #: A level holds sets of sizes up to GROWTH times its smallest, in hundredths; SPARE parts more than asked for.
 GROWTH, SPARE = 130, 3
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_hashes = WordHashes()
 
 
-def shingle_set(raw: bytes | None, width: int = WIDTH) -> np.ndarray:
+def shingle_set(raw: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the shingles of `width` words of a text."""
-    w = _hashes.sequence(raw.lower() if raw else None)
+    w = hashes.sequence(raw.lower() if raw else None)
     if len(w) < width:
         return mix(np.array([int(len(w))], np.uint64) + sum((x * k for x, k in zip(w, _K, strict=False)), np.uint64(0))) if len(w) else w
     n = len(w) - width + 1
@@ -98,8 +97,9 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n, s1, s2) of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(x, width) for x in utf8(batch.column(1))]
+            sets = [shingle_set(x, width, hashes) for x in utf8(batch.column(1))]
             s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             s2 = np.array([mix(s ^ _K[1]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
@@ -112,9 +112,10 @@ def candidate_edges(docs: DataFrame, percent: int, width: int = WIDTH) -> DataFr
     """(a, b): each document with the smallest id that shares one of its signatures."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
-            place, token = signatures([shingle_set(x, width) for x in utf8(batch.column(1))], percent)
+            place, token = signatures([shingle_set(x, width, hashes) for x in utf8(batch.column(1))], percent)
             doc = ids[place]
             by = np.lexsort((doc, token))
             token, doc = token[by], doc[by]
@@ -234,8 +235,8 @@ def slice_links(sets: list[list[int]], sides: list[int], labels: list[int], perc
 def _join_groups(percent: int, width: int):
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("doc_id", "ascending")])
-        ids = group["doc_id"].to_pylist()
-        sets = [shingle_set(x, width).tolist() for x in utf8(group["text"])]
+        ids, hashes = group["doc_id"].to_pylist(), WordHashes()
+        sets = [shingle_set(x, width, hashes).tolist() for x in utf8(group["text"])]
         links = slice_links(sets, group["side"].to_pylist(), group["label"].to_pylist(), percent)
         a, b = local_stars(*(np.array([ids[link[k]] for link in links], np.int64) for k in (0, 1)))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})

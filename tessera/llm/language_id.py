@@ -11,7 +11,8 @@ form a small matrix, the matrices of a text are chained, and the labels follow b
 
 Null texts and texts without a letter are `und` with score 0; ties go to the first language in sorted
 order; rows with null lang are not learned from; without any training row every text is `und`; repeated
-rows count as often as they occur in training; extra columns are ignored.
+rows count as often as they occur in training; an empty table gives an empty result; texts of any length are
+labelled whole, with the memory of some ten times the text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +37,11 @@ SWITCH = 12.0
 SCRIPT_SHARE = 1e-3
 #: Cost of a word for a language that its script does not admit.
 FOREIGN = 30.0
-MEMO_WORDS = 500_000
-CHUNK = 64
+MEMO_WORDS = 300_000
+#: Words whose n-grams are held at a time.
+PART_WORDS = 20_000
+#: Words of a Viterbi chunk, and cells (words times languages) that are worked on at a time.
+CHUNK, CELLS = 64, 4_000_000
 #: First code points of script ranges, ascending; letters in no other range count as "other".
 SCRIPTS = [
     (0x0041, "latin"), (0x02B0, "other"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"),
@@ -127,15 +131,17 @@ def train_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
             for lang, seen in words.items():
                 if seen:
                     keys, times = list(seen), np.array(list(seen.values()), float)
-                    owner, gram, letter_owner, script, _ = word_features(keys)
-                    sums = np.concatenate([np.bincount(gram, times[owner], BUCKETS), np.bincount(script, times[letter_owner], n_scripts)])
-                    total[lang] = total.get(lang, 0) + sums
+                    for at in range(0, len(keys), PART_WORDS):
+                        owner, gram, letter_owner, script, _ = word_features(keys[at : at + PART_WORDS])
+                        n = times[at : at + PART_WORDS]
+                        sums = np.concatenate([np.bincount(gram, n[owner], BUCKETS), np.bincount(script, n[letter_owner], n_scripts)])
+                        total[lang] = total.get(lang, 0) + sums
             words.clear()
 
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 words[lang].update((raw or b"").split())
-            if sum(map(len, words.values())) > 300_000:
+            if sum(map(len, words.values())) > MEMO_WORDS:
                 fold()
         fold()
         for lang, sums in total.items():
@@ -177,14 +183,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH, chu
         here = first[per_doc > p + 1] + p
         v = (entering[here][:, :, None] + through[here]).max(1)
         entering[here + 1] = v - v.max(1, keepdims=True)
-    back = np.empty((chunk, len(doc_of), k), np.int8)
-    own, v = np.arange(k, dtype=np.int8)[None], entering
+    kind = np.min_scalar_type(k)  # unsigned, as wide as the number of languages asks for
+    back = np.empty((chunk, len(doc_of), k), kind)
+    own, v = np.arange(k, dtype=kind)[None], entering
     for t in range(chunk):
         best = v.max(1, keepdims=True)
         stay = v >= best - switch
-        back[t] = np.where(stay, own, v.argmax(1)[:, None].astype(np.int8))
+        back[t] = np.where(stay, own, v.argmax(1)[:, None].astype(kind))
         v = np.where(stay, v, best - switch) + padded[t]
-    label = np.empty((chunk, len(doc_of), k), np.int8)
+    label = np.empty((chunk, len(doc_of), k), kind)
     state = np.broadcast_to(np.arange(k), (len(doc_of), k))
     for t in range(chunk - 1, -1, -1):
         label[t] = state
@@ -219,14 +226,23 @@ class Labeller:
                 grow = 2 * (base + len(new))
                 self.scores = np.concatenate([self.scores[:base], np.zeros((grow - base, self.scores.shape[1]), np.float32)])
                 self.letters = np.concatenate([self.letters[:base], np.zeros(grow - base, np.int64)])
-            for at in range(0, len(new), 100_000):
-                part = new[at : at + 100_000]
+            for at in range(0, len(new), PART_WORDS):
+                part = new[at : at + PART_WORDS]
                 s, n = self.model.score(part)
                 self.scores[base + at : base + at + len(part)], self.letters[base + at : base + at + len(part)] = s, n
             place.update(zip(new, range(base, base + len(new)), strict=True))
         lengths = np.array([len(w) for w in split], np.int64)
         at = np.fromiter((place[w] for words in split for w in words), np.int64, int(lengths.sum()))
-        return viterbi(self.scores[at], lengths), self.letters[at], lengths
+        k = len(self.model.languages)
+        chunk = max(CHUNK, min(16 * k, int(lengths.max(initial=0))))  # with many languages a chunk's matrix is large: longer chunks, fewer matrices
+        cells = np.cumsum(-(-lengths // chunk) * chunk * k)
+        ends = np.cumsum(lengths)
+        labels, lo = [np.zeros(0, np.int64)], 0
+        while lo < len(lengths):
+            hi = max(int(np.searchsorted(cells, (cells[lo - 1] if lo else 0) + CELLS, "right")), lo + 1)
+            labels.append(viterbi(self.scores[at[ends[lo] - lengths[lo] : ends[hi - 1]]], lengths[lo:hi], chunk=chunk))
+            lo = hi
+        return np.concatenate(labels), self.letters[at], lengths
 
 
 def language_id(docs: DataFrame, model: LanguageModel, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

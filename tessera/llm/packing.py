@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import default_tokenizer, utf8, worker_encoder
+from tessera.llm.bpe import Encoder, default_tokenizer, utf8
 from tessera.llm.common import arrow_batches, table, write_shared
 
 CAPACITY, END_ID = 4096, 1
@@ -39,12 +39,12 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or default_tokenizer()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = worker_encoder(path, None, None, "ids")
+        enc = Encoder(path, None)
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for doc, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                ids = b"".join(map(enc.__getitem__, (raw or b"").split())) + end
+                ids = enc.text_ids(raw) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

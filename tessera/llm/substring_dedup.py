@@ -29,36 +29,30 @@ from pyspark.sql import functions as F
 
 from tessera.llm.anchors import BLOCK, Rolling, block_rows, judged, merged_runs, mix, parts, span_arrays, with_spans
 from tessera.llm.bpe import utf8
-from tessera.llm.common import arrow_batches, shared_dir, table
+from tessera.llm.common import Memo, arrow_batches, shared_dir, table
 
 WIDTH, GRAM = 20, 5
-MEMO_WORDS = 1_000_000
 BATCHES = 2
 
 
-class WordHashes(dict):
+class WordHashes(Memo):
     """64-bit hashes of words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+    def __init__(self):
+        super().__init__(xxhash.xxh64_intdigest)
 
     def sequence(self, raw: bytes | None) -> np.ndarray:
         words = (raw or b"").split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_hashes = WordHashes()
-
-
 def word_blocks(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Rows of `BLOCK` over the words of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            yield from block_rows(batch.column(0).to_pylist(), map(_hashes.sequence, utf8(batch.column(1))), width, gram)
+            yield from block_rows(batch.column(0).to_pylist(), map(hashes.sequence, utf8(batch.column(1))), width, gram)
 
     arrow_batches(docs.sparkSession)
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, BLOCK)
@@ -109,10 +103,11 @@ def open_windows(docs: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
     asked = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("n").alias("length"))).alias("spans"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             found: list[list[np.ndarray]] = []
             for doc, raw, spans in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = _hashes.sequence(raw)
+                words = hashes.sequence(raw)
                 start, end = merged_runs(*span_arrays(spans))
                 wanted = np.concatenate([np.arange(a, b) for a, b in zip(start, end, strict=True)])
                 for (_, a, b), *_ in parts([len(words)], width):

@@ -304,6 +304,36 @@ def test_op7_spans(spark):
     assert [(s.lang, s.start, s.words) for s in row.spans] == [("en", 0, 6), ("de", 6, 6)]
 
 
+@pytest.mark.parametrize("k", [4, 127, 200, 300])
+def test_op7_many_languages(k):
+    """Exact Viterbi, whatever the number of languages, against the plain recursion."""
+    from tessera.llm.language_id import viterbi
+
+    rng = np.random.default_rng(k)
+    lengths = np.array([3, 0, 150, 1])
+    scores = -rng.random((lengths.sum(), k)).astype(np.float32) * 30
+    scores[:3] = -60
+    scores[:3, k - 1] = 0
+    got_, at = viterbi(scores, lengths), 0
+    for n in lengths:
+        v, back = np.zeros(k), []
+        for s in scores[at : at + n]:
+            stay = v >= v.max() - 12.0
+            back.append(np.where(stay, np.arange(k), v.argmax()))
+            v = np.where(stay, v, v.max() - 12.0) + s
+        path = [int(v.argmax())] if n else []
+        for b in back[:0:-1]:
+            path.append(int(b[path[-1]]))
+        mine = got_[at : at + n]
+
+        def value(labels, part=scores[at : at + n]):
+            return sum(part[i, x] for i, x in enumerate(labels)) - 12.0 * sum(a != b for a, b in zip(labels, labels[1:], strict=False))
+
+        assert value(list(mine)) == pytest.approx(value(path[::-1]), abs=1e-2)
+        at += n
+    assert (got_[:3] == k - 1).all()
+
+
 def test_op9(got, documents):
     out = {r.doc_id: r for r in got("op9_quality_rules").itertuples()}
     for i, t in zip(documents.doc_id, documents.text, strict=True):
