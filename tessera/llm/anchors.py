@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Symbols that are hashed at a time.
 PART = 1 << 20
+#: Blocks that a task holds before it folds and emits them.
+FOLD = 500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 BLOCK = "ha long, hb long, doc_id long, start long, n int, known boolean"
 
@@ -109,41 +111,64 @@ def parts(sizes: list[int], width: int, most: int = PART) -> Iterator[list[tuple
         yield group
 
 
-def block_rows(ids: list[int], sequences: Iterable[np.ndarray], width: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows of `BLOCK`; a block that an earlier one of the same call repeats is `known` to be a repeat."""
-    sequences = list(sequences)
-    for group in parts([len(s) for s in sequences], width):
-        symbols = np.concatenate([sequences[d][a:b] for d, a, b in group])
-        sizes = np.array([b - a for _, a, b in group])
-        owner = np.repeat(np.arange(len(group)), sizes)
-        start, windows, ha, hb = blocks_of(symbols, owner, width, gram)
-        part = owner[start]
-        doc = np.array([ids[d] for d, _, _ in group], np.int64)[part]
-        place = start - (np.cumsum(sizes) - sizes)[part] + np.array([a for _, a, _ in group], np.int64)[part]
-        order = np.lexsort((place, doc, hb, ha))
-        start, windows, ha, hb, doc, place = (x[order] for x in (start, windows, ha, hb, doc, place))
-        # Equal to the row before, which lies earlier; rows that repeat (doc_id, start) are the same place.
-        known = np.zeros(len(doc), bool)
-        if len(doc):
-            same = (ha[1:] == ha[:-1]) & (hb[1:] == hb[:-1])
-            lead = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(doc)), 0))
-            known = (doc != doc[lead]) | (place != place[lead])
-        # Known ones need no hashes: small numbers, which deal them out evenly, take less room in the shuffle.
-        ha = np.where(known, mix(doc.astype(np.uint64) * np.uint64(_BASES[0]) + place.astype(np.uint64)) >> np.uint64(50), ha)
-        hb = np.where(known, np.uint64(0), hb)
-        cols = [pa.array(ha.view(np.int64)), pa.array(hb.view(np.int64)), pa.array(doc), pa.array(place), pa.array(windows.astype(np.int32)), pa.array(known)]
-        yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in BLOCK.split(", ")])
-
-
-def judged(blocks: DataFrame) -> DataFrame:
+def block_rows(texts: Iterable[tuple[list[int], list[np.ndarray]]], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows of `BLOCK` of texts given as (ids, sequences), folded: of equal blocks in FOLD blocks or so, the first stays.
+
+    The others are `known` to be repeats; runs of them come as one row each, so that copies take little room."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for ids, sequences in texts:
+        for group in parts([len(s) for s in sequences], width):
+            symbols = np.concatenate([sequences[d][a:b] for d, a, b in group])
+            sizes = np.array([b - a for _, a, b in group])
+            owner = np.repeat(np.arange(len(group)), sizes)
+            start, windows, ha, hb = blocks_of(symbols, owner, width, gram)
+            part = owner[start]
+            doc = np.array([ids[d] for d, _, _ in group], np.int64)[part]
+            place = start - (np.cumsum(sizes) - sizes)[part] + np.array([a for _, a, _ in group], np.int64)[part]
+            held.append((ha, hb, doc, place, windows))
+            n += len(ha)
+            if n >= FOLD:
+                yield folded(held)
+                held, n = [], 0
+    if held:
+        yield folded(held)
+
+
+def folded(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    ha, hb, doc, place, windows = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((place, doc, hb, ha))
+    ha, hb, doc, place, windows = (x[order] for x in (ha, hb, doc, place, windows))
+    same = np.r_[False, (ha[1:] == ha[:-1]) & (hb[1:] == hb[:-1])] if len(ha) else np.zeros(0, bool)
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(ha))))
+    # Rows that repeat (doc_id, start) are the same place: versions of a document.
+    later = np.flatnonzero((doc != doc[lead]) | (place != place[lead]))
+    later = later[np.lexsort((place[later], doc[later]))]
+    first = np.flatnonzero(~same)
+    d, p, w = doc[later], place[later], windows[later]
+    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + w[:-1])]) if len(later) else later
+    # Known ones need no hashes: small numbers, which deal them out evenly, take less room in the shuffle.
+    key = mix(d[head].astype(np.uint64) * np.uint64(_BASES[0]) + p[head].astype(np.uint64)) >> np.uint64(50)
+    n = np.r_[windows[first], np.add.reduceat(w, head) if len(head) else head]
+    cols = [
+        pa.array(np.r_[ha[first], key].view(np.int64)), pa.array(np.r_[hb[first], np.zeros(len(head), np.uint64)].view(np.int64)), pa.array(np.r_[doc[first], d[head]]),
+        pa.array(np.r_[place[first], p[head]]), pa.array(n.astype(np.int32)), pa.array(np.arange(len(n)) >= len(first)),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in BLOCK.split(", ")])
+
+
+def judged(blocks: DataFrame, partitions: int) -> DataFrame:
     """Adds `repeat` (its windows all start earlier elsewhere) and `open` (its windows have to be compared).
 
-    One shuffle by anchor and one sort; copies within a batch of documents were folded before it."""
+    One shuffle by anchor and one sort. Each task has folded its copies before, so a block that fills a third of all
+    texts comes once from each task. Of rows at the same place with the same content one stays."""
     same = Window.partitionBy("ha", "hb").orderBy("doc_id", "start")
     anchor = Window.partitionBy("ha")
-    ranked = blocks.withColumn("place", F.rank().over(same))
-    ranked = ranked.withColumns({"least": F.min("hb").over(anchor), "most": F.max("hb").over(anchor)})
+    ranked = blocks.repartition(partitions, "ha").withColumns({"place": F.rank().over(same), "row": F.row_number().over(same)})
     repeat = F.col("known") | (F.col("place") > 1)
+    # Of the first ones only, which keeps this window above the other, whose sort serves both.
+    lead = F.when(F.col("row") == 1, F.col("hb"))
+    ranked = ranked.withColumns({"least": F.min(lead).over(anchor), "most": F.max(lead).over(anchor)}).where(repeat | (F.col("row") == 1))
     return ranked.select(*blocks.columns, repeat.alias("repeat"), (~repeat & (F.col("least") != F.col("most"))).alias("open"))
 
 

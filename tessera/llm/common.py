@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,55 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings (with __ for .) for what runs inside; the old ones come back."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+class Folder:
+    """A folder in the shared store: small text files, and removal of what is in it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self.jvm = path.rstrip("/"), spark.sparkContext._jvm
+        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._at(""))) if self.fs.exists(self._at("")) else []
+
+    def has(self, name: str) -> bool:
+        return self.fs.exists(self._at(name))
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Under another name first, so that a reader sees all of it or nothing."""
+        out = self.fs.create(self._at(f".{name}.tmp"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self.fs.rename(self._at(f".{name}.tmp"), self._at(name)):
+            raise OSError(f"{self.path}/{name} is there already")
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
+
 class Memo(dict):
     """Values of words, made by `make` and remembered up to MEMO_BYTES; one for each task, so that it ends with the task."""
 

@@ -45,10 +45,13 @@ def byte_blocks(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
     """Rows of `BLOCK` over the bytes of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for at in range(0, len(ids), 250):
-                yield from block_rows(ids[at : at + 250], map(byte_symbols, texts[at : at + 250]), width, gram)
+        def parts_of() -> Iterator[tuple[list[int], list[np.ndarray]]]:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
+                for at in range(0, len(ids), 250):
+                    yield ids[at : at + 250], [byte_symbols(x) for x in texts[at : at + 250]]
+
+        yield from block_rows(parts_of(), width, gram)
 
     arrow_batches(docs.sparkSession)
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, BLOCK)
@@ -145,7 +148,7 @@ def sort_buckets(suffixes: DataFrame, buckets: int, width: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, start, length) of everything to remove; docs: (doc_id, text)."""
-    found = judged(byte_blocks(docs, width, gram)).where(F.col("repeat") | F.col("open"))
+    found = judged(byte_blocks(docs, width, gram), shuffle_width(docs.sparkSession)).where(F.col("repeat") | F.col("open"))
     found = write_shared(found.select("doc_id", "start", "n", "repeat"), "suffix-blocks")
     whole = found.where("repeat").select("doc_id", "start", (F.col("n") + F.lit(width - 1)).cast("long").alias("length"))
     suffixes = write_shared(suffix_blocks(docs, found.where(~F.col("repeat")), width, gram), "suffixes")

@@ -149,6 +149,46 @@ def test_op10(got, documents, odd, where):
         assert (out[i].n_words, out[i].n_removed, out[i].kept_sha256) == (len(gone[i]), gone[i].sum(), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_op10_batches(spark, documents, tmp_path):
+    """Five batches by five openings of one index, each judged as it comes, against brute force over all of them."""
+    from tessera.llm.substring_dedup import FingerprintIndex, remove_words, repeated_spans
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    cuts = sorted(documents.doc_id)[:: len(documents) // 5 + 1] + [1 << 40]
+    gone = removed(list(zip(documents.doc_id, documents.text, strict=True)), words, 20)
+    texts = dict(zip(documents.doc_id, documents.text, strict=True))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        index = FingerprintIndex(spark, str(tmp_path / "index"), max_runs=2)
+        batch = docs.where((F.col("doc_id") >= int(lo)) & (F.col("doc_id") < int(hi)))
+        index.add(batch)
+        with pytest.raises(ValueError, match="already"):
+            index.add(batch)
+        spans = repeated_spans(docs.where(F.col("doc_id") < int(hi)), *index.verdicts(index.state["batches"][-1:]), 20)
+        for r in remove_words(batch, spans).collect():
+            kept = " ".join(w for w, g in zip(words(texts[r.doc_id]), gone[r.doc_id], strict=True) if not g)
+            assert (r.n_removed, r.kept_sha256) == (gone[r.doc_id].sum(), hashlib.sha256(kept.encode()).hexdigest())
+    assert len(index.state["batches"]) == len(cuts) - 1 and len(index.state["runs"]) == 3
+    index.compact()
+    runs = index.folder.names()
+    assert sum(index.folder.has(f"{r}/kind=first") for r in runs) == len(index.state["runs"]) == 2
+
+
+def test_op10_history_stays_in_place(spark):
+    """The merge join neither shuffles nor sorts a run."""
+    from tessera.llm.anchors import judged
+    from tessera.llm.substring_dedup import FingerprintIndex, word_blocks
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    index = FingerprintIndex(spark, max_runs=9)
+    index.add(docs.where("doc_id < 60"))
+    index.add(docs.where("doc_id >= 60 and doc_id < 120"))
+    with index.merging():
+        plan = index.merged(judged(word_blocks(docs.where("doc_id >= 120"), 20, 5), index.state["buckets"]))._jdf.queryExecution().executedPlan().toString()
+    # The batch alone is shuffled and sorted, once.
+    assert plan.count("SortMergeJoin") == 4 and plan.count("Bucketed: true") == 4
+    assert plan.count("Exchange") == 1 and plan.count("- Sort [") == 1
+
+
 @pytest.mark.parametrize("where", ["small", "odd"])
 def test_op3(got, documents, odd, where):
     docs = list(zip(documents.doc_id, documents.text, strict=True)) if where == "small" else [r[:2] for r in ROWS]
