@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import write_shared
+from tessera.llm.common import discard, write_shared
 
 #: Edges that a task holds at most while it contracts them.
 HELD_EDGES = 500_000
@@ -76,7 +76,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(down.select("a", F.col("least").alias("b")))
-        edges = write_shared(small.where(F.col("a") != F.col("b")).distinct(), "edges")
-        edges = write_shared(contract(edges), "edges")
+        made = write_shared(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(edges)
+        edges = write_shared(contract(made), "edges")
+        discard(made)
     out = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return out.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

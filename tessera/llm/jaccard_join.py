@@ -1,32 +1,41 @@
 """N-gram Jaccard join with prefix trees, down to components of linked documents.
 
-A document's set is its distinct shingles of `width` words (A-Z lower-cased; 3 for the query, up to 5). Two sets of n and m shingles with Jaccard
-similarity t or more differ in at most (1 - t) / (1 + t) (n + m) shingles. Shingles are therefore dealt by hash
-into more parts than that, so that two linked sets agree in whole parts: a part's content, some seven shingles,
-is a signature. Documents that share a signature fall into candidate groups, which are star-contracted, not
-paired; a passage that many documents share makes no signature, as other shingles fall into its parts.
-The sets of a group are then stored in a trie in one global order (of shingle hashes), where sets with equal
-beginnings share them: a probe walks it once, keeps the overlap so far, leaves a subtree as soon as the
-remaining lengths cannot reach the overlap asked for, and skips subtrees that are already linked to it. A group
-of more than `SLICE` sets or `SLICE_TOKENS` shingles is cut into slices, which are joined on their own, then with
-the group's first slice, and then pairwise where two slices still hold more than one component. Equal sets are
-one class with the smallest id as its representative; every pair of representatives is either compared, pruned
-by a bound, or already in one component.
+A document's set is its distinct shingles of `width` words (A-Z lower-cased; 3 for the query, up to 5). Two sets of
+n and m shingles with Jaccard similarity t or more differ in at most (1 - t) / (1 + t) (n + m) shingles. Candidates
+come from one of two exact rules, whichever is the more selective at t:
+
+* from `SIGNED` on, shingles are dealt by hash into more parts than two linked sets can differ in, so that they agree
+  in whole parts; a part's content, some nine shingles, is a signature;
+* below it, parts would hold too few shingles to tell texts apart. There, sets are ordered rare-first, and two linked
+  sets share one of their first n - ceil(t n) + 1 shingles. The order comes from a count sketch of all shingles with
+  one cell for about six of them (`MOST_BITS` at most: 64 MB), then from the hash; any order is right, a fuller
+  sketch makes larger groups.
+
+Documents that share a signature or a beginning fall into candidate groups, which are star-contracted, not paired.
+The sets of a group are then stored in a trie in the global order, where sets with equal beginnings share them: a
+probe walks it once, keeps the overlap so far, leaves a subtree as soon as the remaining lengths cannot reach the
+overlap asked for, and skips subtrees that are already linked to it. A group of more than `SLICE` sets or
+`SLICE_TOKENS` shingles is cut into slices, which are joined on their own, then with the group's first slice, and
+then pairwise where two slices still hold more than one component. Equal sets are one class with the smallest id as
+its representative; every pair of representatives is either compared, pruned by a bound, or already in one component.
 
 Sets are compared as 64-bit shingle hashes, classes on two 64-bit sums besides the set's size.
 
 Null or wordless texts have an empty set and link with nothing; with fewer than `width` words the whole
 sequence is the one shingle; rows that repeat a doc_id each get the component of that id; rows with null
-doc_id get a null component; an empty table gives an empty result; extra columns are ignored.
+doc_id get a null component; a text of any length is one set of its distinct shingles; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +50,12 @@ PERCENT, WIDTH = 90, 3
 SLICE, SLICE_TOKENS = 1000, 2_000_000
 #: A level holds sets of sizes up to GROWTH times its smallest, in hundredths; SPARE parts more than asked for.
 GROWTH, SPARE = 130, 3
+#: From this percentage on candidates come from signatures.
+SIGNED = 88
+#: Shingles for a cell of the count sketch, its largest size, shingles that a task counts at a time, bits of a cell's place in its chunk.
+CELL_SHINGLES, MOST_BITS, COUNTED, CHUNK_BITS = 6, 26, 2_000_000, 16
+#: Candidate rows that a task holds before it folds and emits them.
+FOLD = 400_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -48,7 +63,7 @@ def shingle_set(raw: bytes | None, width: int, hashes: WordHashes) -> np.ndarray
     """Sorted distinct hashes of the shingles of `width` words of a text."""
     w = hashes.sequence(raw.lower() if raw else None)
     if len(w) < width:
-        return mix(np.array([int(len(w))], np.uint64) + sum((x * k for x, k in zip(w, _K, strict=False)), np.uint64(0))) if len(w) else w
+        return mix(np.array([len(w)], np.uint64) + (w * np.array(_K[: len(w)])).sum(dtype=np.uint64)) if len(w) else w
     n = len(w) - width + 1
     return np.unique(mix(sum((w[i : i + n] * _K[i] for i in range(width)), np.uint64(0))))
 
@@ -108,28 +123,105 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long")
 
 
-def candidate_edges(docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
-    """(a, b): each document with the smallest id that shares one of its signatures."""
+@dataclass
+class RareFirst:
+    """The global order of shingles: by the logarithm (in quarters of an octave) of their cell's count, then by hash."""
+
+    level: np.ndarray
+    bits: int
+
+    def ranked(self, shingles: np.ndarray) -> np.ndarray:
+        """The shingles, renumbered so that numbers ascend in the global order (eight bits of the level before 56 of the hash)."""
+        at = (shingles >> np.uint64(64 - self.bits)).astype(np.int64)
+        return self.level[at].astype(np.uint64) << np.uint64(56) | (shingles & np.uint64((1 << 56) - 1))
+
+    def beginning(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        n = len(shingles)
+        if not n:
+            return shingles
+        most = n - -(-percent * n // 100) + 1
+        ranked = self.ranked(shingles)
+        return np.partition(ranked, most - 1)[:most] if most < n else ranked
+
+
+def rare_first(docs: DataFrame, total: int, width: int) -> RareFirst:
+    """Counts the shingles of all documents (doc_id, text) into a sketch sized for `total` of them; a task's count of a cell is kept up to 255."""
+    bits = min(MOST_BITS, max(CHUNK_BITS, (total // CELL_SHINGLES).bit_length()))
+    spark = docs.sparkSession
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n = WordHashes(), [], 0
+
+        def summed() -> pa.RecordBatch:
+            cell, times = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
+            chunk = (cell >> np.uint64(CHUNK_BITS)).astype(np.int64)
+            lead = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, np.int64)
+            place, times = cell.astype("<u2"), np.minimum(times, 255).astype(np.uint8)
+            data = [place[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(lead, [*lead[1:], len(chunk)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[lead].astype(np.int32)), pa.array(data, pa.binary())], names=["chunk", "counts"])
+
+        for batch in batches:
+            for x in utf8(batch.column(0)):
+                held.append(shingle_set(x, width, hashes))
+                n += len(held[-1])
+                if n >= COUNTED:
+                    yield summed()
+                    held, n = [], 0
+        if held:
+            yield summed()
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total_of: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cells, n = total_of.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64)), len(data) // 3
+                cells[np.frombuffer(data, "<u2", n)] += np.frombuffer(data, np.uint8, n, 2 * n)
+        found = [np.floor(4 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in total_of.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total_of), pa.int32()), pa.array(found, pa.binary())], names=["chunk", "level"])
+
+    arrow_batches(spark)
+    dealt = docs.select("text").mapInArrow(counts, "chunk int, counts binary").repartition("chunk")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in dealt.mapInArrow(levels, "chunk int, level binary").collect():  # at most 2 ** MOST_BITS bytes
+        out[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(r.level, np.uint8)
+    return RareFirst(out, bits)
+
+
+def candidate_edges(docs: DataFrame, percent: int, width: int = WIDTH, order: Broadcast | None = None) -> DataFrame:
+    """(a, b): each document with the smallest id that shares one of its signatures or, with `order`, of its beginning's shingles."""
+
+    def tokens_of(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if order is None:
+            place, token = signatures(sets, percent)
+            return ids[place], token
+        found = [order.value.beginning(x, percent) for x in sets]
+        return np.repeat(ids, [len(x) for x in found]), np.concatenate([np.zeros(0, np.uint64), *found])
+
+    def folded(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        doc, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((doc, token))
+        token, doc = token[by], doc[by]
+        first = np.r_[True, token[1:] != token[:-1]] if len(token) else np.zeros(0, bool)
+        lead = doc[np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))]
+        a, b = local_stars(doc[~first], lead[~first])
+        names = ["token", "a", "b"]
+        yield pa.RecordBatch.from_arrays([pa.array(token[first].view(np.int64)), pa.array(doc[first]), pa.nulls(int(first.sum()), pa.int64())], names=names)
+        # What the task has connected passes through the shuffle dealt out by its document.
+        yield pa.RecordBatch.from_arrays([pa.array(mix(a.astype(np.uint64)).view(np.int64)), pa.array(a), pa.array(b)], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, held, n = WordHashes(), [], 0
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
-            place, token = signatures([shingle_set(x, width, hashes) for x in utf8(batch.column(1))], percent)
-            doc = ids[place]
-            by = np.lexsort((doc, token))
-            token, doc = token[by], doc[by]
-            first = np.r_[True, token[1:] != token[:-1]] if len(token) else np.zeros(0, bool)
-            lead = doc[np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))]
-            pairs = np.unique(np.stack([doc[~first], lead[~first]], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            names = ["token", "a", "b"]
-            yield pa.RecordBatch.from_arrays([pa.array(token[first].view(np.int64)), pa.array(doc[first]), pa.nulls(int(first.sum()), pa.int64())], names=names)
-            # Pairs that the batch has found pass through the shuffle dealt out by their document.
-            yield pa.RecordBatch.from_arrays([pa.array(mix(pairs[:, 0].astype(np.uint64)).view(np.int64)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
+            held.append(tokens_of(np.array(batch.column(0).to_pylist(), np.int64), [shingle_set(x, width, hashes) for x in utf8(batch.column(1))]))
+            n += len(held[-1][0])
+            if n >= FOLD:
+                yield from folded(held)
+                held, n = [], 0
+        if held:
+            yield from folded(held)
 
     arrow_batches(docs.sparkSession)
-    # One row of a batch for each signature, copies folded: one that a third of all texts share comes once from each batch.
+    # One row of a task for each token, copies folded: one that a third of all texts share comes once or a few times from each task.
     same = Window.partitionBy("token")
     found = docs.mapInArrow(rows, "token long, a long, b long").withColumn("least", F.min(F.when(F.col("b").isNull(), F.col("a"))).over(same))
     return found.select("a", F.coalesce("b", "least").alias("b")).where("a != b")
@@ -232,11 +324,12 @@ def slice_links(sets: list[list[int]], sides: list[int], labels: list[int], perc
     return links
 
 
-def _join_groups(percent: int, width: int):
+def _join_groups(percent: int, width: int, order: Broadcast | None = None):
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("doc_id", "ascending")])
         ids, hashes = group["doc_id"].to_pylist(), WordHashes()
-        sets = [shingle_set(x, width, hashes).tolist() for x in utf8(group["text"])]
+        sets = [shingle_set(x, width, hashes) for x in utf8(group["text"])]
+        sets = [(np.sort(order.value.ranked(x)) if order else x).tolist() for x in sets]
         links = slice_links(sets, group["side"].to_pylist(), group["label"].to_pylist(), percent)
         a, b = local_stars(*(np.array([ids[link[k]] for link in links], np.int64) for k in (0, 1)))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
@@ -244,11 +337,11 @@ def _join_groups(percent: int, width: int):
     return join
 
 
-def group_links(members: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
+def group_links(members: DataFrame, percent: int, width: int = WIDTH, order: Broadcast | None = None) -> DataFrame:
     """(a, b) edges that span the components of links of each group; members: (grp, slices, slice, doc_id, text)."""
     link = "a long, b long"
     alone = members.select("grp", "slice", "doc_id", "text", F.lit(0).alias("side"), F.col("doc_id").alias("label"))
-    links = write_shared(alone.groupBy("grp", "slice").applyInArrow(_join_groups(percent, width), link), "links-inside")
+    links = write_shared(alone.groupBy("grp", "slice").applyInArrow(_join_groups(percent, width, order), link), "links-inside")
     if members.where("slices > 1").isEmpty():
         return links
     cut = write_shared(members.where("slices > 1"), "sliced")
@@ -258,7 +351,7 @@ def group_links(members: DataFrame, percent: int, width: int = WIDTH) -> DataFra
         return cut.join(known, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
 
     def joined(paired: DataFrame) -> DataFrame:
-        return write_shared(paired.select("grp", "lo", "hi", "doc_id", "text", "side", "label").groupBy("grp", "lo", "hi").applyInArrow(_join_groups(percent, width), link), "links-across")
+        return write_shared(paired.select("grp", "lo", "hi", "doc_id", "text", "side", "label").groupBy("grp", "lo", "hi").applyInArrow(_join_groups(percent, width, order), link), "links-across")
 
     # The first slice of a group with each other one: what is alike throughout is one component after this.
     sides = labelled().withColumn("lo", F.lit(0)).withColumn("side", (F.col("slice") > 0).cast("int"))
@@ -286,16 +379,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     classes = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = write_shared(classes, "set-classes")
 
-    groups = connected_components(candidate_edges(named, percent, width))
-    chosen = classes.join(groups.withColumnRenamed("id", "rep"), "rep").select("rep", "n", F.col("component").alias("grp"))
-    sizes = chosen.groupBy("grp").agg(F.countDistinct("rep").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+    order = None
+    if percent < SIGNED:
+        total = sets.agg(F.sum("n").alias("n")).first().n or 0
+        order = docs.sparkSession.sparkContext.broadcast(rare_first(named, total, width))  # at most 2 ** MOST_BITS bytes
+    groups = connected_components(candidate_edges(named, percent, width, order))
+    # A representative of several classes (an id with several versions) counts once.
+    chosen = classes.groupBy("rep").agg(F.sum("n").alias("n")).join(groups.withColumnRenamed("id", "rep"), "rep").select("rep", "n", F.col("component").alias("grp"))
+    chosen = write_shared(chosen, "grouped")
+    # Sizes are written before the join: it then deals both sides anew, and Spark can split a group that holds most rows.
+    sizes = write_shared(chosen.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens")).where("size > 1"), "group-sizes")
     slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("tokens") / SLICE_TOKENS)).cast("int")
-    chosen = write_shared(chosen.join(sizes, "grp").select("rep", "grp", slices.alias("slices")).distinct(), "candidates")
+    chosen = write_shared(chosen.join(sizes, "grp").select("rep", "grp", slices.alias("slices")), "candidates")
 
     # Rows that repeat an id are versions of it: the sets of all of them are compared under that id.
     members = named.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "grp", "slices", "text")
     members = members.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
-    linked = connected_components(group_links(members, percent, width)).withColumnRenamed("id", "rep")
+    linked = connected_components(group_links(members, percent, width, order)).withColumnRenamed("id", "rep")
     labelled = classes.join(linked, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return sets.join(labelled, key, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
