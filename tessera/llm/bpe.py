@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, arrow_batches, discard, share_file, table, write_shared
+from tessera.llm.common import Memo, arrow_batches, discard, most_frequent, share_file, table, write_shared
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words in the lexicon.
@@ -245,10 +245,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def frequent_words(docs: DataFrame, path: str, most: int, text_col: str = "text") -> list[str]:
-    """The words of the whole corpus that occur more often than all but about `most` others.
-
-    A histogram of the counts finds the least count (beyond 256: the least sixteenth of an octave) from which on at most
-    `most` words are left; only those words reach the driver, whatever the number of partitions."""
+    """The most frequent words of the whole corpus, `most` at most (see `most_frequent`); only those reach the driver."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunks = bpe(path).words, Counter()
@@ -270,18 +267,10 @@ def frequent_words(docs: DataFrame, path: str, most: int, text_col: str = "text"
         yield summed()
 
     arrow_batches(docs.sparkSession)
-    level = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor(16 * F.log2(F.col("n") / 256))).alias("level")
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = write_shared(found.select("word", level), "bpe-words")
-    left, cut = most, 0
-    for r in sorted(found.groupBy("level").count().collect(), reverse=True):  # at most some 900 levels
-        left -= r["count"]
-        if left < 0:
-            cut = r.level
-            break
-    words_ = [r.word for r in found.where(F.col("level") > cut).select("word").collect()]
+    found = write_shared(docs.select(F.col(text_col).cast("string")).mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    words_ = sorted(r.word for r in most_frequent(found, most).select("word").collect())
     discard(found)
-    return sorted(words_)
+    return words_
 
 
 def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_col: str = "text") -> str:

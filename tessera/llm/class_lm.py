@@ -2,29 +2,33 @@
 
 Words are lower-cased in A-Z and split at ASCII white space; each text ends in an end token. Word counts
 come from all training texts. The clustering starts with symbols: the end token, the most frequent words (at
-most `WORDS`, of `LEAST` occurrences or more) and, for all other words, `SHAPES` buckets of word endings, so
-that the table that reaches the driver is bounded by symbols squared. Exchange clustering moves each symbol
-to the class that raises the class-bigram likelihood most, until a sweep moves none. Each remaining word of
-`LEAST` training occurrences or more is then placed on its own: the classes before and after each of its
-occurrences are gathered by word over the whole corpus, and it takes the class under which they are most
-likely. Only words that occur once or never in training keep the class of their ending. The class bigrams
-are counted again with the final classes. A token's probability is
+most `WORDS`) and, for all other words, `SHAPES` buckets of word endings, so that the table that reaches the
+driver is bounded by symbols squared. Exchange clustering moves each symbol to the class that raises the
+class-bigram likelihood most, until a sweep moves none. Every other training word is then placed on its own,
+words of one occurrence included: the classes before and after each of its occurrences are gathered by word
+over the whole corpus, and it takes the class under which they are most likely. The class bigrams are counted
+again with the final classes. A token's probability is
     weight * P(class | class before) * P(word | class) + (1 - weight) * P(word),
-both word probabilities with add-one smoothing and one unseen word (in each class), the weight by EM.
+both word probabilities with add-one smoothing and one unseen word (in each class), the weight by EM on
+leave-one-out probabilities: each training token is predicted from counts without itself. A word that training
+does not have takes the class that most endings have.
 
-Only the counts of a text's own words are needed to score it, but the vocabulary grows with the corpus.
-Texts are therefore tokenised into blocks with a vocabulary of their own; a window over the words adds up
-the blocks' counts, and each block gets back the counts and classes of its words - nothing is broadcast
-but the class tables and the symbols.
+Only the counts of a text's own words are needed to score it, but the vocabulary grows with the corpus. Texts
+are therefore tokenised into blocks with a vocabulary of their own; the blocks' words are dealt by word, where
+their counts and neighbours add up, and each block gets back the counts and classes of its words - nothing is
+broadcast but the class tables and the symbols. Of a common word, each block has one row, and its neighbours
+travel with frequent words' classes known before, so that only rarer words carry any.
 
 Null texts count as empty (one end token); without training rows every token has probability 1 / 1 (N = V
 = 0) and the class table is uniform; rows with null doc_id are training rows; repeated rows count as often
-as they occur; an empty table gives an empty result; extra columns are ignored.
+as they occur; a text of any length is one row of two bytes a token, twice; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,19 +36,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import utf8
-from tessera.llm.common import arrow_batches, table, write_shared
+from tessera.llm.common import Memo, arrow_batches, discard, most_frequent, table, write_shared
 from tessera.llm.language_id import held_out
 
-WORDS, SHAPES, CLASSES, LEAST = 511, 256, 64, 2
+WORDS, SHAPES, CLASSES = 511, 256, 64
 SYMBOLS = 1 + WORDS + SHAPES
 #: Tokens in a block, about.
 BLOCK_TOKENS = 4_000_000
-MEMO_WORDS = 1_000_000
-_BLOCKS = "block long, doc_id long, train boolean, low binary, high binary, idx int, word binary, n long"
+#: Bits of a word's place in its block, and of a block's number in its task.
+IDX_BITS, BLOCK_BITS = 24, 16
+_BLOCKS = "kind string, block long, doc_id long, train boolean, low binary, high binary, at long, hash long, n int, near binary"
 
 
 def shape(word: bytes) -> int:
@@ -57,23 +62,62 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def tokenised_blocks(docs: DataFrame, train: Column) -> DataFrame:
-    """One row for each text (its words as places in the block's vocabulary) and for each word of each block (n: in training texts)."""
+def training_counts(docs: DataFrame) -> DataFrame:
+    """(hash, n) of each word of the texts of `docs`."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def summed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["hash", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for raw in utf8(batch.column(0)):
+                seen.update((raw or b"").lower().split())
+            if len(seen) > 300_000:
+                yield summed()
+        yield summed()
+
+    arrow_batches(docs.sparkSession)
+    return docs.select(F.col("text").cast("string")).mapInArrow(rows, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def tokenised_blocks(docs: DataFrame, train: Column, first: FirstClasses) -> DataFrame:
+    """One row for each text (its words as places in the block's vocabulary) and for each word of each block.
+
+    at: block and place; n: occurrences in training texts; near, for words that are to be placed: the classes before
+    and after, a byte each, of those occurrences."""
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    shared = docs.sparkSession.sparkContext.broadcast(first)  # symbols
 
     def batch_of(size: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
+        block = TaskContext.get().partitionId() << BLOCK_BITS
         vocab: dict[bytes, int] = {}
-        counts = np.zeros(1 << 16, np.int64)
-        held = 0
-
-        def words_of_block() -> pa.RecordBatch:
-            n = len(vocab)
-            return batch_of(n, block=np.full(n, block), idx=np.arange(n, dtype=np.int32), word=list(vocab), n=counts[:n])
+        known_ids: list[np.ndarray] = []
+        held, none = 0, np.zeros(1, np.int64)
+
+        def words_of_block() -> Iterator[pa.RecordBatch]:
+            words, m = list(vocab), len(vocab)
+            hashes = np.fromiter(map(word_hash, words), np.int64, m)
+            of, asked = np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
+            of[1:], asked[1:] = shared.value.of(hashes, np.fromiter(map(shape, words), np.int64, m))
+            ids = np.concatenate([none, *known_ids, none])
+            times = np.bincount(ids, minlength=m + 1)
+            here = np.flatnonzero(asked[ids])
+            here = here[np.argsort(ids[here], kind="stable")]
+            of = of.astype(np.uint8)[ids]
+            data = np.stack([of[here - 1], of[here + 1]], 1).tobytes()
+            end = np.r_[0, np.cumsum(np.where(asked, 2 * times, 0)[1:])]
+            near = pa.LargeBinaryArray.from_buffers(pa.large_binary(), m, [None, pa.py_buffer(end.astype(np.int64)), pa.py_buffer(data)])
+            for lo in range(0, m, 50_000):
+                k = min(50_000, m - lo)
+                yield batch_of(k, kind=["word"] * k, at=(block << IDX_BITS) + np.arange(lo, lo + k), hash=hashes[lo : lo + k], n=times[lo + 1 : lo + 1 + k].astype(np.int32), near=near.slice(lo, k).cast(pa.binary()))
 
         for batch in batches:
             low, high = [], []
@@ -81,42 +125,22 @@ def tokenised_blocks(docs: DataFrame, train: Column) -> DataFrame:
                 words = (raw or b"").lower().split()
                 ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.uint32, len(words))
                 held += len(ids)
-                if len(vocab) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(2 * len(vocab) - len(counts), np.int64)])
-                if known and len(ids):
-                    at, times = np.unique(ids, return_counts=True)
-                    counts[at] += times
+                if known:
+                    known_ids += [ids.astype(np.int64) + 1, none]
                 low.append((ids & 0xFFFF).astype("<u2").tobytes())
                 high.append((ids >> 16).astype("<u2").tobytes())
             n = batch.num_rows
-            yield batch_of(n, block=np.full(n, block), doc_id=batch.column(0), train=batch.column(1), low=low, high=high)
+            yield batch_of(n, kind=["text"] * n, block=np.full(n, block), doc_id=batch.column(0), train=batch.column(1), low=low, high=high)
             if held >= BLOCK_TOKENS:
-                yield words_of_block()
-                vocab, counts, held, block = {}, np.zeros(1 << 16, np.int64), 0, block + 1
+                yield from words_of_block()
+                vocab, known_ids, held, block = {}, [], 0, block + 1
         if vocab:
-            yield words_of_block()
+            yield from words_of_block()
 
     arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), train.alias("train"), F.col("text").cast("string")).mapInArrow(rows, _BLOCKS)
 
 
-def word_table(blocks: DataFrame) -> DataFrame:
-    """(block, idx, c, lead, hash, shape): the corpus count of each word of each block; lead: the word's first row; hash: from LEAST on."""
-    by_word = Window.partitionBy("word")
-    counted = blocks.where(F.col("word").isNotNull()).select("block", "idx", "word", "n")
-    counted = counted.withColumns({"lead": F.row_number().over(by_word.orderBy("block", "idx")) == 1, "c": F.sum("n").over(by_word)})
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, c = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            hashes = [word_hash(w) if n >= LEAST else None for w, n in zip(words, c, strict=True)]
-            cols = [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(hashes, pa.int64()), pa.array([shape(w) for w in words], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "idx", "c", "lead", "hash", "shape"])
-
-    arrow_batches(blocks.sparkSession, 20_000)
-    return counted.select("block", "idx", "word", "c", "lead").mapInArrow(marked, "block long, idx int, c long, lead boolean, hash long, shape int")
-
-
 @dataclass
 class Symbols:
     """Places of the frequent words by hash; 0 is the end token, buckets of endings follow the words."""
@@ -131,15 +155,8 @@ def symbol_bigrams(docs: DataFrame, symbols: Symbols) -> np.ndarray:
     """Counts of neighbouring symbols in the texts of `docs`, an end token before and after each."""
     shared = docs.sparkSession.sparkContext.broadcast(symbols)  # at most WORDS entries
 
-    class Memo(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            s = self[word] = shared.value.of(word)
-            return s
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = Memo(), np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        memo, total = Memo(shared.value.of), np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for batch in batches:
             parts = [np.zeros(1, np.int64)]
             for raw in utf8(batch.column(0)):
@@ -206,12 +223,6 @@ def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray
     return of
 
 
-def texts_and_words(blocks: DataFrame, words: DataFrame):
-    """Pairs of a block's texts and its words."""
-    texts = blocks.where(F.col("low").isNotNull()).select("block", "doc_id", "train", "low", "high")
-    return texts.groupBy("block").cogroup(words.groupBy("block"))
-
-
 def token_places(low: bytes, high: bytes) -> np.ndarray:
     """Places in the block's vocabulary from 1 on, an end token (0) last."""
     ids = np.zeros(len(low) // 2 + 1, np.int64)
@@ -238,20 +249,23 @@ class FirstClasses:
         by = np.argsort(hashes)
         return cls(hashes[by], of[1 : 1 + len(hashes)][by], of[1 + WORDS :], transitions(pairs), pairs.sum(0))
 
-    def of(self, hashes: pa.Array, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class of each word, whether it is to be placed on its own)."""
-        named = ~hashes.is_null().to_numpy(zero_copy_only=False)
-        h, k = hashes.fill_null(0).to_numpy(zero_copy_only=False), self.of_shape[shapes]
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        frequent = named & (self.hashes[at] == h) if len(self.hashes) else np.zeros(len(h), bool)
+        k = self.of_shape[shapes]
+        if not len(self.hashes):
+            return k, np.ones(len(k), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        frequent = self.hashes[at] == hashes
         k[frequent] = self.of_hash[at[frequent]]
-        return k, named & ~frequent
+        return k, ~frequent
 
     def best(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The likeliest class of words with such counts of classes before and after."""
         log = np.log(self.step)
         gain = left @ log + right @ log.T - left.sum(1, keepdims=True) * np.log(self.held + 1)
         gain[:, 0] = -np.inf
+        unseen = ~(left.any(1) | right.any(1))
+        gain[unseen] = np.bincount(self.of_shape, minlength=len(self.held))
         return gain.argmax(1)
 
 
@@ -264,98 +278,60 @@ def chunk_of(x: pa.ChunkedArray) -> pa.Array:
     return x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks)
 
 
-def word_neighbours(blocks: DataFrame, words: DataFrame, first: FirstClasses) -> DataFrame:
-    """(block, idx, hash, near) of each word of a block that is to be placed; near: the classes before and after, a byte each, of its training occurrences in the block."""
-    shared = blocks.sparkSession.sparkContext.broadcast(first)  # symbols
-
-    def near(texts: pa.Table, vocab: pa.Table) -> pa.Table:
-        idx, hashes = vocab["idx"].to_numpy(), chunk_of(vocab["hash"])
-        k, asked = np.zeros(len(idx) + 1, np.int64), np.zeros(len(idx) + 1, bool)
-        k[idx + 1], asked[idx + 1] = shared.value.of(hashes, vocab["shape"].to_numpy())
-        known = texts.filter(texts["train"])
-        found = [token_places(*x) for x in zip(known["low"].to_pylist(), known["high"].to_pylist(), strict=True)]
-        ids = np.concatenate([np.zeros(1, np.int64), *found])
-        at = np.flatnonzero(asked[ids])
-        at = at[np.argsort(ids[at], kind="stable")]
-        of = k[ids].astype(np.uint8)
-        data = np.stack([of[at - 1], of[at + 1]], 1).tobytes()
-        size = 2 * np.bincount(ids[at], minlength=len(k))
-        place = np.flatnonzero(asked)
-        end = np.r_[0, np.cumsum(size[place])]
-        by = np.zeros(len(k), np.int64)
-        by[idx + 1] = np.arange(len(idx))
-        kept = hashes.take(pa.array(by[place]))
-        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(end.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-        block = chunk_of(vocab["block"])[:1].to_pylist() * len(place)
-        return pa.Table.from_arrays([pa.array(block, pa.int64()), pa.array((place - 1).astype(np.int32)), kept, column], names=["block", "idx", "hash", "near"])
-
-    return texts_and_words(blocks, words.select("block", "idx", "hash", "shape")).applyInArrow(near, "block long, idx int, hash long, near binary")
-
-
-_CLASSED = "block long, idx int, c long, lead boolean, class int"
-
-
-def placed_words(neighbours: DataFrame, first: FirstClasses) -> DataFrame:
-    """The class of each word that is placed on its own, for each block that has it."""
-    spark = neighbours.sparkSession
-    shared = spark.sparkContext.broadcast(first)  # symbols
+#: A word's count, class and lead (whether the row is the first of its word) in one number.
+_VALUE = "at long, value long"
+
+
+def placed_words(words: DataFrame, first: FirstClasses) -> DataFrame:
+    """(at, value) of each word of each block: its corpus count and its class, by the neighbours of all its occurrences."""
+    shared = words.sparkSession.sparkContext.broadcast(first)  # symbols
     classes = len(first.step)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         none = np.zeros(0, np.int64)
-        held = none, none, none, np.zeros((2, classes))  # the rows of the last word so far: block, idx, hash; its counts
+        held = none, none, none, np.zeros((2, classes))  # the last word so far: at and hash of its rows, n; its neighbours
+        frequent = {int(h): int(k) for h, k in zip(m.hashes, m.of_hash, strict=True)}
 
-        def judged(block: np.ndarray, idx: np.ndarray, group: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        def judged(at: np.ndarray, h: np.ndarray, group: np.ndarray, c: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
             lead = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-            k, c = shared.value.best(near[0], near[1]), near[0].sum(1).astype(np.int64)
-            cols = [pa.array(block), pa.array(idx.astype(np.int32)), pa.array(c[group]), pa.array(lead), pa.array(k[group].astype(np.int32))]
-            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _CLASSED.split(", ")])
+            k = m.best(near[0], near[1])
+            for i, x in enumerate(h[lead].tolist()):
+                if x in frequent:
+                    k[i] = frequent[x]
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[group] << 9 | lead.astype(np.int64) << 8 | k[group])], names=["at", "value"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = batch.column(3).to_pylist()
-            times = np.r_[np.zeros(len(held[0]), np.int64), [len(x) // 2 for x in near]].astype(np.int64)
-            block, idx, h = (np.r_[old, batch.column(i).to_numpy()] for i, old in enumerate(held[:3]))
+            raw = batch.column(3).to_pylist()
+            times = np.r_[np.zeros(len(held[0]), np.int64), [len(x) // 2 for x in raw]].astype(np.int64)
+            at, h, n = (np.r_[old, batch.column(i).to_numpy().astype(np.int64)] for i, old in enumerate(held[:3]))
             group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
-            pairs = np.frombuffer(b"".join(near), np.uint8).reshape(-1, 2).astype(np.int64)
-            n, owner = int(group[-1]) + 1, np.repeat(group, times)
-            counts = np.stack([np.bincount(owner * classes + pairs[:, side], minlength=n * classes).reshape(n, classes) for side in (0, 1)]).astype(float)
-            counts[:, 0] += held[3]
-            done = group < n - 1
-            yield judged(block[done], idx[done], group[done], counts[:, : n - 1])
-            held = block[~done], idx[~done], h[~done], counts[:, n - 1]
+            pairs = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 2).astype(np.int64)
+            size, owner = int(group[-1]) + 1, np.repeat(group, times)
+            near = np.stack([np.bincount(owner * classes + pairs[:, side], minlength=size * classes).reshape(size, classes) for side in (0, 1)]).astype(float)
+            near[:, 0] += held[3]
+            c = np.bincount(group, n, size).astype(np.int64)
+            done = group < size - 1
+            yield judged(at[done], h[done], group[done], c[: size - 1], near[:, : size - 1])
+            held = at[~done], h[~done], n[~done], near[:, size - 1]
         if len(held[0]):
-            yield judged(held[0], held[1], np.zeros(len(held[0]), np.int64), held[3][:, None])
-
-    arrow_batches(spark, 10_000)
-    return neighbours.repartition("hash").sortWithinPartitions("hash").mapInArrow(rows, _CLASSED)
+            yield judged(held[0], held[1], np.zeros(len(held[0]), np.int64), held[2].sum(keepdims=True), held[3][:, None])
 
+    arrow_batches(words.sparkSession, 10_000)
+    return words.select("at", "hash", "n", "near").repartition("hash").sortWithinPartitions("hash").mapInArrow(rows, _VALUE)
 
-def other_words(words: DataFrame, first: FirstClasses) -> DataFrame:
-    """The class of each word that keeps its symbol's, for each block that has it."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(first)  # symbols
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, asked = shared.value.of(batch.column(4), batch.column(5).to_numpy())
-            cols = [*batch.columns[:4], pa.array(k.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _CLASSED.split(", ")]).filter(pa.array(~asked))
-
-    arrow_batches(spark, 20_000)
-    return words.select("block", "idx", "c", "lead", "hash", "shape").mapInArrow(rows, _CLASSED)
-
-
-def classed_texts(blocks: DataFrame, words: DataFrame, ends: int) -> DataFrame:
+def classed_texts(texts: DataFrame, words: DataFrame, ends: int) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, gain, classes) of each text; gain: the sum of log10(c + 1); classes: a byte for each token."""
     schema = "doc_id long, train boolean, n_tokens long, n_known long, gain double, classes binary"
 
     def classed(texts: pa.Table, vocab: pa.Table) -> pa.Table:
-        idx = vocab["idx"].to_numpy()
+        idx, value = vocab["at"].to_numpy() & ((1 << IDX_BITS) - 1), vocab["value"].to_numpy()
         c, k = np.zeros(len(idx) + 1, np.int64), np.zeros(len(idx) + 1, np.uint8)
         c[0] = ends
-        c[idx + 1], k[idx + 1] = vocab["c"].to_numpy(), vocab["class"].to_numpy()
+        c[idx + 1], k[idx + 1] = value >> 9, (value & 0xFF).astype(np.uint8)
         gain, known = np.log10(c + 1.0), c > 0
         found = [token_places(*x) for x in zip(texts["low"].to_pylist(), texts["high"].to_pylist(), strict=True)]
         cols = [
@@ -364,7 +340,9 @@ def classed_texts(blocks: DataFrame, words: DataFrame, ends: int) -> DataFrame:
         ]
         return pa.Table.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
-    return texts_and_words(blocks, words.select("block", "idx", "c", "class")).applyInArrow(classed, schema)
+    arrow_batches(texts.sparkSession)
+    blocks = texts.select("block", "doc_id", "train", "low", "high").groupBy("block")
+    return blocks.cogroup(words.select(F.shiftright("at", IDX_BITS).alias("block"), "at", "value").groupBy("block")).applyInArrow(classed, schema)
 
 
 def class_bigrams(texts: DataFrame, classes: int = CLASSES) -> np.ndarray:
@@ -392,6 +370,7 @@ class ClassModel:
     bonus: np.ndarray
     tokens: int
     types: int
+    weight: float
 
     @property
     def base(self) -> float:
@@ -403,26 +382,24 @@ def class_model(pairs: np.ndarray, types_of: np.ndarray, tokens: int) -> ClassMo
     types = int(types_of.sum())
     room = pairs.sum(0) + types_of + 1  # add-one smoothing with one unseen word in each class
     a, b = transitions(pairs) / room[None, :], 1 / (tokens + types + 1)
-    weight = 0.5
+    # Leaving one out: a token's own pair, and its own place in its class and in the corpus, do not count; c + 1 becomes c in both parts.
+    seen = pairs > 0
+    rest = (np.where(seen, pairs - 1, 0) + 0.1) / (pairs.sum(1, keepdims=True) - 1 + 0.1 * len(pairs)).clip(0.1) / (room - 1).clip(1)[None, :]
+    weight, other = 0.5, 1 / max(tokens + types, 1)
     for _ in range(30 if pairs.sum() else 0):
-        weight = float((pairs * (weight * a / (weight * a + (1 - weight) * b))).sum() / pairs.sum())
+        weight = float((pairs * (weight * rest / (weight * rest + (1 - weight) * other))).sum() / pairs.sum())
     weight = min(weight, 0.99)
-    return ClassModel(np.log10(weight * a + (1 - weight) * b), tokens, types)
+    return ClassModel(np.log10(weight * a + (1 - weight) * b), tokens, types, weight)
 
 
-def learn_classes(docs: DataFrame, words: DataFrame) -> FirstClasses:
-    """docs: the training rows; words: their `word_table`, read from storage."""
-    lead = words.where(F.col("lead") & F.col("hash").isNotNull())
-    frequent = [r.hash for r in lead.orderBy(F.desc("c"), "hash").limit(WORDS).collect()]
+def learn_classes(docs: DataFrame) -> FirstClasses:
+    """docs: the training rows."""
+    counts = write_shared(training_counts(docs), "lm-counts")
+    frequent = sorted(r.hash for r in most_frequent(counts, WORDS).select("hash").collect())
+    discard(counts)
     return FirstClasses.learn(symbol_bigrams(docs, Symbols({h: i + 1 for i, h in enumerate(frequent)})), frequent)
 
 
-def word_classes(blocks: DataFrame, words: DataFrame, first: FirstClasses) -> DataFrame:
-    """(block, idx, c, lead, class) of each word of each block; lead: one row of each word."""
-    placed = write_shared(placed_words(word_neighbours(blocks, words, first), first), "lm-placed")
-    return other_words(words, first).unionByName(placed)
-
-
 def score_texts(texts: DataFrame, model: ClassModel) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of each text."""
     shared = texts.sparkSession.sparkContext.broadcast(model)  # classes squared
@@ -444,17 +421,22 @@ def score_texts(texts: DataFrame, model: ClassModel) -> DataFrame:
 
 def class_lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     """Learns from the rows where `train` holds and scores all rows of docs (doc_id, text)."""
-    blocks = write_shared(tokenised_blocks(docs, train), "lm-blocks")
-    words = write_shared(word_table(blocks), "lm-words")
-    ends = blocks.where(F.col("low").isNotNull() & F.col("train")).count()
-    classed = word_classes(blocks, words, learn_classes(docs.where(train), words))
-    texts = write_shared(classed_texts(blocks, classed, ends), "lm-classed")
+    first = learn_classes(docs.where(train))
+    blocks = write_shared(tokenised_blocks(docs, train, first), "lm-blocks", "kind")
+    texts, words = blocks.where("kind = 'text'"), blocks.where("kind = 'word'")
+    ends = texts.where("train").count()
+    placed = write_shared(placed_words(words, first), "lm-placed")
+    discard(blocks, part="kind=word")
+    classed = write_shared(classed_texts(texts, placed, ends), "lm-classed")
+    discard(blocks, part="kind=text")
     types_of, tokens = np.zeros(CLASSES, np.int64), ends
     types_of[0] = ends > 0
-    for r in classed.where(F.col("lead") & (F.col("c") > 0)).groupBy("class").agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("c")).collect():  # at most CLASSES rows
+    lead = placed.where(F.col("value").bitwiseAND(256) != 0).select(F.col("value").bitwiseAND(255).alias("class"), F.shiftright("value", 9).alias("c")).where("c > 0")
+    for r in lead.groupBy("class").agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("c")).collect():  # at most CLASSES rows
         types_of[r["class"]] += r.types
         tokens += r.c
-    return score_texts(texts, class_model(class_bigrams(texts), types_of, tokens))
+    discard(placed)
+    return score_texts(classed, class_model(class_bigrams(classed), types_of, tokens))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -39,20 +39,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back, which cuts its lineage."""
+def write_shared(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes a DataFrame to the shared folder, into a folder for each value of `by`, and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes what `write_shared` wrote for these tables, once nothing that has yet to run reads them."""
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (n, other columns; read from storage) whose n is greater than that of all but at most `most`.
+
+    A histogram of n finds the least count (beyond 256: the least sixteenth of an octave) from which on at most `most` rows
+    are left, so that what is collected of them does not grow with the number of partitions."""
+    level = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor(16 * F.log2(F.col("n") / 256)))
+    left, cut = most, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most some 900 levels
+        left -= r["count"]
+        if left < 0:
+            cut = r.level
+            break
+    return counts.where(level > cut)
+
+
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Deletes what `write_shared` wrote for these tables, or one folder (name=value) of each, once nothing that has yet to run reads it."""
     for df in tables:
         spark = df.sparkSession
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not folder.endswith(part):
+                continue
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 

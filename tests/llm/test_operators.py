@@ -264,31 +264,49 @@ def test_op1(got, documents):
     assert held and full > base
 
 
-def test_op1_rare_words(spark, monkeypatch):
-    """Words of five occurrences, alike in their endings and far from the most frequent, get their classes by what stands around them."""
+def test_op1_rare_words(spark):
+    """Words of one to five occurrences, alike in their endings and far from the most frequent, get their classes by what stands around them."""
     from tessera.llm import class_lm
+    from tessera.llm.common import write_shared
 
-    seen = []
-    monkeypatch.setattr(class_lm, "word_classes", lambda *a, f=class_lm.word_classes: seen.append((a[0], f(*a))) or seen[-1][1])
     rng = np.random.default_rng(2)
-    kinds = [[f"{kind}{k}ing" for k in range(800) for _ in range(5)] for kind in "nv"]
+    kinds = [[f"{kind}{k}ing" for k in range(800) for _ in range(1 + k % 5)] for kind in "nv"]
     for x in kinds:
         rng.shuffle(x)
-    docs = [(i, " ".join(f"the {n} of to {v} it" for n, v in zip(kinds[0][i::400], kinds[1][i::400], strict=True))) for i in range(400)]
-    out = class_lm.class_lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(True)).toPandas()
-    assert len(out) == 400 and (out.score > out.base_score).all()
-    blocks, classed = seen[0]
-    named = classed.join(blocks.where("word is not null").select("block", "idx", "word"), ["block", "idx"]).toPandas()
-    named["word"] = [bytes(w).decode() for w in named.word]
-    of = named[named.word.str.endswith("ing")].groupby("word")["class"].agg(set)
+    docs = [(i, " ".join(f"the {n} of to {v} it" for n, v in zip(kinds[0][i::240], kinds[1][i::240], strict=True))) for i in range(240)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    out = class_lm.class_lm_scores(table, F.lit(True)).toPandas()
+    assert len(out) == 240 and (out.score > out.base_score).all()
+    first = class_lm.learn_classes(table)
+    words_ = write_shared(class_lm.tokenised_blocks(table, F.lit(True), first), "test-blocks").where("kind = 'word'")
+    placed = class_lm.placed_words(words_, first).join(words_.select("at", "hash"), "at").toPandas()
+    name = {class_lm.word_hash(w.encode()): w for _, t in docs for w in t.split()}
+    placed["word"] = placed["hash"].map(name)
+    placed["class"], placed["lead"], placed["c"] = placed["value"] % 256, placed["value"] // 256 % 2, placed["value"] // 512
+    of = placed[placed.word.str.endswith("ing")].groupby("word")["class"].agg(set)
     assert len(of) == 1600 and (of.map(len) == 1).all()
     nouns, verbs = (set().union(*of[of.index.str.startswith(k)]) for k in "nv")
     assert not nouns & verbs
-    lead = named[named["lead"]]
-    assert sorted(lead.word) == sorted({w for _, t in docs for w in t.split()})
+    lead = placed[placed["lead"] == 1]
+    assert sorted(lead.word) == sorted(name.values())
     assert dict(zip(lead.word, lead.c, strict=True)) == Counter(w for _, t in docs for w in t.split())
 
 
+def test_op1_probabilities():
+    """After every class, the class part shares 1 among all words and one unseen word a class, the base part among all words and one unseen word."""
+    from tessera.llm.class_lm import CLASSES, class_model
+
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(1, 9, (CLASSES, CLASSES)).astype(float)
+    types_of = rng.integers(1, 6, CLASSES)
+    m = class_model(pairs, types_of, int(pairs.sum()))
+    room = pairs.sum(0) + types_of + 1  # c + 1 of all words of a class, and 1 for its unseen word
+    total = (10**m.bonus * room[None, :]).sum(1)
+    base = (m.tokens + m.types + CLASSES) / (m.tokens + m.types + 1)
+    assert 0 < m.weight < 1
+    assert total == pytest.approx(m.weight + (1 - m.weight) * base, rel=1e-9)
+
+
 def test_op4(spark, got):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     x = np.stack(vectors.embedding.to_numpy()).astype(float)
