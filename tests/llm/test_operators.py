@@ -307,23 +307,47 @@ def test_op1_probabilities():
     assert total == pytest.approx(m.weight + (1 - m.weight) * base, rel=1e-9)
 
 
-def test_op4(spark, got):
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+@pytest.mark.parametrize("where", [SF, "/root/testdata/sf0.1", "/root/testdata/check_s"])
+def test_op4(spark, got, where):
+    """Recall against brute force; the two larger tables have far more rows than are reranked."""
+    vectors = spark.read.parquet(f"{where}/embeddings.parquet").toPandas()
     x = np.stack(vectors.embedding.to_numpy()).astype(float)
     ids = vectors.vec_id.to_numpy()
-    out = got("op4_permutation_index")
+    out = got("op4_permutation_index", where)
+    at = {i: k for k, i in enumerate(ids)}
     hits = total = 0
     for q in np.flatnonzero(ids % 100 == 0):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         best = [k for k in np.lexsort((ids, d)) if k != q][:10]
         mine = out[out.query_id == ids[q]].sort_values("rank")
         assert list(mine["rank"]) == list(range(1, 11))
-        at = {i: k for k, i in enumerate(ids)}
         assert np.allclose(mine.score, [d[at[i]] for i in mine.vec_id], rtol=1e-12)
+        assert list(zip(mine.score, mine.vec_id, strict=True)) == sorted(zip(mine.score, mine.vec_id, strict=True))
         hits, total = hits + len(set(mine.vec_id) & set(ids[best])), total + 10
+    print(where, hits / total)
     assert hits / total >= 0.9
 
 
+def test_op4_shards(spark):
+    """Several shards, some in one task, repeated ids and vectors of other lengths."""
+    from tessera.llm.vector_search import permutation_search
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(0, rows[0][1]), (0, [9.0] * 8), (5, [1.0, 2.0]), (1000, [3.0] * 9), (100, rows[100][1])]
+    out = permutation_search(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0, k=5, n_pivots=64, order=32, asked=16, rerank=60, shard_rows=100).toPandas()
+    x[0] = min(rows[0][1], [9.0] * 8)
+    hits = 0
+    for q in range(0, 900, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        mine = out[out.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == [1, 2, 3, 4, 5] and mine.vec_id.is_unique and q not in set(mine.vec_id)
+        assert np.allclose(mine.score, d[mine.vec_id], rtol=1e-12)
+        hits += len(set(mine.vec_id) & set(np.argsort(d)[1:6]))
+    assert len(out) == 45 and hits >= 42
+
+
 def test_op4_odd(got, odd):
     out = got("op4_permutation_index", odd)
     assert out[["query_id", "rank", "vec_id"]].to_numpy().tolist() == [[0, 1, 2], [0, 2, 3]]
