@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Memo, arrow_batches, discard, most_frequent, share_file, table, write_shared
 
 WORD_BPE = "word_bpe_49k.json"
+#: Bytes of a task's memory of encoded chunks, and of merged words.
+CHUNK_BYTES, WORD_BYTES = 96 << 20, 64 << 20
 #: Words in the lexicon.
 LEXICON_WORDS = 50_000
 END = "</w>"
@@ -219,12 +221,14 @@ class Encoder(Memo):
     """Ids of white-space-free chunks of UTF-8 text, as little-endian uint32 bytes; one for each task."""
 
     def __init__(self, path: str, lexicon: str | None):
-        super().__init__(self.chunk_ids, 200)
+        super().__init__(self.chunk_ids, 190, CHUNK_BYTES)
         self.model, self.lexicon = bpe(path), mapped_lexicon(lexicon) if lexicon else None
+        self.merged = Memo(lambda word: array("I", self.model.merge(word.encode())).tobytes(), 200, WORD_BYTES)
 
     def word_ids(self, word: str) -> bytes:
-        raw = word.encode()
-        return array("I", (self.lexicon.get(raw) if self.lexicon else None) or self.model.merge(raw)).tobytes()
+        """From the lexicon, and by exact merges where it has no such word."""
+        found = self.lexicon.get(word.encode()) if self.lexicon else None
+        return array("I", found).tobytes() if found else self.merged[word]
 
     def chunk_ids(self, raw: bytes) -> bytes:
         chunk = raw.decode("utf-8")

@@ -124,13 +124,13 @@ class Folder:
 
 
 class Memo(dict):
-    """Values of words, made by `make` and remembered up to MEMO_BYTES; one for each task, so that it ends with the task."""
+    """Values of words, made by `make` and remembered up to `most` bytes; one for each task, so that it ends with the task."""
 
-    def __init__(self, make, entry_bytes: int = 150):
-        self.make, self.held, self.entry_bytes = make, 0, entry_bytes
+    def __init__(self, make, entry_bytes: int = 150, most: int = MEMO_BYTES):
+        self.make, self.held, self.entry_bytes, self.most = make, 0, entry_bytes, most
 
     def __missing__(self, word: bytes):
-        if self.held >= MEMO_BYTES:
+        if self.held >= self.most:
             self.clear()
             self.held = 0
         made = self[word] = self.make(word)
