@@ -5,6 +5,7 @@ Missing is NULL throughout: a frame gives a value only if it holds `n` non-null
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -67,6 +68,33 @@ def pair(f: Callable[[Column, Column], Column], y: str | Column, x: str | Column
     return F.when(F.count(y + x).over(frame(n)) >= n, f(y, x).over(frame(n)))
 
 
+def corr(y: str | Column, x: str | Column, over: WindowSpec | None = None) -> Column:
+    """Correlation of the rows in which both are non-null, as an aggregate or over a frame.
+
+    NULL where either is constant: corr() divides by zero there, and a guard around it does not keep a frame from being evaluated."""
+    y, x = F.when(col(x).isNotNull(), col(y)), F.when(col(y).isNotNull(), col(x))
+    cov, vy, vx = (a.over(over) if over else a for a in (F.covar_pop(y, x), F.var_pop(y), F.var_pop(x)))
+    return F.try_divide(cov, F.sqrt(vy * vx))
+
+
+def pair_corr(y: str | Column, x: str | Column, n: int) -> Column:
+    """`corr` over frames in which both are non-null throughout."""
+    return F.when(F.count(col(y) + col(x)).over(frame(n)) >= n, corr(y, x, frame(n)))
+
+
+# Coefficients of Hart's rational approximation of the lower normal tail, below 1e-14 off.
+_TAIL_UP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_TAIL_DOWN = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function; beyond 7 deviations 0 or 1."""
+    a = F.least(F.abs(x), F.lit(7.0))
+    up, down = (reduce(lambda y, c: y * a + c, coef[1:], F.lit(coef[0])) for coef in (_TAIL_UP, _TAIL_DOWN))
+    tail = F.when(F.abs(x) >= 7, F.lit(0.0)).otherwise(F.exp(-a * a / 2) * up / down)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
+
 def div(a: str | Column, b: str | Column, fill: float | None = 0.0) -> Column:
     """a / b where |b| exceeds EPS, else `fill`."""
     return F.when(F.abs(col(b)) > EPS, col(a) / col(b)).otherwise(F.lit(fill).cast("double"))

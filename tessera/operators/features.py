@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import clip, col, div, frame, lag, least, mean, most, pair, robust_z, roll, running, std, total
+from tessera.functions.exprs import backfilled, clip, col, div, frame, lag, least, mean, most, normal_cdf, pair, pair_corr, robust_z, roll, running, std, total
 
 RETURNS = (1, 2, 3, 5, 7, 10, 14, 20, 28, 50, 60, 100)
 MOVING = (5, 10, 20, 50, 100, 200)
@@ -105,10 +105,17 @@ def volume(df: DataFrame) -> DataFrame:
         "_kyle": F.coalesce(pair(F.regr_slope, "_rz", F.sqrt("volume"), 20), F.lit(0.0)),
         "_obv": F.first("volume").over(running()) + F.sum(F.coalesce(F.signum("_d"), F.lit(0.0)) * F.col("volume")).over(running()),
         "_ad": F.sum(F.when(F.col("rn") > 1, clv * F.col("volume")).otherwise(0.0)).over(running()), "_vpt": clip(F.col("volume") * F.col("_rz"), -1e6, 1e6),
-        "informed_trading_proxy": F.tanh(F.coalesce(pair(F.corr, F.abs("_rz"), "volume", 20), F.lit(0.0))), "_impact": mean(div(F.abs("_rz"), F.sqrt("volume")), 10),
+        "informed_trading_proxy": F.tanh(F.coalesce(pair_corr(F.abs("_rz"), "volume", 20), F.lit(0.0))), "_impact": mean(div(F.abs("_rz"), F.sqrt("volume")), 10),
     }
     df = df.withColumns(out)
-    df = df.withColumns({"volume_zscore20": F.col("vol_z20"), "relative_volume20": F.col("vol_surprise"), "liq_dryness": div(F.lit(1.0), "vol_surprise"), "obv_slope": F.tanh(change(5, "_obv")), "price_impact_persistence": change(5, "_impact")})
+    df = df.withColumns({"volume_zscore20": F.col("vol_z20"), "relative_volume20": F.col("vol_surprise"), "liq_dryness": div(F.lit(1.0), "vol_surprise"), "obv_slope": F.tanh(change(5, "_obv")), "price_impact_persistence": change(5, "_impact"), "liquidity_shock": F.col("vol_surprise") * F.coalesce(div(F.abs("r"), std("r", 20)), F.lit(0.0))})
+    # Order-flow toxicity: volume signed by how far the day's return lies in its normal distribution.
+    df = df.withColumns({"_sg": roll(F.stddev_samp, "_rz", 50, 25), "_nz": div(F.abs(F.coalesce("_d", F.lit(0.0))), spread + 1e-8)})
+    df = df.withColumns({"_sv": F.col("volume") * (2 * normal_cdf(F.col("_rz") / (backfilled("_sg") + 1e-8)) - 1), "_nm": mean("_nz", 20, 10)})
+    df = df.withColumns({"_bs": mean("_sv", 50, 25), "_vm": mean("volume", 50, 25), "_noise": backfilled("_nm")})
+    df = df.withColumn("_vpin", div(F.abs(backfilled("_bs")), backfilled("_vm") + 1e-8))
+    df = robust_z(df, {"_z_vpin": ("_vpin", 100), "_z_noise": ("_noise", 60)})
+    df = df.withColumns({"flow_toxicity_vpin": F.tanh("_z_vpin"), "microstructure_noise": F.tanh("_z_noise")})
     named = {"amihud": "_amihud", "kyle_lambda": "_kyle", "obv": "_obv", "accumulation_distribution": "_ad", "volume_price_trend": "_vpt"}
     df = robust_z(df, {f"_z_{o}": (c, 60) for o, c in named.items()})
     return df.withColumns({o: F.tanh(f"_z_{o}") for o in named})
@@ -136,10 +143,14 @@ def risk(df: DataFrame) -> DataFrame:
     down = F.when(F.count(falls).over(frame(60)) >= 2, F.stddev_pop(falls).over(frame(60))).otherwise(0.0)
     def slope(w: int) -> Column:
         return clip(pair(F.regr_slope, F.col("close"), F.col("rn").cast("double"), w) / (std("close", w) + 1e-9), -5, 5)
+    third = year / 3
+    fall = div("close", most("close", 20), None) - 1
     gains, losses = total(F.greatest(x, F.lit(0.0)), 20), total(F.greatest(-x, F.lit(0.0)), 20)
     omega = F.when(losses < 1e-12, F.lit(10.0)).otherwise(gains / losses)
     c, m2, m3, _ = power_sums("_rz", 60, 60)
     return df.withColumns({
+        "sharpe_proxy": F.tanh(div(mean("r", 60), std("r", 60)) * third), "sortino_proxy": F.tanh(div(mean("r", 60), F.coalesce(std(F.least(x, F.lit(0.0)), 20), F.lit(0.0)) + 1e-9) * third),
+        "calmar_proxy": F.tanh(div(F.coalesce(change(20), F.lit(0.0)), F.abs(fall) + 1e-9) / 2),
         "sharpe_60": clip(mean(x, 60) / (std(x, 60) + 1e-9) * year, -5, 5) / 5, "sortino_60": clip(mean(x, 60) / (down + 1e-9) * year, -5, 5) / 5, "omega_ratio": F.tanh((omega - 1) / 2),
         "ulcer_index": F.sqrt(F.greatest((mean(F.col("close") * F.col("close"), 14) - 2 * F.col("_pk") * mean("close", 14) + F.col("_pk") * F.col("_pk")) / (F.col("_pk") * F.col("_pk")) * 1e4, F.lit(0.0))),
         "tail_ratio": div(roll(lambda v: F.percentile(v, F.lit(0.95)), F.abs(x), 60), roll(lambda v: F.percentile(v, F.lit(0.05)), F.abs(x), 60)), "ret_pos_frac_20": mean((x > 0).cast("double"), 20),
@@ -158,17 +169,26 @@ def market(df: DataFrame) -> DataFrame:
         "market_regime": ((F.col("mv") > mean("mv", 50)) & (mr > 0)).cast("double"), "regime_strength": mr * F.col("mv"), "market_trend": mean("mr", 20), "market_vol_trend": mean("mv", 20), "breadth_adj_market": mr * F.col("mb"),
         "spy_return": mr, "spy_volatility": F.col("mv"), "spy_drawdown": (mr - most("mr", 20)) / (F.abs(most("mr", 20)) + 1e-9), "spy_rsi": rsi("mr", 14), "market_breadth": F.col("mb"),
         "advance_decline_ratio": F.least(F.greatest(F.col("mb"), F.lit(0.0)) / F.greatest(1 - F.col("mb"), F.lit(1e-9)), F.lit(1e6)),
-        "correlation_spy20": F.coalesce(pair(F.corr, "_rz", "mr", 20), F.lit(0.0)), "correlation_spy60": F.coalesce(pair(F.corr, "_rz", "mr", 60), F.lit(0.0)), "return_vs_spy20": change(20) - 20 * mean("mr", 20),
+        "correlation_spy20": F.coalesce(pair_corr("_rz", "mr", 20), F.lit(0.0)), "correlation_spy60": F.coalesce(pair_corr("_rz", "mr", 60), F.lit(0.0)), "return_vs_spy20": change(20) - 20 * mean("mr", 20),
         "cov_spy_10": F.tanh(100 * F.col("_cov10")), "cov_spy_20": F.tanh(100 * F.col("_cov20")), "cov_spy_60": F.tanh(100 * F.col("_cov60")),
         "residual_volatility": std("_res", 20), "rolling_alpha": mean("_res", 20), "tracking_error": std(F.col("_rz") - mr, 20),
         "beta_decay": F.tanh(clip(div(F.col("_beta20") - F.col("_beta60"), F.abs("_beta60")), -3, 3)),
     })
 
 
+def coded(df: DataFrame, name: str) -> DataFrame:
+    """Adds _code_<name>: the lexicographic place of a value among the few distinct ones; -1 where missing."""
+    codes = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn(f"_code_{name}", F.row_number().over(Window.orderBy(name)) - 1)  # few values
+    return df.join(codes, name, "left").withColumn(f"_code_{name}", F.coalesce(f"_code_{name}", F.lit(-1)))
+
+
 def sector(df: DataFrame) -> DataFrame:
-    codes = df.select("sector").where("sector is not null").distinct().withColumn("_code", F.row_number().over(Window.orderBy("sector")) - 1)  # few values
-    df = df.join(codes, "sector", "left")
-    return df.withColumns({"return_vs_sector20": change(20) - mean("sr", 20), "sector_momentum_60": mean("sr", 60), "market_percentile_return": F.col("cs_return_rank"), "sector_code": F.coalesce(F.col("_code"), F.lit(-1)) / 20.0})
+    df = coded(df, "sector")
+    df = coded(df, "exchange") if "exchange" in df.columns else df.withColumn("_code_exchange", F.lit(0))
+    return df.withColumns({
+        "return_vs_sector20": change(20) - mean("sr", 20), "sector_momentum_60": mean("sr", 60), "market_percentile_return": F.col("cs_return_rank"),
+        "sector_code": F.col("_code_sector") / 20.0, "exchange_code": F.col("_code_exchange") / 5.0,
+    })
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -220,11 +240,11 @@ def complexity(df: DataFrame) -> DataFrame:
 FAMILIES = {
     "momentum": (momentum, [*(f"return_{k}d" for k in RETURNS), "mom_5", "mom_10", "mom_20", "mom_60", "rsi14", "rsi7", "rsi21", "rsi_divergence", *(f"price_to_ma{w}" for w in MOVING), "price_pct_52w", "price_to_sma200", "price_accel", "momentum_decay", "vol_adjusted_mom_20", "volume_weighted_mom", "vwm_fast", "momentum_quality"]),
     "volatility": (volatility, ["realized_vol_5", "realized_vol_10", "realized_vol_20", "realized_vol_60", "realized_vol_120", "realized_vol_252", "vol_regime", "vol_of_vol", "vol_ratio_5_20", "vol_ratio_20_60", "vol_ratio_60_120", "parkinson_vol", "garman_klass_vol", "downside_dev20", "upside_dev20", "vol_skew_proxy", "skew20", "kurt20", "skew60", "vol_breakout", "shock", "range_expansion", "jump_intensity", "var_ratio"]),
-    "volume": (volume, ["vol_z20", "volume_zscore20", "vol_surprise", "relative_volume20", "relative_volume60", "volume_trend", "turnover_ratio", "average_daily_volume", "dollar_flow", "volume_percentile252", "liq_trend", "liq_accel", "liq_dryness", "chaikin_money_flow", "money_flow_index", "orderflow_imbalance", "vwap_deviation", "amihud", "kyle_lambda", "obv", "obv_slope", "accumulation_distribution", "volume_price_trend", "informed_trading_proxy", "price_impact_persistence"]),
+    "volume": (volume, ["vol_z20", "volume_zscore20", "vol_surprise", "relative_volume20", "relative_volume60", "volume_trend", "turnover_ratio", "average_daily_volume", "dollar_flow", "volume_percentile252", "liq_trend", "liq_accel", "liq_dryness", "chaikin_money_flow", "money_flow_index", "orderflow_imbalance", "vwap_deviation", "amihud", "kyle_lambda", "obv", "obv_slope", "accumulation_distribution", "volume_price_trend", "informed_trading_proxy", "price_impact_persistence", "liquidity_shock", "flow_toxicity_vpin", "microstructure_noise"]),
     "price_action": (price_action, ["bid_ask_proxy", "hl_spread", "oc_return", "body", "close_pos", "upper_shadow", "lower_shadow", "gap", "overnight_gap_ma", "body_percentile", "wick_ratio", "inside_bar", "outside_bar", "breakout", "support", "drawdown", "recovery", "pain_index", "stoch_k", "stoch_d", "stoch_kd_diff", "williams_r", "intraday_range_efficiency"]),
-    "risk": (risk, ["sharpe_60", "sortino_60", "omega_ratio", "ulcer_index", "tail_ratio", "ret_pos_frac_20", "lr_slope_20", "lr_slope_5", "realized_skew_risk", "fractal_dimension"]),
+    "risk": (risk, ["sharpe_proxy", "sortino_proxy", "calmar_proxy", "sharpe_60", "sortino_60", "omega_ratio", "ulcer_index", "tail_ratio", "ret_pos_frac_20", "lr_slope_20", "lr_slope_5", "realized_skew_risk", "fractal_dimension"]),
     "market": (market, ["market_regime", "regime_strength", "market_trend", "market_vol_trend", "breadth_adj_market", "spy_return", "spy_volatility", "spy_drawdown", "spy_rsi", "market_breadth", "advance_decline_ratio", "correlation_spy20", "correlation_spy60", "return_vs_spy20", "cov_spy_10", "cov_spy_20", "cov_spy_60", "residual_volatility", "rolling_alpha", "tracking_error", "beta_decay"]),
-    "sector": (sector, ["cs_return_rank", "market_percentile_return", "return_vs_sector20", "sector_momentum_60", "sector_code"]),
+    "sector": (sector, ["cs_return_rank", "market_percentile_return", "return_vs_sector20", "sector_momentum_60", "sector_code", "exchange_code"]),
     "calendar": (calendar, ["day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos", "week_sin", "week_cos", "month_end", "month_start", "quarter", "dom_norm"]),
     "complexity": (complexity, ["entropy_5", "entropy_20", "entropy_60", "entropy_diff", "rolling_entropy", "hurst_exponent", "calmar_60"]),
 }

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import average_rank
+from tessera.functions.exprs import average_rank, corr
 
 YEAR = math.sqrt(252)
 
@@ -20,12 +21,12 @@ def errors(df: DataFrame, *by: str) -> DataFrame:
     """n, MSE, MAE, IC, direction accuracy."""
     p, t = F.col("p"), F.col("t")
     flat = (F.stddev_pop(p) < 1e-12) | (F.stddev_pop(t) < 1e-12) | (F.count(F.lit(1)) <= 2)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((p - t) * (p - t)).alias("mse"), F.avg(F.abs(p - t)).alias("mae"), F.when(flat, 0.0).otherwise(zero(F.corr(p, t))).alias("ic"), F.avg((F.signum(p) == F.signum(t)).cast("double")).alias("da"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((p - t) * (p - t)).alias("mse"), F.avg(F.abs(p - t)).alias("mae"), F.when(flat, 0.0).otherwise(zero(corr(p, t))).alias("ic"), F.avg((F.signum(p) == F.signum(t)).cast("double")).alias("da"))
 
 
 def rank_ic(df: DataFrame, *by: str) -> DataFrame:
     ranked = df.withColumns({"_p": average_rank("p", *by), "_t": average_rank("t", *by)})
-    return ranked.groupBy(*by).agg(zero(F.corr("_p", "_t")).alias("rank_ic"))
+    return ranked.groupBy(*by).agg(zero(corr("_p", "_t")).alias("rank_ic"))
 
 
 def with_long_short(df: DataFrame, *by: str) -> DataFrame:
@@ -70,7 +71,7 @@ def rolling_ic(df: DataFrame, *by: str, most: int = 500) -> DataFrame:
     rows = rows.withColumn("_h", F.greatest(F.floor(F.col("_w") / 2), F.lit(1)))
     lo, hi = F.greatest(F.ceil((F.col("_i") - F.col("_w") + 1) / F.col("_h")), F.lit(0)), F.floor(F.col("_i") / F.col("_h"))
     rows = rows.where(hi >= lo).withColumn("window", F.explode(F.sequence(lo, hi))).where("window * _h + _w <= _n")
-    return rows.groupBy(*by, "window").agg(F.count(F.lit(1)).alias("n"), zero(F.corr("p", "t")).alias("ic"))
+    return rows.groupBy(*by, "window").agg(F.count(F.lit(1)).alias("n"), zero(corr("p", "t")).alias("ic"))
 
 
 def regime_ic(df: DataFrame, *by: str) -> DataFrame:
@@ -80,6 +81,17 @@ def regime_ic(df: DataFrame, *by: str) -> DataFrame:
     return errors(df.join(cuts, list(by)).withColumn("regime", at), *by, "regime").select(*by, "regime", "n", "ic", "da")
 
 
+def window_metrics(df: DataFrame, *by: str) -> DataFrame:
+    """IC, RankIC, direction accuracy, long-short Sharpe, largest drawdown and quartile spread of each group."""
+    parts = (errors(df, *by).select(*by, "n", "ic", "da"), rank_ic(df, *by), long_short(df, *by).select(*by, "sharpe", "max_dd"), quartile_spread(df, *by))
+    return reduce(lambda a, b: a.join(b, list(by)), parts)
+
+
+def horizon_means(scores: DataFrame, *by: str) -> DataFrame:
+    """Means over the horizons of each window."""
+    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("horizons"), *(F.avg(c).alias(f"{c}_mean") for c in ("ic", "rank_ic", "da", "sharpe")))
+
+
 def wf_summary(scores: DataFrame) -> DataFrame:
     """Across windows (window_id, ic): mean, deviation, share above 0, best and worst window."""
     return scores.agg(F.count(F.lit(1)).alias("windows"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.max_by("window_id", F.struct("ic", "window_id")).alias("best"), F.min_by("window_id", F.struct("ic", "window_id")).alias("worst"))

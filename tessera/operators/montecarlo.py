@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import ordered
+from tessera.functions.exprs import corr, ordered
 from tessera.functions.special import chi2_sf, ks_uniform, minimise
 
 DAYS = 252
@@ -45,7 +45,7 @@ def merton_params(x: DataFrame, z: float = 3.0) -> DataFrame:
 def heston_params(x: DataFrame) -> DataFrame:
     """Moments: persistence of squared returns, long-run and recent variance, correlation of returns with variance moves."""
     y = x.withColumns({"q": F.col("x") * F.col("x"), "back": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("i")))}).withColumns({"q1": F.lead("q").over(Window.partitionBy("symbol").orderBy("i"))})
-    one = y.groupBy("symbol").agg((F.avg("x") * DAYS).alias("mu"), F.var_pop("x").alias("theta"), F.var_pop(F.when(F.col("back") <= 20, F.col("x"))).alias("v0"), F.regr_slope("q1", "q").alias("slope"), F.corr(F.when(F.col("q1").isNotNull(), F.col("x")), F.col("q1") - F.col("q")).alias("rho"))
+    one = y.groupBy("symbol").agg((F.avg("x") * DAYS).alias("mu"), F.var_pop("x").alias("theta"), F.var_pop(F.when(F.col("back") <= 20, F.col("x"))).alias("v0"), F.regr_slope("q1", "q").alias("slope"), corr(F.when(F.col("q1").isNotNull(), F.col("x")), F.col("q1") - F.col("q")).alias("rho"))
     one = one.withColumn("phi", F.greatest(F.lit(-0.98), F.least(F.lit(0.98), F.col("slope"))))
     resid = y.join(one.select("symbol", "phi"), "symbol").groupBy("symbol").agg(F.stddev_pop(F.col("q1") - F.col("phi") * F.col("q")).alias("rs"))
     return one.join(resid, "symbol").select("symbol", "mu", F.greatest(-F.log(F.greatest(F.col("phi"), F.lit(1e-4))) * DAYS, F.lit(1.0)).alias("kappa"), (F.col("theta") * DAYS).alias("theta"), F.greatest(F.lit(0.05), F.least(F.lit(3.0), F.col("rs") * math.sqrt(DAYS))).alias("xi"), F.greatest(F.lit(-0.95), F.least(F.lit(0.0), F.col("rho"))).alias("rho"), (F.col("v0") * DAYS).alias("v0"))

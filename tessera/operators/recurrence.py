@@ -79,9 +79,9 @@ def recurrences(panel: DataFrame) -> DataFrame:
     return panel.select("symbol", "date", "open", "high", "low", "close", "r").groupBy("symbol").applyInPandas(one_symbol, schema)
 
 
-def cusum(x: np.ndarray, threshold: float = 5.0, drift: float = 0.5) -> list[int]:
+def cusum(x: np.ndarray, threshold: float = 5.0, drift: float = 0.0) -> list[int]:
     """Places where a two-sided cumulative sum of standardised values passes the threshold; it starts afresh there."""
-    z = (x - x.mean()) / (x.std() + 1e-12) if len(x) else x
+    z = (x - x.mean()) / ((x.std(ddof=1) if len(x) > 1 else 0.0) + 1e-12) if len(x) else x
     up = down = 0.0
     out = []
     for i, v in enumerate(z.tolist()):

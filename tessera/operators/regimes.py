@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import frame, lag, mean, pair, roll, std
+from tessera.functions.exprs import frame, lag, mean, pair_corr, roll, std
 from tessera.operators.recurrence import cusum
 
 
@@ -137,7 +137,7 @@ def fingerprint(panel: DataFrame, w: int = 21) -> DataFrame:
     full = c == w
     return df.withColumns({
         "fp_mean": mean("x", w), "fp_std": roll(F.stddev_samp, "x", w), "fp_skew": F.when(full & (m2 > 1e-14), m3 / F.pow(m2, F.lit(1.5))), "fp_kurt": F.when(full & (m2 > 1e-14), m4 / (m2 * m2) - 3),
-        "fp_ac1": F.when(full, F.coalesce(pair(F.corr, "x", "_lx", w - 1), F.lit(0.0))), "fp_neg": mean((F.col("x") < 0).cast("double"), w),
+        "fp_ac1": F.when(full, F.coalesce(pair_corr("x", "_lx", w - 1), F.lit(0.0))), "fp_neg": mean((F.col("x") < 0).cast("double"), w),
     }).drop("_lx")
 
 

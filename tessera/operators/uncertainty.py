@@ -8,7 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.special import ks_uniform, minimise, t_ppf
@@ -16,22 +16,27 @@ from tessera.functions.special import ks_uniform, minimise, t_ppf
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def split_conformal(df: DataFrame, alpha: float = 0.1, by: str = "horizon") -> DataFrame:
-    """(by, n_cal, width, coverage): the calibration quantile of |y - p| as half width, and its coverage on test rows."""
-    r = F.abs(F.col("y") - F.col("p"))
-    n = df.where("split = 'cal'").withColumn("_r", r).withColumns({"n_cal": F.count(F.lit(1)).over(Window.partitionBy(by)), "_k": F.row_number().over(Window.partitionBy(by).orderBy("_r"))})
+def conformal_quantile(df: DataFrame, score: Column, alpha: float, by: str) -> DataFrame:
+    """(by, n_cal, cut): the interpolated quantile of a score at level ceil((n + 1)(1 - alpha)) / n, 1 at most."""
+    n = df.withColumn("_r", score).withColumns({"n_cal": F.count(F.lit(1)).over(Window.partitionBy(by)), "_k": F.row_number().over(Window.partitionBy(by).orderBy("_r"))})
     q = F.least(F.ceil((F.col("n_cal") + 1) * F.lit(1 - alpha)) / F.col("n_cal"), F.lit(1.0))
     at = q * (F.col("n_cal") - 1) + 1
     w = F.when(F.col("_k") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("_k") == F.floor(at) + 1, at - F.floor(at)).otherwise(0.0)
-    width = n.groupBy(by).agg(F.first("n_cal").alias("n_cal"), F.sum(F.col("_r") * w).alias("width"))
-    return df.where("split = 'test'").join(width, by).groupBy(by).agg(F.first("n_cal").alias("n_cal"), F.first("width").alias("width"), F.avg((r <= F.col("width")).cast("double")).alias("coverage"))
+    return n.groupBy(by).agg(F.first("n_cal").alias("n_cal"), F.sum(F.col("_r") * w).alias("cut"))
+
+
+def split_conformal(df: DataFrame, alpha: float = 0.1, by: str = "horizon") -> DataFrame:
+    """(by, n_cal, width, coverage): the calibration quantile of |y - p| as half width, and its coverage on test rows."""
+    r = F.abs(F.col("y") - F.col("p"))
+    width = conformal_quantile(df.where("split = 'cal'"), r, alpha, by)
+    return df.where("split = 'test'").join(width, by).groupBy(by).agg(F.first("n_cal").alias("n_cal"), F.first("cut").alias("width"), F.avg((r <= F.col("cut")).cast("double")).alias("coverage"))
 
 
 def cqr(df: DataFrame, alpha: float = 0.1, by: str = "horizon") -> DataFrame:
-    """(by, shift, coverage): conformalised bands (lo, hi), widened by the quantile of max(lo - y, y - hi)."""
+    """(by, shift, coverage): conformalised bands (lo, hi), widened by the conformal quantile of max(lo - y, y - hi)."""
     s = F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi"))
-    shift = df.where("split = 'cal'").groupBy(by).agg(F.percentile(s, F.lit(1 - alpha)).alias("shift"))
-    return df.where("split = 'test'").join(shift, by).groupBy(by).agg(F.first("shift").alias("shift"), F.avg((s <= F.col("shift")).cast("double")).alias("coverage"))
+    shift = conformal_quantile(df.where("split = 'cal'"), s, alpha, by)
+    return df.where("split = 'test'").join(shift, by).groupBy(by).agg(F.first("cut").alias("shift"), F.avg((s <= F.col("cut")).cast("double")).alias("coverage"))
 
 
 def pinball(df: DataFrame, *by: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+from tessera.functions.exprs import _TAIL_DOWN, _TAIL_UP
+
 BARS = """bars AS (
 SELECT symbol, sector, date, first(px ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS open, max(px) AS high, min(px) AS low,
  last(px ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) AS dollar_volume
@@ -124,6 +127,16 @@ def volatility() -> str:
     return tidy(*chain(FULL, "panel", zero, one, two), [c for c in [*one, *two] if not c.startswith(("a_", "b_")) and c not in ("q5", "q20")])
 
 
+def normal_cdf(x: str) -> str:
+    up, down = (functools.reduce(lambda y, c: f"({y} * least(abs({x}), 7.0) + {c!r})", k[1:], repr(k[0])) for k in (_TAIL_UP, _TAIL_DOWN))
+    tail = f"(CASE WHEN abs({x}) >= 7 THEN 0 ELSE exp(-({x}) * ({x}) / 2) * {up} / {down} END)"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def backfill(x: str) -> str:
+    return f"coalesce(first_value({x} IGNORE NULLS) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value({x} IGNORE NULLS) OVER ({O} ROWS UNBOUNDED PRECEDING), 0)"
+
+
 def robust(named: dict[str, str], n: int = 60) -> list[dict[str, str]]:
     def back(x):
         return f"coalesce(first_value({x} IGNORE NULLS) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value({x} IGNORE NULLS) OVER ({O} ROWS UNBOUNDED PRECEDING), 0)"
@@ -139,9 +152,13 @@ def volume() -> str:
     run = f"OVER ({O} ROWS UNBOUNDED PRECEDING)"
     one = {"vol_z20": div(f"volume - {avg('volume', 20)}", sd("volume", 20)), "vol_surprise": div("volume", avg("volume", 20), 1.0), "relative_volume60": div("volume", avg("volume", 60), 1.0), "volume_trend": div(avg("volume", 5), avg("volume", 20)), "turnover_ratio": div("volume", avg("volume", 252)), "average_daily_volume": avg("volume", 252), "dollar_flow": chg(5, "dollar_volume"), "volume_percentile252": div("volume", "med", 1.0), "liq_trend": avg("lv", 20), "liq_accel": f"lv - {lag('lv', 5)}", "chaikin_money_flow": div(tot("cv", 20), tot("volume", 20)), "money_flow_index": f"CASE WHEN rn > 14 THEN {div(tot('upflow', 14), tot('flow', 14), 0.5)} END - 0.5", "orderflow_imbalance": div(f"{avg('buy', 20, 10)} - {avg('sell', 20, 10)}", f"{avg('buy', 20, 10)} + {avg('sell', 20, 10)}"), "cum": f"sum(flow) {run} / sum(volume) {run}", "x_amihud": f"coalesce({div(tot('arz', 20), tot('dollar_volume', 20))}, 0)", "x_kyle": f"coalesce({both('regr_slope', 'rz', 'sqv', 20)}, 0)", "x_obv": f"first_value(volume) {run} + sum(sgn) {run}", "x_ad": f"sum(adv) {run}", "x_vpt": clip("volume * rz", -1e6, 1e6), "informed_trading_proxy": f"tanh(coalesce({both('corr', 'arz', 'volume', 20)}, 0))", "x_imp": avg("imp", 10)}
     two = {"vwap_deviation": f"tanh({clip(div('close - cum', 'cum'), -3, 3)})", "volume_zscore20": "vol_z20", "relative_volume20": "vol_surprise", "liq_dryness": div("1.0", "vol_surprise"), "obv_slope": f"tanh({chg(5, 'x_obv')})", "price_impact_persistence": chg(5, "x_imp")}
+    sign = f"volume * (2 * {normal_cdf('rz / (g50 + 1e-8)')} - 1)"
+    vp = [{"x_g": roll("stddev_samp({x})", "rz", 50, 25), "x_nz": div("abs(coalesce(dc, 0))", "high - low + 1e-8")}, {"g50": backfill("x_g"), "x_nm": avg("x_nz", 20, 10)}, {"x_sv": sign}, {"x_bs": avg("x_sv", 50, 25), "x_vm": avg("volume", 50, 25), "x_noise": backfill("x_nm")}, {"x_vpin": div(f"abs({backfill('x_bs')})", f"{backfill('x_vm')} + 1e-8")}]
+    late = [*vp, *robust({"flow_toxicity_vpin": "x_vpin"}, 100), *robust({"microstructure_noise": "x_noise"}, 60)]
+    two["liquidity_shock"] = f"vol_surprise * coalesce({div('abs(r)', sd('r', 20))}, 0)"
     z = robust({"amihud": "x_amihud", "kyle_lambda": "x_kyle", "obv": "x_obv", "accumulation_distribution": "x_ad", "volume_price_trend": "x_vpt"})
-    names = [c for c in [*one, *two, *z[2]] if not c.startswith("x_") and c != "cum"]
-    return tidy(*chain(FULL, "panel", zero, half, one, two, *z), names)
+    names = [c for c in [*one, *two, *z[2]] if not c.startswith("x_") and c != "cum"] + ["flow_toxicity_vpin", "microstructure_noise"]
+    return tidy(*chain(FULL, "panel", zero, half, one, two, *z, *late), names)
 
 
 def price_action() -> str:
@@ -153,13 +170,15 @@ def price_action() -> str:
 
 def risk() -> str:
     y = math.sqrt(252)
-    zero = {"dc": f"abs(close - {lag('close')})", "neg": "CASE WHEN rz < 0 THEN rz END", "pk": hi("close", 14), "gain": "greatest(rz, 0)", "loss": "greatest(-rz, 0)", "arz": "abs(rz)", "c2": "close * close", "xr": "CAST(rn AS DOUBLE)", **{f"a_{k}": v for k, v in power("rz", 60, 60).items()}}
+    zero = {"dc": f"abs(close - {lag('close')})", "neg": "CASE WHEN rz < 0 THEN rz END", "pk": hi("close", 14), "gain": "greatest(rz, 0)", "loss": "greatest(-rz, 0)", "lr": "least(rz, 0)", "arz": "abs(rz)", "c2": "close * close", "xr": "CAST(rn AS DOUBLE)", **{f"a_{k}": v for k, v in power("rz", 60, 60).items()}}
     down = f"CASE WHEN count(rz) {w(60)} >= 60 THEN CASE WHEN count(neg) {w(60)} >= 2 THEN stddev_pop(neg) {w(60)} ELSE 0 END END"
     one = {"sharpe_60": clip(f"{avg('rz', 60)} / ({sd('rz', 60)} + 1e-9) * {y}", -5, 5) + " / 5", "sortino_60": clip(f"{avg('rz', 60)} / (({down}) + 1e-9) * {y}", -5, 5) + " / 5", "om": f"CASE WHEN {tot('loss', 20)} < 1e-12 THEN 10.0 ELSE {tot('gain', 20)} / {tot('loss', 20)} END", "ulcer_index": f"sqrt(greatest(({avg('c2', 14)} - 2 * pk * {avg('close', 14)} + pk * pk) / (pk * pk) * 1e4, 0.0))", "tail_ratio": div(roll("quantile_cont({x}, 0.95)", "arz", 60), roll("quantile_cont({x}, 0.05)", "arz", 60)), "ret_pos_frac_20": avg("CASE WHEN rz > 0 THEN 1.0 ELSE 0.0 END", 20), "fractal_dimension": f"1 + ln({div(tot('dc', 29), f'{hi("close", 30)} - {lo("close", 30)}', 1.0)}) / {math.log(29)} - 1.5", **{f"lr_slope_{n}": clip(f"{both('regr_slope', 'close', 'xr', n)} / ({sd('close', n)} + 1e-9)", -5, 5) for n in (20, 5)}, **moments("a")}
     for c, n in (("sharpe_60", 60), ("sortino_60", 60), ("lr_slope_20", 20), ("lr_slope_5", 5), ("ulcer_index", 14)):  # least() and greatest() skip nulls
         one[c] = f"CASE WHEN rn >= {n} THEN {one[c]} END"
+    third, fall = y / 3, f"{div('close', hi('close', 20), None)} - 1"
+    one |= {"sharpe_proxy": f"tanh({div(avg('r', 60), sd('r', 60))} * {third})", "sortino_proxy": f"tanh({div(avg('r', 60), f'coalesce({sd('lr', 20)}, 0) + 1e-9')} * {third})", "calmar_proxy": f"tanh({div(f'coalesce({chg(20)}, 0)', f'abs({fall}) + 1e-9')} / 2)"}
     two = {"omega_ratio": "tanh((om - 1) / 2)", "realized_skew_risk": f"CASE WHEN a_m2 > 1e-14 AND a_c IS NOT NULL THEN {clip('sqrt(a_c) * a_m3 / a_m2 ** 1.5', -5, 5)} END"}
-    return tidy(*chain(FULL, "panel", zero, one, two), ["sharpe_60", "sortino_60", "omega_ratio", "ulcer_index", "tail_ratio", "ret_pos_frac_20", "lr_slope_20", "lr_slope_5", "realized_skew_risk", "fractal_dimension"])
+    return tidy(*chain(FULL, "panel", zero, one, two), ["sharpe_proxy", "sortino_proxy", "calmar_proxy", "sharpe_60", "sortino_60", "omega_ratio", "ulcer_index", "tail_ratio", "ret_pos_frac_20", "lr_slope_20", "lr_slope_5", "realized_skew_risk", "fractal_dimension"])
 
 
 def market() -> str:
@@ -172,7 +191,7 @@ def market() -> str:
 
 def sector() -> str:
     base = FULL + ", codes AS (SELECT sector, row_number() OVER (ORDER BY sector) - 1 AS code FROM (SELECT DISTINCT sector FROM panel WHERE sector IS NOT NULL)), coded AS (SELECT panel.*, coalesce(code, -1) / 20.0 AS sector_code FROM panel LEFT JOIN codes USING (sector))"
-    one = {"market_percentile_return": "cs_return_rank", "return_vs_sector20": f"{chg(20)} - {avg('sr', 20)}", "sector_momentum_60": avg("sr", 60)}
+    one = {"market_percentile_return": "cs_return_rank", "return_vs_sector20": f"{chg(20)} - {avg('sr', 20)}", "sector_momentum_60": avg("sr", 60), "exchange_code": "0.0"}
     return tidy(*chain(base, "coded", one), ["cs_return_rank", *one, "sector_code"])
 
 
@@ -222,6 +241,17 @@ LS = FC + ", ls AS (SELECT fc.*, CASE WHEN p > mid THEN t ELSE -t END AS ls FROM
 ERR = "count(*) AS n, avg((p - t) * (p - t)) AS mse, avg(abs(p - t)) AS mae, CASE WHEN stddev_pop(p) < 1e-12 OR stddev_pop(t) < 1e-12 OR count(*) <= 2 THEN 0 ELSE coalesce(corr(p, t), 0) END AS ic, avg(CASE WHEN sign(p) = sign(t) THEN 1.0 ELSE 0.0 END) AS da"
 WF = "g AS (SELECT n, CAST(floor(n * 0.35) AS BIGINT) AS i, greatest(CAST(floor(n * 0.08) AS BIGINT), 1) AS t FROM (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM ret GROUP BY symbol))), spec AS (SELECT CAST(k AS INTEGER) AS window_id, 0::BIGINT AS train_start, CAST(floor((i + k * t) * 0.85) AS BIGINT) AS val_cut, i + k * t AS train_end, i + k * t + 30 AS test_start, least(i + k * t + 30 + t, n) AS test_end FROM g, range(40) r(k) WHERE i + k * t + 30 + t <= n)"
 AL = "al AS (SELECT * FROM (SELECT ret.*, rn - 1 - (c - (SELECT n FROM g)) AS idx FROM ret JOIN (SELECT symbol, count(*) AS c FROM ret GROUP BY symbol) USING (symbol)) WHERE idx >= 0)"
+WIN = f"{FC}, {WF}, {AL}, f AS (SELECT fc.*, window_id FROM fc JOIN al USING (symbol, date) JOIN spec ON idx >= test_start AND idx < test_end)"
+_K = "window_id, horizon"
+WM = f"""WITH {WIN}, e AS (SELECT {_K}, {ERR} FROM f GROUP BY ALL),
+k AS (SELECT {_K}, rank() OVER (PARTITION BY {_K} ORDER BY p) + (count(*) OVER (PARTITION BY {_K}, p) - 1) / 2.0 AS a, rank() OVER (PARTITION BY {_K} ORDER BY t) + (count(*) OVER (PARTITION BY {_K}, t) - 1) / 2.0 AS b FROM f),
+ri AS (SELECT {_K}, coalesce(corr(a, b), 0) AS rank_ic FROM k GROUP BY ALL),
+q AS (SELECT {_K}, quantile_cont(p, 0.5) AS mid, quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.75) AS q3 FROM f GROUP BY ALL),
+l AS (SELECT f.*, q1, q3, CASE WHEN p > mid THEN t ELSE -t END AS ls FROM f JOIN q USING ({_K})),
+c AS (SELECT *, sum(ln(1 + greatest(-0.5, least(0.5, ls)))) OVER (PARTITION BY {_K} ORDER BY date, symbol ROWS UNBOUNDED PRECEDING) AS lq FROM l),
+d AS (SELECT *, 1 - exp(lq - max(lq) OVER (PARTITION BY {_K} ORDER BY date, symbol ROWS UNBOUNDED PRECEDING)) AS dd FROM c),
+g2 AS (SELECT {_K}, CASE WHEN stddev_pop(ls) > 1e-12 THEN avg(ls) / stddev_pop(ls) * {math.sqrt(252)} ELSE 0 END AS sharpe, max(dd) AS max_dd, coalesce(avg(t) FILTER (p >= q3), 0) - coalesce(avg(t) FILTER (p <= q1), 0) AS spread FROM d GROUP BY ALL),
+wm AS (SELECT * FROM e JOIN ri USING ({_K}) JOIN g2 USING ({_K}))"""
 VS = RET + f", v AS (SELECT * FROM (SELECT *, {sd('r', 20)} AS vol FROM ret) WHERE vol IS NOT NULL), vs AS (SELECT symbol, date, r, CASE WHEN vol <= a THEN 0 WHEN vol <= b THEN 1 ELSE 2 END AS state FROM v JOIN (SELECT symbol, quantile_cont(vol, {1 / 3}) AS a, quantile_cont(vol, {2 / 3}) AS b FROM v GROUP BY symbol) USING (symbol))"
 TR = VS + f", tr AS (SELECT state, next, n, n / sum(n) OVER (PARTITION BY state) AS p FROM (SELECT state, next, count(*) AS n FROM (SELECT state, lead(state) OVER ({O}) AS next FROM vs) WHERE next IS NOT NULL GROUP BY ALL))"
 PT = FC + ", pt AS (SELECT symbol, date, horizon, t AS y, p, vol, CASE WHEN (date - DATE '1970-01-01') % 2 = 0 THEN 'cal' ELSE 'test' END AS split, -vol * sqrt(horizon) AS lo, vol * sqrt(horizon) AS hi FROM fc)"
@@ -278,6 +308,13 @@ ORACLE_SQL: dict[str, str] = {
     "rolling_ic": f"WITH {FC}, i AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY date, symbol) - 1 AS i, count(*) OVER (PARTITION BY horizon) AS c FROM fc), k AS (SELECT *, greatest(least(500, c // 5), 2) AS w FROM i), s AS (SELECT *, greatest(w // 2, 1) AS h FROM k), j AS (SELECT s.*, unnest(range(0, i // h + 1)) AS win FROM s) SELECT horizon, win AS \"window\", count(*) AS n, round(coalesce(corr(p, t), 0) + 1e-10, 6) + 0.0 AS ic FROM j WHERE i < win * h + w AND win * h + w <= c GROUP BY horizon, win",
     "regime_ic": f"WITH {FC}, c AS (SELECT horizon, quantile_cont(vol, {1 / 3}) AS a, quantile_cont(vol, {2 / 3}) AS b FROM fc GROUP BY horizon), k AS (SELECT fc.*, CASE WHEN vol <= a THEN 'calm' WHEN vol <= b THEN 'normal' ELSE 'stormy' END AS regime FROM fc JOIN c USING (horizon)) SELECT horizon, regime, n, {r(ic='ic', da='da')} FROM (SELECT horizon, regime, {ERR} FROM k GROUP BY horizon, regime)",
     "wf_summary": f"WITH {FC}, {WF}, {AL}, s AS (SELECT window_id, {ERR} FROM fc JOIN al USING (symbol, date) JOIN spec ON idx >= test_start AND idx < test_end WHERE horizon = 5 GROUP BY window_id) SELECT count(*) AS windows, {r(ic_mean='avg(ic)', ic_std='stddev_samp(ic)', positive='avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)')}, max_by(window_id, ic) AS best, min_by(window_id, ic) AS worst FROM s",
+    "window_metrics": f"{WM} SELECT window_id, horizon, n, {r(5, ic='ic', da='da', rank_ic='rank_ic', sharpe='sharpe', max_dd='max_dd', spread='spread')} FROM wm",
+    "window_horizon_means": f"{WM} SELECT window_id, count(*) AS horizons, {r(5, ic_mean='avg(ic)', rank_ic_mean='avg(rank_ic)', da_mean='avg(da)', sharpe_mean='avg(sharpe)')} FROM wm GROUP BY window_id",
+    "cross_sectional_z": f"WITH {RET} SELECT symbol, date, {r(5, cs_z='greatest(-5.0, least(5.0, (r - m) / (s + 1e-8)))')} FROM ret JOIN (SELECT date, avg(r) AS m, stddev_pop(r) AS s FROM ret GROUP BY date) USING (date) WHERE r IS NOT NULL",
+    "top_symbols": f"WITH {BARS} SELECT symbol, {r(2, total='sum(dollar_volume)')} FROM bars GROUP BY symbol ORDER BY sum(dollar_volume) DESC, symbol LIMIT 5",
+    "symbol_overlap": f"WITH {BARS}, a AS (SELECT DISTINCT symbol FROM bars WHERE date < DATE '1995-06-17'), b AS (SELECT DISTINCT symbol FROM bars WHERE date >= DATE '1995-06-17' AND volume > 60) SELECT symbol, CASE WHEN a.symbol IS NOT NULL AND b.symbol IS NOT NULL THEN 'both' WHEN a.symbol IS NOT NULL THEN 'first' ELSE 'second' END AS side FROM a FULL JOIN b USING (symbol)",
+    "sector_pivot": f"WITH {RET}, s AS ({SEC}) SELECT date, {r(**{x: f"coalesce(max(sr) FILTER (sector = '{x.replace('_', ' ')}'), 0)" for x in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')})}, round(coalesce(max(sr) FILTER (sector = 'MIDDLE EAST'), 0) + 1e-10, 6) + 0.0 AS \"MIDDLE EAST\" FROM s GROUP BY date",
+    "blended_forecast": f"WITH {LOGS}, m AS (SELECT symbol, h AS horizon, exp(avg(x) * h) - 1 AS mean_return FROM lx, (VALUES (1), (5), (21)) t(h) GROUP BY symbol, h), v AS (SELECT * FROM (VALUES ('CHINA', 1, 0.001), ('CHINA', 5, 0.004), ('FRANCE', 21, -0.01), ('NOWHERE', 1, 0.5)) t(symbol, horizon, predicted)) SELECT symbol, horizon, {r(mean_return='mean_return', predicted='predicted', blend='CASE WHEN predicted IS NULL THEN mean_return ELSE (mean_return + predicted) / 2 END')}, CASE WHEN predicted IS NULL THEN 'PURE MC' ELSE 'MODEL+MC' END AS source FROM m LEFT JOIN v USING (symbol, horizon)",
     "gbm_params": f"WITH {LOGS} SELECT symbol, {r(mu='avg(x) * 252', sigma=f'stddev_samp(x) * {math.sqrt(252)}')} FROM lx GROUP BY symbol",
     "merton_params": f"WITH {LOGS}, m AS (SELECT symbol, avg(x) AS m, stddev_samp(x) AS s, count(*) AS n FROM lx GROUP BY symbol), j AS (SELECT symbol, x, abs(x - m) > 3 * s AS jump, s, n FROM lx JOIN m USING (symbol)) SELECT symbol, count(*) FILTER (jump) AS jumps, {r(lam='count(*) FILTER (jump) / max(n) * 252', jump_mean='CASE WHEN count(*) FILTER (jump) < 3 THEN 0 ELSE avg(x) FILTER (jump) END', jump_std='CASE WHEN count(*) FILTER (jump) < 3 THEN 2 * max(s) ELSE stddev_samp(x) FILTER (jump) END', mu='avg(x) FILTER (NOT jump) * 252', sigma=f'stddev_samp(x) FILTER (NOT jump) * {math.sqrt(252)}')} FROM j GROUP BY symbol",
     "heston_params": f"WITH {LOGS}, q AS (SELECT symbol, x, x * x AS q, lead(x * x) OVER (PARTITION BY symbol ORDER BY i) AS q1, row_number() OVER (PARTITION BY symbol ORDER BY i DESC) AS back FROM lx), o AS (SELECT symbol, avg(x) * 252 AS mu, var_pop(x) * 252 AS theta, var_pop(x) FILTER (back <= 20) * 252 AS v0, greatest(-0.98, least(0.98, regr_slope(q1, q))) AS phi, corr(x, q1 - q) FILTER (q1 IS NOT NULL) AS rho FROM q GROUP BY symbol), e AS (SELECT symbol, stddev_pop(q1 - phi * q) AS rs FROM q JOIN o USING (symbol) GROUP BY symbol) SELECT symbol, {r(5, mu='mu', kappa='greatest(-ln(greatest(phi, 1e-4)) * 252, 1.0)', theta='theta', xi=f'greatest(0.05, least(3.0, rs * {math.sqrt(252)}))', rho='greatest(-0.95, least(0.0, rho))', v0='v0')} FROM o JOIN e USING (symbol)",
@@ -291,10 +328,10 @@ ORACLE_SQL: dict[str, str] = {
     "transition_entropy": f"WITH {TR} SELECT round(avg(h) + 1e-10, 6) + 0.0 AS entropy FROM (SELECT state, -sum(p * ln(p)) AS h FROM tr GROUP BY state)",
     "adjusted_rand": f"WITH {VS}, k AS (SELECT state AS a, CAST(r > 0 AS INTEGER) AS b, count(*) AS c FROM vs GROUP BY ALL), s AS (SELECT (SELECT sum(c * (c - 1) / 2) FROM k) AS ij, (SELECT sum(c) FROM k) AS n, (SELECT sum(c * (c - 1) / 2) FROM (SELECT sum(c) AS c FROM k GROUP BY a)) AS i, (SELECT sum(c * (c - 1) / 2) FROM (SELECT sum(c) AS c FROM k GROUP BY b)) AS j) SELECT round((ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)) + 1e-10, 6) + 0.0 AS ari FROM s",
     "split_conformal": f"WITH {PT}, c AS (SELECT horizon, count(*) AS n_cal, quantile_cont(abs(y - p), 0.9) AS unused, list(abs(y - p) ORDER BY abs(y - p)) AS l FROM pt WHERE split = 'cal' GROUP BY horizon), q AS (SELECT horizon, n_cal, l, least(ceil((n_cal + 1) * 0.9) / n_cal, 1.0) * (n_cal - 1) + 1 AS pos FROM c), z AS (SELECT horizon, n_cal, l[CAST(floor(pos) AS BIGINT)] * (1 - pos + floor(pos)) + coalesce(l[CAST(floor(pos) AS BIGINT) + 1], 0) * (pos - floor(pos)) AS width FROM q) SELECT horizon, n_cal, {r(width='width', coverage='cov')} FROM (SELECT horizon, n_cal, width, avg(CASE WHEN abs(y - p) <= width THEN 1.0 ELSE 0.0 END) AS cov FROM pt JOIN z USING (horizon) WHERE split = 'test' GROUP BY ALL)",
-    "cqr": f"WITH {PT}, c AS (SELECT horizon, quantile_cont(greatest(lo - y, y - hi), 0.9) AS shift FROM pt WHERE split = 'cal' GROUP BY horizon) SELECT horizon, {r(shift='shift', coverage='cov')} FROM (SELECT horizon, shift, avg(CASE WHEN greatest(lo - y, y - hi) <= shift THEN 1.0 ELSE 0.0 END) AS cov FROM pt JOIN c USING (horizon) WHERE split = 'test' GROUP BY ALL)",
+    "cqr": f"WITH {PT}, c AS (SELECT horizon, count(*) AS n, list(greatest(lo - y, y - hi) ORDER BY greatest(lo - y, y - hi)) AS l FROM pt WHERE split = 'cal' GROUP BY horizon), q AS (SELECT horizon, l, least(ceil((n + 1) * 0.9) / n, 1.0) * (n - 1) + 1 AS pos FROM c), z AS (SELECT horizon, l[CAST(floor(pos) AS BIGINT)] * (1 - pos + floor(pos)) + coalesce(l[CAST(floor(pos) AS BIGINT) + 1], 0) * (pos - floor(pos)) AS shift FROM q) SELECT horizon, {r(shift='shift', coverage='cov')} FROM (SELECT horizon, shift, avg(CASE WHEN greatest(lo - y, y - hi) <= shift THEN 1.0 ELSE 0.0 END) AS cov FROM pt JOIN z USING (horizon) WHERE split = 'test' GROUP BY ALL)",
     "pinball": f"WITH {PT} SELECT horizon, q, round(avg(greatest(q * (y - v), (q - 1) * (y - v))) + 1e-10, 6) + 0.0 AS loss FROM (SELECT horizon, y, 0.1::DOUBLE AS q, lo AS v FROM pt UNION ALL SELECT horizon, y, 0.9::DOUBLE, hi FROM pt) GROUP BY horizon, q",
     "interval_coverage": f"WITH {PT} SELECT horizon, count(*) AS n, {r(coverage='avg(CASE WHEN y >= lo AND y <= hi THEN 1.0 ELSE 0.0 END)', sharpness='avg(hi - lo)')} FROM pt GROUP BY horizon",
-    "ensemble_variance": f"WITH {PT}, e AS (SELECT symbol || '|' || CAST(date AS VARCHAR) AS key, avg(y) AS mean, coalesce(var_samp(y), 0) AS epistemic, avg(vol * vol) AS aleatoric FROM pt WHERE horizon IN (1, 3, 5) GROUP BY ALL) SELECT key, {r(mean='mean', epistemic='epistemic', aleatoric='aleatoric', total='epistemic + aleatoric')} FROM e",
+    "ensemble_variance": f"WITH {RET}, b AS (SELECT symbol, date, rn, var_pop(r) {w(20)} AS s2, {', '.join(f'({chg(k)}) / {k} AS m{k}' for k in (5, 10, 20))} FROM ret), e AS (SELECT symbol || '|' || CAST(date AS VARCHAR) AS key, avg(p) AS mean, coalesce(var_samp(p), 0) AS epistemic, avg(s2) AS aleatoric FROM ({' UNION ALL '.join(f'SELECT symbol, date, s2, m{k} AS p FROM b WHERE rn > 20' for k in (5, 10, 20))}) GROUP BY ALL) SELECT key, {r(mean='mean', epistemic='epistemic', aleatoric='aleatoric', total='epistemic + aleatoric')} FROM e",
     "bma_weights": f"WITH {FC}, s AS (SELECT symbol, horizon, count(*) AS n, sum((t - p) * (t - p)) AS a, sum(t * t) AS b FROM fc GROUP BY ALL), m AS (SELECT symbol, horizon, 'momentum' AS model, n * ln(a / n) + 2 * ln(n) AS bic FROM s UNION ALL SELECT symbol, horizon, 'zero', n * ln(b / n) + ln(n) FROM s), e AS (SELECT *, exp(-0.5 * (bic - min(bic) OVER (PARTITION BY symbol, horizon))) AS e FROM m) SELECT symbol, horizon, model, {r(4, bic='bic', weight='e / sum(e) OVER (PARTITION BY symbol, horizon)')} FROM e",
     "garch_variance_path": f"WITH {LOGS}, v AS (SELECT symbol, var_pop(x) AS v, max_by(x, i) AS l FROM lx GROUP BY symbol), p AS (SELECT symbol, day, 0.04 * v / (1 - 0.96) + 0.96 ** (day - 1) * (0.04 * v + 0.08 * l * l + 0.88 * v - 0.04 * v / (1 - 0.96)) AS variance FROM v, range(1, 127) d(day)) SELECT symbol, CAST(day AS INTEGER) AS day, {r(8, variance='variance', cumulative='sum(variance) OVER (PARTITION BY symbol ORDER BY day)')} FROM p",
     "pit": f"WITH {LOGS}, y AS (SELECT symbol, max_by(x, i) AS y FROM lx GROUP BY symbol) SELECT symbol, round(avg(CASE WHEN x <= y THEN 1.0 ELSE 0.0 END) + 1e-10, 6) + 0.0 AS pit FROM lx JOIN y USING (symbol) GROUP BY symbol",

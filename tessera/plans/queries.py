@@ -199,6 +199,53 @@ def wf_summary(spark, sf):
     return rounded(M.wf_summary(scored))
 
 
+def scored_windows(spark, sf):
+    base = returns(spark, sf)
+    rows = WN.in_windows(WN.aligned(base), WN.wf_windows(base)).where("part = 'test'").select("symbol", "date", "window_id")
+    return M.window_metrics(forecasts(spark, sf).join(rows, ["symbol", "date"]), "window_id", "horizon")
+
+
+@query
+def window_metrics(spark, sf):
+    return rounded(scored_windows(spark, sf), 5)
+
+
+@query
+def window_horizon_means(spark, sf):
+    return rounded(M.horizon_means(scored_windows(spark, sf), "window_id"), 5)
+
+
+@query
+def cross_sectional_z(spark, sf):
+    return rounded(P.cross_sectional_z(returns(spark, sf)), 5)
+
+
+@query
+def top_symbols(spark, sf):
+    return rounded(P.top_symbols(P.bars(spark, sf)), 2)
+
+
+@query
+def symbol_overlap(spark, sf):
+    """Symbols with bars before and after the middle of 1995."""
+    bars = P.bars(spark, sf)
+    return P.shared_symbols(bars.where("date < '1995-06-17'"), bars.where("date >= '1995-06-17' and volume > 60"))
+
+
+@query
+def sector_pivot(spark, sf):
+    names = [r.r_name for r in P.read(spark, sf, "region").select("r_name").distinct().orderBy("r_name").collect()]  # the few regions
+    return rounded(P.sector_pivot(P.sector_returns(returns(spark, sf)), names))
+
+
+@query
+def blended_forecast(spark, sf):
+    """Historic mean returns over the horizons, with the views of a model where it has one."""
+    views = P.model_predictions(spark, '{"CHINA": {"1": 0.001, "5": 0.004}, "FRANCE": {"21": -0.01}, "NOWHERE": {"1": 0.5}}')
+    means = logs(spark, sf).groupBy("symbol").agg(F.avg("x").alias("m")).select("symbol", F.explode(F.array(*map(F.lit, (1, 5, 21)))).alias("horizon"), "m")
+    return rounded(P.with_predictions(means.select("symbol", "horizon", F.expm1(F.col("m") * F.col("horizon")).alias("mean_return")), views))
+
+
 @query
 def gbm_params(spark, sf):
     return rounded(MC.gbm_params(logs(spark, sf)))
@@ -369,8 +416,11 @@ def interval_coverage(spark, sf):
 
 @query
 def ensemble_variance(spark, sf):
-    rows = points(spark, sf).where("horizon in (1, 3, 5)").select(F.concat_ws("|", "symbol", F.col("date").cast("string")).alias("key"), F.col("y").alias("p"), (F.col("vol") * F.col("vol")).alias("s2"))
-    return rounded(U.ensemble_variance(rows))
+    """Three momentum forecasts of a day's return as members."""
+    members = [F.when(change(k).isNotNull(), change(k) / k) for k in (5, 10, 20)]
+    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-19, 0)
+    rows = returns(spark, sf).select("symbol", "date", F.var_pop("r").over(w).alias("s2"), F.array(*members).alias("m"), F.row_number().over(Window.partitionBy("symbol").orderBy("date")).alias("n")).where("n > 20")
+    return rounded(U.ensemble_variance(rows.select(F.concat_ws("|", "symbol", F.col("date").cast("string")).alias("key"), "s2", F.explode("m").alias("p"))))
 
 
 @query
@@ -401,6 +451,13 @@ def pit(spark, sf):
     return rounded(U.pit(x.join(y, "symbol").withColumn("value", F.col("x")), "symbol"))
 
 
+@query
+def pit_uniformity(spark, sf):
+    """Kolmogorov-Smirnov distance from the uniform law of each horizon's ranks of the forecast error."""
+    x = points(spark, sf).withColumn("pit", F.percent_rank().over(Window.partitionBy("symbol", "horizon").orderBy(F.col("y") - F.col("p"))))
+    return U.pit_uniformity(x.where("split = 'test'"), "horizon")
+
+
 def regression_rows(spark, sf):
     return P.full_panel(spark, sf).where("r is not null").select("symbol", F.col("rn").alias("i"), F.col("mr").alias("f"), F.col("r").alias("y"))
 

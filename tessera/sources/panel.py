@@ -87,6 +87,37 @@ def model_predictions(spark: SparkSession, text: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("symbol", "by")).select("symbol", F.explode("by").alias("h", "predicted")).select("symbol", F.expr("try_cast(h as int)").alias("horizon"), "predicted").where("horizon is not null and predicted is not null")
 
 
+def with_predictions(forecasts: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Forecasts (symbol, horizon, mean_return) with the model's view where there is one: blend is their mean, source says which it is."""
+    both = forecasts.join(predictions, ["symbol", "horizon"], "left")
+    known = F.col("predicted").isNotNull()
+    return both.withColumns({"blend": F.when(known, (F.col("mean_return") + F.col("predicted")) / 2).otherwise(F.col("mean_return")), "source": F.when(known, "MODEL+MC").otherwise("PURE MC")})
+
+
+def top_symbols(panel: DataFrame, k: int = 5, by: str = "dollar_volume") -> DataFrame:
+    """The k symbols with the largest sum of a column, ties by name."""
+    return panel.groupBy("symbol").agg(F.sum(by).alias("total")).orderBy(F.desc("total"), "symbol").limit(k)
+
+
+def shared_symbols(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(symbol, side): in both panels, or in one only."""
+    a, b = a.select("symbol"), b.select("symbol")
+    parts = {"both": a.intersect(b), "first": a.subtract(b), "second": b.subtract(a)}
+    return reduce(DataFrame.unionByName, (rows.withColumn("side", F.lit(side)) for side, rows in parts.items()))
+
+
+def sector_pivot(returns: DataFrame, sectors: list[str]) -> DataFrame:
+    """(date, one column a sector): sector returns side by side, 0 where a sector has no bar that day."""
+    return returns.groupBy("date").pivot("sector", sectors).agg(F.first("sr")).na.fill(0.0)
+
+
+def cross_sectional_z(panel: DataFrame, x: str = "r", limit: float = 5.0) -> DataFrame:
+    """(symbol, date, cs_z): a value's z-score among the day's values, clipped."""
+    by_day = Window.partitionBy("date")
+    z = (F.col(x) - F.avg(x).over(by_day)) / (F.stddev_pop(x).over(by_day) + 1e-8)
+    return panel.select("symbol", "date", clip(z, -limit, limit).alias("cs_z")).where("cs_z is not null")
+
+
 def symbol_list(text: str) -> list[str]:
     """Upper-case names of a comma-separated list, in order, without repeats."""
     return list(dict.fromkeys(x for x in (p.strip().upper() for p in text.split(",")) if x))
