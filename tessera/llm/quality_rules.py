@@ -3,21 +3,26 @@
 The statistics of every document become a small transformed vector. For each (lang, source) group a
 minimum-covariance-determinant estimate is found by concentration steps, each of them a distributed
 aggregation over the group: distances under the present centre and covariance, their `support`
-quantile, then mean and covariance of the rows within it. No group is ever gathered in one task, so a
-source that holds a third of all rows costs its partial sums only.
+quantile, then mean and covariance of the rows within it. Every group has three deterministic starts, all
+from the standardised rows (medians and median absolute deviations): their diagonal, the covariance of their
+hyperbolic tangents, and that of their spatial signs. After two steps the start with the smallest determinant
+goes on, until no group's determinant falls any more (`steps` at most).
+
+No group is ever gathered in one task: sums combine before the shuffle, and models (one row a group) are
+broadcast to their rows up to `FEW_GROUPS` groups, beyond them joined by group and one of `SALTS` numbers, so
+that a source that holds a third of all rows is split either way.
 
 Null texts count as empty and fail the base rule; null lang or source form their own group; a group
 that is too small for its own covariance leans on `FLOOR` (`prior_rows` rows' worth of it); ties and
-repeated rows get equal verdicts; an empty table gives an empty result; extra columns are ignored.
+repeated rows get equal verdicts; a very long text is held as its words, some 150 bytes for each; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,15 +48,15 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
-    windows = list(zip(*(words[i:] for i in range(width)), strict=False))
-    if len(set(windows)) == n:
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    if len(number) == len(words):
         return 0
-    times, covered, end = Counter(windows), 0, 0
-    for i, w in enumerate(windows):
-        if times[w] > 1:
-            covered += i + width - max(i, end)
-            end = i + width
-    return covered
+    code = ids[:n]
+    for k in range(1, width):  # windows of k + 1 words, numbered from those of k words
+        code = np.unique(code * len(number) + ids[k : k + n], return_inverse=True)[1]
+    place = np.flatnonzero(np.bincount(code)[code] > 1)
+    return int(np.minimum(np.diff(place, append=place[-1] + width), width).sum()) if len(place) else 0
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -98,23 +103,32 @@ def transformed(stats: DataFrame) -> DataFrame:
 
 
 def _model_rows(prior_rows: int):
-    """Turns moment rows (one for each group) into centre and inverse covariance."""
+    """Turns moment rows (one for each group and start) into centre, inverse covariance and logarithm of the determinant."""
     p = len(FEATURES)
     floor = np.diag(np.square(FLOOR))
 
-    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                n, mean, second = float(r.n), np.array(r.m, float), np.array(r.s, float).reshape(p, p)
-                cov = (second - np.outer(mean, mean)) * r.scale
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mu, inv, det = [], [], []
+            for n, m, s, scale in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "s", "scale")), strict=True):
+                mean = np.array(m, float)
+                cov = (np.array(s, float).reshape(p, p) - np.outer(mean, mean)) * scale
                 cov = (n * cov + prior_rows * floor) / (n + prior_rows) + 0.05 * floor
-                rows.append((r.grp_lang, r.grp_source, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["grp_lang", "grp_source", "mu", "inv"])
+                mu.append(m)
+                inv.append(np.linalg.inv(cov).ravel())
+                det.append(float(np.linalg.slogdet(cov)[1]))
+            cols = [*(batch.column(c) for c in KEYS), pa.array(mu, pa.list_(pa.float64())), pa.array(inv, pa.list_(pa.float64())), pa.array(det, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*KEYS, "mu", "inv", "det"])
 
     return solve
 
 
+KEYS = ["grp_lang", "grp_source", "start"]
+_MODEL = "grp_lang string, grp_source string, start int, mu array<double>, inv array<double>, det double"
+#: Groups whose models are broadcast to their rows, at most; parts that a group's rows are dealt into to meet its model where there are more.
+FEW_GROUPS, SALTS = 5_000, 32
+
+
 def _distance() -> F.Column:
     p = len(FEATURES)
     diff = [F.col(f) - F.col("mu")[i] for i, f in enumerate(FEATURES)]
@@ -125,42 +139,84 @@ def _distance() -> F.Column:
     return total
 
 
-def robust_verdicts(stats: DataFrame, support: float = 0.75, steps: int = 4, prior_rows: int = 20, cutoff: float = CUTOFF) -> DataFrame:
+def met(rows: DataFrame, groups: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Rows (with a salt) and the columns of their group, which has one row a group and is read from storage."""
+    if groups.count() <= 3 * FEW_GROUPS:  # up to three starts a group
+        return rows.join(F.broadcast(groups), list(keys), how)
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, [*keys, "salt"], how)
+
+
+def robust_starts(rows: DataFrame) -> DataFrame:
+    """(grp_lang, grp_source, start, n, m, s, scale): moments of the three starts of each group."""
+    p, keys = len(FEATURES), KEYS[:2]
+    med = rows.groupBy(*keys).agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("m"))
+    off = met(rows, write_shared(med, "mcd-medians"), *keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.first("m").alias("m"), F.array(*(F.percentile_approx(F.abs(F.col(f) - F.col("m")[i]), 0.5, 1000) * 1.4826 for i, f in enumerate(FEATURES))).alias("d")
+    )
+    off = write_shared(off, "mcd-deviations")
+    # A statistic that is constant in most of a group's rows is measured in the deviation that any group is granted.
+    wide = [F.greatest(F.col("d")[i], F.lit(0.1 * f)) for i, f in enumerate(FLOOR)]
+    z = [(F.col(f) - F.col("m")[i]) / wide[i] for i, f in enumerate(FEATURES)]
+    ranked = met(rows, off, *keys).select(*keys, "n", "m", "d", F.array(*map(F.tanh, z)).alias("t"), F.array(*z).alias("z"))
+    length = F.greatest(F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
+    ranked = ranked.withColumn("u", F.transform("z", lambda x: x / length))
+    def second(c: str) -> F.Column:
+        return F.array(*(F.avg(F.col(c)[i] * F.col(c)[j]) for i in range(p) for j in range(p)))
+    sums = ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("d").alias("d"), second("t").alias("tt"), second("u").alias("uu"))
+    def covariance(c: str | None) -> F.Column:
+        """m m' + D R D, D the deviations and R the matrix brought to a diagonal of 1."""
+        def entry(i: int, j: int) -> F.Column:
+            r = F.lit(float(i == j)) if c is None else F.col(c)[i * p + j] / F.sqrt(F.greatest(F.col(c)[i * p + i] * F.col(c)[j * p + j], F.lit(1e-12)))
+            return F.col("m")[i] * F.col("m")[j] + wide[i] * wide[j] * (F.lit(1.0) if i == j else r)
+        return F.array(*(entry(i, j) for i in range(p) for j in range(p)))
+    starts = F.array(*(F.struct(F.lit(k).alias("start"), covariance(c).alias("s")) for k, c in enumerate((None, "tt", "uu"))))
+    return sums.select(*keys, "n", "m", F.explode(starts).alias("x")).select(*keys, "x.start", "n", "m", "x.s", F.lit(1.0).alias("scale"))
+
+
+def concentrated(rows: DataFrame, model: DataFrame, support: float, prior_rows: int, name: str) -> DataFrame:
+    """One concentration step of every group and start: the moments of the `support` nearest rows under the present model."""
+    near = met(rows, model, *KEYS).withColumn("d2", _distance()).select(*KEYS, "salt", "d2", *FEATURES)
+    cut = near.groupBy(*KEYS).agg(F.percentile_approx("d2", support, 1000).alias("cut"))
+    inside = met(near, write_shared(cut, f"{name}-cut"), *KEYS).where(F.col("d2") <= F.col("cut"))
+    moments = [F.avg(f) for f in FEATURES], [F.avg(F.col(a) * F.col(b)) for a in FEATURES for b in FEATURES]
+    summed = inside.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.array(*moments[0]).alias("m"), F.array(*moments[1]).alias("s"))
+    return write_shared(summed.withColumn("scale", F.lit(1.0 / support)).mapInArrow(_model_rows(prior_rows), _MODEL), name)
+
+
+def robust_verdicts(stats: DataFrame, support: float = 0.75, steps: int = 8, prior_rows: int = 20, cutoff: float = CUTOFF) -> DataFrame:
     """Adds base_failed, distance2 (null if base_failed) and kept to a table with statistics, lang and source."""
-    spark = stats.sparkSession
-    p = len(FEATURES)
     full = transformed(stats).withColumns(
         {
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")),
             "grp_lang": F.coalesce(F.col("lang").cast("string"), F.lit("\x00")),
             "grp_source": F.coalesce(F.col("source").cast("string"), F.lit("\x00")),
+            "salt": F.pmod(F.xxhash64(*(["doc_id"] if "doc_id" in stats.columns else stats.columns)), F.lit(SALTS)).cast("int"),
         }
     )
-    keys = ["grp_lang", "grp_source"]
-    rows = full.where(~F.col("base_failed"))
-    model_schema = "grp_lang string, grp_source string, mu array<double>, inv array<double>"
-
-    # Start: coordinate-wise medians and their median absolute deviations.
-    med = rows.groupBy(*keys).agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("m"))
-    off = rows.join(med, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.first("m").alias("m"), F.array(*(F.percentile_approx(F.abs(F.col(f) - F.col("m")[i]), 0.5, 1000) for i, f in enumerate(FEATURES))).alias("mad")
-    )
-    square = [F.col("m")[i] * F.col("m")[j] + (F.pow(F.col("mad")[i] * 1.4826, 2) if i == j else 0.0) for i in range(p) for j in range(p)]
-    model = write_shared(off.select(*keys, "n", "m", F.array(*square).alias("s"), F.lit(1.0).alias("scale")).mapInPandas(_model_rows(prior_rows), model_schema), "mcd-start")
-
-    moments = [F.avg(f) for f in FEATURES], [F.avg(F.col(a) * F.col(b)) for a in FEATURES for b in FEATURES]
-    for k in range(steps):
-        near = rows.join(model, keys).withColumn("d2", _distance())
-        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", support, 1000).alias("cut"))
-        inside = near.join(cut, keys).where(F.col("d2") <= F.col("cut"))
-        summed = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*moments[0]).alias("m"), F.array(*moments[1]).alias("s"))
-        model = write_shared(summed.withColumn("scale", F.lit(1.0 / support)).mapInPandas(_model_rows(prior_rows), model_schema), f"mcd-{k}")
-
-    near = rows.join(model, keys).withColumn("d2", _distance())
+    rows = full.where(~F.col("base_failed")).select(*KEYS[:2], "salt", *FEATURES)
+    three = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(3)))))
+    model = write_shared(robust_starts(rows).mapInArrow(_model_rows(prior_rows), _MODEL), "mcd-starts")
+    for k in range(2):
+        model = concentrated(three, model, support, prior_rows, f"mcd-{k}")
+    # The start of the smallest determinant, ties to the first; one row a group.
+    best = model.groupBy(*KEYS[:2]).agg(F.min_by(F.struct("start", "mu", "inv", "det"), F.struct("det", "start")).alias("x"))
+    model = write_shared(best.select(*KEYS[:2], "x.*"), "mcd-best")
+    for k in range(2, steps):
+        rows_of = rows.withColumn("start", F.lit(0))
+        now = model.withColumn("start", F.lit(0))
+        new = concentrated(rows_of, now, support, prior_rows, f"mcd-{k}")
+        both = now.select(*KEYS, F.struct("mu", "inv", "det").alias("old")).join(new.select(*KEYS, F.struct("mu", "inv", "det").alias("new")), KEYS)
+        lower = F.col("new.det") < F.col("old.det")
+        model = write_shared(both.select(*KEYS, F.when(lower, F.col("new")).otherwise(F.col("old")).alias("x"), (F.col("new.det") < F.col("old.det") - 1e-3).alias("falls")).select(*KEYS, "x.*", "falls"), "mcd-kept")
+        if model.where("falls").isEmpty():
+            break
+    model = model.select(*KEYS[:2], "mu", "inv")
+    near = met(rows, model, *KEYS[:2]).withColumn("d2", _distance())
     # Consistency: the median distance of a clean group is that of the chi-square law; groups are never tightened.
-    scale = write_shared(near.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("factor")), "mcd-scale")
-    judged = full.join(model.join(scale, keys), keys, "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance() / F.col("factor")))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).drop(*keys, *FEATURES, "mu", "inv", "factor")
+    scale = write_shared(near.groupBy(*KEYS[:2]).agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("factor")), "mcd-scale")
+    judged = met(full, write_shared(model.join(scale, KEYS[:2]), "mcd-final"), *KEYS[:2], how="left").withColumn("distance2", F.when(~F.col("base_failed"), _distance() / F.col("factor")))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).drop(*KEYS[:2], "salt", *FEATURES, "mu", "inv", "factor")
 
 
 def quality_rules(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:

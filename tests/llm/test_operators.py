@@ -443,3 +443,29 @@ def test_op9_outlier(spark):
     docs.append((999, " ".join(f"#$%&|{i}" for i in range(100)), "en", "a"))
     kept = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
     assert not kept[999] and all(kept[i] for i in range(200))
+
+
+@pytest.mark.parametrize("few", [5000, 0])
+def test_op9_minimum_determinant(spark, monkeypatch, few):
+    """A fifth of a group is a tight cloud far away: the estimate keeps to the others, whichever start leads there, and equals a plain one run to its end."""
+    from tessera.llm import quality_rules as Q
+
+    monkeypatch.setattr(Q, "FEW_GROUPS", few)
+    rng = np.random.default_rng(11)
+    rows = [(i, int(rng.integers(80, 400)), "en", "a") for i in range(400)] + [(1000 + i, int(rng.integers(3000, 3010)), "en", "a") for i in range(100)]
+    stats = [(i, n, n * 6 + int(rng.integers(-20, 20)), 2 if i < 1000 else n // 3, 0, 0, 10, lang, src) for i, n, lang, src in rows]
+    table = spark.createDataFrame(stats, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, lang string, source string")
+    out = Q.robust_verdicts(table).toPandas().set_index("doc_id")
+    assert out.kept[:400].mean() > 0.97 and not out.kept[out.index >= 1000].any()
+    x = Q.transformed(table).toPandas()[list(Q.FEATURES)].to_numpy()
+    floor = np.diag(np.square(Q.FLOOR))
+    mu, cov = np.median(x, 0), np.diag(np.maximum(1.4826 * np.median(np.abs(x - np.median(x, 0)), 0), 0.1 * np.array(Q.FLOOR)) ** 2)
+    for _ in range(30):
+        d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+        inside = x[d <= np.sort(d)[int(0.75 * len(x)) - 1]]
+        mu, raw = inside.mean(0), np.cov(inside.T, bias=True) / 0.75
+        cov = (len(inside) * raw + 20 * floor) / (len(inside) + 20) + 0.05 * floor
+    d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+    d /= max(1, np.median(d) / Q.CHI2_MEDIAN)
+    assert ((d <= Q.CUTOFF) == out.kept.to_numpy()).all()
+    assert np.allclose(out.distance2, d, rtol=0.05)
