@@ -6,7 +6,8 @@ the underfull ones are the items of the next round, in fewer and merged groups,
 or a round closes no more bins. Every round's bins are written to the shared folder, so a lost executor
 repeats a round's task with the same input and the same result. A group never holds more than about
 `group_items` rows, whatever the number of documents: where the residuals of all groups would not fit in
-one, they stay in several.
+one, they stay in several. The hash takes a row's place in the stored table besides its id, so that rows that
+repeat an id, null ids included, are dealt out like others.
 
 Null texts count as empty: one end token. Equal lengths go in order of (doc_id, piece); repeated rows are
 packed as often as they occur; an empty table gives an empty result; extra columns are ignored.
@@ -100,7 +101,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK,
     groups = max(1, -(-n // group_items))
     first = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     items = pieces.select(
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int").alias("grp"), F.col("length").alias("total"), "doc_id", "piece", F.array(first).alias("members")
+        F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("grp"), F.col("length").alias("total"), "doc_id", "piece", F.array(first).alias("members")
     )
     schema = f"grp int, sequence_id long, total long, doc_id long, piece int, full boolean, members {_MEMBERS}"
     done: list[DataFrame] = []

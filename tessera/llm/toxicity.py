@@ -273,5 +273,5 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def op5_string_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train_toxicity(docs.where(~held_out(2, 4)), table(spark, sf_dir, "labels"))
+    model = train_toxicity(docs.where(~held_out(2, 4)), table(spark, sf_dir, "labels").where(~held_out(2, 4)))
     return toxicity(docs, model).select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
