@@ -106,8 +106,9 @@ def clip(x: str | Column, lo: float, hi: float) -> Column:
 
 def backfilled(x: str) -> Column:
     """Missing values take the next known one, then the last known one, then 0."""
-    after = ordered().rowsBetween(0, Window.unboundedFollowing)
-    return F.coalesce(F.first(x, ignorenulls=True).over(after), F.last(x, ignorenulls=True).over(running()), F.lit(0.0))
+    # Backwards, as a frame up to the end of the history would be gone through again for each row.
+    back = Window.partitionBy(BY).orderBy(F.desc(ORDER)).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.last(x, ignorenulls=True).over(back), F.last(x, ignorenulls=True).over(running()), F.lit(0.0))
 
 
 def robust_z(df: DataFrame, which: dict[str, tuple[str, int]]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.exprs import average_rank, div, lag
+from tessera.functions.exprs import average_rank, clip, div, lag
 
 #: Fewest rows of a symbol that take part in feature work.
 MIN_HISTORY = 218
@@ -48,8 +50,8 @@ def distinct_first(df: DataFrame, *order: str) -> DataFrame:
 
 
 def with_history(df: DataFrame, least: int = MIN_HISTORY) -> DataFrame:
-    """Rows of symbols with at least so many; the counts are one row a symbol."""
-    return df.join(df.groupBy("symbol").count().where(F.col("count") >= least).select("symbol"), "symbol", "left_semi")
+    """Rows of symbols with at least so many."""
+    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("_n") >= least).drop("_n")
 
 
 def with_returns(df: DataFrame) -> DataFrame:
@@ -74,11 +76,14 @@ def coded(panel: DataFrame, name: str = "sector") -> DataFrame:
 
 
 def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with returns, market, sector and cross-sectional columns."""
+    """Bars with returns, market, sector and cross-sectional columns.
+
+    A day's bars meet once: what `market_series` and `sector_returns` give by date comes from frames over the day here."""
     base = with_returns(with_history(bars(spark, sf_dir)))
-    by_day = Window.partitionBy("date")
-    ranked = base.withColumns({"cs_return_rank": average_rank("r", "date") / F.count("r").over(by_day)})
-    return ranked.join(market_series(base), "date").join(sector_returns(base), ["date", "sector"])
+    r, day, by_sector = F.col("r"), Window.partitionBy("date"), Window.partitionBy("date", "sector")
+    parts = {"mr": F.avg(r).over(day), "mv": F.stddev_pop(r).over(day), "mb": F.avg((r > 0).cast("double")).over(day), "sr": F.avg(r).over(by_sector)}
+    series = {name: F.coalesce(x, F.lit(0.0)) for name, x in parts.items()}
+    return base.withColumns({"cs_return_rank": average_rank("r", "date") / F.count("r").over(day), **series})
 
 
 def model_predictions(spark: SparkSession, text: str) -> DataFrame:
