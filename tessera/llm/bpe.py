@@ -29,11 +29,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, arrow_batches, discard, most_frequent, share_file, table, write_shared
+from tessera.llm.common import arrow_batches, discard, most_frequent, share_file, table, write_shared
 
 WORD_BPE = "word_bpe_49k.json"
-#: Bytes of a task's memory of encoded chunks, and of merged words.
-CHUNK_BYTES, WORD_BYTES = 96 << 20, 64 << 20
+#: Bytes of a task's memory of encoded chunks and merged words.
+MEMO_BYTES = 176 << 20
 #: Words in the lexicon.
 LEXICON_WORDS = 50_000
 END = "</w>"
@@ -75,12 +75,11 @@ class Bpe:
 
     def words(self, text: str) -> list[str]:
         """Normalised words of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        else:
+        if text.isascii():
             text = text.lower()
-        return [text] if text.isalpha() and text.isascii() else self.word.findall(text)
+            return [text] if text.isalpha() else self.word.findall(text)
+        text = unicodedata.normalize("NFC", text)
+        return self.word.findall("".join(map(str.lower, text)) if "Σ" in text else text.lower())
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word, by exact merges."""
@@ -217,28 +216,48 @@ def mapped_lexicon(name: str) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
-class Encoder(Memo):
-    """Ids of white-space-free chunks of UTF-8 text, as little-endian uint32 bytes; one for each task."""
+class Encoder(dict):
+    """Ids of white-space-free chunks of UTF-8 text, as little-endian uint32 bytes; one for each task.
+
+    A word's ids come from the lexicon, and by exact merges where it has no such word. A task meets a new chunk every
+    seventh word or so: what happens then is written out here instead of being called."""
 
     def __init__(self, path: str, lexicon: str | None):
-        super().__init__(self.chunk_ids, 190, CHUNK_BYTES)
-        self.model, self.lexicon = bpe(path), mapped_lexicon(lexicon) if lexicon else None
-        self.merged = Memo(lambda word: array("I", self.model.merge(word.encode())).tobytes(), 200, WORD_BYTES)
-
-    def word_ids(self, word: str) -> bytes:
-        """From the lexicon, and by exact merges where it has no such word."""
-        found = self.lexicon.get(word.encode()) if self.lexicon else None
-        return array("I", found).tobytes() if found else self.merged[word]
-
-    def chunk_ids(self, raw: bytes) -> bytes:
-        chunk = raw.decode("utf-8")
-        if "<|" not in chunk:
-            return b"".join(map(self.word_ids, self.model.words(chunk)))
-        out, at = [], 0
+        self.model, self.lexicon, self.held = bpe(path), mapped_lexicon(lexicon) if lexicon else None, 0
+        self.merged: dict[str, bytes] = {}
+
+    def __missing__(self, raw: bytes) -> bytes:
+        chunk, merged, lexicon, merge = raw.decode("utf-8"), self.merged, self.lexicon, self.model.merge
+        ids = b""
+        for word in self.model.words(chunk) if "<|" not in chunk else self.with_specials(chunk):
+            found = merged.get(word)
+            if found is None:
+                if type(word) is int:
+                    found = array("I", [word]).tobytes()
+                else:
+                    utf8_word = word.encode()
+                    known = lexicon.get(utf8_word) if lexicon else None
+                    found = array("I", known or merge(utf8_word)).tobytes()
+                    if not known:  # what the lexicon has need not be remembered
+                        merged[word] = found
+                        self.held += 180
+            ids += found
+        if self.held >= MEMO_BYTES:
+            self.clear()
+            merged.clear()
+            self.held = 0
+        self[raw] = ids
+        self.held += 180 + len(raw)
+        return ids
+
+    def with_specials(self, chunk: str) -> Iterator[str | int]:
+        """Words of a chunk, and the ids of special tokens in it."""
+        at = 0
         for m in self.model.special.finditer(chunk):
-            out += [*map(self.word_ids, self.model.words(chunk[at : m.start()])), array("I", [self.model.specials[m[0]]]).tobytes()]
+            yield from self.model.words(chunk[at : m.start()])
+            yield self.model.specials[m[0]]
             at = m.end()
-        return b"".join([*out, *map(self.word_ids, self.model.words(chunk[at:]))])
+        yield from self.model.words(chunk[at:])
 
     def text_ids(self, raw: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (raw or b"").split()))
