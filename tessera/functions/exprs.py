@@ -119,6 +119,46 @@ def robust_z(df: DataFrame, which: dict[str, tuple[str, int]]) -> DataFrame:
     return df.drop(*(f"_{k}_{o}" for o in which for k in "ms"))
 
 
+def in_parts(df: DataFrame, by: tuple[str, ...], order: str, parts: int = 64, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Adds _part, the place of a row's `order` among some quantiles of its group, and _before, the rows of the group in lower parts.
+
+    A group may hold most rows (there are but few horizons): what has to run in order runs inside parts, and goes on from
+    prefix sums of the parts, here of their row count and of the columns `sums`. Equal values are in one part, so ranks
+    stay exact. Cuts and sums have one row for each group and part; groups are few by contract and are broadcast."""
+    number = F.unix_date(F.col(order)) if dict(df.dtypes)[order] == "date" else F.col(order)
+    cuts = df.groupBy(*by).agg(F.percentile_approx(number, F.array(*(F.lit(i / parts) for i in range(1, parts))), 2000).alias("_cuts"))
+    rows = df.join(F.broadcast(cuts), list(by)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < number))).drop("_cuts")
+    lower = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    named = {"_before": F.count(F.lit(1)), **{f"_before_{k}": F.sum(x) for k, x in (sums or {}).items()}}
+    ahead = rows.groupBy(*by, "_part").agg(*(x.alias(k) for k, x in named.items())).select(*by, "_part", *(F.coalesce(F.sum(k).over(lower), F.lit(0)).alias(k) for k in named))
+    return rows.join(F.broadcast(ahead), [*by, "_part"])
+
+
+def group_row(df: DataFrame, by: tuple[str, ...], *order: str, name: str = "_row") -> DataFrame:
+    """Adds a row's number in its group, from 1, in the given order; no task sorts a whole group."""
+    made = in_parts(df, by, order[0])
+    return made.withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).drop("_part", "_before")
+
+
+def group_rank(df: DataFrame, by: tuple[str, ...], x: str, name: str) -> DataFrame:
+    """Adds the rank of x in its group, ties averaged; no task sorts a whole group."""
+    made = in_parts(df, by, x)
+    rank = F.rank().over(Window.partitionBy(*by, "_part").orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "_part", x)) - 1) / 2.0
+    return made.withColumn(name, F.col("_before") + rank).drop("_part", "_before")
+
+
+def group_quantiles(df: DataFrame, by: tuple[str, ...], x: str, levels: dict[str, float | Column]) -> DataFrame:
+    """(by, n, one column a level): exact interpolated quantiles of x; a level may be a column of n."""
+    n = df.groupBy(*by).agg(F.count(x).alias("n"))
+    rows = group_row(df.where(F.col(x).isNotNull()).select(*by, x), by, x).join(F.broadcast(n), list(by))  # one row a group
+
+    def weight(level: float | Column) -> Column:
+        at = (level if isinstance(level, Column) else F.lit(level)) * (F.col("n") - 1) + 1
+        return F.when(F.col("_row") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("_row") == F.floor(at) + 1, at - F.floor(at)).otherwise(0.0)
+
+    return rows.groupBy(*by).agg(F.first("n").alias("n"), *(F.sum(F.col(x) * weight(level)).alias(k) for k, level in levels.items()))
+
+
 def average_rank(x: str | Column, *by: str) -> Column:
     """Rank with ties averaged, NULLs unranked."""
     x = col(x)

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import average_rank, corr
+from tessera.functions.exprs import corr, group_quantiles, group_rank, group_row, in_parts
+from tessera.sources.storage import stored
 
 YEAR = math.sqrt(252)
 
@@ -25,49 +26,55 @@ def errors(df: DataFrame, *by: str) -> DataFrame:
 
 
 def rank_ic(df: DataFrame, *by: str) -> DataFrame:
-    ranked = df.withColumns({"_p": average_rank("p", *by), "_t": average_rank("t", *by)})
+    ranked = group_rank(stored(group_rank(df, by, "p", "_p")), by, "t", "_t")
     return ranked.groupBy(*by).agg(zero(corr("_p", "_t")).alias("rank_ic"))
 
 
 def with_long_short(df: DataFrame, *by: str) -> DataFrame:
     """Adds ls: the outcome where the forecast lies above its group's median, its negative elsewhere."""
-    mid = df.groupBy(*by).agg(F.percentile("p", F.lit(0.5)).alias("_mid"))
-    return df.join(mid, list(by)).withColumn("ls", F.when(F.col("p") > F.col("_mid"), F.col("t")).otherwise(-F.col("t"))).drop("_mid")
+    mid = group_quantiles(df, by, "p", {"_mid": 0.5}).drop("n")
+    return df.join(F.broadcast(mid), list(by)).withColumn("ls", F.when(F.col("p") > F.col("_mid"), F.col("t")).otherwise(-F.col("t"))).drop("_mid")
 
 
 def equity(df: DataFrame, *by: str) -> DataFrame:
-    """Adds the compounded curve of ls in order of (date, symbol), and its drawdown."""
-    w = Window.partitionBy(*by).orderBy("date", "symbol").rowsBetween(Window.unboundedPreceding, 0)
+    """Adds the compounded curve of ls in order of (date, symbol), and its drawdown.
+
+    In logarithms, as a long curve of losses would underflow; by parts of the dates, as a group may hold most rows."""
     step = F.log1p(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("ls"))))
-    # In logarithms: a long curve of losses would underflow.
-    made = df.withColumn("log_equity", F.sum(step).over(w)).withColumn("drawdown", 1 - F.exp(F.col("log_equity") - F.max("log_equity").over(w)))
-    return made.withColumn("equity", F.exp("log_equity"))
+    w = Window.partitionBy(*by, "_part").orderBy("date", "symbol").rowsBetween(Window.unboundedPreceding, 0)
+    rows = in_parts(df.withColumn("_step", step), by, "date", sums={"step": F.col("_step")})
+    rows = rows.withColumn("log_equity", F.col("_before_step") + F.sum("_step").over(w))
+    lower = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    peaks = rows.groupBy(*by, "_part").agg(F.max("log_equity").alias("_peak")).select(*by, "_part", F.max("_peak").over(lower).alias("_top"))
+    made = rows.join(F.broadcast(peaks), [*by, "_part"]).withColumn("drawdown", 1 - F.exp(F.col("log_equity") - F.greatest(F.max("log_equity").over(w), "_top")))
+    return made.withColumn("equity", F.exp("log_equity")).drop("_part", "_before", "_before_step", "_step", "_top")
 
 
 def long_short(df: DataFrame, *by: str) -> DataFrame:
     """Mean, Sharpe, largest drawdown and Calmar of the long-short outcome."""
-    made = equity(with_long_short(df, *by), *by)
+    made = equity(stored(with_long_short(df, *by)), *by)
     out = made.groupBy(*by).agg(F.avg("ls").alias("ls_mean"), F.stddev_pop("ls").alias("_sd"), F.max("drawdown").alias("max_dd"))
     return out.withColumns({"sharpe": F.when(F.col("_sd") > 1e-12, F.col("ls_mean") / F.col("_sd") * YEAR).otherwise(0.0), "calmar": F.when(F.col("max_dd") > 1e-12, F.col("ls_mean") * 252 / F.col("max_dd")).otherwise(0.0)}).drop("_sd")
 
 
 def quartile_spread(df: DataFrame, *by: str) -> DataFrame:
     """Mean outcome of the top quarter of forecasts less that of the bottom quarter."""
-    cuts = df.groupBy(*by).agg(F.percentile("p", F.lit(0.25)).alias("_a"), F.percentile("p", F.lit(0.75)).alias("_b"))
-    return df.join(cuts, list(by)).groupBy(*by).agg((zero(F.avg(F.when(F.col("p") >= F.col("_b"), F.col("t")))) - zero(F.avg(F.when(F.col("p") <= F.col("_a"), F.col("t"))))).alias("spread"))
+    cuts = group_quantiles(df, by, "p", {"_a": 0.25, "_b": 0.75}).drop("n")
+    return df.join(F.broadcast(cuts), list(by)).groupBy(*by).agg((zero(F.avg(F.when(F.col("p") >= F.col("_b"), F.col("t")))) - zero(F.avg(F.when(F.col("p") <= F.col("_a"), F.col("t"))))).alias("spread"))
 
 
 def decile_returns(df: DataFrame, *by: str) -> DataFrame:
     """Mean outcome by tenth of the forecast, ties in order of (date, symbol)."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("p", "date", "symbol")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return df.withColumn("decile", F.floor(rank * 10 / n).cast("int")).groupBy(*by, "decile").agg(F.count(F.lit(1)).alias("n"), F.avg("t").alias("mean_t"), F.avg("p").alias("mean_p"))
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = group_row(df, by, "p", "date", "symbol").join(F.broadcast(n), list(by))
+    return rows.withColumn("decile", F.floor((F.col("_row") - 1) * 10 / F.col("_n")).cast("int")).groupBy(*by, "decile").agg(F.count(F.lit(1)).alias("n"), F.avg("t").alias("mean_t"), F.avg("p").alias("mean_p"))
 
 
 def rolling_ic(df: DataFrame, *by: str, most: int = 500) -> DataFrame:
     """IC of consecutive windows of min(most, n / 5) rows, half overlapping, in order of (date, symbol)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rows = df.withColumns({"_i": F.row_number().over(Window.partitionBy(*by).orderBy("date", "symbol")) - 1, "_w": F.greatest(F.least(F.lit(most), F.floor(n / 5)), F.lit(2)), "_n": n})
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = group_row(df, by, "date", "symbol").join(F.broadcast(n), list(by))
+    rows = rows.withColumns({"_i": F.col("_row") - 1, "_w": F.greatest(F.least(F.lit(most), F.floor(F.col("_n") / 5)), F.lit(2))})
     rows = rows.withColumn("_h", F.greatest(F.floor(F.col("_w") / 2), F.lit(1)))
     lo, hi = F.greatest(F.ceil((F.col("_i") - F.col("_w") + 1) / F.col("_h")), F.lit(0)), F.floor(F.col("_i") / F.col("_h"))
     rows = rows.where(hi >= lo).withColumn("window", F.explode(F.sequence(lo, hi))).where("window * _h + _w <= _n")
@@ -76,9 +83,9 @@ def rolling_ic(df: DataFrame, *by: str, most: int = 500) -> DataFrame:
 
 def regime_ic(df: DataFrame, *by: str) -> DataFrame:
     """IC and direction accuracy by third of `vol` (quantiles of the group)."""
-    cuts = df.groupBy(*by).agg(F.percentile("vol", F.lit(1 / 3)).alias("_a"), F.percentile("vol", F.lit(2 / 3)).alias("_b"))
+    cuts = group_quantiles(df, by, "vol", {"_a": 1 / 3, "_b": 2 / 3}).drop("n")
     at = F.when(F.col("vol") <= F.col("_a"), "calm").when(F.col("vol") <= F.col("_b"), "normal").otherwise("stormy")
-    return errors(df.join(cuts, list(by)).withColumn("regime", at), *by, "regime").select(*by, "regime", "n", "ic", "da")
+    return errors(df.join(F.broadcast(cuts), list(by)).withColumn("regime", at), *by, "regime").select(*by, "regime", "n", "ic", "da")
 
 
 def window_metrics(df: DataFrame, *by: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import group_quantiles
 from tessera.functions.special import ks_uniform, minimise, t_ppf
 
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -18,11 +19,8 @@ LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 def conformal_quantile(df: DataFrame, score: Column, alpha: float, by: str) -> DataFrame:
     """(by, n_cal, cut): the interpolated quantile of a score at level ceil((n + 1)(1 - alpha)) / n, 1 at most."""
-    n = df.withColumn("_r", score).withColumns({"n_cal": F.count(F.lit(1)).over(Window.partitionBy(by)), "_k": F.row_number().over(Window.partitionBy(by).orderBy("_r"))})
-    q = F.least(F.ceil((F.col("n_cal") + 1) * F.lit(1 - alpha)) / F.col("n_cal"), F.lit(1.0))
-    at = q * (F.col("n_cal") - 1) + 1
-    w = F.when(F.col("_k") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("_k") == F.floor(at) + 1, at - F.floor(at)).otherwise(0.0)
-    return n.groupBy(by).agg(F.first("n_cal").alias("n_cal"), F.sum(F.col("_r") * w).alias("cut"))
+    level = F.least(F.ceil((F.col("n") + 1) * F.lit(1 - alpha)) / F.col("n"), F.lit(1.0))
+    return group_quantiles(df.withColumn("_r", score), (by,), "_r", {"cut": level}).withColumnRenamed("n", "n_cal")
 
 
 def split_conformal(df: DataFrame, alpha: float = 0.1, by: str = "horizon") -> DataFrame:

@@ -16,6 +16,7 @@ from tessera.operators import uncertainty as U
 from tessera.operators import windows as WN
 from tessera.operators.features import FAMILIES, change
 from tessera.sources import panel as P
+from tessera.sources.storage import stored
 from tessera.streaming.bars import stream_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,10 +51,10 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    """A stand-in forecast, the five-row momentum, against the forward log return."""
+    """A stand-in forecast, the five-row momentum, against the forward log return; stored, as the scores read it several times."""
     base = returns(spark, sf)
     p = base.select("symbol", "date", change(5).alias("p"), F.when(F.count("r").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-19, 0)) == 20, F.stddev_pop("r").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-19, 0))).alias("vol"))
-    return WN.forward_labels(base).withColumnRenamed("target", "t").join(p, ["symbol", "date"]).where("p is not null and vol is not null")
+    return stored(WN.forward_labels(base).withColumnRenamed("target", "t").join(p, ["symbol", "date"]).where("p is not null and vol is not null"))
 
 
 @query
@@ -202,7 +203,7 @@ def wf_summary(spark, sf):
 def scored_windows(spark, sf):
     base = returns(spark, sf)
     rows = WN.in_windows(WN.aligned(base), WN.wf_windows(base)).where("part = 'test'").select("symbol", "date", "window_id")
-    return M.window_metrics(forecasts(spark, sf).join(rows, ["symbol", "date"]), "window_id", "horizon")
+    return M.window_metrics(stored(forecasts(spark, sf).join(rows, ["symbol", "date"])), "window_id", "horizon")
 
 
 @query

@@ -14,7 +14,7 @@ from tessera.sources import panel as P
 from tessera.streaming import bars as ST
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["panel_bars", "market_series", "feat_volatility", "feat_sector", "feat_calendar", "feat_complexity", "recurrences", "forward_labels", "purged_split", "wf_norm_stats", "rank_ic", "merton_params", "ljung_box", "crps", "rolling_fingerprint", "spell_durations", "adjusted_rand", "split_conformal", "event_bars"]
+CHECKED = ["panel_bars", "market_series", "feat_volatility", "feat_sector", "feat_calendar", "feat_complexity", "recurrences", "forward_labels", "purged_split", "wf_norm_stats", "rank_ic", "merton_params", "ljung_box", "crps", "rolling_fingerprint", "spell_durations", "adjusted_rand", "split_conformal", "cqr", "event_bars", "feat_volume", "window_metrics", "ensemble_variance", "symbol_overlap", "sector_pivot", "blended_forecast", "cross_sectional_z"]
 
 
 @pytest.fixture(scope="module")
@@ -192,3 +192,67 @@ def test_registered_sizes(spark, monkeypatch):
     series, how = queries.hmm_stability(spark, SF)
     whole = MC.log_returns(queries.P.with_history(queries.P.bars(spark, SF)))
     assert series.count() == whole.count() and not how
+
+
+def test_correlation_of_constant_and_short_frames(spark):
+    """NULL where a column does not move, two equal rows and a frame of one row included; nothing divides by zero."""
+    from tessera.functions.exprs import corr, frame, pair_corr
+
+    rows = [("a", 1, 5.0, 1.0), ("a", 2, 5.0, 2.0), ("a", 3, 6.0, 4.0), ("b", 1, 2.0, None), ("b", 2, 2.0, 2.0), ("b", 3, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, date int, y double, x double")
+    got = df.select("symbol", "date", corr("y", "x", frame(3)).alias("c"), pair_corr("y", "x", 2).alias("p")).orderBy("symbol", "date").toPandas()
+    assert got.c.round(3).tolist()[2] == 0.945 and got.c.isna().tolist() == [True, True, False, True, True, False]
+    assert got.p.round(3).tolist()[2] == 1.0 and got.p.isna().tolist() == [True, True, False, True, True, False]
+    assert [round(r.c, 3) if r.c is not None else None for r in df.groupBy("symbol").agg(corr("y", "x").alias("c")).orderBy("symbol").collect()] == [0.945, 1.0]
+
+
+def test_ordered_work_in_parts(spark):
+    """Ranks, row numbers and quantiles by parts against pandas, with ties and one group that holds most rows."""
+    from tessera.functions.exprs import group_quantiles, group_rank, group_row
+
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"g": ["a"] * 900 + ["b"] * 50 + ["c"], "x": np.r_[rng.integers(0, 40, 900), rng.random(50), 7.0], "i": np.arange(951)})
+    df = spark.createDataFrame(pdf)
+    got = group_rank(group_row(df, ("g",), "x", "i"), ("g",), "x", "rank").toPandas().sort_values("i")
+    assert (got["rank"].to_numpy() == pdf.groupby("g").x.rank().to_numpy()).all()
+    assert (got["_row"].to_numpy() == pdf.sort_values(["x", "i"]).groupby("g").cumcount().sort_index().to_numpy() + 1).all()
+    q = group_quantiles(df, ("g",), "x", {"lo": 0.1, "mid": 0.5}).toPandas().set_index("g")
+    assert np.allclose(q.lo.sort_index(), pdf.groupby("g").x.quantile(0.1)) and np.allclose(q.mid.sort_index(), pdf.groupby("g").x.quantile(0.5))
+
+
+def test_spectral_entropy():
+    """A pure wave has nearly no spectral entropy, noise nearly all of it, a flat series none."""
+    from tessera.operators.recurrence import spectral_entropy
+
+    t = np.arange(200)
+    wave, noise = spectral_entropy(np.sin(2 * np.pi * t / 6)), spectral_entropy(np.random.default_rng(1).normal(size=200))
+    assert (wave[:59] == 0).all() and wave[60:].max() < 1.1 < 1.9 < noise[60:].min() and (spectral_entropy(np.ones(200)) == 0).all()
+
+
+def test_garch_bands(spark):
+    """The median lies on the drift, bands are symmetric about it and widen with the cumulated variance."""
+    got = QUERIES["garch_bands"](spark, SF).toPandas().pivot(index="day", columns="q", values="value")
+    path = uncertainty.garch_variance_path(spark.createDataFrame([("B", 1e-5, 0.08, 0.88, 2e-4, 3e-4)], "symbol string, omega double, alpha double, beta double, h0 double, e0 double")).toPandas().set_index("day")
+    assert np.allclose(got[0.5], 0.0003 * got.index, atol=1e-9) and np.allclose(got[0.05] + got[0.95], 2 * got[0.5], atol=1e-6)
+    wide = (got[0.95] - got[0.05]) / np.sqrt(path.cumulative.loc[got.index])
+    assert np.allclose(wide, wide.iloc[0], rtol=1e-4)
+
+
+def test_cusum_resets_and_uses_the_sample_deviation():
+    from tessera.operators.recurrence import cusum
+
+    x = np.r_[np.zeros(50), np.ones(50)]
+    z, up, down, want = (x - x.mean()) / (x.std(ddof=1) + 1e-12), 0.0, 0.0, []
+    for i, v in enumerate(z):
+        up, down = max(0.0, up + v), max(0.0, down - v)
+        if max(up, down) > 5:
+            want.append(i)
+            up = down = 0.0
+    assert cusum(x) == want and want[0] == 5
+
+
+def test_pit_uniformity(spark):
+    rng = np.random.default_rng(3)
+    rows = [("flat", float(v)) for v in rng.random(400)] + [("low", float(v) ** 3) for v in rng.random(400)]
+    got = uncertainty.pit_uniformity(spark.createDataFrame(rows, "k string, pit double"), "k").toPandas().set_index("k")
+    assert got.p["flat"] > 0.05 and got.p["low"] < 1e-6 and got.ks["low"] > got.ks["flat"]
