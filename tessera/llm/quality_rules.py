@@ -147,31 +147,41 @@ def met(rows: DataFrame, groups: DataFrame, *keys: str, how: str = "inner") -> D
     return rows.join(salted, [*keys, "salt"], how)
 
 
+def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns medians, deviations and the two matrices of each group into the models of its starts."""
+    p = len(FEATURES)
+    for batch in batches:
+        out = []
+        for lang, source, m, d, *shapes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, x in enumerate((np.eye(p), *(np.array(x, float).reshape(p, p) for x in shapes))):
+                side = np.sqrt(np.maximum(np.diag(x), 1e-12))
+                r = x / np.outer(side, side)
+                np.fill_diagonal(r, 1.0)
+                cov = r * np.outer(d, d) + 0.05 * np.diag(np.square(FLOOR))
+                out.append((lang, source, k, m, np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*KEYS, "mu", "inv", "det"])
+
+
 def robust_starts(rows: DataFrame) -> DataFrame:
-    """(grp_lang, grp_source, start, n, m, s, scale): moments of the three starts of each group."""
+    """Rows of `_MODEL`: the three starts of each group."""
     p, keys = len(FEATURES), KEYS[:2]
     med = rows.groupBy(*keys).agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("m"))
     off = met(rows, write_shared(med, "mcd-medians"), *keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.first("m").alias("m"), F.array(*(F.percentile_approx(F.abs(F.col(f) - F.col("m")[i]), 0.5, 1000) * 1.4826 for i, f in enumerate(FEATURES))).alias("d")
+        F.first("m").alias("m"), F.array(*(F.percentile_approx(F.abs(F.col(f) - F.col("m")[i]), 0.5, 1000) * 1.4826 for i, f in enumerate(FEATURES))).alias("d")
     )
     off = write_shared(off, "mcd-deviations")
     # A statistic that is constant in most of a group's rows is measured in the deviation that any group is granted.
     wide = [F.greatest(F.col("d")[i], F.lit(0.1 * f)) for i, f in enumerate(FLOOR)]
     z = [(F.col(f) - F.col("m")[i]) / wide[i] for i, f in enumerate(FEATURES)]
-    ranked = met(rows, off, *keys).select(*keys, "n", "m", "d", F.array(*map(F.tanh, z)).alias("t"), F.array(*z).alias("z"))
+    ranked = met(rows, off, *keys).select(*keys, "m", "d", F.array(*map(F.tanh, z)).alias("t"), F.array(*z).alias("z"))
     length = F.greatest(F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
     ranked = ranked.withColumn("u", F.transform("z", lambda x: x / length))
     def second(c: str) -> F.Column:
         return F.array(*(F.avg(F.col(c)[i] * F.col(c)[j]) for i in range(p) for j in range(p)))
-    sums = ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("d").alias("d"), second("t").alias("tt"), second("u").alias("uu"))
-    def covariance(c: str | None) -> F.Column:
-        """m m' + D R D, D the deviations and R the matrix brought to a diagonal of 1."""
-        def entry(i: int, j: int) -> F.Column:
-            r = F.lit(float(i == j)) if c is None else F.col(c)[i * p + j] / F.sqrt(F.greatest(F.col(c)[i * p + i] * F.col(c)[j * p + j], F.lit(1e-12)))
-            return F.col("m")[i] * F.col("m")[j] + wide[i] * wide[j] * (F.lit(1.0) if i == j else r)
-        return F.array(*(entry(i, j) for i in range(p) for j in range(p)))
-    starts = F.array(*(F.struct(F.lit(k).alias("start"), covariance(c).alias("s")) for k, c in enumerate((None, "tt", "uu"))))
-    return sums.select(*keys, "n", "m", F.explode(starts).alias("x")).select(*keys, "x.start", "n", "m", "x.s", F.lit(1.0).alias("scale"))
+    sums = ranked.groupBy(*keys).agg(F.first("m").alias("m"), F.first("d").alias("d"), second("t").alias("tt"), second("u").alias("uu"))
+    return sums.select(*keys, "m", F.array(*wide).alias("d"), "tt", "uu").mapInArrow(_start_rows, _MODEL)
 
 
 def concentrated(rows: DataFrame, model: DataFrame, support: float, prior_rows: int, name: str) -> DataFrame:
@@ -196,7 +206,7 @@ def robust_verdicts(stats: DataFrame, support: float = 0.75, steps: int = 8, pri
     )
     rows = full.where(~F.col("base_failed")).select(*KEYS[:2], "salt", *FEATURES)
     three = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(3)))))
-    model = write_shared(robust_starts(rows).mapInArrow(_model_rows(prior_rows), _MODEL), "mcd-starts")
+    model = write_shared(robust_starts(rows), "mcd-starts")
     for k in range(2):
         model = concentrated(three, model, support, prior_rows, f"mcd-{k}")
     # The start of the smallest determinant, ties to the first; one row a group.
