@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, discard, most_frequent, share_file, table, write_shared
+from tessera.llm.common import arrow_batches, discard, most_frequent, released, share_file, table, write_shared
 
 WORD_BPE = "word_bpe_49k.json"
 #: Bytes of a task's memory of encoded chunks and merged words.
@@ -309,7 +309,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, lexicon: str | None = N
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path, lexicon)
-        for batch in batches:
+        for batch in released(batches):
             ids = [np.frombuffer(enc.text_ids(raw), "<u4") for raw in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
@@ -339,7 +339,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, lexicon: str | None =
         tokens = bpe(path).tokens
         digits, shown = [str(i) for i in range(len(tokens))], [t.encode() for t in tokens]
         enc = Encoder(path, lexicon)
-        for batch in batches:
+        for batch in released(batches):
             n, a, b = [], [], []
             for raw in utf8(batch.column(1)):
                 ids = array("I", enc.text_ids(raw))

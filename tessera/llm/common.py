@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +78,17 @@ def discard(*tables: DataFrame, part: str = "") -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, after the worker has given back what its allocators keep from former tasks.
+
+    Python workers are used again and again; without this a worker that once held 500 MB stays that large."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library of this system may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+    yield from batches
+
+
 @contextmanager
 def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
     """Settings (with __ for .) for what runs inside; the old ones come back."""

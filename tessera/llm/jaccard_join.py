@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.anchors import mix
 from tessera.llm.bpe import utf8
-from tessera.llm.common import arrow_batches, table, write_shared
+from tessera.llm.common import arrow_batches, released, table, write_shared
 from tessera.llm.graph import connected_components, local_stars
 from tessera.llm.substring_dedup import WordHashes
 
@@ -160,7 +160,7 @@ def rare_first(docs: DataFrame, total: int, width: int) -> RareFirst:
             data = [place[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(lead, [*lead[1:], len(chunk)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(chunk[lead].astype(np.int32)), pa.array(data, pa.binary())], names=["chunk", "counts"])
 
-        for batch in batches:
+        for batch in released(batches):
             for x in utf8(batch.column(0)):
                 held.append(shingle_set(x, width, hashes))
                 n += len(held[-1])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import utf8
-from tessera.llm.common import arrow_batches, crc_of_id, table
+from tessera.llm.common import arrow_batches, crc_of_id, released, table
 
 UND = "und"
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
@@ -138,7 +138,7 @@ def train_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
                         total[lang] = total.get(lang, 0) + sums
             words.clear()
 
-        for batch in batches:
+        for batch in released(batches):
             for lang, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 words[lang].update((raw or b"").split())
             if sum(map(len, words.values())) > MEMO_WORDS:
@@ -255,7 +255,7 @@ def language_id(docs: DataFrame, model: LanguageModel, spans: bool = False, keep
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.languages
         labeller = Labeller(shared.value) if names else None
-        for batch in batches:
+        for batch in released(batches):
             texts = utf8(batch.column(1))
             pred, score, runs = [UND] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
             if labeller:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Encoder, default_tokenizer, utf8
-from tessera.llm.common import arrow_batches, table, write_shared
+from tessera.llm.common import arrow_batches, released, table, write_shared
 
 CAPACITY, END_ID = 4096, 1
 GROUP_ITEMS = 50_000
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path, None)
         end = array("I", [end_id]).tobytes()
-        for batch in batches:
+        for batch in released(batches):
             rows: list[tuple] = []
             for doc, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 ids = enc.text_ids(raw) + end

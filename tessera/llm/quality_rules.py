@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, table, write_shared
+from tessera.llm.common import arrow_batches, released, table, write_shared
 
 SYMBOLS = b"#*$%&|<>"
 #: Least number of words and largest percentage of repeated words of the base rule.
@@ -79,7 +79,7 @@ def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     names = [x.split()[0] for x in _STATS.split(", ")]
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             found = [text_stats(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             cols = list(zip(*found, strict=True)) if found else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, pa.int64()) for x in cols)], names=[*keep, *names])
@@ -139,9 +139,9 @@ def _distance() -> F.Column:
     return total
 
 
-def met(rows: DataFrame, groups: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
-    """Rows (with a salt) and the columns of their group, which has one row a group and is read from storage."""
-    if groups.count() <= 3 * FEW_GROUPS:  # up to three starts a group
+def met(rows: DataFrame, groups: DataFrame, few: bool, *keys: str, how: str = "inner") -> DataFrame:
+    """Rows (with a salt) and the columns of their group, which has one row a group and start; few: at most FEW_GROUPS groups."""
+    if few:
         return rows.join(F.broadcast(groups), list(keys), how)
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(salted, [*keys, "salt"], how)
@@ -164,18 +164,16 @@ def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*KEYS, "mu", "inv", "det"])
 
 
-def robust_starts(rows: DataFrame) -> DataFrame:
-    """Rows of `_MODEL`: the three starts of each group."""
+def robust_starts(rows: DataFrame, med: DataFrame, few: bool) -> DataFrame:
+    """Rows of `_MODEL`: the three starts of each group of `med` (its medians m)."""
     p, keys = len(FEATURES), KEYS[:2]
-    med = rows.groupBy(*keys).agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("m"))
-    off = met(rows, write_shared(med, "mcd-medians"), *keys).groupBy(*keys).agg(
+    off = met(rows, med, few, *keys).groupBy(*keys).agg(
         F.first("m").alias("m"), F.array(*(F.percentile_approx(F.abs(F.col(f) - F.col("m")[i]), 0.5, 1000) * 1.4826 for i, f in enumerate(FEATURES))).alias("d")
     )
-    off = write_shared(off, "mcd-deviations")
     # A statistic that is constant in most of a group's rows is measured in the deviation that any group is granted.
     wide = [F.greatest(F.col("d")[i], F.lit(0.1 * f)) for i, f in enumerate(FLOOR)]
     z = [(F.col(f) - F.col("m")[i]) / wide[i] for i, f in enumerate(FEATURES)]
-    ranked = met(rows, off, *keys).select(*keys, "m", "d", F.array(*map(F.tanh, z)).alias("t"), F.array(*z).alias("z"))
+    ranked = met(rows, off, few, *keys).select(*keys, "m", "d", F.array(*map(F.tanh, z)).alias("t"), F.array(*z).alias("z"))
     length = F.greatest(F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
     ranked = ranked.withColumn("u", F.transform("z", lambda x: x / length))
     def second(c: str) -> F.Column:
@@ -184,14 +182,14 @@ def robust_starts(rows: DataFrame) -> DataFrame:
     return sums.select(*keys, "m", F.array(*wide).alias("d"), "tt", "uu").mapInArrow(_start_rows, _MODEL)
 
 
-def concentrated(rows: DataFrame, model: DataFrame, support: float, prior_rows: int, name: str) -> DataFrame:
+def concentrated(rows: DataFrame, model: DataFrame, few: bool, support: float, prior_rows: int) -> DataFrame:
     """One concentration step of every group and start: the moments of the `support` nearest rows under the present model."""
-    near = met(rows, model, *KEYS).withColumn("d2", _distance()).select(*KEYS, "salt", "d2", *FEATURES)
+    near = met(rows, model, few, *KEYS).withColumn("d2", _distance()).select(*KEYS, "salt", "d2", *FEATURES)
     cut = near.groupBy(*KEYS).agg(F.percentile_approx("d2", support, 1000).alias("cut"))
-    inside = met(near, write_shared(cut, f"{name}-cut"), *KEYS).where(F.col("d2") <= F.col("cut"))
+    inside = met(near, cut, few, *KEYS).where(F.col("d2") <= F.col("cut"))
     moments = [F.avg(f) for f in FEATURES], [F.avg(F.col(a) * F.col(b)) for a in FEATURES for b in FEATURES]
     summed = inside.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.array(*moments[0]).alias("m"), F.array(*moments[1]).alias("s"))
-    return write_shared(summed.withColumn("scale", F.lit(1.0 / support)).mapInArrow(_model_rows(prior_rows), _MODEL), name)
+    return summed.withColumn("scale", F.lit(1.0 / support)).mapInArrow(_model_rows(prior_rows), _MODEL)
 
 
 def robust_verdicts(stats: DataFrame, support: float = 0.75, steps: int = 8, prior_rows: int = 20, cutoff: float = CUTOFF) -> DataFrame:
@@ -206,26 +204,28 @@ def robust_verdicts(stats: DataFrame, support: float = 0.75, steps: int = 8, pri
     )
     rows = full.where(~F.col("base_failed")).select(*KEYS[:2], "salt", *FEATURES)
     three = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(3)))))
-    model = write_shared(robust_starts(rows), "mcd-starts")
-    for k in range(2):
-        model = concentrated(three, model, support, prior_rows, f"mcd-{k}")
+    med = write_shared(rows.groupBy(*KEYS[:2]).agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("m")), "mcd-medians")
+    few = med.count() <= FEW_GROUPS
+    model = write_shared(robust_starts(rows, med, few), "mcd-starts")
+    for _ in range(2):
+        model = write_shared(concentrated(three, model, few, support, prior_rows), "mcd-three")
     # The start of the smallest determinant, ties to the first; one row a group.
     best = model.groupBy(*KEYS[:2]).agg(F.min_by(F.struct("start", "mu", "inv", "det"), F.struct("det", "start")).alias("x"))
     model = write_shared(best.select(*KEYS[:2], "x.*"), "mcd-best")
-    for k in range(2, steps):
+    for _ in range(2, steps):
         rows_of = rows.withColumn("start", F.lit(0))
         now = model.withColumn("start", F.lit(0))
-        new = concentrated(rows_of, now, support, prior_rows, f"mcd-{k}")
+        new = concentrated(rows_of, now, few, support, prior_rows)
         both = now.select(*KEYS, F.struct("mu", "inv", "det").alias("old")).join(new.select(*KEYS, F.struct("mu", "inv", "det").alias("new")), KEYS)
         lower = F.col("new.det") < F.col("old.det")
         model = write_shared(both.select(*KEYS, F.when(lower, F.col("new")).otherwise(F.col("old")).alias("x"), (F.col("new.det") < F.col("old.det") - 1e-3).alias("falls")).select(*KEYS, "x.*", "falls"), "mcd-kept")
         if model.where("falls").isEmpty():
             break
     model = model.select(*KEYS[:2], "mu", "inv")
-    near = met(rows, model, *KEYS[:2]).withColumn("d2", _distance())
+    near = met(rows, model, few, *KEYS[:2]).withColumn("d2", _distance())
     # Consistency: the median distance of a clean group is that of the chi-square law; groups are never tightened.
-    scale = write_shared(near.groupBy(*KEYS[:2]).agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("factor")), "mcd-scale")
-    judged = met(full, write_shared(model.join(scale, KEYS[:2]), "mcd-final"), *KEYS[:2], how="left").withColumn("distance2", F.when(~F.col("base_failed"), _distance() / F.col("factor")))
+    scale = near.groupBy(*KEYS[:2]).agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("factor"))
+    judged = met(full, write_shared(model.join(scale, KEYS[:2]), "mcd-final"), few, *KEYS[:2], how="left").withColumn("distance2", F.when(~F.col("base_failed"), _distance() / F.col("factor")))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).drop(*KEYS[:2], "salt", *FEATURES, "mu", "inv", "factor")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.anchors import BLOCK, Rolling, block_rows, judged, merged_runs, mix, span_arrays, with_spans
 from tessera.llm.bpe import utf8
-from tessera.llm.common import arrow_batches, shuffle_width, table, write_shared
+from tessera.llm.common import arrow_batches, released, shuffle_width, table, write_shared
 
 WIDTH, GRAM = 100, 32
 #: Blocks in a bucket, about.
@@ -46,7 +46,7 @@ def byte_blocks(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts_of() -> Iterator[tuple[list[int], list[np.ndarray]]]:
-            for batch in batches:
+            for batch in released(batches):
                 ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
                 for at in range(0, len(ids), 250):
                     yield ids[at : at + 250], [byte_symbols(x) for x in texts[at : at + 250]]
@@ -117,7 +117,7 @@ def sort_buckets(suffixes: DataFrame, buckets: int, width: int) -> DataFrame:
     """(doc_id, start, h1, h2) of suffixes that repeat an earlier one (hashes null), or have to be compared across boundaries."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
+        held = list(released(batches))
         content = [c for b in held for c in b.column(3).to_pylist()]
         if not content:
             return
@@ -166,7 +166,7 @@ def remove_bytes(docs: DataFrame, spans: DataFrame, texts: bool = False, keep: t
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             out: list[tuple] = []
             for raw, found in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 raw = raw or b""
