@@ -314,7 +314,7 @@ def full_shard(spark, tmp_path_factory):
     home, rng = tmp_path_factory.mktemp("shard"), np.random.default_rng(11)
     x = rng.normal(size=(400, 64))[rng.integers(400, size=16_384)] + rng.normal(size=(16_384, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    rows = pd.DataFrame({"vec_id": np.arange(16_384), "embedding": list(x.astype(np.float32))})
+    rows = pd.DataFrame({"vec_id": np.arange(16_384), "embedding": x.tolist()})
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{home}/embeddings.parquet")
     return str(home)
 
