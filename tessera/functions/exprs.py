@@ -111,14 +111,6 @@ def backfilled(x: str) -> Column:
     return F.coalesce(F.last(x, ignorenulls=True).over(back), F.last(x, ignorenulls=True).over(running()), F.lit(0.0))
 
 
-def robust_z(df: DataFrame, which: dict[str, tuple[str, int]]) -> DataFrame:
-    """Adds out: tanh of the clipped rolling z-score of a column over n rows (half of them at least)."""
-    df = df.withColumns({f"_m_{o}": mean(c, n, n // 2) for o, (c, n) in which.items()} | {f"_s_{o}": roll(F.stddev_samp, c, n, n // 2) for o, (c, n) in which.items()})
-    df = df.withColumns({f"_{k}_{o}": backfilled(f"_{k}_{o}") for o in which for k in "ms"})
-    df = df.withColumns({o: F.tanh(clip((F.col(c) - F.col(f"_m_{o}")) / (F.col(f"_s_{o}") + 1e-9), -10, 10)) for o, (c, _) in which.items()})
-    return df.drop(*(f"_{k}_{o}" for o in which for k in "ms"))
-
-
 def in_parts(df: DataFrame, by: tuple[str, ...], order: str, parts: int = 64, sums: dict[str, Column] | None = None) -> DataFrame:
     """Adds _part, the place of a row's `order` among some quantiles of its group, and _before, the rows of the group in lower parts.
 

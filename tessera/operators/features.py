@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import backfilled, clip, col, div, frame, lag, least, mean, most, normal_cdf, pair, pair_corr, robust_z, roll, running, std, total
+from tessera.functions.exprs import backfilled, clip, col, div, lag, normal_cdf, running
+from tessera.functions.rolling import Rolling, robust_z
 
 RETURNS = (1, 2, 3, 5, 7, 10, 14, 20, 28, 50, 60, 100)
 MOVING = (5, 10, 20, 50, 100, 200)
@@ -21,159 +22,163 @@ def change(k: int, x: str = "close") -> Column:
     return div(col(x) - lag(x, k), lag(x, k), None)
 
 
-def rsi(x: str, w: int) -> Column:
-    """Simple mean gain over gain plus loss, 0..1; 1 without losses. `_d` columns hold the differences of x."""
-    up, down = mean(F.greatest(F.col(f"_d_{x}"), F.lit(0.0)), w), mean(F.greatest(-F.col(f"_d_{x}"), F.lit(0.0)), w)
-    # greatest() skips NULLs: the guard looks at the differences themselves.
-    full = F.count(F.col(f"_d_{x}")).over(frame(w)) >= w
-    return F.when(full & (down < 1e-12), F.lit(1.0)).when(full, up / (up + down))
+def rsi(k: Rolling, x: str, w: int) -> Column:
+    """Simple mean gain over gain plus loss, 0..1; 1 without losses."""
+    d = k.diff(x)
+    up, down = k.mean(k.derived("gain", lambda v: np.maximum(v, 0), d), w), k.mean(k.derived("loss", lambda v: np.maximum(-v, 0), d), w)
+    return F.when(down < 1e-12, F.lit(1.0)).otherwise(up / (up + down))
 
 
 def momentum(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_d_close", col("close") - lag("close"))
-    out = {f"return_{k}d": change(k) for k in RETURNS} | {f"mom_{k}": change(k) for k in (5, 10, 20, 60)}
-    out |= {f"rsi{w}": rsi("close", w) for w in (14, 7, 21)} | {f"price_to_ma{w}": F.tanh(div(col("close") - mean("close", w, 1), F.abs(mean("close", w, 1)))) for w in MOVING}
-    out["price_pct_52w"] = div(col("close") - least("close", 252), most("close", 252) - least("close", 252))
-    out["price_to_sma200"] = div("close", mean("close", 200), None) - 1
-    out["_rv60"] = std("r", 60)
-    rz = F.coalesce(F.col("r"), F.lit(0.0))
-    out["volume_weighted_mom"] = F.tanh(div(mean(rz * F.col("volume"), 20, 10), mean("volume", 20, 10)))
+    k, rz = Rolling(), F.coalesce(F.col("r"), F.lit(0.0))
+    low, high = k.least("close", 252), k.most("close", 252)
+    out = {f"return_{n}d": k.change(n) for n in RETURNS} | {f"mom_{n}": k.change(n) for n in (5, 10, 20, 60)}
+    out |= {f"rsi{w}": rsi(k, "close", w) for w in (14, 7, 21)} | {f"price_to_ma{w}": F.tanh(div(F.col("close") - k.mean("close", w, 1), F.abs(k.mean("close", w, 1)))) for w in MOVING}
+    out["price_pct_52w"] = div(F.col("close") - low, high - low)
+    out["price_to_sma200"] = div("close", k.mean("close", 200), None) - 1
+    out["_rv60"] = k.std("r", 60)
+    out["volume_weighted_mom"] = F.tanh(div(k.mean(rz * F.col("volume"), 20, 10), k.mean("volume", 20, 10)))
     out["vwm_fast"] = out["volume_weighted_mom"]
-    out["momentum_quality"] = F.tanh(clip(mean(F.signum(rz), 20, 10) * mean(F.abs(rz), 20, 10) * 100, -5, 5))
-    df = df.withColumns(out)
+    out["momentum_quality"] = F.tanh(clip(k.mean(F.signum(rz), 20, 10) * k.mean(F.abs(rz), 20, 10) * 100, -5, 5))
+    df = k.over(df).withColumns(out)
     return df.withColumns({
         "price_accel": F.col("mom_5") - F.col("mom_10"), "momentum_decay": F.col("mom_5") / (F.abs("mom_20") + 1e-9),
         "vol_adjusted_mom_20": F.tanh(F.col("mom_20") / (F.col("_rv60") + 1e-9)), "rsi_divergence": F.col("rsi14") - F.col("rsi21"),
     })
 
 
-def power_sums(x: str, n: int, least_n: int) -> tuple[Column, Column, Column, Column]:
-    """(count, second, third, fourth central moment sums) of a frame, from its raw power sums."""
-    c = F.count(x).over(frame(n)).cast("double")
-    s1, s2, s3, s4 = (F.sum(F.pow(F.col(x), k)).over(frame(n)) for k in (1, 2, 3, 4))
-    m = s1 / c
-    return F.when(c >= least_n, c), s2 - c * m * m, s3 - 3 * m * s2 + 2 * c * m * m * m, s4 - 4 * m * s3 + 6 * m * m * s2 - 3 * c * m * m * m * m
-
-
-def skew_sample(x: str, n: int) -> Column:
-    c, m2, m3, _ = power_sums(x, n, max(3, n * 3 // 4 if n == 20 else n // 2))
+def skew_sample(k: Rolling, x: str, n: int) -> Column:
+    c, m2, m3, _ = k.power_sums(x, n, max(3, n * 3 // 4 if n == 20 else n // 2))
     return F.when(m2 > 1e-14, c * F.sqrt(c - 1) / (c - 2) * m3 / F.pow(m2, F.lit(1.5)))
 
 
-def kurt_sample(x: str, n: int) -> Column:
-    c, m2, _, m4 = power_sums(x, n, n * 3 // 4)
+def kurt_sample(k: Rolling, x: str, n: int) -> Column:
+    c, m2, _, m4 = k.power_sums(x, n, n * 3 // 4)
     return F.when(m2 > 1e-14, c * (c + 1) * (c - 1) / ((c - 2) * (c - 3)) * m4 / (m2 * m2) - 3 * (c - 1) * (c - 1) / ((c - 2) * (c - 3)))
 
 
 def volatility(df: DataFrame) -> DataFrame:
-    rz = F.coalesce(F.col("r"), F.lit(0.0))
+    k, rz = Rolling(), F.coalesce(F.col("r"), F.lit(0.0))
     hl, co = F.log(F.greatest(div("high", "low", 1.0), F.lit(1e-9))), F.log(F.greatest(div("close", "open", 1.0), F.lit(1e-9)))
-    out = {f"realized_vol_{n}": std("r", n) for n in (5, 10, 20, 60, 120, 252)}
-    out["parkinson_vol"] = F.sqrt(total(hl * hl, 20) / (4 * 20 * math.log(2)))
-    out["garman_klass_vol"] = F.sqrt(F.greatest(total(0.5 * hl * hl - (2 * math.log(2) - 1) * co * co, 20) / 20, F.lit(0.0)))
-    out["downside_dev20"], out["upside_dev20"] = std(F.least(rz, F.lit(0.0)), 20), std(F.greatest(rz, F.lit(0.0)), 20)
-    out |= {"skew20": skew_sample("r", 20), "kurt20": kurt_sample("r", 20), "skew60": skew_sample("r", 60)}
-    out["range_expansion"] = div(col("high") - col("low"), mean("close", 20))
-    out["_s5"], out["_s20"] = roll(F.stddev_samp, rz, 5, 2), roll(F.stddev_samp, rz, 20, 10)
-    df = df.withColumns(out)
-    rv20 = F.col("realized_vol_20")
-    return df.withColumns({
-        "vol_regime": div(rv20, "realized_vol_120"), "vol_of_vol": std("realized_vol_20", 20), "vol_ratio_5_20": div("realized_vol_5", rv20), "vol_ratio_20_60": div(rv20, "realized_vol_60"),
-        "vol_ratio_60_120": div("realized_vol_60", "realized_vol_120"), "vol_skew_proxy": F.tanh(div("upside_dev20", "downside_dev20") - 1), "vol_breakout": div(rv20, mean("realized_vol_20", 50)),
-        "shock": div(F.abs("r"), rv20), "jump_intensity": mean(F.when(F.col("realized_vol_60").isNotNull(), (F.abs("r") > 2 * F.col("realized_vol_60")).cast("double")), 60),
-        "var_ratio": F.tanh(div(F.col("_s5") * F.col("_s5") * 4, F.col("_s20") * F.col("_s20")) - 1),
-    })
+    rv = {n: k.std("r", n) for n in (5, 10, 20, 60, 120, 252)}
+    rv20, rv60 = rv[20], rv[60]
+    s5, s20 = k.std_samp(rz, 5, 2), k.std_samp(rz, 20, 10)
+    # A day counts as a jump beyond twice the deviation; days without one count as unknown.
+    jump = k.derived("jump", lambda r, v: np.where(np.isnan(r) | np.isnan(v), np.nan, np.abs(r) > 2 * v), "r", rv60)
+    down, up = k.std(F.least(rz, F.lit(0.0)), 20), k.std(F.greatest(rz, F.lit(0.0)), 20)
+    out = {f"realized_vol_{n}": v for n, v in rv.items()} | {
+        "parkinson_vol": F.sqrt(k.total(hl * hl, 20) / (4 * 20 * math.log(2))), "garman_klass_vol": F.sqrt(F.greatest(k.total(0.5 * hl * hl - (2 * math.log(2) - 1) * co * co, 20) / 20, F.lit(0.0))),
+        "downside_dev20": down, "upside_dev20": up, "skew20": skew_sample(k, "r", 20), "kurt20": kurt_sample(k, "r", 20), "skew60": skew_sample(k, "r", 60),
+        "range_expansion": div(col("high") - col("low"), k.mean("close", 20)), "vol_regime": div(rv20, rv[120]), "vol_of_vol": k.std(rv20, 20), "vol_ratio_5_20": div(rv[5], rv20), "vol_ratio_20_60": div(rv20, rv60),
+        "vol_ratio_60_120": div(rv60, rv[120]), "vol_skew_proxy": F.tanh(div(up, down) - 1), "vol_breakout": div(rv20, k.mean(rv20, 50)), "shock": div(F.abs("r"), rv20), "jump_intensity": k.mean(jump, 60),
+        "var_ratio": F.tanh(div(s5 * s5 * 4, s20 * s20) - 1),
+    }
+    return k.over(df).withColumns(out)
 
 
 def volume(df: DataFrame) -> DataFrame:
-    rz = F.coalesce(F.col("r"), F.lit(0.0))
-    d, tp = col("close") - lag("close"), (col("high") + col("low") + col("close")) / 3
-    df = df.withColumns({"_d": d, "_tp": tp, "_up": tp > lag(tp), "_lv": F.log1p("volume"), "_rz": rz, "_med": roll(lambda x: F.percentile(x, F.lit(0.5)), "volume", 252, 1)})
-    spread = F.col("high") - F.col("low")
+    tp, spread = (col("high") + col("low") + col("close")) / 3, F.col("high") - F.col("low")
     clv = F.when(spread > 1e-12, ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / spread).otherwise(0.0)
-    buy, sell = F.when(F.col("close") >= F.col("open"), F.col("volume")).otherwise(0.0), F.when(F.col("close") < F.col("open"), F.col("volume")).otherwise(0.0)
     flow = F.col("_tp") * F.col("volume")
-    cum = F.sum(flow).over(running()) / F.sum("volume").over(running())
+    # What runs from the start of a history is one pass of Spark's own.
+    df = df.withColumns({"_d": col("close") - lag("close"), "_tp": tp, "_up": tp > lag(tp), "_lv": F.log1p("volume"), "_rz": F.coalesce(F.col("r"), F.lit(0.0)), "_clv": clv})
+    df = df.withColumns({
+        "_cum": F.sum(flow).over(running()) / F.sum("volume").over(running()), "_obv": F.first("volume").over(running()) + F.sum(F.coalesce(F.signum("_d"), F.lit(0.0)) * F.col("volume")).over(running()),
+        "_ad": F.sum(F.when(F.col("rn") > 1, F.col("_clv") * F.col("volume")).otherwise(0.0)).over(running()), "_vpt": clip(F.col("volume") * F.col("_rz"), -1e6, 1e6),
+    })
+    k = Rolling()
+    buy, sell = F.when(F.col("close") >= F.col("open"), F.col("volume")).otherwise(0.0), F.when(F.col("close") < F.col("open"), F.col("volume")).otherwise(0.0)
+    bought, sold = k.mean(buy, 20, 10), k.mean(sell, 20, 10)
+    surprise, z20, impact = div("volume", k.mean("volume", 20), 1.0), div(col("volume") - k.mean("volume", 20), k.std("volume", 20)), k.mean(div(F.abs("_rz"), F.sqrt("volume")), 10)
     out = {
-        "vol_z20": div(col("volume") - mean("volume", 20), std("volume", 20)), "vol_surprise": div("volume", mean("volume", 20), 1.0), "relative_volume60": div("volume", mean("volume", 60), 1.0),
-        "volume_trend": div(mean("volume", 5), mean("volume", 20)), "turnover_ratio": div("volume", mean("volume", 252)), "average_daily_volume": mean("volume", 252),
-        "dollar_flow": change(5, "dollar_volume"), "volume_percentile252": div("volume", "_med", 1.0), "liq_trend": mean("_lv", 20), "liq_accel": col("_lv") - lag("_lv", 5),
-        "chaikin_money_flow": div(total(clv * F.col("volume"), 20), total("volume", 20)),
-        "money_flow_index": F.when(F.col("rn") > 14, div(total(F.when(F.col("_up"), flow).otherwise(0.0), 14), total(flow, 14), 0.5)) - 0.5,
-        "orderflow_imbalance": div(mean(buy, 20, 10) - mean(sell, 20, 10), mean(buy, 20, 10) + mean(sell, 20, 10)), "vwap_deviation": F.tanh(clip(div(col("close") - cum, cum), -3, 3)),
-        "_amihud": F.coalesce(div(total(F.abs("_rz"), 20), total("dollar_volume", 20)), F.lit(0.0)),
-        "_kyle": F.coalesce(pair(F.regr_slope, "_rz", F.sqrt("volume"), 20), F.lit(0.0)),
-        "_obv": F.first("volume").over(running()) + F.sum(F.coalesce(F.signum("_d"), F.lit(0.0)) * F.col("volume")).over(running()),
-        "_ad": F.sum(F.when(F.col("rn") > 1, clv * F.col("volume")).otherwise(0.0)).over(running()), "_vpt": clip(F.col("volume") * F.col("_rz"), -1e6, 1e6),
-        "informed_trading_proxy": F.tanh(F.coalesce(pair_corr(F.abs("_rz"), "volume", 20), F.lit(0.0))), "_impact": mean(div(F.abs("_rz"), F.sqrt("volume")), 10),
+        "vol_z20": z20, "volume_zscore20": z20, "vol_surprise": surprise, "relative_volume20": surprise, "liq_dryness": div(F.lit(1.0), surprise), "relative_volume60": div("volume", k.mean("volume", 60), 1.0),
+        "volume_trend": div(k.mean("volume", 5), k.mean("volume", 20)), "turnover_ratio": div("volume", k.mean("volume", 252)), "average_daily_volume": k.mean("volume", 252),
+        "dollar_flow": k.change(5, "dollar_volume"), "volume_percentile252": div("volume", k.quantile("volume", 0.5, 252, 1), 1.0), "liq_trend": k.mean("_lv", 20), "liq_accel": col("_lv") - k.lag("_lv", 5),
+        "chaikin_money_flow": div(k.total(F.col("_clv") * F.col("volume"), 20), k.total("volume", 20)),
+        "money_flow_index": F.when(F.col("rn") > 14, div(k.total(F.when(F.col("_up"), flow).otherwise(0.0), 14), k.total(flow, 14), 0.5)) - 0.5,
+        "orderflow_imbalance": div(bought - sold, bought + sold), "vwap_deviation": F.tanh(clip(div(col("close") - F.col("_cum"), "_cum"), -3, 3)),
+        "_amihud": F.coalesce(div(k.total(F.abs("_rz"), 20), k.total("dollar_volume", 20)), F.lit(0.0)), "_kyle": F.coalesce(k.slope("_rz", F.sqrt("volume"), 20), F.lit(0.0)),
+        "informed_trading_proxy": F.tanh(F.coalesce(k.corr(F.abs("_rz"), "volume", 20), F.lit(0.0))), "obv_slope": F.tanh(k.change(5, "_obv")), "price_impact_persistence": div(impact - k.lag(impact, 5), k.lag(impact, 5), None),
+        "liquidity_shock": surprise * F.coalesce(div(F.abs("r"), k.std("r", 20)), F.lit(0.0)),
+        # Order-flow toxicity: volume signed by how far the day's return lies in its normal distribution.
+        "_sg": k.std_samp("_rz", 50, 25), "_vm": k.mean("volume", 50, 25), "_nm": k.mean(div(F.abs(F.coalesce("_d", F.lit(0.0))), spread + 1e-8), 20, 10),
     }
-    df = df.withColumns(out)
-    df = df.withColumns({"volume_zscore20": F.col("vol_z20"), "relative_volume20": F.col("vol_surprise"), "liq_dryness": div(F.lit(1.0), "vol_surprise"), "obv_slope": F.tanh(change(5, "_obv")), "price_impact_persistence": change(5, "_impact"), "liquidity_shock": F.col("vol_surprise") * F.coalesce(div(F.abs("r"), std("r", 20)), F.lit(0.0))})
-    # Order-flow toxicity: volume signed by how far the day's return lies in its normal distribution.
-    df = df.withColumns({"_sg": roll(F.stddev_samp, "_rz", 50, 25), "_nz": div(F.abs(F.coalesce("_d", F.lit(0.0))), spread + 1e-8)})
-    df = df.withColumns({"_sv": F.col("volume") * (2 * normal_cdf(F.col("_rz") / (backfilled("_sg") + 1e-8)) - 1), "_nm": mean("_nz", 20, 10)})
-    df = df.withColumns({"_bs": mean("_sv", 50, 25), "_vm": mean("volume", 50, 25), "_noise": backfilled("_nm")})
-    df = df.withColumn("_vpin", div(F.abs(backfilled("_bs")), backfilled("_vm") + 1e-8))
-    df = robust_z(df, {"_z_vpin": ("_vpin", 100), "_z_noise": ("_noise", 60)})
-    df = df.withColumns({"flow_toxicity_vpin": F.tanh("_z_vpin"), "microstructure_noise": F.tanh("_z_noise")})
+    df = k.over(df).withColumns(out)
+    df = df.withColumns({"_sv": F.col("volume") * (2 * normal_cdf(F.col("_rz") / (backfilled("_sg") + 1e-8)) - 1), "_noise": backfilled("_nm"), "_vb": backfilled("_vm")})
+    k = Rolling()
+    biased = k.mean("_sv", 50, 25)
+    df = k.over(df).withColumn("_bs", biased)
+    df = df.withColumn("_vpin", div(F.abs(backfilled("_bs")), F.col("_vb") + 1e-8))
     named = {"amihud": "_amihud", "kyle_lambda": "_kyle", "obv": "_obv", "accumulation_distribution": "_ad", "volume_price_trend": "_vpt"}
-    df = robust_z(df, {f"_z_{o}": (c, 60) for o, c in named.items()})
-    return df.withColumns({o: F.tanh(f"_z_{o}") for o in named})
+    df = robust_z(df, {"flow_toxicity_vpin": ("_vpin", 100), "microstructure_noise": ("_noise", 60)} | {o: (c, 60) for o, c in named.items()})
+    return df.withColumns({o: F.tanh(o) for o in ("flow_toxicity_vpin", "microstructure_noise", *named)})
 
 
 def price_action(df: DataFrame) -> DataFrame:
-    hl, pc, ph, pl = F.col("high") - F.col("low"), lag("close"), lag("high"), lag("low")
+    k, hl = Rolling(), F.col("high") - F.col("low")
+    pc, ph, pl = k.lag("close"), k.lag("high"), k.lag("low")
     body = F.abs(F.col("close") - F.col("open"))
     upper, lower = F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low")
-    df = df.withColumns({
+    gap = k.derived("gap", lambda o, p: np.where(np.abs(p) > 1e-12, (o - p) / np.where(np.abs(p) > 1e-12, p, 1), np.nan), "open", pc)
+    fall = k.derived("fall", lambda c, m: np.where(np.abs(m) > 1e-12, c / np.where(np.abs(m) > 1e-12, m, 1) - 1, np.nan), "close", k.most("close", 20))
+    low, high = k.least("low", 14), k.most("high", 14)
+    stoch = k.derived("stoch", lambda c, a, b: np.where(np.abs(b - a) > 1e-12, (c - a) / np.where(np.abs(b - a) > 1e-12, b - a, 1), 0.5), "close", low, high)
+    stoch_d = k.mean(stoch, 3) - 0.5
+    out = {
         "bid_ask_proxy": div(hl, "close"), "hl_spread": div(hl, "close"), "oc_return": div(F.col("close") - F.col("open"), "open"), "body": div(F.col("close") - F.col("open"), hl), "close_pos": div(F.col("close") - F.col("low"), hl),
-        "upper_shadow": div(upper, hl), "lower_shadow": div(lower, hl), "gap": div(F.col("open") - pc, pc, None), "wick_ratio": (upper + lower) / (body + 1e-9),
+        "upper_shadow": div(upper, hl), "lower_shadow": div(lower, hl), "gap": gap, "wick_ratio": (upper + lower) / (body + 1e-9),
         "inside_bar": ((F.col("high") < ph) & (F.col("low") > pl)).cast("double"), "outside_bar": ((F.col("high") > ph) & (F.col("low") < pl)).cast("double"),
-        "body_percentile": F.when(F.col("rn") >= 20, F.least(body / (roll(lambda x: F.percentile(x, F.lit(0.5)), body, 20) + 1e-9), F.lit(1e6))), "breakout": div("close", most("high", 20)), "support": div("close", least("low", 20)), "drawdown": div("close", most("close", 20), None) - 1,
-        "stoch_k": div(F.col("close") - least("low", 14), most("high", 14) - least("low", 14), 0.5), "intraday_range_efficiency": div(F.abs(F.col("close") - lag("close", 19)), total(hl, 20)),
-    })
-    df = df.withColumns({"overnight_gap_ma": mean("gap", 10), "recovery": mean("drawdown", 20), "pain_index": mean(F.abs("drawdown"), 60), "stoch_d": mean("stoch_k", 3) - 0.5, "williams_r": F.col("stoch_k") - 0.5})
-    return df.withColumns({"stoch_k": F.col("stoch_k") - 0.5}).withColumn("stoch_kd_diff", F.col("stoch_k") - F.col("stoch_d"))
+        "body_percentile": F.when(F.col("rn") >= 20, F.least(body / (k.quantile(body, 0.5, 20) + 1e-9), F.lit(1e6))), "breakout": div("close", k.most("high", 20)), "support": div("close", k.least("low", 20)), "drawdown": fall,
+        "stoch_k": stoch - 0.5, "stoch_d": stoch_d, "williams_r": stoch - 0.5, "stoch_kd_diff": stoch - 0.5 - stoch_d, "intraday_range_efficiency": div(F.abs(F.col("close") - k.lag("close", 19)), k.total(hl, 20)),
+        "overnight_gap_ma": k.mean(gap, 10), "recovery": k.mean(fall, 20), "pain_index": k.mean(k.derived("size", np.abs, fall), 60),
+    }
+    return k.over(df).withColumns(out)
 
 
 def risk(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"_rz": F.coalesce(F.col("r"), F.lit(0.0)), "_pk": most("close", 14), "_dc": col("close") - lag("close")})
+    k = Rolling()
+    df = df.withColumns({"_rz": F.coalesce(F.col("r"), F.lit(0.0)), "_t": F.col("rn").cast("double")})
     x, year = F.col("_rz"), math.sqrt(252)
-    falls = F.when(x < 0, x)
-    down = F.when(F.count(falls).over(frame(60)) >= 2, F.stddev_pop(falls).over(frame(60))).otherwise(0.0)
-    def slope(w: int) -> Column:
-        return clip(pair(F.regr_slope, F.col("close"), F.col("rn").cast("double"), w) / (std("close", w) + 1e-9), -5, 5)
     third = year / 3
-    fall = div("close", most("close", 20), None) - 1
-    gains, losses = total(F.greatest(x, F.lit(0.0)), 20), total(F.greatest(-x, F.lit(0.0)), 20)
+    falls, peak, dc = F.when(x < 0, x), k.most("close", 14), k.diff("close")
+    down = F.coalesce(k.std(falls, 60, 2), F.lit(0.0))
+    def slope(w: int) -> Column:
+        return clip(k.slope("close", "_t", w) / (k.std("close", w) + 1e-9), -5, 5)
+    fall = div("close", k.most("close", 20), None) - 1
+    gains, losses = k.total(F.greatest(x, F.lit(0.0)), 20), k.total(F.greatest(-x, F.lit(0.0)), 20)
     omega = F.when(losses < 1e-12, F.lit(10.0)).otherwise(gains / losses)
-    c, m2, m3, _ = power_sums("_rz", 60, 60)
-    return df.withColumns({
-        "sharpe_proxy": F.tanh(div(mean("r", 60), std("r", 60)) * third), "sortino_proxy": F.tanh(div(mean("r", 60), F.coalesce(std(F.least(x, F.lit(0.0)), 20), F.lit(0.0)) + 1e-9) * third),
-        "calmar_proxy": F.tanh(div(F.coalesce(change(20), F.lit(0.0)), F.abs(fall) + 1e-9) / 2),
-        "sharpe_60": clip(mean(x, 60) / (std(x, 60) + 1e-9) * year, -5, 5) / 5, "sortino_60": clip(mean(x, 60) / (down + 1e-9) * year, -5, 5) / 5, "omega_ratio": F.tanh((omega - 1) / 2),
-        "ulcer_index": F.sqrt(F.greatest((mean(F.col("close") * F.col("close"), 14) - 2 * F.col("_pk") * mean("close", 14) + F.col("_pk") * F.col("_pk")) / (F.col("_pk") * F.col("_pk")) * 1e4, F.lit(0.0))),
-        "tail_ratio": div(roll(lambda v: F.percentile(v, F.lit(0.95)), F.abs(x), 60), roll(lambda v: F.percentile(v, F.lit(0.05)), F.abs(x), 60)), "ret_pos_frac_20": mean((x > 0).cast("double"), 20),
+    c, m2, m3, _ = k.power_sums("_rz", 60, 60)
+    # Mean squared fall below the peak of 14 rows: the mean square about the mean, and the mean's own distance.
+    below = k.var("close", 14) + (k.mean("close", 14) - peak) * (k.mean("close", 14) - peak)
+    out = {
+        "sharpe_proxy": F.tanh(div(k.mean("r", 60), k.std("r", 60)) * third), "sortino_proxy": F.tanh(div(k.mean("r", 60), F.coalesce(k.std(F.least(x, F.lit(0.0)), 20), F.lit(0.0)) + 1e-9) * third),
+        "calmar_proxy": F.tanh(div(F.coalesce(k.change(20), F.lit(0.0)), F.abs(fall) + 1e-9) / 2),
+        "sharpe_60": clip(k.mean(x, 60) / (k.std(x, 60) + 1e-9) * year, -5, 5) / 5, "sortino_60": clip(k.mean(x, 60) / (down + 1e-9) * year, -5, 5) / 5, "omega_ratio": F.tanh((omega - 1) / 2),
+        "ulcer_index": F.sqrt(below / (peak * peak) * 1e4),
+        "tail_ratio": div(k.quantile(F.abs(x), 0.95, 60), k.quantile(F.abs(x), 0.05, 60)), "ret_pos_frac_20": k.mean((x > 0).cast("double"), 20),
         "lr_slope_20": slope(20), "lr_slope_5": slope(5), "realized_skew_risk": clip(F.when(m2 > 1e-14, F.sqrt(c) * m3 / F.pow(m2, F.lit(1.5))), -5, 5),
-        "fractal_dimension": 1 + F.log(div(total(F.abs("_dc"), 29), most("close", 30) - least("close", 30), 1.0)) / math.log(29) - 1.5,
-    })
+        "fractal_dimension": 1 + F.log(div(k.total(k.derived("size", np.abs, dc), 29), k.most("close", 30) - k.least("close", 30), 1.0)) / math.log(29) - 1.5,
+    }
+    return k.over(df).withColumns(out)
 
 
 def market(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"_rz": F.coalesce(F.col("r"), F.lit(0.0)), "_d_mr": col("mr") - lag("mr")})
-    df = df.withColumns({f"_cov{n}": pair(F.covar_samp, "_rz", "mr", n) for n in (10, 20, 60)} | {f"_vm{n}": roll(F.var_pop, "mr", n) for n in (20, 60)})
-    df = df.withColumns({f"_beta{n}": div(f"_cov{n}", f"_vm{n}") for n in (20, 60)})
-    df = df.withColumn("_res", F.col("_rz") - F.col("_beta20") * F.col("mr"))
-    mr = F.col("mr")
-    return df.withColumns({
-        "market_regime": ((F.col("mv") > mean("mv", 50)) & (mr > 0)).cast("double"), "regime_strength": mr * F.col("mv"), "market_trend": mean("mr", 20), "market_vol_trend": mean("mv", 20), "breadth_adj_market": mr * F.col("mb"),
-        "spy_return": mr, "spy_volatility": F.col("mv"), "spy_drawdown": (mr - most("mr", 20)) / (F.abs(most("mr", 20)) + 1e-9), "spy_rsi": rsi("mr", 14), "market_breadth": F.col("mb"),
+    k, mr, mv = Rolling(), F.col("mr"), F.col("mv")
+    df = df.withColumn("_rz", F.coalesce(F.col("r"), F.lit(0.0)))
+    cov = {n: k.cov_samp("_rz", "mr", n) for n in (10, 20, 60)}
+    beta = {n: k.derived("beta", lambda c, v: np.where(np.abs(v) > 1e-12, c / np.where(np.abs(v) > 1e-12, v, 1), 0.0), cov[n], k.var("mr", n)) for n in (20, 60)}
+    residual = k.derived("residual", lambda r, b, m: r - b * m, "_rz", beta[20], "mr")
+    top = k.most("mr", 20)
+    out = {
+        "market_regime": ((mv > k.mean("mv", 50)) & (mr > 0)).cast("double"), "regime_strength": mr * mv, "market_trend": k.mean("mr", 20), "market_vol_trend": k.mean("mv", 20), "breadth_adj_market": mr * F.col("mb"),
+        "spy_return": mr, "spy_volatility": mv, "spy_drawdown": (mr - top) / (F.abs(top) + 1e-9), "spy_rsi": rsi(k, "mr", 14), "market_breadth": F.col("mb"),
         "advance_decline_ratio": F.least(F.greatest(F.col("mb"), F.lit(0.0)) / F.greatest(1 - F.col("mb"), F.lit(1e-9)), F.lit(1e6)),
-        "correlation_spy20": F.coalesce(pair_corr("_rz", "mr", 20), F.lit(0.0)), "correlation_spy60": F.coalesce(pair_corr("_rz", "mr", 60), F.lit(0.0)), "return_vs_spy20": change(20) - 20 * mean("mr", 20),
-        "cov_spy_10": F.tanh(100 * F.col("_cov10")), "cov_spy_20": F.tanh(100 * F.col("_cov20")), "cov_spy_60": F.tanh(100 * F.col("_cov60")),
-        "residual_volatility": std("_res", 20), "rolling_alpha": mean("_res", 20), "tracking_error": std(F.col("_rz") - mr, 20),
-        "beta_decay": F.tanh(clip(div(F.col("_beta20") - F.col("_beta60"), F.abs("_beta60")), -3, 3)),
-    })
+        "correlation_spy20": F.coalesce(k.corr("_rz", "mr", 20), F.lit(0.0)), "correlation_spy60": F.coalesce(k.corr("_rz", "mr", 60), F.lit(0.0)), "return_vs_spy20": k.change(20) - 20 * k.mean("mr", 20),
+        "cov_spy_10": F.tanh(100 * cov[10]), "cov_spy_20": F.tanh(100 * cov[20]), "cov_spy_60": F.tanh(100 * cov[60]),
+        "residual_volatility": k.std(residual, 20), "rolling_alpha": k.mean(residual, 20), "tracking_error": k.std(F.col("_rz") - mr, 20),
+        "beta_decay": F.tanh(clip(div(beta[20] - beta[60], F.abs(beta[60])), -3, 3)),
+    }
+    return k.over(df).withColumns(out)
 
 
 def coded(df: DataFrame, name: str) -> DataFrame:
@@ -185,10 +190,12 @@ def coded(df: DataFrame, name: str) -> DataFrame:
 def sector(df: DataFrame) -> DataFrame:
     df = coded(df, "sector")
     df = coded(df, "exchange") if "exchange" in df.columns else df.withColumn("_code_exchange", F.lit(0))
-    return df.withColumns({
-        "return_vs_sector20": change(20) - mean("sr", 20), "sector_momentum_60": mean("sr", 60), "market_percentile_return": F.col("cs_return_rank"),
+    k = Rolling()
+    out = {
+        "return_vs_sector20": k.change(20) - k.mean("sr", 20), "sector_momentum_60": k.mean("sr", 60), "market_percentile_return": F.col("cs_return_rank"),
         "sector_code": F.col("_code_sector") / 20.0, "exchange_code": F.col("_code_exchange") / 5.0,
-    })
+    }
+    return k.over(df).withColumns(out)
 
 
 def calendar(df: DataFrame) -> DataFrame:
