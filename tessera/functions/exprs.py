@@ -111,14 +111,21 @@ def backfilled(x: str) -> Column:
     return F.coalesce(F.last(x, ignorenulls=True).over(back), F.last(x, ignorenulls=True).over(running()), F.lit(0.0))
 
 
-def in_parts(df: DataFrame, by: tuple[str, ...], order: str, parts: int = 64, sums: dict[str, Column] | None = None) -> DataFrame:
+def part_count(df: DataFrame, least: int = 64, most: int = 4096) -> int:
+    """Parts for `in_parts`: as many as the session deals a shuffle to, which is sized to the data (plans know no sizes here)."""
+    return min(most, max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def in_parts(df: DataFrame, by: tuple[str, ...], order: str, parts: int | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
     """Adds _part, the place of a row's `order` among some quantiles of its group, and _before, the rows of the group in lower parts.
 
     A group may hold most rows (there are but few horizons): what has to run in order runs inside parts, and goes on from
-    prefix sums of the parts, here of their row count and of the columns `sums`. Equal values are in one part, so ranks
-    stay exact. Cuts and sums have one row for each group and part; groups are few by contract and are broadcast."""
+    prefix sums of the parts, here of their row count and of the columns `sums`. There are as many parts as a shuffle has tasks. Equal
+    values are in one part: where a value may be most of a group, `cells` comes first. Cuts and sums have one row for each
+    group and part; groups are few by contract and are broadcast."""
+    parts = parts or part_count(df)
     number = F.unix_date(F.col(order)) if dict(df.dtypes)[order] == "date" else F.col(order)
-    cuts = df.groupBy(*by).agg(F.percentile_approx(number, F.array(*(F.lit(i / parts) for i in range(1, parts))), 2000).alias("_cuts"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(number, F.array(*(F.lit(i / parts) for i in range(1, parts))), max(2000, 20 * parts)).alias("_cuts"))
     rows = df.join(F.broadcast(cuts), list(by)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < number))).drop("_cuts")
     lower = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     named = {"_before": F.count(F.lit(1)), **{f"_before_{k}": F.sum(x) for k, x in (sums or {}).items()}}
@@ -126,6 +133,16 @@ def in_parts(df: DataFrame, by: tuple[str, ...], order: str, parts: int = 64, su
     return rows.join(F.broadcast(ahead), [*by, "_part"])
 
 
+def cells(df: DataFrame, by: tuple[str, ...], x: str, weight: Column | None = None) -> DataFrame:
+    """(by, x, _w, _upto): for each distinct value of a group its weight (rows, by default) and the weight of all values up to it.
+
+    Rows of one value are put together before the shuffle, however many they are, and no task holds a whole group."""
+    merged = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_w"))
+    parts = in_parts(merged, by, x, sums={"w": F.col("_w")})
+    run = F.sum("_w").over(Window.partitionBy(*by, "_part").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.select(*by, x, "_w", (F.col("_before_w") + run).alias("_upto"))
+
+
 def group_row(df: DataFrame, by: tuple[str, ...], *order: str, name: str = "_row") -> DataFrame:
     """Adds a row's number in its group, from 1, in the given order; no task sorts a whole group."""
     made = in_parts(df, by, order[0])
@@ -133,24 +150,34 @@ def group_row(df: DataFrame, by: tuple[str, ...], *order: str, name: str = "_row
 
 
 def group_rank(df: DataFrame, by: tuple[str, ...], x: str, name: str) -> DataFrame:
-    """Adds the rank of x in its group, ties averaged; no task sorts a whole group."""
-    made = in_parts(df, by, x)
-    rank = F.rank().over(Window.partitionBy(*by, "_part").orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "_part", x)) - 1) / 2.0
-    return made.withColumn(name, F.col("_before") + rank).drop("_part", "_before")
+    """Adds the rank of x in its group, ties averaged; no task sorts a whole group, and equal values meet only in a join that Spark can split."""
+    ranks = cells(df, by, x).select(*by, x, (F.col("_upto") - (F.col("_w") - 1) / 2.0).alias(name))
+    return df.join(ranks, [*by, x])
 
 
 def group_quantiles(df: DataFrame, by: tuple[str, ...], x: str, levels: dict[str, float | Column]) -> DataFrame:
     """(by, n, one column a level): exact interpolated quantiles of x; a level may be a column of n."""
     n = df.groupBy(*by).agg(F.count(x).alias("n"))
-    rows = group_row(df.where(F.col(x).isNotNull()).select(*by, x), by, x).join(F.broadcast(n), list(by))  # one row a group
+    rows = cells(df, by, x).join(F.broadcast(n), list(by))  # one row a group
 
     def weight(level: float | Column) -> Column:
         at = (level if isinstance(level, Column) else F.lit(level)) * (F.col("n") - 1) + 1
-        return F.when(F.col("_row") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("_row") == F.floor(at) + 1, at - F.floor(at)).otherwise(0.0)
+        held = lambda row: (row > F.col("_upto") - F.col("_w")) & (row <= F.col("_upto"))
+        return F.when(held(F.floor(at)), 1 - (at - F.floor(at))).otherwise(0.0) + F.when(held(F.floor(at) + 1), at - F.floor(at)).otherwise(0.0)
 
     return rows.groupBy(*by).agg(F.first("n").alias("n"), *(F.sum(F.col(x) * weight(level)).alias(k) for k, level in levels.items()))
 
 
+def weighted_quantiles(df: DataFrame, by: tuple[str, ...], x: str, weight: str, levels: dict[str, float]) -> DataFrame:
+    """(by, one column a level): the least value up to which a level's share of the group's weight lies.
+
+    Exact for any weights (none below 0); rows of weight 0 or null do not count."""
+    rows = cells(df.where(F.col(weight) > 0), by, x, F.col(weight))
+    whole = rows.groupBy(*by).agg(F.max("_upto").alias("_whole"))
+    # Sums of shares may fall short of a level by rounding.
+    return rows.join(whole, list(by)).groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= F.col("_whole") * F.lit(q - 1e-12), F.col(x))).alias(k) for k, q in levels.items()))
+
+
 def average_rank(x: str | Column, *by: str) -> Column:
     """Rank with ties averaged, NULLs unranked."""
     x = col(x)

@@ -196,7 +196,7 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.when((F.col("i") + F.col("j")) / 2 == want, F.lit(1.0)).otherwise((F.col("ij") - want) / ((F.col("i") + F.col("j")) / 2 - want)).alias("ari"))
 
 
-def cusum_changes(x: DataFrame, threshold: float = 5.0, drift: float = 0.5) -> DataFrame:
+def cusum_changes(x: DataFrame, threshold: float = 5.0, drift: float = 0.0) -> DataFrame:
     """(symbol, i) of the change points; the reset makes it a recurrence."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:

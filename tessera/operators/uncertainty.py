@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import group_quantiles
-from tessera.functions.special import ks_uniform, minimise, t_ppf
+from tessera.functions.special import minimise, t_ppf
 
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -75,11 +75,11 @@ def garch_variance_path(params: DataFrame, days: int = 126) -> DataFrame:
     return d.select("symbol", "day", "variance", F.sum("variance").over(Window.partitionBy("symbol").orderBy("day")).alias("cumulative"))
 
 
-def garch_bands(path: DataFrame, mu: float, nu: float, horizons: tuple[int, ...] = (1, 5, 21, 63, 126), levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """(symbol, day, q, value): Student bands of the cumulated return, scaled to unit variance."""
+def garch_bands(path: DataFrame, nu: float, horizons: tuple[int, ...] = (1, 5, 21, 63, 126), levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """(symbol, day, q, value): Student bands of the cumulated return, scaled to unit variance; path has the daily mean mu."""
     z = [F.struct(F.lit(q).alias("q"), F.lit(t_ppf(q, nu) * math.sqrt((nu - 2) / nu)).alias("z")) for q in levels]
     rows = path.where(F.col("day").isin(*horizons)).withColumn("x", F.explode(F.array(*z)))
-    return rows.select("symbol", "day", "x.q", (mu * F.col("day") + F.sqrt("cumulative") * F.col("x.z")).alias("value"))
+    return rows.select("symbol", "day", "x.q", (F.col("mu") * F.col("day") + F.sqrt("cumulative") * F.col("x.z")).alias("value"))
 
 
 def pit(samples: DataFrame, *key: str) -> DataFrame:
@@ -87,14 +87,6 @@ def pit(samples: DataFrame, *key: str) -> DataFrame:
     return samples.groupBy(*key).agg(F.avg((F.col("value") <= F.col("y")).cast("double")).alias("pit"))
 
 
-def pit_uniformity(pits: DataFrame, by: str) -> DataFrame:
-    def ks(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, p = ks_uniform(pdf.pit)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "ks": [d], "p": [p]})
-
-    return pits.groupBy(by).applyInPandas(ks, f"{by} {pits.schema[by].dataType.simpleString()}, ks double, p double")
-
-
 def bootstrap_fit(rows: DataFrame, degree: int = 3, resamples: int = 500, block: int = 1, seed: int = 9) -> DataFrame:
     """(symbol, b, coef): least squares of y on powers of f in each (block) resample; failed fits are left out."""
 

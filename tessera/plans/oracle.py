@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import math
+from statistics import NormalDist
 
 from tessera.functions.exprs import _TAIL_DOWN, _TAIL_UP
+from tessera.functions.special import t_ppf
 
 BARS = """bars AS (
 SELECT symbol, sector, date, first(px ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS open, max(px) AS high, min(px) AS low,
@@ -314,7 +316,6 @@ ORACLE_SQL: dict[str, str] = {
     "top_symbols": f"WITH {BARS} SELECT symbol, {r(2, total='sum(dollar_volume)')} FROM bars GROUP BY symbol ORDER BY sum(dollar_volume) DESC, symbol LIMIT 5",
     "symbol_overlap": f"WITH {BARS}, a AS (SELECT DISTINCT symbol FROM bars WHERE date < DATE '1995-06-17'), b AS (SELECT DISTINCT symbol FROM bars WHERE date >= DATE '1995-06-17' AND volume > 60) SELECT symbol, CASE WHEN a.symbol IS NOT NULL AND b.symbol IS NOT NULL THEN 'both' WHEN a.symbol IS NOT NULL THEN 'first' ELSE 'second' END AS side FROM a FULL JOIN b USING (symbol)",
     "sector_pivot": f"WITH {RET}, s AS ({SEC}) SELECT date, {r(**{x: f"coalesce(max(sr) FILTER (sector = '{x.replace('_', ' ')}'), 0)" for x in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')})}, round(coalesce(max(sr) FILTER (sector = 'MIDDLE EAST'), 0) + 1e-10, 6) + 0.0 AS \"MIDDLE EAST\" FROM s GROUP BY date",
-    "blended_forecast": f"WITH {LOGS}, m AS (SELECT symbol, h AS horizon, exp(avg(x) * h) - 1 AS mean_return FROM lx, (VALUES (1), (5), (21)) t(h) GROUP BY symbol, h), v AS (SELECT * FROM (VALUES ('CHINA', 1, 0.001), ('CHINA', 5, 0.004), ('FRANCE', 21, -0.01), ('NOWHERE', 1, 0.5)) t(symbol, horizon, predicted)) SELECT symbol, horizon, {r(mean_return='mean_return', predicted='predicted', blend='CASE WHEN predicted IS NULL THEN mean_return ELSE (mean_return + predicted) / 2 END')}, CASE WHEN predicted IS NULL THEN 'PURE MC' ELSE 'MODEL+MC' END AS source FROM m LEFT JOIN v USING (symbol, horizon)",
     "gbm_params": f"WITH {LOGS} SELECT symbol, {r(mu='avg(x) * 252', sigma=f'stddev_samp(x) * {math.sqrt(252)}')} FROM lx GROUP BY symbol",
     "merton_params": f"WITH {LOGS}, m AS (SELECT symbol, avg(x) AS m, stddev_samp(x) AS s, count(*) AS n FROM lx GROUP BY symbol), j AS (SELECT symbol, x, abs(x - m) > 3 * s AS jump, s, n FROM lx JOIN m USING (symbol)) SELECT symbol, count(*) FILTER (jump) AS jumps, {r(lam='count(*) FILTER (jump) / max(n) * 252', jump_mean='CASE WHEN count(*) FILTER (jump) < 3 THEN 0 ELSE avg(x) FILTER (jump) END', jump_std='CASE WHEN count(*) FILTER (jump) < 3 THEN 2 * max(s) ELSE stddev_samp(x) FILTER (jump) END', mu='avg(x) FILTER (NOT jump) * 252', sigma=f'stddev_samp(x) FILTER (NOT jump) * {math.sqrt(252)}')} FROM j GROUP BY symbol",
     "heston_params": f"WITH {LOGS}, q AS (SELECT symbol, x, x * x AS q, lead(x * x) OVER (PARTITION BY symbol ORDER BY i) AS q1, row_number() OVER (PARTITION BY symbol ORDER BY i DESC) AS back FROM lx), o AS (SELECT symbol, avg(x) * 252 AS mu, var_pop(x) * 252 AS theta, var_pop(x) FILTER (back <= 20) * 252 AS v0, greatest(-0.98, least(0.98, regr_slope(q1, q))) AS phi, corr(x, q1 - q) FILTER (q1 IS NOT NULL) AS rho FROM q GROUP BY symbol), e AS (SELECT symbol, stddev_pop(q1 - phi * q) AS rs FROM q JOIN o USING (symbol) GROUP BY symbol) SELECT symbol, {r(5, mu='mu', kappa='greatest(-ln(greatest(phi, 1e-4)) * 252, 1.0)', theta='theta', xi=f'greatest(0.05, least(3.0, rs * {math.sqrt(252)}))', rho='greatest(-0.95, least(0.0, rho))', v0='v0')} FROM o JOIN e USING (symbol)",
@@ -338,3 +339,122 @@ ORACLE_SQL: dict[str, str] = {
     "event_bars": f"SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, {r(open='first(value ORDER BY ts, event_id)', high='max(value)', low='min(value)', close='last(value ORDER BY ts, event_id)')}, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2",
     "stock_status": f"WITH {RET}, d AS (SELECT *, close - {lag('close')} AS dc FROM ret), s AS (SELECT *, {rsi('dc', 14)} AS rsi FROM d) SELECT symbol, {r(close='max_by(close, date)', total_return='max_by(close, date) / min_by(close, date) - 1')}, CASE WHEN max_by(rsi, date) > 0.7 THEN 'overbought' WHEN max_by(rsi, date) < 0.3 THEN 'oversold' ELSE 'neutral' END AS signal FROM s GROUP BY symbol",
 }
+
+
+# Calibration, mixtures, summaries of draws
+
+LEVELS = (0.025, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.975)
+
+
+def tag(q: float) -> str:
+    return f"{q * 100:g}".replace(".", "_")
+
+
+def draws(*horizons: int) -> str:
+    """(symbol, horizon, value): log returns over windows of the last 756 rows."""
+    run = "cs AS (SELECT symbol, i, sum(x) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM lx)"
+    one = " UNION ALL ".join(f"SELECT symbol, {h} AS horizon, c - coalesce(lag(c, {h}) OVER (PARTITION BY symbol ORDER BY i), 0) AS value, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM cs" for h in horizons)
+    return f"{LOGS}, {run}, dr AS (SELECT symbol, horizon, value FROM ({one}) WHERE k >= horizon)"
+
+
+def kolmogorov(x: str) -> str:
+    low = " + ".join(f"exp(-{(2 * k - 1) ** 2} * pi() * pi() / (8 * {x} * {x}))" for k in range(1, 5))
+    high = " + ".join(f"{(-1) ** (k - 1)} * exp(-{2 * k * k} * {x} * {x})" for k in range(1, 6))
+    return f"CASE WHEN {x} < 0.1 THEN 1.0 WHEN {x} < 1.18 THEN 1 - sqrt(2 * pi()) / {x} * ({low}) ELSE greatest(0.0, least(1.0, 2 * ({high}))) END"
+
+
+LAW = f"{PT}, law AS (SELECT horizon, y, vol * sqrt(horizon) AS sd, {normal_cdf('(y / (vol * sqrt(horizon)))')} AS pit FROM pt WHERE split = 'test' AND vol > 0)"
+KS = f"ks AS (SELECT horizon, n, d, {kolmogorov('((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d)')} AS p FROM (SELECT horizon, max(n) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS d FROM (SELECT horizon, pit, row_number() OVER (PARTITION BY horizon ORDER BY pit) AS i, count(*) OVER (PARTITION BY horizon) AS n FROM law) GROUP BY horizon))"
+
+
+def report() -> str:
+    z = {q: NormalDist().inv_cdf(q) for q in LEVELS}
+    cols = {}
+    for c in (0.5, 0.8, 0.9, 0.95):
+        a, b = (min(LEVELS, key=lambda q, e=e: abs(q - e)) for e in ((1 - c) / 2, (1 + c) / 2))
+        cols |= {f"coverage_{tag(c)}": f"avg(CASE WHEN y >= {z[a]!r} * sd AND y <= {z[b]!r} * sd THEN 1.0 ELSE 0.0 END)", f"width_{tag(c)}": f"avg({z[b]!r} * sd - {z[a]!r} * sd)"}
+    cols |= {f"pinball_{tag(q)}": f"avg(greatest({q} * (y - {x!r} * sd), ({q} - 1) * (y - {x!r} * sd)))" for q, x in z.items()}
+    cols["crps"] = f"avg(sd * (y / sd * (2 * pit - 1) + 2 * exp(-y * y / sd / sd / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())))"
+    good = " AND ".join(f"abs(coverage_{tag(c)} - {c}) <= 0.07" for c in (0.5, 0.8, 0.9, 0.95))
+    return f"WITH {LAW}, {KS}, s AS (SELECT horizon, count(*) AS m, {', '.join(f'{e} AS {k}' for k, e in cols.items())} FROM law GROUP BY horizon) SELECT horizon, m AS n, {r(**{k: k for k in cols}, ks='d', p='p')}, {good} AND p > 0.05 AS calibrated FROM s JOIN ks USING (horizon)"
+
+
+def mixture() -> str:
+    base = f"""{PT}, cal AS (SELECT * FROM pt WHERE split = 'cal'), st AS (SELECT symbol, horizon, avg(y) AS m, max_by(p, date) AS last FROM cal GROUP BY ALL),
+ea AS (SELECT symbol, horizon, 'mean' AS model, 2 AS k, y - m AS e, m AS base FROM cal JOIN st USING (symbol, horizon) UNION ALL SELECT symbol, horizon, 'momentum', 2, y - p, last FROM cal JOIN st USING (symbol, horizon) UNION ALL SELECT symbol, horizon, 'zero', 1, y, 0 FROM cal),
+fi AS (SELECT symbol, horizon, model, count(*) AS n, avg(base + e) AS mu, var_pop(base + e) AS v, count(*) * ln(sum(e * e) / count(*)) + max(k) * ln(count(*)) AS bic FROM ea GROUP BY ALL),
+we AS (SELECT *, exp(-0.5 * (bic - min(bic) OVER g)) AS raw FROM fi WINDOW g AS (PARTITION BY symbol, horizon)), sh AS (SELECT *, raw / sum(raw) OVER (PARTITION BY symbol, horizon) AS w FROM we),
+mo AS (SELECT symbol, horizon, sum(w * mu) AS mean, sum(w * v) AS within_v, sum(w * mu * mu) - sum(w * mu) ** 2 AS between_v FROM sh GROUP BY ALL),
+dw AS (SELECT symbol, horizon, base + e AS value, w / n AS each FROM ea JOIN sh USING (symbol, horizon, model)),
+cu AS (SELECT *, sum(each) OVER (PARTITION BY symbol, horizon ORDER BY value RANGE UNBOUNDED PRECEDING) AS upto FROM dw),
+qu AS (SELECT symbol, horizon, {', '.join(f'min(value) FILTER (upto >= {q - 1e-12!r} * whole) AS q_{tag(q)}' for q in LEVELS)} FROM (SELECT *, max(upto) OVER (PARTITION BY symbol, horizon) AS whole FROM cu) GROUP BY ALL)"""
+    return f"WITH {base} SELECT symbol, horizon, {r(5, mean='mean', std='sqrt(within_v + between_v)', within_share='within_v / (within_v + between_v)', between_share='between_v / (within_v + between_v)', **{f'q_{tag(q)}': f'q_{tag(q)}' for q in LEVELS})} FROM mo JOIN qu USING (symbol, horizon)"
+
+
+def summary() -> str:
+    moments = "count(*) AS n_draws, avg(value) AS point, stddev_samp(value) AS std, avg((value - m) ** 3) / avg((value - m) ** 2) ** 1.5 AS skew, avg((value - m) ** 4) / avg((value - m) ** 2) ** 2 - 3 AS excess_kurtosis"
+    q = {f"q_{tag(x)}": f"quantile_cont(value, {x})" for x in LEVELS}
+    return f"WITH {draws(5, 21, 63)}, c AS (SELECT *, avg(value) OVER (PARTITION BY symbol, horizon) AS m FROM dr), s AS (SELECT symbol, horizon, {moments}, {', '.join(f'{e} AS {k}' for k, e in q.items())} FROM c GROUP BY ALL) SELECT symbol, horizon, n_draws, {r(5, point='point', std='std', skew='skew', excess_kurtosis='excess_kurtosis', **{k: k for k in q})} FROM s"
+
+
+def blended() -> str:
+    base = f"""{draws(1, 5, 21)}, sr AS (SELECT symbol, horizon, exp(value) - 1 AS value FROM dr), v AS (SELECT * FROM (VALUES ('CHINA', 1, 0.001), ('CHINA', 5, 0.004), ('FRANCE', 21, -0.01), ('NOWHERE', 1, 0.5)) t(symbol, horizon, predicted)),
+mm AS (SELECT symbol, horizon, avg(value) AS m FROM sr GROUP BY ALL), sf AS (SELECT symbol, horizon, predicted, coalesce(0.5 * (predicted - m), 0) AS shift FROM mm LEFT JOIN v USING (symbol, horizon)),
+mv AS (SELECT symbol, horizon, predicted, value + shift AS x FROM sr JOIN sf USING (symbol, horizon)), cu AS (SELECT symbol, horizon, quantile_cont(x, 0.05) AS v5, quantile_cont(x, 0.5) AS med FROM mv GROUP BY ALL)"""
+    return f"WITH {base} SELECT symbol, horizon, count(*) AS n, {r(5, mean_return='avg(x)', std_return='stddev_samp(x)', prob_positive='avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END)', cvar='avg(x) FILTER (x <= v5)', median_return='max(med)', var='max(v5)', predicted='max(predicted)')}, CASE WHEN max(predicted) IS NULL THEN 'PURE MC' ELSE 'MODEL+MC' END AS source FROM mv JOIN cu USING (symbol, horizon) GROUP BY symbol, horizon"
+
+
+def change_segments() -> str:
+    """The two-sided sums row after row."""
+    z = f"{LOGS}, z AS (SELECT symbol, i, (x - avg(x) OVER (PARTITION BY symbol)) / (stddev_samp(x) OVER (PARTITION BY symbol) + 1e-12) AS z FROM lx)"
+    up, down = "greatest(0.0, up + z.z)", "greatest(0.0, down - z.z)"
+    hit = f"({up} > 5 OR {down} > 5)"
+    run = f"run AS (SELECT symbol, CAST(-1 AS BIGINT) AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS hit FROM (SELECT DISTINCT symbol FROM z) UNION ALL SELECT z.symbol, z.i, CASE WHEN {hit} THEN 0.0 ELSE {up} END, CASE WHEN {hit} THEN 0.0 ELSE {down} END, CAST({hit} AS INTEGER) FROM run JOIN z ON z.symbol = run.symbol AND z.i = run.i + 1)"
+    return f"WITH RECURSIVE {z}, {run}, sg AS (SELECT symbol, i, sum(hit) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS segment FROM run WHERE i >= 0) SELECT symbol, CAST(segment AS BIGINT) AS segment, CAST(min(i) AS INTEGER) AS first, count(*) AS n FROM sg GROUP BY symbol, segment"
+
+
+def bands() -> str:
+    path = ORACLE_SQL["garch_variance_path"].split(" SELECT symbol, CAST(day AS INTEGER)")[0]
+    z = ", ".join(f"({q}, {t_ppf(q, 7.0) * math.sqrt(5 / 7)!r})" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
+    return f"{path}, cu AS (SELECT symbol, day, sum(variance) OVER (PARTITION BY symbol ORDER BY day) AS c FROM p), mu AS (SELECT symbol, avg(x) AS mu FROM lx GROUP BY symbol) SELECT symbol, CAST(day AS INTEGER) AS day, q::DOUBLE AS q, {r(value='mu * day + sqrt(c) * z')} FROM cu JOIN mu USING (symbol), (VALUES {z}) t(q, z) WHERE day IN (1, 5, 21, 63, 126)"
+
+
+ORACLE_SQL |= {
+    "pit_uniformity": f"WITH {LAW}, {KS} SELECT horizon, n, {r(ks='d', p='p')} FROM ks",
+    "calibration_report": report(),
+    "quantile_calibration": f"WITH {LAW} SELECT horizon, q::DOUBLE AS q, round(avg(CASE WHEN y < z * sd THEN 1.0 ELSE 0.0 END) + 1e-10, 6) + 0.0 AS observed FROM law, (VALUES {', '.join(f'({q}, {NormalDist().inv_cdf(q)!r})' for q in LEVELS)}) t(q, z) GROUP BY horizon, q",
+    "bma_mixture": mixture(),
+    "simulation_summary": summary(),
+    "blended_forecast": blended(),
+    "cusum_segments": change_segments(),
+    "garch_bands": bands(),
+}
+
+
+# Training sets
+
+
+def window_stats() -> str:
+    base = f"""{RET}, ix AS (SELECT symbol, (rn - 180) // 5 AS sample, rn - 1 AS end_idx, count(*) OVER (PARTITION BY symbol) AS n FROM ret WHERE rn >= 180 AND (rn - 180) % 5 = 0),
+dw AS (SELECT symbol, end_idx FROM ix WHERE sample < floor(n * 0.75) - 28 ORDER BY md5('0|' || symbol || '|' || CAST(sample AS VARCHAR)), symbol, sample LIMIT 8000),
+en AS (SELECT ret.* FROM dw JOIN ret ON ret.symbol = dw.symbol AND rn - 1 BETWEEN end_idx - 179 AND end_idx - 60),
+tg AS (SELECT {', '.join(f'CASE WHEN close > 0 AND lead(close, {h}) OVER ({O}) > 0 THEN ln(lead(close, {h}) OVER ({O}) / close) END AS t{h}' for h in (1, 3, 5, 7, 14, 28))}, symbol, rn - 1 AS end_idx FROM ret),
+tt AS (SELECT unnest([t1, t3, t5, t7, t14, t28]) AS t FROM tg SEMI JOIN dw USING (symbol, end_idx))"""
+    one = [f"SELECT '{c}' AS feature, avg(coalesce({c}, 0)) AS mu, stddev_pop(coalesce({c}, 0)) AS sd FROM en" for c in ("r", "close", "volume")] + ["SELECT 'target', avg(t), stddev_pop(t) FROM tt"]
+    return f"WITH {base}, al AS ({' UNION ALL '.join(one)}) SELECT feature, {r(5, mu='mu', sigma='CASE WHEN sd < 1e-9 THEN 1 ELSE sd END')} FROM al WHERE mu IS NOT NULL"
+
+
+def correlations() -> str:
+    from tessera.operators.features import FAMILIES
+
+    names = [*FAMILIES["volatility"][1], *FAMILIES["risk"][1]][:30]
+    pairs = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'c': " + (f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0 ELSE 0.0 END" if a == b else f"CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) ELSE 0.0 END") + "}" for k, a in enumerate(names) for b in names[k:])
+    return f"WITH vo AS ({volatility()}), ri AS ({risk()}), ft AS (SELECT * FROM vo JOIN ri USING (symbol, date)), un AS (SELECT count(*) AS n, unnest([{pairs}]) AS x FROM ft) SELECT x.a AS a, x.b AS b, n, round(x.c + 1e-10, 5) + 0.0 AS corr FROM un"
+
+
+def filled() -> str:
+    return f"""WITH {VS}, kn AS (SELECT ret.symbol, ret.date, CASE WHEN rn % 5 = 0 THEN state END AS known FROM ret LEFT JOIN vs ON vs.symbol = ret.symbol AND vs.date = ret.date)
+SELECT symbol, date, known, coalesce(last_value(known IGNORE NULLS) OVER ({O} ROWS UNBOUNDED PRECEDING), first_value(known IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS state FROM kn"""
+
+
+ORACLE_SQL |= {"dataset_norm_stats": window_stats(), "feature_correlation": correlations(), "forward_filled_labels": filled()}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import NUDGE, clipped_tails, div, tidy
+from tessera.functions.exprs import NUDGE, clipped_tails, div, normal_cdf, tidy
+from tessera.operators import calibration as C
+from tessera.operators import datasets as D
 from tessera.operators import metrics as M
 from tessera.operators import montecarlo as MC
 from tessera.operators import recurrence as RC
@@ -140,6 +142,25 @@ def norm_stats(spark, sf):
     return rounded(WN.norm_stats(returns(spark, sf), ["r", "close", "volume"]), 5)
 
 
+@query
+def dataset_norm_stats(spark, sf):
+    """Statistics of 8,000 windows drawn from the training part, and of the forward returns at their ends."""
+    rows = returns(spark, sf).withColumn("idx", (F.col("rn") - 1).cast("long"))
+    train = WN.purged_split(WN.sequence_index(rows)).where("split = 'train'")
+    drawn = stored(D.sampled_windows(train))
+    targets = WN.forward_labels(rows).join(rows.select("symbol", "date", F.col("idx").cast("int").alias("end_idx")), ["symbol", "date"]).select("symbol", "end_idx", "target")
+    return rounded(D.dataset_norm_stats(rows, drawn, targets, ["r", "close", "volume"], WN.SEQUENCE), 5)
+
+
+@query
+def feature_correlation(spark, sf):
+    """Thirty features against each other over all rows."""
+    add, names = FAMILIES["volatility"]
+    more, others = FAMILIES["risk"]
+    chosen = [*names, *others][:30]
+    return rounded(D.correlation_matrix(stored(tidy(more(add(P.full_panel(spark, sf))), chosen)), chosen), 5)
+
+
 @query
 def wf_windows(spark, sf):
     return WN.wf_windows(returns(spark, sf))
@@ -239,12 +260,26 @@ def sector_pivot(spark, sf):
     return rounded(P.sector_pivot(P.sector_returns(returns(spark, sf)), names))
 
 
+def window_draws(spark: SparkSession, sf: str, horizons: tuple[int, ...] = (1, 5, 21)) -> DataFrame:
+    """(symbol, horizon, value): log returns over every window of the last 756 rows, as draws of a horizon's return."""
+    run = logs(spark, sf).withColumn("_c", F.sum("x").over(Window.partitionBy("symbol").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    by = Window.partitionBy("symbol").orderBy("i")
+    ends = [F.struct(F.lit(h).alias("horizon"), F.when(F.row_number().over(by) >= h, F.col("_c") - F.coalesce(F.lag("_c", h).over(by), F.lit(0.0))).alias("value")) for h in horizons]
+    return run.select("symbol", F.array(*ends).alias("e")).select("symbol", F.explode("e").alias("e")).select("symbol", "e.horizon", "e.value").where("value is not null")
+
+
 @query
 def blended_forecast(spark, sf):
-    """Historic mean returns over the horizons, with the views of a model where it has one."""
+    """The law of returns over each horizon, moved halfway towards the view of a model where it has one."""
     views = P.model_predictions(spark, '{"CHINA": {"1": 0.001, "5": 0.004}, "FRANCE": {"21": -0.01}, "NOWHERE": {"1": 0.5}}')
-    means = logs(spark, sf).groupBy("symbol").agg(F.avg("x").alias("m")).select("symbol", F.explode(F.array(*map(F.lit, (1, 5, 21)))).alias("horizon"), "m")
-    return rounded(P.with_predictions(means.select("symbol", "horizon", F.expm1(F.col("m") * F.col("horizon")).alias("mean_return")), views))
+    draws = stored(window_draws(spark, sf).withColumn("value", F.expm1("value")))
+    means = draws.groupBy("symbol", "horizon").agg(F.avg("value").alias("mean_return"))
+    return rounded(C.blended_summary(draws, P.with_predictions(means, views)), 5)
+
+
+@query
+def simulation_summary(spark, sf):
+    return rounded(C.simulation_summary(stored(window_draws(spark, sf, (5, 21, 63))), ("symbol", "horizon")), 5)
 
 
 @query
@@ -319,6 +354,15 @@ def spell_durations(spark, sf):
     return RG.spells(RG.vol_state(returns(spark, sf))).select("symbol", "spell", "state", "first", "last", "n")
 
 
+@query
+def forward_filled_labels(spark, sf):
+    """Volatility states known at every fifth row of a symbol, carried to all its rows."""
+    base = returns(spark, sf)
+    rows = base.select("symbol", "date", F.col("rn").cast("long").alias("i")).join(RG.vol_state(base).select("symbol", "date", "state"), ["symbol", "date"], "left")
+    known = rows.select("symbol", "date", "i", F.when(F.col("i") % 5 == 0, F.col("state")).alias("known"))
+    return D.filled_forward(known, "known", "i", "state").select("symbol", "date", "known", "state")
+
+
 @query
 def state_transitions(spark, sf):
     return rounded(RG.transitions(RG.vol_state(returns(spark, sf))))
@@ -432,17 +476,33 @@ def bma_weights(spark, sf):
     return rounded(U.bma_weights(models, "symbol", "horizon").select("symbol", "horizon", "model", "bic", "weight"), 4)
 
 
+def garch_paths(spark: SparkSession, sf: str) -> DataFrame:
+    v = logs(spark, sf).groupBy("symbol").agg(F.var_pop("x").alias("v"), F.max_by("x", "i").alias("l"))
+    return U.garch_variance_path(v.select("symbol", (F.col("v") * 0.04).alias("omega"), F.lit(0.08).alias("alpha"), F.lit(0.88).alias("beta"), F.col("v").alias("h0"), (F.col("l") * F.col("l")).alias("e0")))
+
+
 @query
 def garch_variance_path(spark, sf):
-    v = logs(spark, sf).groupBy("symbol").agg(F.var_pop("x").alias("v"), F.max_by("x", "i").alias("l"))
-    params = v.select("symbol", (F.col("v") * 0.04).alias("omega"), F.lit(0.08).alias("alpha"), F.lit(0.88).alias("beta"), F.col("v").alias("h0"), (F.col("l") * F.col("l")).alias("e0"))
-    return rounded(U.garch_variance_path(params), 8)
+    return rounded(garch_paths(spark, sf), 8)
 
 
 @query
 def garch_bands(spark, sf):
-    params = spark.range(1).select(F.lit("BAND").alias("symbol"), F.lit(1e-5).alias("omega"), F.lit(0.08).alias("alpha"), F.lit(0.88).alias("beta"), F.lit(2e-4).alias("h0"), F.lit(3e-4).alias("e0"))
-    return U.garch_bands(U.garch_variance_path(params), 0.0003, 7.0)
+    mean = logs(spark, sf).groupBy("symbol").agg(F.avg("x").alias("mu"))
+    return rounded(U.garch_bands(garch_paths(spark, sf).join(mean, "symbol"), 7.0))
+
+
+@query
+def bma_mixture(spark, sf):
+    """Three forecasts of a symbol's return over a horizon: momentum, nothing, the mean. Their residuals on calibration rows, around each
+    one's last forecast, are its draws; BIC on the same rows gives the weights."""
+    rows = stored(points(spark, sf).where("split = 'cal'").select("symbol", "date", "horizon", "y", "p"))
+    key = ["symbol", "horizon"]
+    stats = rows.groupBy(*key).agg(F.avg("y").alias("m"), F.max_by("p", "date").alias("last"))
+    made = [F.struct(F.lit(name).alias("model"), F.lit(k).alias("k"), forecast.alias("f"), last.alias("at")) for name, k, forecast, last in (("mean", 2, F.col("m"), F.col("m")), ("momentum", 2, F.col("p"), F.col("last")), ("zero", 1, F.lit(0.0), F.lit(0.0)))]
+    each = rows.join(stats, key).select(*key, "y", F.explode(F.array(*made)).alias("x")).select(*key, "x.model", "x.k", (F.col("y") - F.col("x.f")).alias("e"), F.col("x.at").alias("at"))
+    fits = each.groupBy(*key, "model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") * F.col("e")).alias("sse"), F.first("k").alias("k"))
+    return rounded(C.bma_mixture(each.select(*key, "model", (F.col("at") + F.col("e")).alias("value")), U.bma_weights(fits, *key).select(*key, "model", "weight"), tuple(key)), 5)
 
 
 @query
@@ -452,11 +512,27 @@ def pit(spark, sf):
     return rounded(U.pit(x.join(y, "symbol").withColumn("value", F.col("x")), "symbol"))
 
 
+def normal_laws(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of the test rows, the deviation of their normal predictive law (mean 0, the recent volatility over the horizon) and their PIT."""
+    rows = points(spark, sf).where("split = 'test' and vol > 0").withColumn("sd", F.col("vol") * F.sqrt(F.col("horizon").cast("double")))
+    return stored(rows.withColumn("pit", normal_cdf(F.col("y") / F.col("sd"))))
+
+
 @query
 def pit_uniformity(spark, sf):
-    """Kolmogorov-Smirnov distance from the uniform law of each horizon's ranks of the forecast error."""
-    x = points(spark, sf).withColumn("pit", F.percent_rank().over(Window.partitionBy("symbol", "horizon").orderBy(F.col("y") - F.col("p"))))
-    return U.pit_uniformity(x.where("split = 'test'"), "horizon")
+    """Kolmogorov-Smirnov distance of the outcomes' PIT values under their predictive law from the uniform law."""
+    return rounded(C.uniformity(normal_laws(spark, sf), ("horizon",), "pit"))
+
+
+@query
+def calibration_report(spark, sf):
+    laws, sd = normal_laws(spark, sf), F.col("sd")
+    return rounded(C.calibration_report(laws, ("horizon",), "y", {q: C.normal_quantile(q, F.lit(0.0), sd) for q in C.LEVELS}, "pit", C.normal_crps(F.col("y"), F.lit(0.0), sd)))
+
+
+@query
+def quantile_calibration(spark, sf):
+    return rounded(C.quantile_shares(normal_laws(spark, sf), ("horizon",), "y", {q: C.normal_quantile(q, F.lit(0.0), F.col("sd")) for q in C.LEVELS}))
 
 
 def regression_rows(spark, sf):

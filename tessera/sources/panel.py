@@ -92,11 +92,15 @@ def model_predictions(spark: SparkSession, text: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("symbol", "by")).select("symbol", F.explode("by").alias("h", "predicted")).select("symbol", F.expr("try_cast(h as int)").alias("horizon"), "predicted").where("horizon is not null and predicted is not null")
 
 
-def with_predictions(forecasts: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Forecasts (symbol, horizon, mean_return) with the model's view where there is one: blend is their mean, source says which it is."""
+def with_predictions(forecasts: DataFrame, predictions: DataFrame, weight: float = 0.5) -> DataFrame:
+    """Forecasts (symbol, horizon, mean_return) with the model's view where there is one.
+
+    blend goes from the mean return to the view by `weight` (0 to 1, clipped), shift is how far that is, source says which it is."""
+    w = min(1.0, max(0.0, weight))
     both = forecasts.join(predictions, ["symbol", "horizon"], "left")
-    known = F.col("predicted").isNotNull()
-    return both.withColumns({"blend": F.when(known, (F.col("mean_return") + F.col("predicted")) / 2).otherwise(F.col("mean_return")), "source": F.when(known, "MODEL+MC").otherwise("PURE MC")})
+    known = F.col("predicted").isNotNull() & F.lit(w > 0)
+    blend = F.when(known, (1 - w) * F.col("mean_return") + w * F.col("predicted")).otherwise(F.col("mean_return"))
+    return both.withColumns({"blend": blend, "shift": blend - F.col("mean_return"), "source": F.when(known, "MODEL+MC").otherwise("PURE MC")})
 
 
 def top_symbols(panel: DataFrame, k: int = 5, by: str = "dollar_volume") -> DataFrame:

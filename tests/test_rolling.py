@@ -40,7 +40,7 @@ def test_large_prices_do_not_cancel():
     assert np.allclose(got, want, rtol=1e-6) and np.abs(got - 0.01).max() < 0.01
     whole = np.cumsum(x * x)
     lost = np.sqrt(np.maximum((whole[520:] - whole[500:-20]) / 20 - ((np.cumsum(x)[520:] - np.cumsum(x)[500:-20]) / 20) ** 2, 0))
-    assert np.abs(lost - want).max() > 1  # what subtracted running sums give
+    assert np.abs(lost - want).min() > 0.5 * np.abs(want).min()  # what subtracted running sums give: no digit is right
 
 
 def test_constant_frames_have_no_spread():
