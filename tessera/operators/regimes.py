@@ -214,12 +214,16 @@ def segments(x: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 class RunLengths:
-    """Bayesian online change-point detection: Normal-inverse-gamma beliefs of every run length up to `most`."""
+    """Bayesian online change-point detection: Normal-inverse-gamma beliefs of every run length up to `most`.
 
-    def __init__(self, hazard: float = 1 / 100, most: int = 300):
-        self.hazard, self.most = hazard, most
-        self.p = np.ones(1)
-        self.mu, self.kappa, self.alpha, self.beta = np.zeros(1), np.ones(1), np.ones(1), np.full(1, 1e-4)
+    Run lengths whose posterior falls below `least` are given up, so what is held follows the mass, not the time since the last change."""
+
+    FIELDS = ("r", "p", "mu", "kappa", "alpha", "beta")
+
+    def __init__(self, hazard: float = 1 / 100, most: int = 300, scale: float = 1e-4, least: float = 0.0):
+        self.hazard, self.most, self.scale, self.least = hazard, most, scale, least
+        self.r, self.p = np.zeros(1, int), np.ones(1)
+        self.mu, self.kappa, self.alpha, self.beta = np.zeros(1), np.ones(1), np.ones(1), np.full(1, scale)
 
     def step(self, x: float) -> tuple[float, int]:
         """Probability of run length 0 and the most probable run length after seeing x."""
@@ -230,21 +234,31 @@ class RunLengths:
         self.p = p / max(p.sum(), 1e-300)
         mu = (self.kappa * self.mu + x) / (self.kappa + 1)
         beta = self.beta + self.kappa * (x - self.mu) ** 2 / (2 * (self.kappa + 1))
-        self.mu, self.beta = np.r_[0.0, mu], np.r_[1e-4, beta]
-        self.kappa, self.alpha = np.r_[1.0, self.kappa + 1], np.r_[1.0, self.alpha + 0.5]
-        if len(self.p) > self.most:
-            for f in ("p", "mu", "beta", "kappa", "alpha"):
-                setattr(self, f, getattr(self, f)[: self.most])
+        self.mu, self.beta = np.r_[0.0, mu], np.r_[self.scale, beta]
+        self.r, self.kappa, self.alpha = np.r_[0, self.r + 1], np.r_[1.0, self.kappa + 1], np.r_[1.0, self.alpha + 0.5]
+        keep = (self.r < self.most) & (self.p >= self.least)
+        keep[0] = True
+        if not keep.all():
+            for f in self.FIELDS:
+                setattr(self, f, getattr(self, f)[keep])
             self.p /= self.p.sum()
-        return float(self.p[0]), int(self.p.argmax())
+        return float(self.p[0]), int(self.r[self.p.argmax()])
+
+    def beliefs(self) -> list[tuple]:
+        """One row for each run length that is held."""
+        return list(zip(*(getattr(self, f).tolist() for f in self.FIELDS), strict=True))
+
+    def restore(self, beliefs: list[tuple]) -> None:
+        for f, column in zip(self.FIELDS, zip(*beliefs, strict=True), strict=True):
+            setattr(self, f, np.array(column, int if f == "r" else float))
 
 
-def bocpd(x: DataFrame, hazard: float = 1 / 100, most: int = 300) -> DataFrame:
+def bocpd(x: DataFrame, hazard: float = 1 / 100, most: int = 300, scale: float = 1e-4, least: float = 0.0) -> DataFrame:
     """(symbol, i, cp_prob, run_length); a change shows as a fall of the run length."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        runs = RunLengths(hazard, most)
+        runs = RunLengths(hazard, most, scale, least)
         out = [runs.step(v) for v in pdf.x.tolist()]
         return pd.DataFrame({"symbol": pdf.symbol, "i": pdf.i, "cp_prob": [p for p, _ in out], "run_length": [r for _, r in out]})
 

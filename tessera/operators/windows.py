@@ -25,8 +25,8 @@ def sequence_index(panel: DataFrame, length: int = SEQUENCE, stride: int = STRID
 
 
 def sequences(features: DataFrame, names: list[str], length: int = SEQUENCE, stride: int = STRIDE, limit: float = 65504.0) -> DataFrame:
-    """The windows as arrays of feature arrays, clipped to the range of half precision."""
-    row = F.array(*(F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col(c))).cast("float") for c in names))
+    """The windows as arrays of feature arrays, clipped to the range of half precision; missing values stay NULL."""
+    row = F.array(*(F.when(F.col(c).isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col(c)))).cast("float") for c in names))
     at = features.select("symbol", "date", F.row_number().over(ordered()).alias("_n"), F.collect_list(row).over(frame(length)).alias("window"))
     return at.where((F.col("_n") >= length) & ((F.col("_n") - length) % stride == 0)).drop("_n")
 

@@ -458,3 +458,41 @@ SELECT symbol, date, known, coalesce(last_value(known IGNORE NULLS) OVER ({O} RO
 
 
 ORACLE_SQL |= {"dataset_norm_stats": window_stats(), "feature_correlation": correlations(), "forward_filled_labels": filled()}
+
+
+def fetched() -> str:
+    head = window_stats().split(", al AS (")[0]
+    stats = " UNION ALL ".join(f"SELECT '{c}' AS f, avg(coalesce({c}, 0)) AS mu, CASE WHEN stddev_pop(coalesce({c}, 0)) < 1e-9 THEN 1 ELSE stddev_pop(coalesce({c}, 0)) END AS sd FROM en" for c in ("r", "close", "volume"))
+    z = {c: f"coalesce(greatest(-5.0, least(5.0, ({c}::FLOAT::DOUBLE - (SELECT mu FROM st WHERE f = '{c}')) / (SELECT sd FROM st WHERE f = '{c}'))), 0)" for c in ("r", "close")}
+    return f"""{head}, st AS ({stats}), ky AS (SELECT symbol, max(sample) AS sample, max(end_idx) AS end_idx FROM ix WHERE sample < floor(n * 0.75) - 28 GROUP BY symbol),
+wi AS (SELECT ky.symbol, sample, rn - 1 - (ky.end_idx - 179) AS place, CASE WHEN r IS NULL THEN 0 ELSE {z['r']} END AS zr, {z['close']} AS zc FROM ky JOIN ret ON ret.symbol = ky.symbol AND rn - 1 BETWEEN ky.end_idx - 179 AND ky.end_idx - 60),
+ag AS (SELECT symbol, sample, count(*) AS n, max(zr) FILTER (place = 119) AS last_r, max(zc) FILTER (place = 0) AS first_close, least(5.0, avg(abs(zr))) AS mean_size, least(5.0, stddev_pop(zr)) AS deviation, greatest(-5.0, least(5.0, avg(zr) * 252)) AS annual_mean FROM wi GROUP BY ALL)
+SELECT ag.symbol, CAST(ag.sample AS INTEGER) AS sample, CAST(n AS INTEGER) AS n, {r(4, last_r='last_r', first_close='first_close', mean_size='mean_size', deviation='deviation', annual_mean='annual_mean', target_1='coalesce(t1, 0)', target_28='coalesce(t28, 0)')} FROM ag JOIN ky ON ky.symbol = ag.symbol JOIN tg ON tg.symbol = ky.symbol AND tg.end_idx = ky.end_idx"""
+
+
+ORACLE_SQL |= {"sample_fetch": fetched()}
+
+
+#: Keyed sources, caches and runs.
+ORACLE_SQL |= {
+    "panel_cache": f"WITH {BARS} SELECT symbol, count(*) AS n, min(date) AS first, max(date) AS last, {r(4, total='sum(close)')} FROM bars WHERE date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31' GROUP BY symbol",
+    "panel_discovery": f"WITH {BARS} SELECT symbol, count(*) AS n, count(*) FILTER (date >= DATE '1995-06-17') AS with_volume, {r(4, total='sum(close)')} FROM bars WHERE symbol IN (SELECT symbol FROM bars WHERE date < DATE '1995-06-17' INTERSECT SELECT symbol FROM bars WHERE date >= DATE '1995-06-17' ORDER BY symbol LIMIT 12) GROUP BY symbol",
+    "keyed_forecasts": f"WITH {LOGS}, m AS (SELECT symbol, max(i) AS n FROM lx GROUP BY symbol), f AS (SELECT symbol, regr_slope(x, i) AS b, regr_intercept(x, i) AS a FROM lx JOIN m USING (symbol) WHERE i > n - 110 AND i <= n - 10 GROUP BY symbol) SELECT symbol, 'ok' AS status, NULL::VARCHAR AS error, i, {r(predicted='a + b * i')} FROM lx JOIN m USING (symbol) JOIN f USING (symbol) WHERE i > n - 10 AND NOT ends_with(symbol, '7') UNION ALL SELECT DISTINCT symbol, 'failed', 'ValueError: no model for this symbol', NULL, NULL FROM lx WHERE ends_with(symbol, '7')",
+}
+
+
+def compact() -> str:
+    frames = (5, 10, 20, 60)
+    one = {"step": f"coalesce(close - {lag('close')}, 0)", "ret1": div(f"close - {lag('close')}", lag("close")), **{f"mom_{n}": f"coalesce({chg(n)}, 0)" for n in frames}}
+    two = {f"rvol_{n}": f"coalesce({roll('stddev_samp({x})', 'ret1', n, max(2, n // 2))}, 0)" for n in frames}
+    two |= {"a20": avg("close", 20, 5), "a50": avg("close", 50, 10), "v20": avg("volume", 20, 5), "up": f"coalesce({avg('greatest(step, 0)', 14, 5)}, 0)", "dn": f"coalesce({avg('greatest(-step, 0)', 14, 5)}, 0)"}
+    three = {"b20": backfill("a20"), "b50": backfill("a50"), "bv": backfill("v20")}
+    four = {"px_to_ma20": div("close - b20", "b20"), "px_to_ma50": div("close - b50", "b50"), "rsi14": "1 - 1 / (1 + " + div("up", "dn + 1e-9") + ")", "hl_spread": div("high - low", "close"), "close_pos": div("close - low", "greatest(high - low, 1e-6)"), "vol_z": div("volume - bv", "bv + 1e-9"), "dow_sin": "sin(2 * pi() * (isodow(date) - 1) / 5)", "dow_cos": "cos(2 * pi() * (isodow(date) - 1) / 5)"}
+    names = ["ret1", *(f"mom_{n}" for n in frames), *(f"rvol_{n}" for n in frames), *four]
+    base, source = chain(RET, "ret", one, two, three, four)
+    cuts = ", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in names)
+    base += f", nn AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM {source}), cu AS (SELECT symbol, {cuts} FROM nn WHERE rn <= greatest(floor(n * 0.35), 1) GROUP BY symbol)"
+    return f"WITH {base} SELECT symbol, date, {', '.join(f'round(greatest(lo_{c}, least(hi_{c}, {c})) + 1e-10, 4) + 0.0 AS {c}' for c in names)} FROM nn JOIN cu USING (symbol)"
+
+
+ORACLE_SQL |= {"wf_features": compact()}

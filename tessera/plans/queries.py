@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,12 +15,18 @@ from tessera.operators import metrics as M
 from tessera.operators import montecarlo as MC
 from tessera.operators import recurrence as RC
 from tessera.operators import regimes as RG
+from tessera.operators import runner as RN
 from tessera.operators import uncertainty as U
+from tessera.operators import walkforward as WF
 from tessera.operators import windows as WN
 from tessera.operators.features import FAMILIES, change
 from tessera.sources import panel as P
-from tessera.sources.storage import stored
-from tessera.streaming.bars import stream_bars
+from tessera.sources import cache as CA
+from tessera.sources import discovery as DI
+from tessera.sources import sequences as SQ
+from tessera.sources.storage import new_folder, stored
+from tessera.streaming import changes as CH
+from tessera.streaming.bars import event_stream, stream_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 Q = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +159,64 @@ def dataset_norm_stats(spark, sf):
     return rounded(D.dataset_norm_stats(rows, drawn, targets, ["r", "close", "volume"], WN.SEQUENCE), 5)
 
 
+@query
+def panel_cache(spark, sf):
+    """Three overlapping requests of all symbols; the last one's rows, a part of them loaded by each request."""
+    bars = stored(P.bars(spark, sf).select("symbol", "date", "close"))
+    symbols = [r.symbol for r in bars.select("symbol").distinct().orderBy("symbol").collect()]  # the few nations
+    cache = CA.PanelCache(spark, new_folder(spark, "cache"), CA.load_from(bars), least_rows=5)
+    cache.fetch(symbols, date(1993, 1, 1), date(1994, 6, 30))
+    cache.fetch(symbols[::2], date(1995, 3, 1), date(1996, 3, 31))
+    got = cache.fetch(symbols, date(1994, 1, 1), date(1996, 12, 31))
+    return rounded(got.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("close").alias("total")), 4)
+
+
+@query
+def panel_discovery(spark, sf):
+    """Bars written to two folders by symbol, the second with a column of its own; the first twelve symbols of both are read back."""
+    bars = stored(P.bars(spark, sf))
+    old, new = new_folder(spark, "old"), new_folder(spark, "new")
+    bars.where("date < '1995-06-17'").select("symbol", "date", "close").write.partitionBy("symbol").parquet(old)
+    bars.where("date >= '1995-06-17'").select("symbol", "date", "close", "volume").write.partitionBy("symbol").parquet(new)
+    got = DI.load_panel(spark, [old, new], most=12)
+    return rounded(got.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count("volume").alias("with_volume"), F.sum("close").alias("total")), 4)
+
+
+@query
+def keyed_forecasts(spark, sf):
+    """A line through the last hundred log returns of each symbol, fitted by the caller's own functions; symbols whose name ends in 7 make them raise."""
+    import numpy as np
+
+    def fit(train):
+        if train["symbol"].iloc[0].endswith("7"):
+            raise ValueError("no model for this symbol")
+        return np.polyfit(train["i"].to_numpy(float), train["x"].to_numpy(float), 1)
+
+    def predict(model, target):
+        return target.assign(predicted=np.polyval(model, target["i"].to_numpy(float)))
+
+    x = logs(spark, sf)
+    last = x.groupBy("symbol").agg(F.max("i").alias("_n"))
+    rows = x.join(last, "symbol").where("i > _n - 110").select("symbol", "i", "x", F.when(F.col("i") > F.col("_n") - 10, "target").otherwise("train").alias("part"))
+    return rounded(RN.run_keyed(rows, "symbol", fit, predict, "i long, predicted double"))
+
+
+@query
+def sample_fetch(spark, sf):
+    """The last training sample of each symbol, fetched from a store of all windows and scaled by the statistics of the training part."""
+    names = ["r", "close", "volume"]
+    rows = stored(returns(spark, sf).withColumn("idx", (F.col("rn") - 1).cast("long")))
+    index = WN.purged_split(WN.sequence_index(rows))
+    labels = WN.forward_labels(rows).groupBy("symbol", "date").pivot("horizon", list(WN.HORIZONS)).agg(F.first("target"))
+    targets = labels.select("symbol", "date", F.array(*(F.col(str(h)) for h in WN.HORIZONS)).alias("target"))
+    SQ.write_sequences(rows, names, targets, path := new_folder(spark, "sequences"))
+    ends = WN.forward_labels(rows).join(rows.select("symbol", "date", F.col("idx").cast("int").alias("end_idx")), ["symbol", "date"]).select("symbol", "end_idx", "target")
+    stats = stored(D.dataset_norm_stats(rows, D.sampled_windows(index.where("split = 'train'")), ends, names, WN.SEQUENCE))
+    keys = index.where("split = 'train'").groupBy("symbol").agg(F.max("sample").alias("sample"))
+    got = SQ.samples(SQ.lookup(spark, path, keys), stats, names)
+    return rounded(got.select("symbol", "sample", F.size("encoder").alias("n"), F.element_at("encoder", -1)[0].alias("last_r"), F.element_at("encoder", 1)[1].alias("first_close"), "static.*", F.col("target")[0].alias("target_1"), F.col("target")[5].alias("target_28")), 4)
+
+
 @query
 def feature_correlation(spark, sf):
     """Thirty features against each other over all rows."""
@@ -166,6 +231,12 @@ def wf_windows(spark, sf):
     return WN.wf_windows(returns(spark, sf))
 
 
+@query
+def wf_features(spark, sf):
+    made = stored(WF.compact_features(returns(spark, sf)).select("symbol", "date", "rn", *WF.COMPACT))
+    return tidy(WF.clipped_by_training(made, WF.COMPACT), WF.COMPACT)
+
+
 @query
 def wf_norm_stats(spark, sf):
     base = returns(spark, sf)
@@ -555,6 +626,19 @@ def event_bars(spark, sf):
     return rounded(stream_bars(P.read(spark, sf, "events")))
 
 
+@query
+def online_change_points(spark, sf):
+    """The event table as a stream through keyed change-point state; change: the most probable run length falls by more than half."""
+    CH.rocksdb_state(spark)
+    folder = new_folder(spark, "changes")  # a stream's path is a pattern, so that it may be a file or a folder of files
+    found = CH.online_changes(event_stream(spark, f"{sf}/event[s].parquet"), scale=1.0)
+    run = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    seen = spark.read.schema(CH.FOUND).parquet(f"{folder}/out")
+    before = F.lag("run_length").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    return seen.withColumn("_fell", (F.col("run_length") < before / 2).cast("int")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("run_length").alias("longest"), F.coalesce(F.sum("_fell"), F.lit(0)).alias("changes"))
+
+
 @query
 def stock_status(spark, sf):
     add, _ = FAMILIES["momentum"]

@@ -1,19 +1,30 @@
-"""Cutting the lineage of tables that a query reads more than once."""
+"""The folder that driver and executors share; cutting the lineage of tables that a query reads more than once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the session's checkpoint folder; a temporary one where a local session names none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one where a local session names none."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
