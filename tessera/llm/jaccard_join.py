@@ -45,6 +45,8 @@ from tessera.llm.common import arrow_batches, released, table, write_shared
 from tessera.llm.graph import connected_components, local_stars
 from tessera.llm.substring_dedup import WordHashes
 
+#: Candidates (three numbers each) that are broadcast to the texts: some 64 MB.
+BROADCAST_ROWS = 1_000_000
 #: Similarity asked for, in hundredths, and words of a shingle.
 PERCENT, WIDTH = 90, 3
 SLICE, SLICE_TOKENS = 1000, 2_000_000
@@ -392,8 +394,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("tokens") / SLICE_TOKENS)).cast("int")
     chosen = write_shared(chosen.join(sizes, "grp").select("rep", "grp", slices.alias("slices")), "candidates")
 
-    # Rows that repeat an id are versions of it: the sets of all of them are compared under that id.
-    members = named.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "grp", "slices", "text")
+    # Rows that repeat an id are versions of it: the sets of all of them are compared under that id. Few candidates are sent to the
+    # texts; of more, texts and candidates are dealt out by id.
+    chosen = chosen.withColumnRenamed("rep", "doc_id")
+    if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    members = named.join(chosen, "doc_id").select("doc_id", "grp", "slices", "text")
     members = members.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
     linked = connected_components(group_links(members, percent, width, order)).withColumnRenamed("id", "rep")
     labelled = classes.join(linked, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
