@@ -349,7 +349,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, lexicon: str | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

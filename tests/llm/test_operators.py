@@ -482,3 +482,11 @@ def test_op9_minimum_determinant(spark, monkeypatch, few):
     d /= max(1, np.median(d) / Q.CHI2_MEDIAN)
     assert ((d <= Q.CUTOFF) == out.kept.to_numpy()).all()
     assert np.allclose(out.distance2, d, rtol=0.05)
+
+
+def test_op2_int_ids(spark):
+    """Ids of another integer type come back as long."""
+    from tessera.llm.bpe import bpe_digests
+
+    got = bpe_digests(spark.createDataFrame([(7, "hello world"), (None, None)], "doc_id int, text string"))
+    assert dict(got.dtypes)["doc_id"] == "bigint" and sorted((r.doc_id or 0, r.n_tokens) for r in got.collect()) == [(0, 0), (7, 2)]
