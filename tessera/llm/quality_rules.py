@@ -6,7 +6,7 @@ aggregation over the group: distances under the present centre and covariance, t
 quantile, then mean and covariance of the rows within it. Every group has three deterministic starts, all
 from the standardised rows (medians and median absolute deviations): their diagonal, the covariance of their
 hyperbolic tangents, and that of their spatial signs. After two steps the start with the smallest determinant
-goes on, until no group's determinant falls any more (`steps` at most).
+goes on, until no group's determinant falls any more.
 
 No group is ever gathered in one task: sums combine before the shuffle, and models (one row a group) are
 broadcast to their rows up to `FEW_GROUPS` groups, beyond them joined by group and one of `SALTS` numbers, so
@@ -192,7 +192,7 @@ def concentrated(rows: DataFrame, model: DataFrame, few: bool, support: float, p
     return summed.withColumn("scale", F.lit(1.0 / support)).mapInArrow(_model_rows(prior_rows), _MODEL)
 
 
-def robust_verdicts(stats: DataFrame, support: float = 0.75, steps: int = 8, prior_rows: int = 20, cutoff: float = CUTOFF) -> DataFrame:
+def robust_verdicts(stats: DataFrame, support: float = 0.75, prior_rows: int = 20, cutoff: float = CUTOFF) -> DataFrame:
     """Adds base_failed, distance2 (null if base_failed) and kept to a table with statistics, lang and source."""
     full = transformed(stats).withColumns(
         {
@@ -212,7 +212,7 @@ def robust_verdicts(stats: DataFrame, support: float = 0.75, steps: int = 8, pri
     # The start of the smallest determinant, ties to the first; one row a group.
     best = model.groupBy(*KEYS[:2]).agg(F.min_by(F.struct("start", "mu", "inv", "det"), F.struct("det", "start")).alias("x"))
     model = write_shared(best.select(*KEYS[:2], "x.*"), "mcd-best")
-    for _ in range(2, steps):
+    while True:  # a determinant falls at each step, and the prior keeps it from falling for ever
         rows_of = rows.withColumn("start", F.lit(0))
         now = model.withColumn("start", F.lit(0))
         new = concentrated(rows_of, now, few, support, prior_rows)
