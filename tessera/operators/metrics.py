@@ -37,7 +37,7 @@ def with_long_short(df: DataFrame, *by: str) -> DataFrame:
 
 
 def equity(df: DataFrame, *by: str) -> DataFrame:
-    """Adds the compounded curve of ls in order of (date, symbol), and its drawdown.
+    """Adds the compounded curve of ls in order of (date, symbol), its peak so far and its drawdown.
 
     In logarithms, as a long curve of losses would underflow; by parts of the dates, as a group may hold most rows."""
     step = F.log1p(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("ls"))))
@@ -46,7 +46,8 @@ def equity(df: DataFrame, *by: str) -> DataFrame:
     rows = rows.withColumn("log_equity", F.col("_before_step") + F.sum("_step").over(w))
     lower = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     peaks = rows.groupBy(*by, "_part").agg(F.max("log_equity").alias("_peak")).select(*by, "_part", F.max("_peak").over(lower).alias("_top"))
-    made = rows.join(F.broadcast(peaks), [*by, "_part"]).withColumn("drawdown", 1 - F.exp(F.col("log_equity") - F.greatest(F.max("log_equity").over(w), "_top")))
+    made = rows.join(F.broadcast(peaks), [*by, "_part"]).withColumn("log_peak", F.greatest(F.max("log_equity").over(w), "_top"))
+    made = made.withColumn("drawdown", 1 - F.exp(F.col("log_equity") - F.col("log_peak")))
     return made.withColumn("equity", F.exp("log_equity")).drop("_part", "_before", "_before_step", "_step", "_top")
 
 
@@ -57,6 +58,20 @@ def long_short(df: DataFrame, *by: str) -> DataFrame:
     return out.withColumns({"sharpe": F.when(F.col("_sd") > 1e-12, F.col("ls_mean") / F.col("_sd") * YEAR).otherwise(0.0), "calmar": F.when(F.col("max_dd") > 1e-12, F.col("ls_mean") * 252 / F.col("max_dd")).otherwise(0.0)}).drop("_sd")
 
 
+def stitched(df: DataFrame, window: str = "window_id") -> DataFrame:
+    """Adds the curve of ls over all windows one behind another, each in order of (date, symbol), and its drawdown.
+
+    Windows are compounded by themselves and then moved to where the ones before them end; they are few."""
+    made = stored(equity(df, window))
+    ends = made.groupBy(window).agg(F.max_by("log_equity", F.struct("date", "symbol")).alias("_end"), F.max("log_equity").alias("_peak"))
+    before = Window.orderBy(window).rowsBetween(Window.unboundedPreceding, -1)  # a row for each window
+    ends = ends.withColumn("_at", zero(F.sum("_end").over(before))).withColumn("_top", F.max(F.col("_at") + F.col("_peak")).over(before))
+    rows = made.join(F.broadcast(ends.select(window, "_at", "_top")), window)
+    rows = rows.withColumns({"log_peak": F.greatest(F.col("log_peak") + F.col("_at"), "_top"), "log_equity": F.col("log_equity") + F.col("_at")})
+    rows = rows.withColumn("drawdown", 1 - F.exp(F.col("log_equity") - F.col("log_peak")))
+    return rows.withColumn("equity", F.exp("log_equity")).drop("_at", "_top")
+
+
 def quartile_spread(df: DataFrame, *by: str) -> DataFrame:
     """Mean outcome of the top quarter of forecasts less that of the bottom quarter."""
     cuts = group_quantiles(df, by, "p", {"_a": 0.25, "_b": 0.75}).drop("n")

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import corr, ordered
-from tessera.functions.special import chi2_sf, ks_uniform, minimise
+from tessera.functions.exprs import corr, normal_cdf, ordered
+from tessera.functions.special import minimise
+from tessera.operators.calibration import uniformity
 
 DAYS = 252
 ENGINES = {"gbm": 0.15, "merton": 0.15, "heston": 0.15, "garch": 0.25, "bootstrap": 0.30}
@@ -185,7 +186,8 @@ def kupiec(breaches: DataFrame, alpha: float = 0.05) -> DataFrame:
     n, x = F.col("n").cast("double"), F.col("x").cast("double")
     pi = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x / n))
     lr = -2 * ((n - x) * math.log(1 - alpha) + x * math.log(alpha) - (n - x) * F.log(1 - pi) - x * F.log(pi))
-    return breaches.withColumn("lr", F.greatest(lr, F.lit(0.0)))
+    ratio = F.greatest(lr, F.lit(0.0))
+    return breaches.withColumns({"lr": ratio, "p_value": 2 * (1 - normal_cdf(F.sqrt(ratio)))})
 
 
 def rolling_backtest(x: DataFrame, engine: str = "ensemble", first: int = 252, step: int = 10, origins: int = 40, lookback: int = 756, horizons: tuple[int, ...] = (5, 21, 63), paths: int = 1000, alpha: float = 0.05, seed: int = 11) -> DataFrame:
@@ -215,11 +217,5 @@ def rolling_backtest(x: DataFrame, engine: str = "ensemble", first: int = 252, s
 def backtest_report(scores: DataFrame) -> DataFrame:
     """By horizon: n, breaches, mean CRPS and bias, Kolmogorov-Smirnov of the PITs, Kupiec p-value."""
 
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, p = ks_uniform(pdf.pit)
-        return pd.DataFrame({"horizon": [int(pdf.horizon.iloc[0])], "ks": [d], "ks_p": [p]})
-
-    ks = scores.groupBy("horizon").applyInPandas(report, "horizon int, ks double, ks_p double")  # symbols times origins of floats
     agg = kupiec(scores.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.sum("breach").alias("x"), F.avg("crps").alias("crps"), F.avg("bias").alias("bias")))
-    tail = F.udf(lambda v: chi2_sf(v, 1), "double")  # one call a horizon
-    return agg.join(ks, "horizon").withColumn("kupiec_p", tail("lr"))
+    return agg.withColumnRenamed("p_value", "kupiec_p").join(uniformity(scores, ("horizon",), "pit").select("horizon", "ks", F.col("p").alias("ks_p")), "horizon")

@@ -323,7 +323,7 @@ ORACLE_SQL: dict[str, str] = {
     "ljung_box": f"WITH {LOGS}, d AS (SELECT symbol, i, x - avg(x) OVER (PARTITION BY symbol) AS d FROM lx), k AS (SELECT symbol, d, {', '.join(f'd * lag(d, {k}) OVER (PARTITION BY symbol ORDER BY i) AS b{k}' for k in range(1, 11))} FROM d), s AS (SELECT symbol, count(*) AS n, sum(d * d) AS v, {', '.join(f'sum(b{k}) AS a{k}' for k in range(1, 11))} FROM k GROUP BY symbol), q AS (SELECT symbol, ({P10}) * n * (n + 2) AS q FROM s) SELECT symbol, {r(5, q='q', p_value='exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24)')} FROM q",
     "hurst_lag": f"WITH {LOGS}, c AS (SELECT symbol, i, sum(x) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM lx), s AS ({' UNION ALL '.join(f'SELECT symbol, {math.log(k)} AS lk, ln(stddev_pop(d) + 1e-12) AS ls FROM (SELECT symbol, c - lag(c, {k}) OVER (PARTITION BY symbol ORDER BY i) AS d FROM c) GROUP BY symbol' for k in range(2, 20))}) SELECT symbol, round(regr_slope(ls, lk) + 1e-10, 6) + 0.0 AS hurst FROM s GROUP BY symbol",
     "crps": f"WITH {LOGS}, y AS (SELECT symbol, max_by(x, i) AS y FROM lx GROUP BY symbol), a AS (SELECT symbol, avg(abs(x - y)) AS a FROM lx JOIN y USING (symbol) GROUP BY symbol), b AS (SELECT l.symbol, avg(abs(l.x - k.x)) AS b FROM lx l JOIN lx k ON l.symbol = k.symbol GROUP BY l.symbol) SELECT symbol, round(a - b / 2 + 1e-10, 6) + 0.0 AS crps FROM a JOIN b USING (symbol)",
-    "kupiec": f"WITH {LOGS}, c AS (SELECT symbol, quantile_cont(x, 0.05) AS v FROM lx GROUP BY symbol), b AS (SELECT symbol, count(*) AS n, count(*) FILTER (x < v / 2) AS x FROM lx JOIN c USING (symbol) GROUP BY symbol), p AS (SELECT *, greatest(1e-6, least(1 - 1e-6, x / n)) AS pi FROM b) SELECT symbol, n, x, round(greatest(-2 * ((n - x) * ln(0.95) + x * ln(0.05) - (n - x) * ln(1 - pi) - x * ln(pi)), 0.0) + 1e-10, 5) + 0.0 AS lr FROM p",
+    "kupiec": f"WITH {LOGS}, c AS (SELECT symbol, quantile_cont(x, 0.05) AS v FROM lx GROUP BY symbol), b AS (SELECT symbol, count(*) AS n, count(*) FILTER (x < v / 2) AS x FROM lx JOIN c USING (symbol) GROUP BY symbol), p AS (SELECT *, greatest(1e-6, least(1 - 1e-6, x / n)) AS pi FROM b), q AS (SELECT symbol, n, x, greatest(-2 * ((n - x) * ln(0.95) + x * ln(0.05) - (n - x) * ln(1 - pi) - x * ln(pi)), 0.0) AS lr FROM p) SELECT symbol, n, x, {r(5, lr='lr', p_value='2 * (1 - ' + normal_cdf('sqrt(lr)') + ')')} FROM q",
     "spell_durations": f"WITH {VS}, c AS (SELECT *, CASE WHEN state IS NOT DISTINCT FROM lag(state) OVER ({O}) THEN 0 ELSE 1 END AS c FROM vs), s AS (SELECT *, sum(c) OVER ({O} ROWS UNBOUNDED PRECEDING) AS spell FROM c) SELECT symbol, CAST(spell AS BIGINT) AS spell, any_value(state) AS state, min(date) AS first, max(date) AS last, count(*) AS n FROM s GROUP BY symbol, spell",
     "state_transitions": f"WITH {TR} SELECT state, next, n, round(p + 1e-10, 6) + 0.0 AS p FROM tr",
     "transition_entropy": f"WITH {TR} SELECT round(avg(h) + 1e-10, 6) + 0.0 AS entropy FROM (SELECT state, -sum(p * ln(p)) AS h FROM tr GROUP BY state)",
@@ -496,3 +496,9 @@ def compact() -> str:
 
 
 ORACLE_SQL |= {"wf_features": compact()}
+
+
+ORACLE_SQL["stitched_equity"] = f"""WITH {WIN}, l AS (SELECT window_id, date, symbol, CASE WHEN p > (SELECT quantile_cont(p, 0.5) FROM f WHERE horizon = 1) THEN t ELSE -t END AS ls FROM f WHERE horizon = 1),
+c AS (SELECT *, sum(ln(1 + greatest(-0.5, least(0.5, ls)))) OVER k AS lq FROM l WINDOW k AS (ORDER BY window_id, date, symbol ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, 1 - exp(lq - max(lq) OVER (ORDER BY window_id, date, symbol ROWS UNBOUNDED PRECEDING)) AS dd FROM c)
+SELECT window_id, date, {r(5, log_equity='max_by(lq, symbol)', drawdown='max(dd)')} FROM d GROUP BY window_id, date"""

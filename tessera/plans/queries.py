@@ -264,6 +264,16 @@ def equity_curve(spark, sf):
     return made.groupBy("date").agg(F.round(F.max_by("log_equity", "symbol") + NUDGE, 5).alias("log_equity"), F.round(F.max("drawdown") + NUDGE, 5).alias("drawdown"))
 
 
+@query
+def stitched_equity(spark, sf):
+    """The out-of-sample curve of the shortest horizon over all test windows, one behind another."""
+    base = returns(spark, sf)
+    rows = WN.in_windows(WN.aligned(base), WN.wf_windows(base)).where("part = 'test'").select("symbol", "date", "window_id")
+    tested = forecasts(spark, sf).where("horizon = 1").join(rows, ["symbol", "date"])
+    made = M.stitched(stored(M.with_long_short(tested, "horizon")))
+    return rounded(made.groupBy("window_id", "date").agg(F.max_by("log_equity", "symbol").alias("log_equity"), F.max("drawdown").alias("drawdown")), 5)
+
+
 @query
 def quartile_spread(spark, sf):
     return rounded(M.quartile_spread(forecasts(spark, sf), "horizon"))

@@ -42,7 +42,8 @@ def online_changes(events: DataFrame, hazard: float = 1 / 100, most: int = 300,
     """(event_type, ts, event_id, cp_prob, run_length) of each event of a stream; a change shows as a fall of the run length.
 
     Needs the RocksDB state store (`PROVIDER`). State of a key: at most `most` run lengths, those below a posterior of `least` are
-    given up; with `ttl_ms` a key that is silent for so long starts afresh. Within a micro-batch events are taken in order of (ts,
+    given up; with `ttl_ms` a key that is silent for so long starts afresh (such a
+    stream looks at the clock again and again: stop it, as it does not end by itself). Within a micro-batch events are taken in order of (ts,
     event_id); batches are taken as they come. Events without type or value are left out."""
     if events.sparkSession.conf.get(PROVIDER) != ROCKSDB:
         raise ValueError(f"set {PROVIDER} to {ROCKSDB}")

@@ -14,7 +14,7 @@ from tessera.sources import panel as P
 from tessera.streaming import bars as ST
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["panel_bars", "market_series", "feat_volatility", "feat_sector", "feat_calendar", "feat_complexity", "recurrences", "forward_labels", "purged_split", "wf_norm_stats", "rank_ic", "merton_params", "ljung_box", "crps", "rolling_fingerprint", "spell_durations", "adjusted_rand", "split_conformal", "cqr", "event_bars", "feat_volume", "window_metrics", "ensemble_variance", "symbol_overlap", "sector_pivot", "blended_forecast", "cross_sectional_z"]
+CHECKED = ["panel_bars", "market_series", "feat_volatility", "feat_sector", "feat_calendar", "feat_complexity", "recurrences", "forward_labels", "purged_split", "wf_norm_stats", "rank_ic", "merton_params", "ljung_box", "crps", "rolling_fingerprint", "spell_durations", "adjusted_rand", "split_conformal", "cqr", "event_bars", "feat_volume", "window_metrics", "ensemble_variance", "symbol_overlap", "sector_pivot", "blended_forecast", "cross_sectional_z", "calibration_report", "quantile_calibration", "pit_uniformity", "bma_mixture", "simulation_summary", "cusum_segments", "garch_bands", "panel_cache", "panel_discovery", "keyed_forecasts", "wf_features"]
 
 
 @pytest.fixture(scope="module")
