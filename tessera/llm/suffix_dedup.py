@@ -5,8 +5,9 @@ would move each byte some hundred times, so anchors (see `anchors`) first settle
 blocks of suffixes whose anchor occurs nowhere else drop out, and equal blocks are folded into their first
 occurrence. The suffixes of the remaining blocks - text around edits and around shared passages - form a
 sparse suffix array: blocks are range-partitioned by the eight leading bytes of their anchored suffix, with
-splitters that Spark samples; each bucket sorts its suffixes by multikey quicksort, eight bytes to a digit,
-where only ties go on to the next digit; suffixes that still tie at `width` bytes are repeats. Splitters
+splitters that Spark samples; each bucket sorts its suffixes by one multi-byte key after another, eight bytes to a
+digit, where, as in multikey quicksort, only ties go on to the next digit (a digit is sorted by NumPy, not by
+three-way partitions); suffixes that still tie at `width` bytes are repeats. Splitters
 may cut through equal leading bytes (the id is part of the range key, so one hot passage fills many
 buckets): the first occurrence of each string with a bucket's outermost leading bytes is compared once
 more, across the boundaries.
@@ -82,7 +83,7 @@ def suffix_blocks(docs: DataFrame, blocks: DataFrame, width: int, gram: int) ->
 
 
 def tied_suffixes(buffer: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of the `width`-byte strings at places `at`: (places in `at`, group), for those that tie with another."""
+    """Multikey sort of the `width`-byte strings at places `at`, all groups of ties at once: (places in `at`, group), for those that tie with another."""
     padded = np.concatenate([buffer, np.zeros(16, np.uint8)]).astype(np.uint64)
     digit = np.zeros(len(buffer) + 8, np.uint64)  # the eight bytes from each place on
     for i in range(8):
