@@ -2,11 +2,11 @@
 
 The statistics of every document become a small transformed vector. For each (lang, source) group a
 minimum-covariance-determinant estimate is found by concentration steps, each of them a distributed
-aggregation over the group: distances under the present centre and covariance, their `support`
-quantile, then mean and covariance of the rows within it. Every group has three deterministic starts, all
+aggregation over the group: distances under the present centre and covariance, sums by bins of distance,
+then mean and covariance of the bins that hold the `support` nearest rows. Every group has three deterministic starts, all
 from the standardised rows (medians and median absolute deviations): their diagonal, the covariance of their
 hyperbolic tangents, and that of their spatial signs. After two steps the start with the smallest determinant
-goes on, until no group's determinant falls any more.
+goes on, until the group's determinant falls no more; what a group comes to does not depend on other groups.
 
 No group is ever gathered in one task: sums combine before the shuffle, and models (one row a group) are
 broadcast to their rows up to `FEW_GROUPS` groups, beyond them joined by group and one of `SALTS` numbers, so
@@ -21,10 +21,11 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_batches, released, table, write_shared
@@ -127,6 +128,8 @@ KEYS = ["grp_lang", "grp_source", "start"]
 _MODEL = "grp_lang string, grp_source string, start int, mu array<double>, inv array<double>, det double"
 #: Groups whose models are broadcast to their rows, at most; parts that a group's rows are dealt into to meet its model where there are more.
 FEW_GROUPS, SALTS = 5_000, 32
+#: Bins of squared distance in an octave, and the least distance told from 0 (its inverse: the greatest): some 10,000 bins a group at most.
+BINS, LEAST_D2 = 128, 1e-12
 
 
 def _distance() -> F.Column:
@@ -183,12 +186,23 @@ def robust_starts(rows: DataFrame, med: DataFrame, few: bool) -> DataFrame:
 
 
 def concentrated(rows: DataFrame, model: DataFrame, few: bool, support: float, prior_rows: int) -> DataFrame:
-    """One concentration step of every group and start: the moments of the `support` nearest rows under the present model."""
-    near = met(rows, model, few, *KEYS).withColumn("d2", _distance()).select(*KEYS, "salt", "d2", *FEATURES)
-    cut = near.groupBy(*KEYS).agg(F.percentile_approx("d2", support, 1000).alias("cut"))
-    inside = met(near, cut, few, *KEYS).where(F.col("d2") <= F.col("cut"))
-    moments = [F.avg(f) for f in FEATURES], [F.avg(F.col(a) * F.col(b)) for a in FEATURES for b in FEATURES]
-    summed = inside.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.array(*moments[0]).alias("m"), F.array(*moments[1]).alias("s"))
+    """One concentration step of every group and start in `model`: the moments of the `support` nearest rows under it.
+
+    Rows are summed by bins of their distance first, which combines before the shuffle; a group's bins are then taken from the
+    nearest on. Of the bin in which the last row falls the share that is still wanted counts, so that equal rows weigh the same."""
+    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+    sums = {f"m{i}": F.sum(f) for i, f in enumerate(FEATURES)} | {f"s{i}_{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in pairs}
+    far = F.floor(F.log2(F.least(F.greatest(_distance(), F.lit(LEAST_D2)), F.lit(1 / LEAST_D2))) * BINS)
+    near = met(rows, model, few, *KEYS).select(*KEYS, far.alias("bin"), *FEATURES)
+    bins = near.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in sums.items()))
+    group = Window.partitionBy(*KEYS)
+    upto = F.sum("rows").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wanted = F.ceil(F.sum("rows").over(group) * support) - (upto - F.col("rows"))
+    taken = bins.withColumn("share", F.least(F.lit(1.0), wanted / F.col("rows"))).where("share > 0")
+    n = F.sum(F.col("share") * F.col("rows"))
+    mean = {name: F.sum(F.col("share") * F.col(name)) / n for name in sums}
+    second = [mean[f"s{min(i, j)}_{max(i, j)}"] for i in range(len(FEATURES)) for j in range(len(FEATURES))]
+    summed = taken.groupBy(*KEYS).agg(n.alias("n"), F.array(*(mean[f"m{i}"] for i in range(len(FEATURES)))).alias("m"), F.array(*second).alias("s"))
     return summed.withColumn("scale", F.lit(1.0 / support)).mapInArrow(_model_rows(prior_rows), _MODEL)
 
 
@@ -211,16 +225,16 @@ def robust_verdicts(stats: DataFrame, support: float = 0.75, prior_rows: int = 2
         model = write_shared(concentrated(three, model, few, support, prior_rows), "mcd-three")
     # The start of the smallest determinant, ties to the first; one row a group.
     best = model.groupBy(*KEYS[:2]).agg(F.min_by(F.struct("start", "mu", "inv", "det"), F.struct("det", "start")).alias("x"))
-    model = write_shared(best.select(*KEYS[:2], "x.*"), "mcd-best")
-    while True:  # a determinant falls at each step, and the prior keeps it from falling for ever
-        rows_of = rows.withColumn("start", F.lit(0))
-        now = model.withColumn("start", F.lit(0))
-        new = concentrated(rows_of, now, few, support, prior_rows)
-        both = now.select(*KEYS, F.struct("mu", "inv", "det").alias("old")).join(new.select(*KEYS, F.struct("mu", "inv", "det").alias("new")), KEYS)
-        lower = F.col("new.det") < F.col("old.det")
-        model = write_shared(both.select(*KEYS, F.when(lower, F.col("new")).otherwise(F.col("old")).alias("x"), (F.col("new.det") < F.col("old.det") - 1e-3).alias("falls")).select(*KEYS, "x.*", "falls"), "mcd-kept")
-        if model.where("falls").isEmpty():
-            break
+    one = rows.withColumn("start", F.lit(0))
+    model, settled = write_shared(best.select(*KEYS[:2], F.lit(0).alias("start"), "x.mu", "x.inv", "x.det"), "mcd-best"), []
+    while not model.isEmpty():  # a determinant falls at each step, and the prior keeps it from falling for ever
+        new = concentrated(one, model, few, support, prior_rows)
+        both = model.select(*KEYS, F.struct("mu", "inv", "det").alias("old")).join(new.select(*KEYS, F.struct("mu", "inv", "det").alias("new")), KEYS)
+        lower, falls = F.col("new.det") < F.col("old.det"), F.col("new.det") < F.col("old.det") - 1e-3
+        both = write_shared(both.select(*KEYS, F.when(lower, F.col("new")).otherwise(F.col("old")).alias("x"), falls.alias("falls")).select(*KEYS, "x.*", "falls"), "mcd-kept")
+        settled.append(both.where(~F.col("falls")).drop("falls"))
+        model = both.where("falls").drop("falls")  # a group that has come to rest takes no part in the steps of others
+    model = write_shared(reduce(DataFrame.unionByName, settled), "mcd-models") if settled else model
     model = model.select(*KEYS[:2], "mu", "inv")
     near = met(rows, model, few, *KEYS[:2]).withColumn("d2", _distance())
     # Consistency: the median distance of a clean group is that of the chi-square law; groups are never tightened.

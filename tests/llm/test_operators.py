@@ -484,6 +484,21 @@ def test_op9_minimum_determinant(spark, monkeypatch, few):
     assert np.allclose(out.distance2, d, rtol=0.05)
 
 
+def test_op9_groups_stand_alone(spark):
+    """A group's distances are the same beside groups that take more steps, and for any partitioning; equal rows get equal verdicts."""
+    from tessera.llm import quality_rules as Q
+
+    rng = np.random.default_rng(5)
+    rows = [(g * 10_000 + i, n := int(rng.lognormal(5 + g, 0.4 + g)), n * 6 + int(rng.integers(-50, 50)), int(rng.integers(0, 3 + g)), int(rng.integers(0, 2)), 0, 10, "en", f"s{g}") for g in range(3) for i in range(300)]
+    rows += [(99_000 + i, *rows[7][1:]) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, lang string, source string")
+    runs = [Q.robust_verdicts(t).toPandas().set_index("doc_id").sort_index() for t in (table.repartition(1), table.repartition(7), table.where("source = 's0'"))]
+    assert np.allclose(runs[0].distance2, runs[1].distance2, rtol=1e-6, equal_nan=True) and (runs[0].kept == runs[1].kept).all()
+    assert np.allclose(runs[0].distance2[runs[2].index], runs[2].distance2, rtol=1e-6, equal_nan=True)
+    copies = runs[0][runs[0].index >= 99_000]
+    assert copies.distance2.nunique() == 1 and copies.kept.nunique() == 1
+
+
 def test_op2_int_ids(spark):
     """Ids of another integer type come back as long."""
     from tessera.llm.bpe import bpe_digests
