@@ -6,7 +6,8 @@ aggregation over the group: distances under the present centre and covariance, s
 then mean and covariance of the bins that hold the `support` nearest rows. Every group has three deterministic starts, all
 from the standardised rows (medians and median absolute deviations): their diagonal, the covariance of their
 hyperbolic tangents, and that of their spatial signs. After two steps the start with the smallest determinant
-goes on, until the group's determinant falls no more; what a group comes to does not depend on other groups.
+goes on, until the logarithm of the group's determinant falls by less than `REST`; what a group comes to does not
+depend on other groups.
 
 No group is ever gathered in one task: sums combine before the shuffle, and models (one row a group) are
 broadcast to their rows up to `FEW_GROUPS` groups, beyond them joined by group and one of `SALTS` numbers, so
@@ -130,6 +131,8 @@ _MODEL = "grp_lang string, grp_source string, start int, mu array<double>, inv a
 FEW_GROUPS, SALTS = 5_000, 32
 #: Bins of squared distance in an octave, and the least distance told from 0 (its inverse: the greatest): some 10,000 bins a group at most.
 BINS, LEAST_D2 = 128, 1e-12
+#: Fall of the logarithm of a determinant below which a group has come to rest.
+REST = 1e-3
 
 
 def _distance() -> F.Column:
@@ -230,7 +233,7 @@ def robust_verdicts(stats: DataFrame, support: float = 0.75, prior_rows: int = 2
     while not model.isEmpty():  # a determinant falls at each step, and the prior keeps it from falling for ever
         new = concentrated(one, model, few, support, prior_rows)
         both = model.select(*KEYS, F.struct("mu", "inv", "det").alias("old")).join(new.select(*KEYS, F.struct("mu", "inv", "det").alias("new")), KEYS)
-        lower, falls = F.col("new.det") < F.col("old.det"), F.col("new.det") < F.col("old.det") - 1e-3
+        lower, falls = F.col("new.det") < F.col("old.det"), F.col("new.det") < F.col("old.det") - REST
         both = write_shared(both.select(*KEYS, F.when(lower, F.col("new")).otherwise(F.col("old")).alias("x"), falls.alias("falls")).select(*KEYS, "x.*", "falls"), "mcd-kept")
         settled.append(both.where(~F.col("falls")).drop("falls"))
         model = both.where("falls").drop("falls")  # a group that has come to rest takes no part in the steps of others
