@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ from tessera.llm.common import arrow_batches, released, table, write_shared
 from tessera.llm.graph import connected_components, local_stars
 from tessera.llm.substring_dedup import WordHashes
 
-#: Candidates (three numbers each) that are broadcast to the texts: some 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: Candidates (three numbers each) that are broadcast to the texts at a time: some 64 MB; times at most, each reads the texts once more.
+BROADCAST_ROWS, LOTS = 1_000_000, 8
 #: Similarity asked for, in hundredths, and words of a shingle.
 PERCENT, WIDTH = 90, 3
 SLICE, SLICE_TOKENS = 1000, 2_000_000
@@ -146,8 +146,21 @@ class RareFirst:
         return np.partition(ranked, most - 1)[:most] if most < n else ranked
 
 
+def gaps(places: np.ndarray) -> bytes:
+    """Ascending places, repeats included, as the gaps between them: a byte below 255 for each place, after one of 255 for each whole 255 of its gap."""
+    gap = np.diff(places, prepend=0)
+    out = np.full(len(gap) + int((gap // 255).sum()), 255, np.uint8)
+    out[np.cumsum(gap // 255 + 1) - 1] = gap % 255
+    return out.tobytes()
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    gap = np.frombuffer(data, np.uint8)
+    return np.cumsum(gap, dtype=np.int64)[gap != 255]
+
+
 def rare_first(docs: DataFrame, total: int, width: int) -> RareFirst:
-    """Counts the shingles of all documents (doc_id, text) into a sketch sized for `total` of them; a task's count of a cell is kept up to 255."""
+    """Counts the shingles of all documents (doc_id, text) into a sketch sized for `total` of them; about a byte of shuffle for each shingle."""
     bits = min(MOST_BITS, max(CHUNK_BITS, (total // CELL_SHINGLES).bit_length()))
     spark = docs.sparkSession
 
@@ -155,11 +168,11 @@ def rare_first(docs: DataFrame, total: int, width: int) -> RareFirst:
         hashes, held, n = WordHashes(), [], 0
 
         def summed() -> pa.RecordBatch:
-            cell, times = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
-            chunk = (cell >> np.uint64(CHUNK_BITS)).astype(np.int64)
+            cell = np.sort(np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64)
+            chunk = cell >> CHUNK_BITS
             lead = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, np.int64)
-            place, times = cell.astype("<u2"), np.minimum(times, 255).astype(np.uint8)
-            data = [place[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(lead, [*lead[1:], len(chunk)], strict=True)]
+            place = cell & ((1 << CHUNK_BITS) - 1)
+            data = [gaps(place[a:b]) for a, b in zip(lead, [*lead[1:], len(chunk)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(chunk[lead].astype(np.int32)), pa.array(data, pa.binary())], names=["chunk", "counts"])
 
         for batch in released(batches):
@@ -176,8 +189,9 @@ def rare_first(docs: DataFrame, total: int, width: int) -> RareFirst:
         total_of: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cells, n = total_of.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64)), len(data) // 3
-                cells[np.frombuffer(data, "<u2", n)] += np.frombuffer(data, np.uint8, n, 2 * n)
+                if chunk not in total_of:
+                    total_of[chunk] = np.zeros(1 << CHUNK_BITS, np.int64)
+                np.add.at(total_of[chunk], from_gaps(data), 1)
         found = [np.floor(4 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in total_of.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total_of), pa.int32()), pa.array(found, pa.binary())], names=["chunk", "level"])
 
@@ -339,12 +353,25 @@ def _join_groups(percent: int, width: int, order: Broadcast | None = None):
     return join
 
 
-def group_links(members: DataFrame, percent: int, width: int = WIDTH, order: Broadcast | None = None) -> DataFrame:
-    """(a, b) edges that span the components of links of each group; members: (grp, slices, slice, doc_id, text)."""
+def with_texts(named: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, grp, slices, slice, text) of the candidates (doc_id, grp, slices; read from storage).
+
+    Candidates are sent to the texts, in lots that fit an executor. Only of more than `LOTS` of them are texts and candidates
+    dealt out by id; that shuffles every text, so it is done once and what it gives is stored."""
+    lots = -(-chosen.count() // BROADCAST_ROWS)
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(lots, 1)))
+    parts = [F.broadcast(chosen.where(lot == k)) for k in range(max(lots, 1))] if lots <= LOTS else [chosen]
+    found = reduce(DataFrame.unionByName, (named.join(part, "doc_id").select("doc_id", "grp", "slices", "text") for part in parts))
+    found = found.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+    return found if lots <= LOTS else write_shared(found, "candidate-texts")
+
+
+def group_links(members: DataFrame, sliced: bool, percent: int, width: int = WIDTH, order: Broadcast | None = None) -> DataFrame:
+    """(a, b) edges that span the components of links of each group; members: (grp, slices, slice, doc_id, text); sliced: some group has several slices."""
     link = "a long, b long"
     alone = members.select("grp", "slice", "doc_id", "text", F.lit(0).alias("side"), F.col("doc_id").alias("label"))
     links = write_shared(alone.groupBy("grp", "slice").applyInArrow(_join_groups(percent, width, order), link), "links-inside")
-    if members.where("slices > 1").isEmpty():
+    if not sliced:
         return links
     cut = write_shared(members.where("slices > 1"), "sliced")
 
@@ -394,14 +421,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("tokens") / SLICE_TOKENS)).cast("int")
     chosen = write_shared(chosen.join(sizes, "grp").select("rep", "grp", slices.alias("slices")), "candidates")
 
-    # Rows that repeat an id are versions of it: the sets of all of them are compared under that id. Few candidates are sent to the
-    # texts; of more, texts and candidates are dealt out by id.
-    chosen = chosen.withColumnRenamed("rep", "doc_id")
-    if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    members = named.join(chosen, "doc_id").select("doc_id", "grp", "slices", "text")
-    members = members.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
-    linked = connected_components(group_links(members, percent, width, order)).withColumnRenamed("id", "rep")
+    # Rows that repeat an id are versions of it: the sets of all of them are compared under that id.
+    sliced = not chosen.where("slices > 1").isEmpty()
+    members = with_texts(named, chosen.withColumnRenamed("rep", "doc_id"))
+    linked = connected_components(group_links(members, sliced, percent, width, order)).withColumnRenamed("id", "rep")
     labelled = classes.join(linked, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return sets.join(labelled, key, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
