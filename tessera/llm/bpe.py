@@ -28,6 +28,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm.common import arrow_batches, discard, most_frequent, released, share_file, table, write_shared
 
@@ -216,18 +217,26 @@ def mapped_lexicon(name: str) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+@lru_cache(maxsize=2)
+def library_merge(path: str):
+    """Token ids of one word by the merges of the tokenizers library: what `Bpe.merge` gives, in less than half the time."""
+    model, shown = Tokenizer.from_file(path).model, dict(enumerate(byte_characters()))
+    return lambda word: [t.id for t in model.tokenize(word.decode("latin-1").translate(shown))]
+
+
 class Encoder(dict):
     """Ids of white-space-free chunks of UTF-8 text, as little-endian uint32 bytes; one for each task.
 
-    A word's ids come from the lexicon, and by exact merges where it has no such word. A task meets a new chunk every
+    A word's ids come from the lexicon, and by exact merges where it has no such word; without a lexicon by those of the library. A task meets a new chunk every
     seventh word or so: what happens then is written out here instead of being called."""
 
     def __init__(self, path: str, lexicon: str | None):
         self.model, self.lexicon, self.held = bpe(path), mapped_lexicon(lexicon) if lexicon else None, 0
+        self.merge = self.model.merge if lexicon else library_merge(path)
         self.merged: dict[str, bytes] = {}
 
     def __missing__(self, raw: bytes) -> bytes:
-        chunk, merged, lexicon, merge = raw.decode("utf-8"), self.merged, self.lexicon, self.model.merge
+        chunk, merged, lexicon, merge = raw.decode("utf-8"), self.merged, self.lexicon, self.merge
         ids = b""
         for word in self.model.words(chunk) if "<|" not in chunk else self.with_specials(chunk):
             found = merged.get(word)
