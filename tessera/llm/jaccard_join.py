@@ -8,10 +8,14 @@ come from one of two exact rules, whichever is the more selective at t:
   in whole parts; a part's content, some nine shingles, is a signature;
 * below it, parts would hold too few shingles to tell texts apart. There, sets are ordered rare-first, and two linked
   sets share one of their first n - ceil(t n) + 1 shingles. The order comes from a count sketch of all shingles with
-  one cell for about six of them (`MOST_BITS` at most: 64 MB), then from the hash; any order is right, a fuller
-  sketch makes larger groups.
-
-Documents that share a signature or a beginning fall into candidate groups, which are star-contracted, not paired.
+  one cell for about six of them (`MOST_BITS` at most: 64 MB), then from the hash; any order is right. In a fuller
+  sketch shingles of a few texts pass for rare, and chains of unlike sets that share one each would run through most
+  of the corpus. So sets that share a shingle of their beginnings are paired first, and pairs whose parities (a bit for
+  each of n to 2n places: how many shingles fall there, modulo 2) differ in more places than linked sets can differ in
+  shingles are left out. Only shingles that more than `PAIRED` beginnings have (more, in a fuller sketch) link all of
+  theirs without a look at them.
+
+Documents that share a signature, or make such a pair, fall into candidate groups, which are star-contracted.
 The sets of a group are then stored in a trie in the global order, where sets with equal beginnings share them: a
 probe walks it once, keeps the overlap so far, leaves a subtree as soon as the remaining lengths cannot reach the
 overlap asked for, and skips subtrees that are already linked to it. A group of more than `SLICE` sets or
@@ -56,8 +60,10 @@ GROWTH, SPARE = 130, 3
 SIGNED = 88
 #: Shingles for a cell of the count sketch, its largest size, shingles that a task counts at a time, bits of a cell's place in its chunk.
 CELL_SHINGLES, MOST_BITS, COUNTED, CHUNK_BITS = 6, 26, 2_000_000, 16
-#: Candidate rows that a task holds before it folds and emits them.
-FOLD = 400_000
+#: Candidate rows that a task holds before it folds and emits them; beginnings of one shingle that are paired, at most.
+FOLD, PAIRED = 400_000, 64
+#: Pairs that a task makes at a time, at most about half as many.
+PAIRS = 8_000_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -110,8 +116,29 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
     return place[of[keep]], key
 
 
-def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, s1, s2) of each document."""
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each place (a power of two of them, as many as shingles or up to twice that, 64 at least): whether an odd number of shingles falls there."""
+    places = 1 << max(6, (len(shingles) - 1).bit_length())
+    count = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many places the parities of two lists differ, pair by pair; the longer of a pair is folded first. Sets differ in as many shingles at least."""
+    out = np.zeros(len(left), np.int64)
+    sizes = np.array([[len(x) for x in left], [len(x) for x in right]], np.int64).reshape(2, -1)
+    for m, n in np.unique(sizes, axis=1).T.tolist():
+        rows = np.flatnonzero((sizes[0] == m) & (sizes[1] == n))
+        a, b = (np.frombuffer(b"".join([x[i] for i in rows.tolist()]), np.uint64).reshape(len(rows), -1) for x in (left, right))
+        while a.shape[1] != b.shape[1]:
+            long, a = (a, b) if a.shape[1] > b.shape[1] else (b, a)
+            b = long[:, : long.shape[1] // 2] ^ long[:, long.shape[1] // 2 :]
+        out[rows] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
+
+
+def document_sets(docs: DataFrame, width: int = WIDTH, bits: bool = False) -> DataFrame:
+    """(doc_id, n, s1, s2) of each document; with `bits` also the parity of its shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -119,10 +146,13 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             sets = [shingle_set(x, width, hashes) for x in utf8(batch.column(1))]
             s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             s2 = np.array([mix(s ^ _K[1]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
+            columns = {"doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array(s1), "s2": pa.array(s2)}
+            if bits:
+                columns["bits"] = pa.array([parity(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long")
+    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long" + ", bits binary" * bits)
 
 
 @dataclass
@@ -203,15 +233,8 @@ def rare_first(docs: DataFrame, total: int, width: int) -> RareFirst:
     return RareFirst(out, bits)
 
 
-def candidate_edges(docs: DataFrame, percent: int, width: int = WIDTH, order: Broadcast | None = None) -> DataFrame:
-    """(a, b): each document with the smallest id that shares one of its signatures or, with `order`, of its beginning's shingles."""
-
-    def tokens_of(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if order is None:
-            place, token = signatures(sets, percent)
-            return ids[place], token
-        found = [order.value.beginning(x, percent) for x in sets]
-        return np.repeat(ids, [len(x) for x in found]), np.concatenate([np.zeros(0, np.uint64), *found])
+def candidate_edges(docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
+    """(a, b): each document with the smallest id that shares one of its signatures."""
 
     def folded(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         doc, token = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -228,8 +251,10 @@ def candidate_edges(docs: DataFrame, percent: int, width: int = WIDTH, order: Br
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = WordHashes(), [], 0
         for batch in batches:
-            held.append(tokens_of(np.array(batch.column(0).to_pylist(), np.int64), [shingle_set(x, width, hashes) for x in utf8(batch.column(1))]))
-            n += len(held[-1][0])
+            ids = np.array(batch.column(0).to_pylist(), np.int64)
+            place, token = signatures([shingle_set(x, width, hashes) for x in utf8(batch.column(1))], percent)
+            held.append((ids[place], token))
+            n += len(token)
             if n >= FOLD:
                 yield from folded(held)
                 held, n = [], 0
@@ -243,6 +268,98 @@ def candidate_edges(docs: DataFrame, percent: int, width: int = WIDTH, order: Br
     return found.select("a", F.coalesce("b", "least").alias("b")).where("a != b")
 
 
+def size_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smaller id, larger id), each pair once, of documents with a common token whose sizes let them link; rows are sorted by token, then size."""
+    low, high, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+    at = np.arange(len(token))
+    while len(at := at[at + k < len(token)]) and len(at := at[token[at] == token[at + k]]):
+        fits = at[(100 * n[at] >= percent * n[at + k]) & (doc[at] != doc[at + k])]
+        low.append(np.minimum(doc[fits], doc[fits + k]))
+        high.append(np.maximum(doc[fits], doc[fits + k]))
+        k += 1
+    a, b = np.concatenate(low), np.concatenate(high)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
+def beginning_edges(docs: DataFrame, sets: DataFrame, percent: int, width: int, order: Broadcast, paired: int) -> DataFrame:
+    """(a, b): pairs of documents that share a shingle of their beginnings and whose sizes and parities let them link.
+
+    Where more than `paired` beginnings have a shingle, each of their documents with the smallest id instead. sets: (doc_id, n, bits), read from storage."""
+
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        token, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((doc, token))
+        token, doc, n = token[by], doc[by], n[by]
+        lead = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        many = np.diff(lead, append=len(token))
+        star, first = np.repeat(many > paired, many), np.repeat(lead, many)
+        a, b = local_stars(doc[star], doc[first[star]])
+        star[lead] = False
+        n[lead[many > paired]] = -1  # stands for more than are paired
+        kept = ~star
+        names = ["token", "a", "n", "b"]
+        yield pa.RecordBatch.from_arrays([pa.array(token[kept].view(np.int64)), pa.array(doc[kept]), pa.array(n[kept].astype(np.int32)), pa.nulls(int(kept.sum()), pa.int64())], names=names)
+        # What the task has connected passes through the shuffle dealt out by its document.
+        yield pa.RecordBatch.from_arrays([pa.array(mix(a.astype(np.uint64)).view(np.int64)), pa.array(a), pa.nulls(len(a), pa.int32()), pa.array(b)], names=names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, total = WordHashes(), [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                shingles = shingle_set(text, width, hashes)
+                token = order.value.beginning(shingles, percent)
+                held.append((token, np.full(len(token), doc, np.int64), np.full(len(token), len(shingles), np.int64)))
+                total += len(token)
+            if total >= FOLD:
+                yield from dealt(held)
+                held, total = [], 0
+        if held:
+            yield from dealt(held)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emitted(rows: pa.Table) -> pa.RecordBatch:
+            a, b = size_pairs(rows["token"].to_numpy(), rows["a"].to_numpy(), rows["n"].to_numpy().astype(np.int64), percent)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], names=["a", "b", "sure"])
+
+        held, total = [], 0
+        for batch in batches:
+            known = batch.filter(batch["b"].is_valid())
+            yield pa.RecordBatch.from_arrays([known["a"], known["b"], pa.array(np.ones(len(known), bool))], names=["a", "b", "sure"])
+            held.append(batch.filter(batch["b"].is_null()))
+            total += len(held[-1])
+            if total * paired >= PAIRS:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                token = rows["token"].to_numpy()
+                whole = int(np.searchsorted(token, token[-1]))  # the last shingle may go on
+                yield emitted(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+                total = len(rows) - whole
+        if total:
+            yield emitted(pa.Table.from_batches(held).combine_chunks())
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n"].to_numpy() + batch["m"].to_numpy()
+            fits = (100 + percent) * apart(batch["bits"].to_pylist(), batch["others"].to_pylist()) <= (100 - percent) * n
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+    arrow_batches(docs.sparkSession)
+    # A task that has more than `paired` rows of a shingle has folded them into one.
+    same = Window.partitionBy("token")
+    found = docs.mapInArrow(rows, "token long, a long, n int, b long")
+    found = found.withColumns({"least": F.min(F.when(F.col("b").isNull(), F.col("a"))).over(same), "many": F.count(F.lit(1)).over(same), "most": F.min("n").over(same)})
+    star = F.when((F.col("many") > paired) | (F.col("most") < 0), F.col("least"))
+    shared = found.where("many > 1 or most < 0 or b is not null").select("token", "a", "n", F.coalesce("b", star).alias("b")).sortWithinPartitions("token", "n", "a")
+    met = write_shared(shared.mapInArrow(pairs, "a long, b long, sure boolean").where("a != b").distinct(), "pairs")
+    left = sets.select(F.col("doc_id").alias("a"), "n", "bits")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    unsure = met.where("not sure").join(left, "a").join(right, "b").select("a", "b", "n", "m", "bits", "others")
+    return unsure.mapInArrow(near, "a long, b long").unionByName(met.where("sure").select("a", "b"))
+
+
 class Trie:
     """Ordered sets with shared beginnings; edges carry runs of shingles."""
 
@@ -403,7 +520,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     """(doc_id, n_shingles, component_id) of each document (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())
-    sets = write_shared(document_sets(docs, width), "document-sets")
+    sets = write_shared(document_sets(docs, width, percent < SIGNED), "document-sets")
     key = ["n", "s1", "s2"]
     classes = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = write_shared(classes, "set-classes")
@@ -411,8 +528,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     order = None
     if percent < SIGNED:
         total = sets.agg(F.sum("n").alias("n")).first().n or 0
-        order = docs.sparkSession.sparkContext.broadcast(rare_first(named, total, width))  # at most 2 ** MOST_BITS bytes
-    groups = connected_components(candidate_edges(named, percent, width, order))
+        sketch = rare_first(named, total, width)
+        order = docs.sparkSession.sparkContext.broadcast(sketch)  # at most 2 ** MOST_BITS bytes
+        # In a cell for several shingles, one that up to a few times as many texts share may pass for rare.
+        edges = beginning_edges(named, sets.where("doc_id is not null"), percent, width, order, max(PAIRED, 4 * (total >> sketch.bits)))
+    else:
+        edges = candidate_edges(named, percent, width)
+    groups = connected_components(edges)
     # A representative of several classes (an id with several versions) counts once.
     chosen = classes.groupBy("rep").agg(F.sum("n").alias("n")).join(groups.withColumnRenamed("id", "rep"), "rep").select("rep", "n", F.col("component").alias("grp"))
     chosen = write_shared(chosen, "grouped")
